@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from siltstone.llm import html_extract, line_dedup, mixing, packing, quality_classifier, quality_rules, webp
+from siltstone.llm import html_extract, line_dedup, mixing, near_dedup, packing, passage_windows, quality_classifier, quality_rules, substring_dedup, webp
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_quality_rules": quality_rules.query,
+    "op3_substring_dedup": substring_dedup.query,
     "op4_quality_classifier": quality_classifier.query,
     "op5_pack": packing.query,
     "op6_extract_html": html_extract.query,
     "op7_webp_media": webp.query,
     "op8_line_dedup": line_dedup.query,
+    "op9_near_dedup": near_dedup.query,
+    "op10_passage_windows": passage_windows.query,
 }
 
 ORACLE = {"op8_line_dedup": line_dedup.SQL}
