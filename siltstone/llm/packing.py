@@ -13,9 +13,11 @@ table gives an empty result; very long documents are cut; sequence ids are task
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,44 +26,61 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import table
 
-WINDOW, BINS, DEPTH, CHUNK_TOKENS, EOS, CACHE_WORDS = 2048, 32, 4, 4_000_000, 1, 400_000
+WINDOW, BINS, DEPTH, CHUNK_TOKENS, EOS, CACHE_WORDS = 2048, 32, 4, 4_000_000, 1, 1_000_000
+
+
+class _Words(dict):
+    """word -> number, given at first sight; `new` lists the words not encoded yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
+#: A comma or full stop between an ASCII letter or digit and white space is a token group of its own in the vocabulary's rules.
+STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[\x20\x09-\x0D]|\Z)")
 
 
 class WordTokens:
-    """Token ids by a word cache. The vocabulary's rules drop white space and never join across it, so the ids of a
-    text are those of its words in order; a word is encoded once a cache period."""
+    """Token ids by a word cache. The vocabulary's rules lower-case, drop white space and never join across it, so the
+    ids of a text are those of its words in order; a word is encoded once a cache period."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words = Tokenizer.from_file(path), {}
+        self.tokenizer, self.words = Tokenizer.from_file(path), _Words()
         self.starts, self.sizes, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
 
-    def _learn(self, new: list[bytes]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-        n, size = len(self.words), np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(size.sum())
-        while len(self.starts) < n + len(new):
-            self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
-        while len(self.flat) < self.used + total:
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        self.starts[n : n + len(new)] = self.used + np.cumsum(size) - size
-        self.sizes[n : n + len(new)] = size
-        self.used += total
-        self.words.update(zip(new, range(n, n + len(new)), strict=True))
+    def _learn(self) -> None:
+        new, self.words.new = self.words.new, []
+        n = len(self.words) - len(new)
+        for a in range(0, len(new), 50_000):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new[a : a + 50_000]], add_special_tokens=False)]
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            total = int(size.sum())
+            while len(self.starts) < n + len(ids):
+                self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
+            while len(self.flat) < self.used + total:
+                self.flat = np.resize(self.flat, 2 * len(self.flat))
+            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+            self.starts[n : n + len(ids)] = self.used + np.cumsum(size) - size
+            self.sizes[n : n + len(ids)] = size
+            self.used += total
+            n += len(ids)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each closed by EOS, and each text's number of ids."""
         if len(self.words) > CACHE_WORDS:
-            self.words, self.used = {}, 0
-        split = [(t or "").encode().split() for t in texts]
-        new = set().union(*split) - self.words.keys() if split else set()
-        if new:
-            self._learn(list(new))
-        get = self.words.__getitem__
+            self.words, self.used = _Words(), 0
+        split = [_prepared(t).split() if t else [] for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter((get(w) for x in split for w in x), np.int64, int(counts.sum()))
+        at = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        self._learn()
         size = self.sizes[at]
         ends = np.concatenate([[0], np.cumsum(size)])
         bounds = np.concatenate([[0], np.cumsum(counts)])
@@ -73,6 +92,17 @@ class WordTokens:
         return out, n + 1
 
 
+def _prepared(text: str) -> bytes:
+    raw = text.encode()
+    return raw if b"<|" in raw else STOP.sub(rb" \1", raw.lower())  # the names of special tokens are matched as they stand
+
+
+@lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """One cache a worker process, kept over its tasks."""
+    return WordTokens(path)
+
+
 @lru_cache(maxsize=4)
 def combinations(window: int = WINDOW, bins: int = BINS, depth: int = DEPTH) -> np.ndarray:
     """Columns: how many pieces of each length bin (by its upper end) fill a window with less than two bins to spare."""
@@ -204,7 +234,7 @@ def plan_chunk(lengths: np.ndarray, window: int = WINDOW, bins: int = BINS) -> l
 def _pack_batches(batches: Iterator[pa.RecordBatch], path: str, window: int, extra: pa.Schema) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    tokens, base, number = WordTokens(path), TaskContext.get().partitionId() << 33, 0
+    tokens, base, number = word_tokens(path), TaskContext.get().partitionId() << 33, 0
     held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
     def flush() -> pa.RecordBatch:
