@@ -8,7 +8,10 @@ Every candidate link is confirmed on the full sets.
 Equal sets are folded first. In each table bucket only what can change the components is confirmed:
 1. each document with the smallest of its buckets' smallest documents, then with its other buckets' smallest ones
    where these still lie in other components;
-2. for buckets that still hold several components, the pairs across them, by size and by agreement of all minhashes.
+2. for the documents of buckets that still hold several components, an exact join: with shingles ordered from rare to
+   frequent, similar sets share one in their prefixes, and what follows it must suffice for the intersection. Rows
+   whose place is too late for any set they meet leave first, which clears the far members of large groups of near
+   copies without a comparison; tokens left with one component go too.
 So copies of one text cost a link each, and no link between different components is lost.
 
 Only collections that agree with another document's make keys. Defined cases: a document with fewer words than a
@@ -23,13 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.blobs import by_bucket, joined
 from siltstone.llm.common import table, written
 from siltstone.llm.components import components
 from siltstone.llm.shingles import M1, mixed, shingle_set, similar
 
 SHINGLE, PERCENT, COLLECTIONS, SEED = 5, 80, 14, 3
-#: Agreeing minhashes below which a pair across components is no candidate: at 0.8, 28 of them fall below in 1 of 50,000 pairs.
-LEAST_AGREE = 13
 
 
 def signature(shingles: np.ndarray, count: int = 2 * COLLECTIONS, seed: int = SEED) -> np.ndarray:
@@ -90,8 +92,9 @@ def _confirmed(batches, k: int, percent: int):
 
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose texts' full sets are similar; texts (u, text) holds every node of a pair."""
-    a = pairs.join(texts.withColumnRenamed("text", "text_u"), "u")
-    both = a.join(texts.select(F.col("u").alias("v"), F.col("text").alias("text_v")), "v").select("u", "v", "text_u", "text_v")
+    # the same plan at every size: texts are never broadcast, nor pairs
+    a = pairs.hint("merge").join(texts.withColumnRenamed("text", "text_u"), "u")
+    both = a.hint("merge").join(texts.select(F.col("u").alias("v"), F.col("text").alias("text_v")), "v").select("u", "v", "text_u", "text_v")
     return both.mapInArrow(lambda it: _confirmed(it, k, percent), "u long, v long")
 
 
@@ -100,19 +103,68 @@ def _labelled(df: DataFrame, labels: DataFrame, node: str, out: str) -> DataFram
     return df.join(l, node, "left").withColumn(out, F.coalesce(out, node))
 
 
+def _several(member: DataFrame, key: str) -> DataFrame:
+    """Rows of the keys that hold several components."""
+    mixed_keys = member.groupBy(key).agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select(key)
+    return member.join(mixed_keys, key, "left_semi")
+
+
+PARTS = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
+
+
+def _parts(rows) -> pa.RecordBatch:
+    rows = list(rows)
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], schema=PARTS)
+
+
+def _token_parts(batches, k: int, buckets: int):
+    """Documents -> their shingles, by bucket of the shingle."""
+    for batch in batches:
+        u, sets = batch.column("u").to_pylist(), [shingle_set(t.as_py(), k) for t in batch.column("text")]
+        if u:
+            h = np.concatenate(sets)
+            yield _parts(by_bucket((h % np.uint64(buckets)).astype(np.int64), h, np.repeat(np.array(u, np.int64), [len(s) for s in sets])))
+
+
+def _frequencies(batches, buckets: int):
+    """Shingles of a bucket -> with the number of documents that have each, by bucket of the document."""
+    if blobs := [x.as_py() for batch in batches for x in batch.column("data")]:
+        h, d = joined(blobs)
+        _, at, n = np.unique(h, return_inverse=True, return_counts=True)
+        yield _parts(by_bucket(d % buckets, d, h, n[at].astype(np.uint32)))
+
+
+def _prefixes(batches, percent: int):
+    """Documents' shingles -> (token, u, i): by rarity, the first ones of which a similar set must share one; i from 0.
+
+    Shingles that no other document has keep their places and are left out.
+    """
+    if blobs := [x.as_py() for batch in batches for x in batch.column("data")]:
+        d, h, n = joined(blobs)
+        order = np.lexsort((h, n, d))
+        d, h, n = d[order], h[order], n[order]
+        _, start, size = np.unique(d, return_index=True, return_counts=True)
+        i = np.arange(len(d)) - np.repeat(start, size)
+        keep = (i <= np.repeat(size - -(-size * percent // 100), size)) & (n > 1)
+        yield pa.RecordBatch.from_arrays([pa.array(h[keep].astype(np.int64)), pa.array(d[keep]), pa.array(i[keep])], names=["token", "u", "i"])
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): the smallest id reachable by links of similar sets."""
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     rows = written(signatures(docs, k, doc_id, text), "signatures")
     whole = rows.filter("sig is not null and doc_id is not null")
+    counts = rows.filter("doc_id is not null").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("k")).first()
+    repeated = counts["n"] != counts["k"]
     # equal sets have equal signatures
     sets = written(whole.groupBy("lo", "hi").agg(F.min("doc_id").alias("u"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "sets")
     keys = written(table_keys(sets), "keys")
     least = keys.groupBy("key").agg(F.min("u").alias("v"), F.count("*").alias("n")).filter("n > 1").select("key", "v")
     stars = written(keys.join(least, "key").filter("u <> v").select("u", "v").distinct(), "stars")
     nodes = stars.select("u").union(stars.select("v")).distinct()
-    texts = docs.select(F.col(doc_id).cast("long").alias("u"), F.col(text).alias("text")).join(nodes, "u", "left_semi")
-    texts = written(texts, "texts")
-    texts = texts.dropDuplicates(["u"]) if texts.count() != nodes.count() else texts
+    texts = docs.select(F.col(doc_id).cast("long").alias("u"), F.col(text).alias("text")).join(nodes.hint("merge"), "u", "left_semi")
+    # rows that share an id: one text stands for it
+    texts = written(texts.dropDuplicates(["u"]) if repeated else texts, "texts")
     first = stars.groupBy("u").agg(F.min("v").alias("v"))
     links = written(confirm(first, texts, k, percent), "confirmed")
     labels = written(components(links), "labels")
@@ -122,13 +174,19 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, d
     labels = written(components(links), "labels")
     # buckets that still hold several components
     member = _labelled(keys.join(least.select("key"), "key", "left_semi"), labels, "u", "c")
-    mixed_keys = member.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).filter("a <> b").select("key")
-    member = written(member.join(mixed_keys, "key", "left_semi").join(sets.select("u", "n", "sig"), "u"), "across")
-    left, right = member.alias("x"), member.select(*(F.col(c).alias(f"{c}2") for c in ("key", "u", "n", "sig", "c"))).alias("y")
-    near = (F.col("key") == F.col("key2")) & (F.col("u2") < F.col("u")) & (F.col("c") != F.col("c2"))
-    near &= (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent)
-    agree = F.expr("size(filter(zip_with(sig, sig2, (a, b) -> a = b), e -> e))")
-    rest = left.join(right, near).filter(agree >= LEAST_AGREE).select("u", F.col("u2").alias("v")).distinct()
+    open_ = written(_several(member, "key").select("u", "c").distinct().join(sets.select("u", "n"), "u"), "open")
+    tokens = open_.select("u").join(texts.hint("merge"), "u").mapInArrow(lambda it: _token_parts(it, k, buckets), "bucket int, data binary")
+    tokens = tokens.repartition(buckets, "bucket").mapInArrow(lambda it: _frequencies(it, buckets), "bucket int, data binary")
+    tokens = tokens.repartition(buckets, "bucket").mapInArrow(lambda it: _prefixes(it, percent), "token long, u long, i long")
+    member = written(tokens.join(open_, "u"), "prefixes")
+    # a common prefix token at place i leaves n - i tokens after it; the smallest set with the token decides
+    smallest = member.groupBy("token").agg(F.min("n").alias("m"))
+    member = member.join(smallest, "token").filter((100 + percent) * (F.col("n") - F.col("i")) >= percent * (F.col("n") + F.col("m"))).drop("m")
+    member = written(_several(member, "token"), "across")
+    left, right = member.alias("x"), member.select(*(F.col(c).alias(f"{c}2") for c in member.columns)).alias("y")
+    near = (F.col("token") == F.col("token2")) & (F.col("u2") < F.col("u")) & (F.col("c") != F.col("c2"))
+    near &= (100 + percent) * F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")) >= percent * (F.col("n") + F.col("n2"))
+    rest = left.join(right, near).select("u", F.col("u2").alias("v")).distinct()
     rest = rest.join(stars, ["u", "v"], "left_anti")
     last = written(confirm(rest, texts, k, percent), "confirmed")
     labels = components(links.union(last)) if last.limit(1).count() else labels
