@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import table
 
-WINDOW, BINS, DEPTH, CHUNK_TOKENS, EOS, CACHE_WORDS = 2048, 32, 4, 4_000_000, 1, 1_000_000
+WINDOW, BINS, DEPTH, CHUNK_TOKENS, EOS, CACHE_WORDS = 2048, 32, 4, 2_000_000, 1, 400_000
 
 
 class _Words(dict):
@@ -255,9 +255,9 @@ def _pack_batches(batches: Iterator[pa.RecordBatch], path: str, window: int, ext
     for batch in batches:
         texts = batch.column(1)
         a = 0
-        while a < len(texts):  # a slice of about 4 MB of text at a time
+        while a < len(texts):  # a slice of about 2 MB of text at a time
             b, n = a, 0
-            while b < len(texts) and n < 4_000_000:
+            while b < len(texts) and n < 2_000_000:
                 n += len(texts[b].as_py() or "")
                 b += 1
             ids, sizes = tokens.encode(texts.slice(a, b - a).to_pylist())

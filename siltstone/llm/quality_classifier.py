@@ -122,14 +122,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, seed: in
     known = labels.filter("quality is not null and toxic is not null").select("doc_id", F.expr("cast(quality = 0 as int)").alias("low"), F.expr("cast(toxic = 1 as int)").alias("toxic"))
     chosen = known.filter("doc_id is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_train)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "low", "toxic")
-    out = sorted(rows.mapInArrow(_examples, "words array<int>, style array<float>, low int, toxic int").collect(), key=lambda r: (r["words"], r["low"], r["toxic"]))
-    once = {(*r["words"][:3], r["low"], r["toxic"]): r for r in out}
-    examples = [(r["words"], np.asarray(r["style"], float)) for r in once.values()]
+    out = rows.mapInArrow(_examples, "words array<int>, style array<float>, low int, toxic int").toPandas()
+    found = sorted(zip(out["words"], out["style"], out["low"], out["toxic"], strict=True), key=lambda r: (r[0].tobytes(), r[2], r[3]))
+    once = {(*r[0][:3].tolist(), r[2], r[3]): r for r in found}
+    examples = [(r[0], np.asarray(r[1], float)) for r in once.values()]
     if not examples:
         return None
     edges = [np.unique(np.quantile([e[1][k] for e in examples], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(STYLE)]
     edges = [np.concatenate([e, np.full(BINS - len(e), np.inf)]) for e in edges]
-    return [Head(examples, np.array([float(r[y]) for r in once.values()]), edges) for y in ("low", "toxic")]
+    return [Head(examples, np.array([float(r[y]) for r in once.values()]), edges) for y in (2, 3)]
 
 
 def _score_batches(batches, heads: list[Head], schema: pa.Schema, text: str):

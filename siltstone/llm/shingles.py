@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-CACHE = 300_000
+CACHE = 100_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
