@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, seed: in
     known = labels.filter("quality is not null and toxic is not null").select("doc_id", F.expr("cast(quality = 0 as int)").alias("low"), F.expr("cast(toxic = 1 as int)").alias("toxic"))
     chosen = known.filter("doc_id is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_train)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "low", "toxic")
-    out = rows.mapInArrow(_examples, "words array<int>, style array<float>, low int, toxic int").toPandas()
+    out = rows.mapInArrow(_examples, "words array<int>, style array<float>, low int, toxic int").toArrow().to_pandas()
     found = sorted(zip(out["words"], out["style"], out["low"], out["toxic"], strict=True), key=lambda r: (r[0].tobytes(), r[2], r[3]))
     once = {(*r[0][:3].tolist(), r[2], r[3]): r for r in found}
     examples = [(r[0], np.asarray(r[1], float)) for r in once.values()]
