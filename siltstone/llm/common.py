@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -57,3 +58,18 @@ def _quiet(f, *args) -> None:
         f(*args)
     except Exception:  # noqa: BLE001  the session is gone already; the cluster's own cleaning applies
         pass
+
+
+#: What clears each kind of cache that the loaded modules keep in a worker process.
+CACHES: dict = {}
+
+
+def working(kind: str) -> None:
+    """Called as a task begins: caches of other kinds of work in this process go, and their memory with them."""
+    for name, clear in CACHES.items():
+        if name != kind:
+            clear()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.blobs import by_bucket, joined
-from siltstone.llm.common import table, written
+from siltstone.llm.common import table, working, written
 from siltstone.llm.components import components
 from siltstone.llm.shingles import M1, mixed, shingle_set, similar
 
@@ -45,6 +45,7 @@ def signature(shingles: np.ndarray, count: int = 2 * COLLECTIONS, seed: int = SE
 
 
 def _signed(batches, k: int, schema: pa.Schema):
+    working("shingles")
     for batch in batches:
         n, lo, hi, sig = [], [], [], []
         for x in batch.column(1):
@@ -79,6 +80,7 @@ def table_keys(sets: DataFrame) -> DataFrame:
 
 
 def _confirmed(batches, k: int, percent: int):
+    working("shingles")
     last, held = None, None
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
     for batch in batches:

@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import table
+from siltstone.llm.common import CACHES, table, working
 
-WINDOW, BINS, DEPTH, CHUNK_TOKENS, EOS, CACHE_WORDS = 2048, 32, 4, 2_000_000, 1, 400_000
+WINDOW, BINS, DEPTH, CHUNK_TOKENS, EOS, CACHE_WORDS = 2048, 32, 4, 2_000_000, 1, 1_000_000
 
 
 class _Words(dict):
@@ -103,6 +103,9 @@ def word_tokens(path: str) -> WordTokens:
     return WordTokens(path)
 
 
+CACHES["tokens"] = word_tokens.cache_clear
+
+
 @lru_cache(maxsize=4)
 def combinations(window: int = WINDOW, bins: int = BINS, depth: int = DEPTH) -> np.ndarray:
     """Columns: how many pieces of each length bin (by its upper end) fill a window with less than two bins to spare."""
@@ -234,6 +237,7 @@ def plan_chunk(lengths: np.ndarray, window: int = WINDOW, bins: int = BINS) -> l
 def _pack_batches(batches: Iterator[pa.RecordBatch], path: str, window: int, extra: pa.Schema) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
+    working("tokens")
     tokens, base, number = word_tokens(path), TaskContext.get().partitionId() << 33, 0
     held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 

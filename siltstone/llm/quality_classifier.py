@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import table, written
+from siltstone.llm.common import table, working, written
 
 MAX_TRAIN, SEED, BUCKETS, TERMS, LEAST_DOCS, BINS, MAX_SHIFT, MAX_BROADCAST_SITES = 8000, 41, 1 << 22, 400, 4, 8, 1.0, 50_000
 STYLE = 8
@@ -134,6 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, seed: in
 
 
 def _score_batches(batches, heads: list[Head], schema: pa.Schema, text: str):
+    working("classifier")
     for batch in batches:
         z = np.zeros((2, batch.num_rows))
         for i, x in enumerate(batch.column(text)):

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from siltstone.llm.common import CACHES
+
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 CACHE = 100_000
 
@@ -29,6 +31,7 @@ class WordHash(dict):
 
 
 WORDS = WordHash()
+CACHES["shingles"] = WORDS.clear
 
 
 def word_hashes(text: str | bytes | None) -> np.ndarray:
