@@ -13,6 +13,7 @@ table gives an empty result; very long documents are cut; sequence ids are task
 from __future__ import annotations
 
 import bisect
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import CACHES, table, working
 
-WINDOW, BINS, DEPTH, CHUNK_TOKENS, EOS, CACHE_WORDS = 2048, 32, 4, 2_000_000, 1, 1_000_000
+WINDOW, BINS, DEPTH, CHUNK_TOKENS, EOS, CACHE_WORDS = 2048, 32, 4, 2_000_000, 1, 250_000
 
 
 class _Words(dict):
@@ -53,14 +54,16 @@ class WordTokens:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; more threads only hold memory
         self.tokenizer, self.words = Tokenizer.from_file(path), _Words()
         self.starts, self.sizes, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
+        self.seen = np.zeros(1 << 16, np.int64)
 
     def _learn(self) -> None:
         new, self.words.new = self.words.new, []
         n = len(self.words) - len(new)
-        for a in range(0, len(new), 50_000):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new[a : a + 50_000]], add_special_tokens=False)]
+        for a in range(0, len(new), 10_000):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new[a : a + 10_000]], add_special_tokens=False)]
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             total = int(size.sum())
             while len(self.starts) < n + len(ids):
@@ -73,14 +76,34 @@ class WordTokens:
             self.used += total
             n += len(ids)
 
+    def _age(self) -> None:
+        """Words not seen twice in the period go; all go where that frees less than half of the cache."""
+        n = len(self.words)
+        keep = np.flatnonzero(self.seen[:n] > 1)
+        if 2 * len(keep) > CACHE_WORDS:
+            keep = keep[:0]
+        old, self.words = list(self.words), _Words()
+        self.words.update((old[i], j) for j, i in enumerate(keep.tolist()))
+        size, start = self.sizes[keep], self.starts[keep]
+        begin = np.cumsum(size) - size
+        flat = self.flat[np.repeat(start - begin, size) + np.arange(int(size.sum()))]
+        self.used = len(flat)
+        self.flat[: self.used] = flat
+        self.starts[: len(keep)], self.sizes[: len(keep)] = begin, size
+        self.seen[:] = 0
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each closed by EOS, and each text's number of ids."""
         if len(self.words) > CACHE_WORDS:
-            self.words, self.used = _Words(), 0
+            self._age()
         split = [_prepared(t).split() if t else [] for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         at = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         self._learn()
+        seen = np.bincount(at, minlength=len(self.words))
+        if len(seen) > len(self.seen):
+            self.seen = np.concatenate([self.seen, np.zeros(len(seen), np.int64)])
+        self.seen[: len(seen)] += seen
         size = self.sizes[at]
         ends = np.concatenate([[0], np.cumsum(size)])
         bounds = np.concatenate([[0], np.cumsum(counts)])

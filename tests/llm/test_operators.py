@@ -196,6 +196,22 @@ def test_nnls_solves_a_known_system():
     assert np.abs(a @ x - [4, 3]).max() < 1e-3 and (x >= 0).all()
 
 
+def test_word_cache_ages(monkeypatch):
+    """A cache that overflows again and again gives the ids of a fresh one."""
+    path, r = packing.default_tokenizer(), Random(5)
+    common = [f"common{i}" for i in range(30)]
+    texts = [" ".join(r.choice(common) if r.random() < 0.5 else f"w{r.randrange(10**9)}é" for _ in range(50)) for _ in range(40)]
+    want = packing.WordTokens(path).encode(texts)
+    monkeypatch.setattr(packing, "CACHE_WORDS", 100)
+    small, ids, sizes = packing.WordTokens(path), [], []
+    for i in range(0, len(texts), 4):
+        a, b = small.encode(texts[i : i + 4])
+        ids.append(a), sizes.append(b)
+    assert np.array_equal(np.concatenate(ids), want[0]) and np.array_equal(np.concatenate(sizes), want[1])
+    small._age()
+    assert 0 < len(small.words) < 100
+
+
 def test_html_extraction(spark):
     page = """<html><head><title>t</title></head><body><nav><ul><li><a href="/a">Menu</a></li></ul></nav><div class="ad">Buy now.</div><article><h1>Head &amp;
       line</h1><p>First para is long enough to be content here. <p><b>Second one follows, also with words.<br>More.</article><div class="comments"><p>Reader says hi there friends.</p></div><footer>&copy; x</footer></body></html>"""
