@@ -65,13 +65,18 @@ def _quiet(f, *args) -> None:
 CACHES: dict = {}
 
 
-def working(kind: str) -> None:
-    """Called as a task begins: caches of other kinds of work in this process go, and their memory with them."""
-    for name, clear in CACHES.items():
-        if name != kind:
-            clear()
+def trim() -> None:
+    """Give memory that this process has freed back to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # a C library without it
         pass
+
+
+def working(kind: str) -> None:
+    """Called as a task begins: caches of other kinds of work in this process go, and their memory with them."""
+    for name, clear in CACHES.items():
+        if name != kind:
+            clear()
+    trim()

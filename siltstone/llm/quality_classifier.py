@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import table, working, written
+from siltstone.llm.common import table, trim, working, written
 
 MAX_TRAIN, SEED, BUCKETS, TERMS, LEAST_DOCS, BINS, MAX_SHIFT, MAX_BROADCAST_SITES = 8000, 41, 1 << 22, 400, 4, 8, 1.0, 50_000
 STYLE = 8
@@ -195,6 +195,7 @@ def _posterior(scores: DataFrame, sites: DataFrame, rate: float, host: str, path
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", text: str = "text", max_shift: float = MAX_SHIFT, cutoff: float = CUTOFF, keep_text: bool = False, **options) -> DataFrame:
     """docs (without `text` unless keep_text) with _qc_low, _qc_toxic (log odds), host_rate, path_rate, posterior, kept."""
     heads = fit(docs, labels, **options)
+    trim()  # the labelled sample's memory on the driver
     if heads is None:
         out = docs.withColumns({c: F.lit(None).cast("double") for c in ("_qc_low", "_qc_toxic", "host_rate", "path_rate", "posterior")}).withColumn("kept", F.lit(True))
         return out if keep_text else out.drop(text)
