@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import CACHES, table, working
 
-WINDOW, BINS, DEPTH, CHUNK_TOKENS, EOS, CACHE_WORDS = 2048, 32, 4, 2_000_000, 1, 250_000
+WINDOW, BINS, DEPTH, CHUNK_TOKENS, EOS, CACHE_WORDS = 2048, 32, 4, 2_000_000, 1, 600_000
 
 
 class _Words(dict):
