@@ -303,7 +303,7 @@ def evidence_locations(t):
 # redaction and rendering
 
 
-PASS = rf"(\b\w*{T.SECRET_NAME}\w*)(\s*[:=]\s*)"
+PASS = rf"(\b[A-Za-z_]*{T.SECRET_NAME}[A-Za-z_]*)(\s*[:=]\s*)"
 
 
 @query(rf"""SELECT doc_id, regexp_replace(regexp_replace(text, '(?i){PASS}"[^''"\n]{{6,}}"', '\1\2"[REDACTED]"', 'g'), '(?i){PASS}''[^''"\n]{{6,}}''', '\1\2''[REDACTED]''', 'g') AS text FROM documents""")
@@ -311,7 +311,16 @@ def redact_assignments(t):
     return t("documents").select("doc_id", T.redact_assignments(F.col("text"))[0].alias("text"))
 
 
-@query(rf"""SELECT doc_id, (len(regexp_extract_all(text, '(?i){PASS}"[^''"\n]{{6,}}"')) + len(regexp_extract_all(text, '(?i){PASS}''[^''"\n]{{6,}}''')))::BIGINT AS n FROM documents""")
+def _counted() -> str:
+    """Each step counts its pattern in what the steps before it left."""
+    steps = [(f"(?i){PASS}\"[^''\"\\n]{{6,}}\"", "\\1\\2\"[REDACTED]\""), (f"(?i){PASS}''[^''\"\\n]{{6,}}''", "\\1\\2''[REDACTED]''"), *((p, "[REDACTED]") for p in T.VALUE_PATTERNS.values())]
+    sql = "SELECT doc_id, text, 0::BIGINT AS n FROM documents"
+    for pattern, to in steps:
+        sql = f"SELECT doc_id, regexp_replace(text, '{pattern}', '{to}', 'g') AS text, n + len(regexp_extract_all(text, '{pattern}')) AS n FROM ({sql})"
+    return f"SELECT doc_id, n::BIGINT AS n FROM ({sql})"
+
+
+@query(_counted())
 def redaction_counts(t):
     return t("documents").select("doc_id", T.redact(F.col("text"))[1].alias("n"))
 

@@ -10,19 +10,21 @@ from pyspark.sql import functions as F
 # Word boundary and white space as wide as the expected results need.
 LETTER = r"[\p{L}\p{N}_]"
 EDGE = rf"(?:(?<={LETTER})(?!{LETTER})|(?<!{LETTER})(?={LETTER}))"
-# Shapes of secrets.
+# Shapes of secrets, in the order in which they are replaced.
 VALUE_PATTERNS = {
-    "aws_key": r"\bAKIA[0-9A-Z]{16}\b",
+    "aws_key": r"AKIA[0-9A-Z]{16}",
     "api_key": r"\bsk-[A-Za-z0-9_-]{20,}\b",
-    "payment_key": r"\b(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{10,}\b",
-    "forge_token": r"\bgh[po]_[A-Za-z0-9]{36,}\b",
+    "payment_key": r"\b(?:pk|sk|rk)_(?:live|test)_[A-Za-z0-9]{10,}\b",
+    "forge_token": r"\bghp_[A-Za-z0-9]{36}\b",
+    "forge_login": r"\bgho_[A-Za-z0-9]{36}\b",
     "maps_key": r"\bAIza[0-9A-Za-z_-]{35}\b",
     "chat_token": r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b",
-    "signed_token": r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b",
+    "signed_token": r"\beyJ[A-Za-z0-9_-]{20,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b",
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----",
 }
-SECRET_NAME = r"(?:password|passwd|secret|token|api_?key|access_?key|private_?key|credential)"
-ASSIGNMENT = rf"(\b\w*{SECRET_NAME}\w*)(\s*[:=]\s*)(['\"])([^'\"\n]{{6,}})\3"
+SECRET_NAME = r"(?:password|passwd|secret|api_key|apikey|access_key|auth_token|token|credential)"
+ASSIGNMENT = rf"(\b[A-Za-z_]*{SECRET_NAME}[A-Za-z_]*)(\s*[:=]\s*)(['\"])([^'\"\n]{{6,}})\3"
+SECRET_KEYS = r"password|passwd|secret|api_key|apikey|access_key|auth_token|credential"
 MARK = "[REDACTED]"
 #: extension -> language
 LANGUAGES = {"py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "go": "go"}
