@@ -8,19 +8,9 @@ from siltstone.functions import text as T
 from siltstone.operators import diff as D
 from siltstone.operators import graph as G
 from siltstone.operators import keyed as K
+from siltstone.registry import ORACLE, QUERIES, query
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str):
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, d: f(lambda name: spark.read.parquet(f"{d}/{name}.parquet"))
-        ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
+__all__ = ["ORACLE", "QUERIES"]
 
 # scans, manifests, scalars
 

@@ -4,15 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a private one, kept for the session, only where that is unset."""
+    context = spark.sparkContext
+    if found := context.getConf().get("spark.checkpoint.dir"):
+        return found
+    if not getattr(context, "_siltstone_core_dir", None):
+        context._siltstone_core_dir = tempfile.mkdtemp(prefix="siltstone-")
+    return context._siltstone_core_dir
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder of spark.checkpoint.dir; to a private one only where that is unset."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="siltstone-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

@@ -5,7 +5,7 @@ from random import Random
 import duckdb
 import pytest
 
-from siltstone import catalogue
+from siltstone import catalogue, catalogue_sources  # noqa: F401  both register
 from siltstone.functions import text as T
 from siltstone.operators import diff as D
 from siltstone.operators import graph as G
