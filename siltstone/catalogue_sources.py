@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siltstone.operators import keyed as K
 from siltstone.plans import index as I
 from siltstone.registry import query
 from siltstone.sources import artifacts as A
@@ -140,3 +141,19 @@ def artifact_integrity(t):
 @query("SELECT l_orderkey AS id, 'p' || l_partkey || ':' || (l_linenumber % 4 + 1) || ':5: [' || CASE WHEN l_returnflag = 'R' THEN 'BLOCKING' ELSE 'WARNING' END || '] late s' || l_suppkey AS value FROM lineitem")
 def artifact_quickfix(t):
     return A.quickfix(A.parsed(_artifacts(t))).select("id", "value")
+
+
+@query("""WITH l AS (SELECT DISTINCT l_partkey, l_linenumber FROM lineitem) SELECT l_partkey, l_linenumber, CASE WHEN l_linenumber IN (5, 7) THEN 'python:m' || l_partkey || ':C' || l_partkey || CASE WHEN l_linenumber = 7 THEN '.run' ELSE '' END ELSE 'python:m' || l_partkey END AS symbol_id
+ FROM l JOIN part ON l_partkey = p_partkey WHERE l_linenumber <> 6""")
+def symbol_at(t):
+    facts = _python(t)
+    points = t("lineitem").join(t("part").select(F.col("p_partkey").alias("l_partkey")), "l_partkey").filter("l_linenumber <> 6").select("l_partkey", "l_linenumber").distinct()
+    points = points.select("*", F.expr("concat('m', l_partkey, '.py')").alias("path"), F.col("l_linenumber").alias("line"), F.lit(8).alias("character"))
+    return I.locate(points, S.symbols(facts)).select("l_partkey", "l_linenumber", "symbol_id")
+
+
+@query("SELECT doc_id, (length(substr(text, 1, 40)) + len(regexp_extract_all(substr(text, 1, 40), '[\\x{10000}-\\x{10FFFF}]')))::BIGINT AS utf16 FROM documents")
+def utf16_columns(t):
+    text = F.concat(F.col("text"), F.lit("."))
+    at = F.octet_length(F.substring("text", 1, 40))
+    return t("documents").select("doc_id", K.utf16_column(text, at).alias("utf16"))

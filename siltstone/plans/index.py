@@ -64,6 +64,55 @@ def resolve_imports(targets: DataFrame, modules: DataFrame) -> DataFrame:
     return one.select("language", "path", "file_ord", "pos", name(c("module")).alias("src"), name(c("dst")).alias("dst"))
 
 
+def locate(points: DataFrame, symbols: DataFrame) -> DataFrame:
+    """points (path, line, character, ...) with `symbol_id`: the innermost symbol that holds each, ends included; the
+    file's module where none does; null where the file has none.
+
+    Of spans that begin and end alike the first stays. Points and spans meet in their file.
+    """
+    c = F.col
+    at = F.struct(c("line").alias("l"), c("character").alias("c"))
+    spans = symbols.select(
+        "path", F.struct(c("start_line").alias("l"), c("start_character").alias("c")).alias("_a"), F.struct(c("end_line").alias("l"), c("end_character").alias("c")).alias("_b"),
+        "kind", "sym_ord", c("symbol_id").alias("_symbol"),
+    )
+    own = spans.filter("kind = 'module'").groupBy("path").agg(F.max("_symbol").alias("_module"))
+    keyed = points.withColumn("_p", F.struct(c("path").alias("p"), at.alias("at")))
+    places = keyed.select("path", "_p").distinct()
+    inside = places.join(spans.filter("kind <> 'module'"), "path").filter((c("_a") <= c("_p.at")) & (c("_p.at") <= c("_b")))
+    # the span that begins last, of those the one that ends first, of those the first seen: one aggregate, no sort
+    best = inside.groupBy("_p").agg(F.max(F.struct("_a", (-c("_b.l")).alias("l"), (-c("_b.c")).alias("c"), (-c("sym_ord")).alias("o"), "_symbol")).alias("_best"))
+    rows = keyed.join(best, "_p", "left").join(own, "path", "left")
+    return rows.withColumn("symbol_id", F.coalesce("_best._symbol", "_module")).drop("_p", "_best", "_module")
+
+
+def resolve_locations(requests: DataFrame, definitions: DataFrame, symbols: DataFrame) -> DataFrame:
+    """requests (request, name, ...) with `target`: of the answers of a definition service, in order, the first whose symbol
+    has the name asked for. definitions: (request, answer, path, line, character), character in bytes."""
+    named = locate(definitions, symbols.select("path", *SPAN, "kind", "sym_ord", "symbol_id"))
+    known = symbols.select("symbol_id", F.col("name").alias("_name")).distinct()
+    right = named.join(known, "symbol_id").join(requests.select("request", F.col("name").alias("_name")), ["request", "_name"])
+    first = right.groupBy("request").agg(F.min_by("symbol_id", "answer").alias("target"))
+    return requests.join(first, "request", "left")
+
+
+def usage_requests(facts: DataFrame, symbols: DataFrame, references: DataFrame, most: int = 500) -> DataFrame:
+    """Usages that are worth a question to a definition service: known names of the language, not yet references, not the
+    name at its own definition; at most `most` a language, a budget of requests."""
+    names = symbols.select("language", "name").distinct()
+    start = ["path", "start_line", "start_character", "name"]
+    defined = symbols.filter("kind <> 'module'").select(*start)
+    rows = S.listed(facts, "usages").join(names, ["language", "name"], "left_semi").join(references.select(*start[:3]), start[:3], "left_anti").join(defined, start, "left_anti")
+    return K.first_per_key(rows, ["language"], ["file_ord", "pos"], most)
+
+
+def usage_references(requests: DataFrame, definitions: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(path, span, symbol_id) of usage requests that lead to a symbol other than a module or the one they stand in."""
+    found = resolve_locations(requests, definitions, symbols).filter("target is not null and target <> enclosing")
+    modules = symbols.filter("kind = 'module'").select(F.col("symbol_id").alias("target"))
+    return found.join(modules, "target", "left_anti").select("path", *SPAN, F.col("target").alias("symbol_id"))
+
+
 def numbered(rows: DataFrame, order: list[str], number: str) -> DataFrame:
     """rows with an increasing number along order: a range sort and ids that grow with the partition, written once."""
     return G.cut(rows.orderBy(*order).withColumn(number, F.monotonically_increasing_id()))

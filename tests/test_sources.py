@@ -1,11 +1,13 @@
 """Source facts, the index of a snapshot and artifact documents on small inputs."""
 
 import json
+import subprocess
 
 import pytest
 
 from siltstone.plans import index as I
 from siltstone.sources import artifacts as A
+from siltstone.sources import revisions as R
 from siltstone.sources import snapshot as S
 from siltstone.sources.brace_facts import BraceFacts
 from siltstone.sources.python_facts import PythonFacts
@@ -224,3 +226,40 @@ def test_documents_written_and_read_again(spark, tmp_path):
     A.write_text(docs(spark, artifact()).withColumnRenamed("json", "value"), str(tmp_path / "out"))
     got = A.read(spark, str(tmp_path / "out")).collect()
     assert len(got) == 1 and json.loads(got[0].json) == artifact()
+
+
+def test_definition_answers_become_references(spark):
+    files = sources(spark, {"a.py": "class A:\n    def f(self):\n        return B\n", "b.py": "class B:\n    pass\n\n\nclass C:\n    B = 1\n"})
+    facts = S.facts(files)
+    symbols, _, refs = I.relations(facts)
+    asked = I.usage_requests(facts, symbols, refs).selectExpr("monotonically_increasing_id() as request", "*").filter("name = 'B' and path = 'a.py'")
+    n = asked.first().request
+    # the first answer lies in C, whose name differs; the second is B
+    answers = spark.createDataFrame([(n, 0, "b.py", 6, 4), (n, 1, "b.py", 1, 6), (n, 2, "none.py", 1, 0)], "request long, answer int, path string, line int, character int")
+    got = I.usage_references(asked, answers, symbols).collect()
+    assert [tuple(r) for r in got] == [("a.py", 3, 15, 3, 16, "python:b:B")]
+    points = spark.createDataFrame([("b.py", 2, 4), ("b.py", 3, 0), ("no.py", 1, 0)], "path string, line int, character int")
+    assert {(r.path, r.line, r.symbol_id) for r in I.locate(points, symbols).collect()} == {("b.py", 2, "python:b:B"), ("b.py", 3, "python:b"), ("no.py", 1, None)}
+
+
+def test_revisions_and_review(spark, tmp_path):
+    root = str(tmp_path)
+    git = lambda *w: subprocess.run(["git", "-C", root, "-c", "user.name=t", "-c", "user.email=t@example.org", *w], check=True, capture_output=True)
+    assert R.head(root) == "unversioned"
+    git("init", "-q")
+    for name, text in {"keep.py": "def a():\n    pass\n\n\ndef b():\n    pass\n", "gone.py": "def g():\n    pass\n", "note.md": "x"}.items():
+        (tmp_path / name).write_text(text)
+    git("add", "-A")
+    git("commit", "-qm", "one")
+    base = R.head(root)
+    assert len(base) == 40
+    (tmp_path / "keep.py").write_text("def a():\n    return 1\n\n\ndef c():\n    pass\n")
+    (tmp_path / "gone.py").unlink()
+    (tmp_path / "new.go").write_text("package x\n\nfunc N() {\n}\n")
+    git("add", "-N", "new.go")
+    assert R.head(root).startswith(f"worktree:{base}:")
+    changed = R.changed_files(spark, root, base)
+    assert {tuple(r) for r in changed.collect()} == {("keep.py", "modified"), ("gone.py", "removed"), ("new.go", "added")}
+    before, after = S.facts(S.files(R.base_files(changed, root, base))), S.facts(S.files(S.scan(spark, root)))
+    got = {(r.symbol_id, r.change) for r in R.review(changed, before, after).collect()}
+    assert got == {("python:keep:a", "modified"), ("python:keep:b", "removed"), ("python:keep:c", "added"), ("python:gone:g", "removed"), ("go:new:N", "added")}
