@@ -93,30 +93,39 @@ def _around(h: np.ndarray, q: np.ndarray, start: np.ndarray, end: np.ndarray, le
     return left, right, c
 
 
-def parts(ids: list[int], texts: list[bytes], length: int):
-    """(raw, ends, ids, offset of each text in its document) of about PART bytes; long texts in overlapping parts."""
+def owned_parts(ids: list[int], texts: list[bytes], length: int):
+    """(raw, ends, ids, offset of each text in its document, first and end of the positions it owns) of about PART bytes.
+
+    Long texts come in overlapping parts. Each position of a text is owned by one part, and the surroundings of the
+    anchors there lie wholly inside that part or stop at the text's real ends.
+    """
     held: list[bytes] = []
-    names: list[int] = []
-    offsets: list[int] = []
+    places: list[tuple[int, int, int, int]] = []
     size = 0
 
     def flush():
-        return np.frombuffer(b"".join(held), np.uint8), np.cumsum([len(x) for x in held]), np.array(names, np.int64), np.array(offsets, np.int64)
+        return np.frombuffer(b"".join(held), np.uint8), np.cumsum([len(x) for x in held]), *(np.array(c, np.int64) for c in zip(*places, strict=True))
 
     for d, t in zip(ids, texts, strict=True):
         # the reach of an anchor's surroundings on both sides stays inside a part
         step = PART - 4 * length
         for a in range(0, max(1, len(t) - 2 * length), step) if len(t) > PART else (0,):
-            piece = t[max(0, a - 2 * length) : a + step + 2 * length] if len(t) > PART else t
-            held.append(piece), names.append(d), offsets.append(max(0, a - 2 * length) if len(t) > PART else 0)
-            size += len(piece)
+            start, end = (max(0, a - 2 * length), min(len(t), a + step + 2 * length)) if len(t) > PART else (0, len(t))
+            held.append(t[start:end]), places.append((d, start, a, a + step if end < len(t) else len(t)))
+            size += end - start
             if size >= PART:
                 yield flush()
-                held, names, offsets, size = [], [], [], 0
+                held, places, size = [], [], 0
     if held:
         yield flush()
 
 
+def parts(ids: list[int], texts: list[bytes], length: int):
+    """(raw, ends, ids, offset of each text in its document) of owned_parts."""
+    for raw, ends, names, offsets, _, _ in owned_parts(ids, texts, length):
+        yield raw, ends, names, offsets
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [()] * 4
     short = [pa.array(c, f.type) for c, f in zip(columns, DATA, strict=False)]
@@ -139,26 +148,27 @@ def _find(batches, length: int, buckets: int):
     def fold():
         d, q, h, c = (np.concatenate(x) for x in zip(*store, strict=True))
         order, first = _first_of(np.lexsort((q, d)), h, c)
-        # cut documents can show one anchor twice: the same place is no repetition
-        same = np.zeros(len(order), bool)
-        same[1:] = ~first[1:] & (d[order][1:] == d[order][:-1]) & (q[order][1:] == q[order][:-1])
         rows = []
         keep = np.sort(order[first])
         for b, blob in by_bucket((h[keep] % np.uint64(buckets)).astype(np.int64), d[keep], q[keep], h[keep], c[keep]):
             rows.append((b, ANCHORS, None, blob))
-        gone = np.sort(order[~first & ~same])
+        gone = np.sort(order[~first])
         for b, blob in by_bucket(d[gone] % buckets, d[gone], q[gone]):
             rows.append((b, SETTLED, None, blob))
         store.clear()
         return _rows(rows)
 
     for batch in batches:
-        for raw, ends, ids, offsets in parts(batch.column("d").to_pylist(), batch.column("data").to_pylist(), length):
+        for raw, ends, ids, offsets, low, high in owned_parts(batch.column("d").to_pylist(), batch.column("data").to_pylist(), length):
             q, _, _, h = anchors(raw, ends, length)
-            if not len(q):
-                continue
             of = np.searchsorted(ends, q, side="right")
             start = np.concatenate([[0], ends[:-1]])[of]
+            # an anchor near a part's border is in two parts, and only its owner sees all its surroundings
+            at = q - start + offsets[of]
+            own = (low[of] <= at) & (at < high[of])
+            q, of, start = q[own], of[own], start[own]
+            if not len(q):
+                continue
             _, _, c = _around(h, q, start, ends[of], length)
             store.append((ids[of], (q - start + offsets[of]).astype(np.uint32), h[q], c))
             count += len(q)

@@ -139,6 +139,27 @@ def test_parts_of_long_texts(monkeypatch):
     assert set(whole.tolist()) == seen
 
 
+def test_texts_over_a_part(spark):
+    """Parts of a text of over 1 MiB show anchors near their borders twice: unique text there stays, real repeats go."""
+    r = Random(5)
+    step = substring_dedup.PART - 400
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    long = " ".join(word() for _ in range(substring_dedup.PART // 10 + 20_000)).encode()
+    texts = [long, " ".join(word() for _ in range(60)).encode() + long[step - 150 : step + 150], long[1000:1180], b"x" + long[: step + 9000]]
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        gone = np.zeros(len(t), bool)
+        for p in range(len(t) - 99):
+            if (w := hash(t[p : p + 100])) in seen:
+                gone[p : p + 100] = True
+            seen.add(w)
+        runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+        want[i] = (len(t), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest())
+    assert want[0][1] == 0 and want[1][1] == 300
+    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {x[0]: tuple(x)[1:] for x in substring_dedup.substring_dedup(df).collect()} == want
+
+
 def test_classifier_finds_planted_words(spark, nothing):
     r = Random(3)
     pool = [f"w{k}" for k in range(300)]
