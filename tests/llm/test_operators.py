@@ -414,3 +414,42 @@ def test_passages(docs, rows, nothing):
         a, b = shingles(w[r.doc_id][r.start : r.start + r.n_words]), shingles(w[r.other_id][r.other_start : r.other_start + r.other_words])
         assert r.other_id < r.doc_id and len(a & b) == r.shared and len(a | b) == r.together and 5 * r.shared >= 4 * r.together
     assert passage_windows.passage_links(nothing).count() == 0
+
+
+def test_passages_after_an_earlier_partial_copy_and_in_chains(spark):
+    """B and C repeat a passage of which the earlier A has only a part; in a chain of variants each shares 52 words with the one before."""
+    r = Random(8)
+    fresh = lambda k: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(k)]
+    rows, later = [], set()
+    for t in range(150):
+        passage, cut, at = fresh(50), 44 if t % 2 else 40, 10 * t
+        for i, middle in enumerate((passage[:cut], passage, passage)):
+            rows.append((at + i, " ".join(fresh(40) + middle + fresh(40))))
+        later |= {at + 2, at + 4, at + 5, at + 6}
+        version = fresh(60)
+        for i in range(3, 7):
+            rows.append((at + i, " ".join(fresh(40) + version + fresh(40))))
+            version = version[:7] + fresh(1) + version[8:] if i % 2 else version[:52] + fresh(1) + version[53:]
+    shingles = lambda x: set(zip(*(x[q:] for q in range(5))))
+    w = {i: t.split() for i, t in rows}
+    where = defaultdict(set)
+    for i, x in w.items():
+        for j in range(len(x) - 49):
+            where[tuple(x[j : j + 50])].add(i)
+    assert later == {i for s in where.values() for i in s - {min(s)}}
+    got = passage_windows.passage_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert later <= {x.doc_id for x in got}
+    for x in got:
+        a, b = shingles(w[x.doc_id][x.start : x.start + x.n_words]), shingles(w[x.other_id][x.other_start : x.other_start + x.other_words])
+        assert x.other_id < x.doc_id and len(a & b) == x.shared and len(a | b) == x.together and 5 * x.shared >= 4 * x.together
+
+
+def test_prefixes_of_similar_stretches_meet():
+    r = np.random.default_rng(3)
+    for _ in range(200):
+        x = r.permutation(300)[: r.integers(46, 80)]
+        y = x.copy()
+        y[r.integers(0, len(y), r.integers(0, 8))] = r.integers(300, 400)
+        near = passage_windows.similar_at(x.astype(np.uint64), y.astype(np.uint64), range(len(x)), 0, 46, 80)
+        if near:
+            assert set(passage_windows.prefix_ranks(x, 46, 80)) & set(passage_windows.prefix_ranks(y, 46, 80))
