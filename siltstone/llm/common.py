@@ -54,6 +54,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, number: str, name: str, order: list) -> DataFrame | None:
+    """docs with a written row number in that order, the column to tell rows by where ids repeat or are null; None where
+    doc_id already does."""
+    ids = docs.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("k")).first()
+    if ids["n"] == ids["k"]:
+        return None
+    return written(docs.orderBy(*order).withColumn(number, F.monotonically_increasing_id()), name)
+
+
 def _quiet(f, *args) -> None:
     try:
         f(*args)

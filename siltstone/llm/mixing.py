@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import WORD, table, word_count, written
+from siltstone.llm.common import WORD, numbered, table, word_count, written
 
 WEIGHTS, REPEAT, BLOCK_WORDS, SHARD_WORDS, SEED = (1, 2, 3), 3, 256, 2_000_000, 17
 #: One row a source is gathered on the driver; more sources than this are refused rather than gathered.
@@ -119,11 +119,14 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as the mix takes them: a document once for each time it is taken whole; where the ring's first
     or last block cuts a document, a row with only the taken words (joined by one space). Documents not taken go.
-    Ids must be unique. n_chars follows a cut text.
+    Repeated rows and rows with one or no id are independent documents. n_chars follows a cut text.
     """
-    plan = mix(docs, **options).filter("taken > 0")
+    columns, key = docs.columns, "doc_id"
+    if (rows := numbered(docs, "_mx_row", "mix_rows", [F.asc_nulls_last("doc_id"), F.asc_nulls_first("text"), F.asc_nulls_last("source")])) is not None:
+        docs, key = rows, "_mx_row"
+    plan = mix(docs, doc_id=key, **options).filter("taken > 0")
     plan = plan.select(F.col("doc_id").alias("_mx_id"), "size", "_mx_rounds", "_mx_first", "_mx_wrap", F.expr("greatest(0, _mx_start - _mx_at)").alias("_mx_from"))
-    rows = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_mx_id")))
+    rows = docs.join(plan, F.col(key) == F.col("_mx_id"))
     both = F.expr("_mx_first + _mx_wrap = size").cast("long")
     whole = F.expr("sequence(1L, _mx_rounds + if(_mx_first + _mx_wrap = size, 1, 0))")
     pieces = F.array_compact(F.array(
@@ -137,7 +140,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     rows = rows.withColumn("text", F.when(F.col("_mx_part.n") < 0, F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("_mx_part.n") < 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return rows.select(*docs.columns)
+    return rows.select(*columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.blobs import by_bucket, joined
-from siltstone.llm.common import table, working, written
+from siltstone.llm.common import numbered, table, working, written
 from siltstone.llm.components import components
 from siltstone.llm.shingles import M1, mixed, shingle_set, similar
 
@@ -200,9 +200,13 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, d
 
 
 def one_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose id is its component's smallest, once each; rows with a null id stay."""
-    kept = near_duplicates(docs, **options).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_nd_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_nd_id"), "left").filter("doc_id is null or _nd_id is not null").select(*docs.columns)
+    """One row of each component of docs: the one of smallest id, then text. Where ids repeat or are null, each row is
+    a document of its own; null ids come last."""
+    columns, key = docs.columns, "doc_id"
+    if (rows := numbered(docs, "_nd_row", "near_rows", [F.asc_nulls_last("doc_id"), F.asc_nulls_first("text")])) is not None:
+        docs, key = rows, "_nd_row"
+    kept = near_duplicates(docs, doc_id=key, **options).filter("kept").select(F.col("doc_id").alias("_nd_id"))
+    return docs.join(kept, F.col(key) == F.col("_nd_id"), "left_semi").select(*columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

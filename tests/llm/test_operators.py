@@ -453,3 +453,26 @@ def test_prefixes_of_similar_stretches_meet():
         near = passage_windows.similar_at(x.astype(np.uint64), y.astype(np.uint64), range(len(x)), 0, 46, 80)
         if near:
             assert set(passage_windows.prefix_ranks(x, 46, 80)) & set(passage_windows.prefix_ranks(y, 46, 80))
+
+
+def test_stages_with_repeated_and_null_ids(spark):
+    """Rows that share an id or have none are documents of their own in the pipeline's mix and near-dedup."""
+    r = Random(12)
+    text = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    a, b, c = text(40), text(40), text(40)
+    rows = [(1, a), (1, a), (1, b), (None, b), (None, c), (None, c), (4, c), (5, text(40)), (None, text(40)), (None, None)]
+    df = spark.createDataFrame([(i, t, None, "s1", len(t or ""), 7) for i, t in rows], SCHEMA)
+    got = sorted(((x.doc_id, x.text) for x in near_dedup.one_each(df, k=4).collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (4, c), rows[7], rows[8], (None, None)], key=str)
+    rows = [((7, None, i)[i % 3], text(20 + i % 5), None, ("s1", "s2", "s3")[i % 7 % 3], 0, i) for i in range(90)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    size = {x: len(words_of(t)) for _, t, _, _, _, x in rows}
+    took, total = Counter(), sum(size.values())
+    for x in mixing.mixed_documents(df).collect():
+        took[x._x] += len(words_of(x.text))
+    assert all(took[x] <= 3 * size[x] for x in size) and abs(sum(took.values()) - total) <= 256
+    # by source: 1, 2, 3, none above three times its words
+    of = {x: s for _, _, _, s, _, x in rows}
+    for i, s in enumerate(("s1", "s2", "s3")):
+        want = mixing.capped_targets([sum(size[x] for x in size if of[x] == q) for q in ("s1", "s2", "s3")], [1, 2, 3])[i]
+        assert abs(sum(n for x, n in took.items() if of[x] == s) - want) <= 0.02 * total
