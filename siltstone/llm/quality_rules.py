@@ -7,9 +7,10 @@ the cutoffs are tried from lenient to strict (fixed-sequence testing, so no corr
 binomial (Clopper-Pearson) upper bound of the share of good documents it rejects; the strata share the error `delta`
 by Bonferroni. Among cutoffs whose bound is at most `alpha`, the most lenient that still rejects `enough` of the bad
 holdout documents which the strictest of them rejects is used. So with probability 1 - delta no stratum rejects more
-than `alpha` of its good documents. Strata without a provable cutoff use that of all labelled rows together.
+than `alpha` of its good documents by severity. The error is shared by all strata with a holdout label, however many
+there are. In strata without a provable cutoff only the base rules apply: a cutoff of other strata's rows would prove nothing there.
 
-What reaches the driver is one histogram: strata (at most `max_strata`, the smaller ones pooled) x severity bins.
+Histograms (stratum x severity bins) and cutoffs stay distributed; the driver sees the scales and the number of strata.
 
 Defined cases: null or empty text has no words, fails the base rule and is not kept; a null stratum is a stratum of its own;
 documents without a label are only judged; labels without a document are unused; repeated rows are judged alike; no labels, or too few to prove
@@ -19,7 +20,6 @@ anything: only base rules apply; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from siltstone.llm.common import table, written
 
 #: Fixed values of the base rules.
 SYMBOLS, MIN_WORDS, REPEAT_PERCENT = "#*$%&|<>", 50, 50
-ALPHA, DELTA, SCALE_QUANTILE, ENOUGH, SEED, MAX_STRATA = 0.05, 0.05, 0.995, 0.98, 29, 64
+ALPHA, DELTA, SCALE_QUANTILE, ENOUGH, SEED = 0.05, 0.05, 0.995, 0.98, 29
 #: Severity cutoffs: 0.5 to 64 in steps of a sixteenth of a doubling.
 CUTOFFS = [2 ** (k / 16 - 1) for k in range(113)]
 RULES = ("symbols", "repeats", "dup_lines", "capitals", "long_words")
@@ -127,29 +127,34 @@ def choose_cutoff(good: list[int], bad: list[int], alpha: float, delta: float, e
     return CUTOFFS[next(c for c in valid if over(bad, c) >= enough * most)]
 
 
-def fit(values: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, max_strata: int = MAX_STRATA, seed: int = SEED):
-    """(scales by rule, cutoff by stratum, cutoff of the rest or None) from values (measured, rule_values) and labels (doc_id, good boolean)."""
+def _chosen(batches, alpha: float, share: float):
+    for batch in batches:
+        strata, cutoffs = [], []
+        for r in batch.to_pylist():
+            by = {True: [0] * (len(CUTOFFS) + 1), False: [0] * (len(CUTOFFS) + 1)}
+            for x in r["bins"]:
+                by[x["good"]][x["bin"]] += x["count"]
+            c = choose_cutoff(by[True], by[False], alpha, share)
+            if c is not None:
+                strata.append(r["stratum"])
+                cutoffs.append(c)
+        yield pa.RecordBatch.from_arrays([pa.array(strata, pa.string()), pa.array(cutoffs, pa.float64())], names=["_qr_s", "cutoff"])
+
+
+def fit(values: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, seed: int = SEED):
+    """(scales by rule, rows (_qr_s, cutoff) of the strata with a provable cutoff) from values (measured, rule_values) and labels (doc_id, good boolean)."""
     known = values.filter(~F.col("base_failed")).join(labels.select(F.col("doc_id").alias("_qr_id"), "good"), F.col("doc_id") == F.col("_qr_id"))
     known = known.withColumn("half", F.expr(f"pmod(xxhash64({seed}, doc_id), 2)"))
     known = written(known.select("stratum", "good", "half", *(f"r_{r}" for r in RULES)), "rules")
     row = known.filter((F.col("half") == 0) & F.col("good")).agg(F.count("*").alias("n"), *(F.percentile_approx(f"r_{r}", SCALE_QUANTILE, 10_000).alias(r) for r in RULES)).first()
     if not row["n"]:
-        return None, {}, None
+        return None, None
     scales = {r: max(float(row[r]), 0.01) for r in RULES}
     held = known.filter("half = 1").withColumn("bin", _bin(severity(scales)))
-    top = held.groupBy("stratum").count().orderBy(F.desc("count"), F.asc_nulls_last("stratum")).limit(max_strata).select(F.col("stratum").alias("_qr_s"))
-    counts = held.join(F.broadcast(top), F.col("stratum").eqNullSafe(F.col("_qr_s")), "left_semi").groupBy("stratum", "good", "bin").count().collect()
-    rest = held.groupBy("good", "bin").count().collect()
-    empty = lambda: [0] * (len(CUTOFFS) + 1)
-    by: dict = defaultdict(lambda: {True: empty(), False: empty()})
-    for r in counts:
-        by[(r["stratum"],)][r["good"]][r["bin"]] += r["count"]
-    for r in rest:
-        by[()][r["good"]][r["bin"]] += r["count"]
-    share = delta / len(by)
-    cutoffs = {k: choose_cutoff(v[True], v[False], alpha, share) for k, v in by.items()}
-    pooled = cutoffs.pop(())
-    return scales, {k[0]: c for k, c in cutoffs.items() if c is not None}, pooled
+    counts = held.groupBy("stratum", "good", "bin").count()
+    counts = written(counts.groupBy("stratum").agg(F.collect_list(F.struct("good", "bin", "count")).alias("bins")), "histograms")
+    share = delta / max(1, counts.count())
+    return scales, written(counts.mapInArrow(lambda it: _chosen(it, alpha, share), "_qr_s string, cutoff double"), "cutoffs")
 
 
 def severity(scales: dict[str, float]):
@@ -165,14 +170,11 @@ def _bin(value):
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", **options) -> DataFrame:
     """measured() with severity, cutoff (null: base rules only) and kept."""
     values = written(rule_values(measured(docs, doc_id, text, stratum)), "measured")
-    scales, cutoffs, pooled = fit(values, labels, **options)
+    scales, cutoffs = fit(values, labels, **options)
     if scales is None:
         out = values.withColumn("severity", F.lit(None).cast("double")).withColumn("cutoff", F.lit(None).cast("double"))
     else:
-        cut = F.lit(pooled).cast("double")
-        for s, c in cutoffs.items():
-            cut = F.when(F.col("stratum").eqNullSafe(F.lit(s)), F.lit(c)).otherwise(cut)
-        out = values.withColumn("severity", severity(scales)).withColumn("cutoff", cut)
+        out = values.withColumn("severity", severity(scales)).join(cutoffs, F.col("stratum").eqNullSafe(F.col("_qr_s")), "left").drop("_qr_s")
     # by bin, as the counts were made
     above = F.coalesce(_bin(F.col("severity")) > F.round((F.log2("cutoff") + 1) * 16).cast("int"), F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & ~above)

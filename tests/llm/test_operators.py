@@ -94,6 +94,24 @@ def test_quality_rules(spark, docs, rows, nothing):
     assert quality_rules.judge(nothing, labels).count() == 0
 
 
+def test_each_stratum_has_its_own_bound(spark):
+    """The smallest of 66 strata has good texts that look worse than other strata's bad ones; one stratum proves nothing."""
+    text = lambda i, longer: " ".join(f"w{i}x{j}" + "y" * longer for j in range(60))
+    rows = [(f"s{k}", i % 8 > 0, 0 if i % 8 else 25) for k in range(64) for i in range(450)]
+    rows += [(None, True, 30)] * 340 + [("tiny", True, 30)] * 5
+    rows = [(i, text(i, x), s, good) for i, (s, good, x) in enumerate(rows)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, lang string, good boolean")
+    got = quality_rules.judge(made.select("doc_id", "text", "lang"), made.select("doc_id", "good")).collect()
+    assert len(got) == len(rows)
+    kept, cutoffs = defaultdict(list), defaultdict(set)
+    for r in got:
+        kept[r.stratum, rows[r.doc_id][3]].append(r.kept)
+        cutoffs[r.stratum].add(r.cutoff)
+    assert all(kept[None, True]) and all(kept["tiny", True])
+    assert cutoffs["tiny"] == {None} and None not in cutoffs[None] and all(len(x) == 1 for x in cutoffs.values())
+    assert all(all(kept[f"s{k}", True]) and not any(kept[f"s{k}", False]) for k in range(64))
+
+
 def test_exact_bounds_and_cutoffs():
     assert abs(quality_rules.upper_bound(0, 100, 0.05) - (1 - 0.05**0.01)) < 1e-6
     good, bad = [0] * (len(quality_rules.CUTOFFS) + 1), [0] * (len(quality_rules.CUTOFFS) + 1)
