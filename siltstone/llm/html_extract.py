@@ -62,6 +62,7 @@ def features(root: Node) -> tuple[list[Node], np.ndarray]:
     every = max(1.0, total[0])
     seen = np.cumsum(own) - own
     basic = np.zeros((size, 20))
+    place = {c.order: k for n in nodes for k, c in enumerate(n.children)}
     for i, n in enumerate(nodes):
         kin = n.parent.children if n.parent else [n]
         b = basic[i]
@@ -73,7 +74,7 @@ def features(root: Node) -> tuple[list[Node], np.ndarray]:
         b[5] = len(n.words & GOOD_WORDS)
         b[6] = n.depth
         b[7] = len(kin)
-        b[8] = kin.index(n) / len(kin) if len(kin) < 400 else 0.5
+        b[8] = place.get(n.order, 0) / len(kin)
         b[9] = len(n.children)
         b[18] = n.tag in ("h1", "h2")
         b[19] = n.tag == "p"

@@ -112,6 +112,13 @@ def test_each_stratum_has_its_own_bound(spark):
     assert all(all(kept[f"s{k}", True]) and not any(kept[f"s{k}", False]) for k in range(64))
 
 
+def test_places_among_many_siblings():
+    for k in (399, 400, 1000):
+        nodes, x = html_extract.features(html_extract.parse("<html><body>" + "".join(f"<p>text {i}</p>" for i in range(k)) + "</body></html>")[0])
+        at = [x[i, 8] for i, n in enumerate(nodes) if n.tag == "p"]
+        assert at == [i / k for i in range(k)]
+
+
 def test_exact_bounds_and_cutoffs():
     assert abs(quality_rules.upper_bound(0, 100, 0.05) - (1 - 0.05**0.01)) < 1e-6
     good, bad = [0] * (len(quality_rules.CUTOFFS) + 1), [0] * (len(quality_rules.CUTOFFS) + 1)
