@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -45,21 +46,35 @@ def _remove(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends here and lost executors cost no recomputation.
 
-    The files go when the application ends.
+    The files go by release(), or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_quiet, _remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def numbered(docs: DataFrame, number: str, name: str, order: list) -> DataFrame | None:
-    """docs with a written row number in that order, the column to tell rows by where ids repeat or are null; None where
-    doc_id already does."""
-    ids = docs.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("k")).first()
-    if ids["n"] == ids["k"]:
-        return None
+    out = spark.read.schema(df.schema).parquet(path)
+    out._siltstone_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more, and have Spark drop the shuffle files of finished plans, which it
+    does once neither side's garbage holds them."""
+    spark = tables[0].sparkSession
+    for t in tables:
+        if path := getattr(t, "_siltstone_path", None):
+            _remove(spark, path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def numbered(docs: DataFrame, number: str, name: str, order: list, doc_id: str = "doc_id") -> DataFrame | None:
+    """docs with a written row number in that order, the column to tell rows by where ids repeat, are null or no integers;
+    None where the id tells them already."""
+    if docs.schema[doc_id].dataType.typeName() in ("long", "integer", "short", "byte"):
+        ids = docs.agg(F.count("*").alias("n"), F.countDistinct(doc_id).alias("k")).first()
+        if ids["n"] == ids["k"]:
+            return None
     return written(docs.orderBy(*order).withColumn(number, F.monotonically_increasing_id()), name)
 
 
