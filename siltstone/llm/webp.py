@@ -2,15 +2,18 @@
 
 The reader takes canonical prefix codes (simple and normal), several code groups by an entropy image, back-references
 with the two-dimensional distance codes, the colour cache, and inverts the predictor, cross-colour, subtract-green and
-palette transforms. Streams whose five codes are each of one length, without references, are read by whole arrays; all
-others by the general loop. The writer makes such streams: per channel, a code of the fewest equal bits that hold its
-symbols, so payloads shrink and both ways run over arrays.
+palette transforms. Literals of an image with one channel and one group of codes are read several at a time, from a
+table of all next bits; other images are read symbol by symbol.
 
-Four payload bytes make a pixel (alpha, red, green, blue). A payload is cut into images of at most 16 x 16384 pixels, whose files
-stand one after another.
+The writer makes grey images, a payload byte a pixel, 64 wide. Payloads of at most 16 different bytes are stored by a
+palette with several pixels a sample; others subtract green, so one channel is left, after a predictor where that lowers the
+entropy. Repeats of LEAST bytes or more become back-references, the rest literals, all by prefix codes of at most LIMIT
+bits. A colour cache or cross-colour transform has nothing to gain in one channel; the reader knows them all the same.
+A payload is cut into images of at most 64 x 16384 pixels, whose files stand one after another.
 
 Defined cases: null and empty texts give 64 zero bytes; texts of any length are stored whole; equal texts give equal values;
-repeated rows are independent; an empty table gives an empty result; damaged streams raise ValueError.
+repeated rows are independent; an empty table gives an empty result; input columns named like new ones are replaced by
+those; damaged streams raise ValueError.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import table
 
-WIDTH, MAX_HEIGHT = 16, 16384
+WIDTH, MAX_HEIGHT, LEAST, LIMIT = 64, 16384, 7, 10
 
 # Fixed values of the format.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -57,42 +61,47 @@ class Bits:
         self.at = end
         return v & ((1 << n) - 1)
 
+    def peek(self, n: int) -> int:
+        """The next n bits, as if zeros followed the stream."""
+        if self.at > 8 * len(self.data):
+            raise ValueError("the stream ends early")
+        a = self.at >> 3
+        return int.from_bytes(self.data[a : a + 4], "little") >> (self.at & 7) & ((1 << n) - 1)
+
+
+@lru_cache(maxsize=16)
+def reversed_bits(n: int) -> np.ndarray:
+    """The numbers below 2 ** n with their n bits in reverse."""
+    out = np.zeros(1, np.int64)
+    for _ in range(n):
+        out = np.concatenate([2 * out, 2 * out + 1])
+    return out
+
 
 class Code:
-    """A canonical prefix code by its lengths; one symbol alone takes no bits."""
+    """A canonical prefix code by its lengths; one symbol alone takes no bits.
+
+    `symbols` and `sizes` give, by the next `wide` bits, the symbol and how many bits it takes.
+    """
 
     def __init__(self, lengths: dict[int, int]):
-        lengths = {s: n for s, n in sorted(lengths.items()) if n}
-        self.only = next(iter(lengths)) if len(lengths) == 1 else None
-        self.lengths = lengths
-        if not lengths:
-            self.only = 0
-        self.table: dict[tuple[int, int], int] = {}
-        code, last = 0, 0
-        for n, s in sorted((n, s) for s, n in lengths.items()):
-            code <<= n - last
-            self.table[n, code] = s
-            code, last = code + 1, n
-        if self.only is None and code != 1 << last:
+        self.lengths = {s: n for s, n in sorted(lengths.items()) if n}
+        order = sorted(self.lengths, key=lambda s: (self.lengths[s], s))
+        if len(order) < 2:
+            self.wide, self.symbols, self.sizes = 0, np.array(order or [0]), np.zeros(1, np.int64)
+            return
+        self.wide = self.lengths[order[-1]]
+        size = np.array([self.lengths[s] for s in order])
+        share = 1 << (self.wide - size)
+        if self.wide > 15 or share.sum() != 1 << self.wide:
             raise ValueError("an incomplete prefix code")
+        at = reversed_bits(self.wide)
+        self.symbols, self.sizes = np.repeat(np.array(order), share)[at], np.repeat(size, share)[at]
 
     def read(self, bits: Bits) -> int:
-        if self.only is not None:
-            return self.only
-        code = n = 0
-        while True:
-            code, n = code << 1 | bits.read(1), n + 1
-            if (s := self.table.get((n, code))) is not None:
-                return s
-            if n > 15:
-                raise ValueError("no such code")
-
-    def uniform(self) -> tuple[int, np.ndarray] | None:
-        """(bits, symbols by code) if all codes have one length."""
-        if self.only is not None:
-            return 0, np.array([self.only])
-        found = set(self.lengths.values())
-        return (found.pop(), np.array(sorted(self.lengths))) if len(found) == 1 else None
+        i = bits.peek(self.wide)
+        bits.at += int(self.sizes[i])
+        return int(self.symbols[i])
 
 
 def read_code(bits: Bits, size: int) -> Code:
@@ -106,11 +115,6 @@ def read_code(bits: Bits, size: int) -> Code:
     code = Code(first)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     lengths, at, last = {}, 0, 8
-    if (u := code.uniform()) and u[0] == 1 and left == size and set(u[1].tolist()) <= set(range(16)):  # one bit a length
-        raw = bits.read(size)
-        one = np.unpackbits(np.frombuffer(raw.to_bytes((size + 7) // 8, "little"), np.uint8), count=size, bitorder="little")
-        values = u[1][one]
-        return Code({int(s): int(values[s]) for s in np.flatnonzero(values)})
     while at < size and left > 0:
         left -= 1
         s = code.read(bits)
@@ -134,6 +138,92 @@ def _prefixed(p: int, bits: Bits) -> int:
     return ((2 + (p & 1)) << extra) + bits.read(extra) + 1
 
 
+def _back(code: int, width: int) -> int:
+    """Pixels back, by distance code."""
+    if code > 120:
+        return code - 120
+    x, y = NEAR[code - 1]
+    return max(1, x + y * width)
+
+
+def _several(code: Code) -> tuple[list[int], list[bytes]]:
+    """By the next bits: how many of them the literals take that end within them, three at most, and these; no literals and
+    the bits of the first symbol where that is a reference."""
+    i, mask = np.arange(1 << code.wide), (1 << code.wide) - 1
+    first, used = code.symbols, code.sizes.copy()
+    count = (first < 256).astype(np.int64)
+    values = [np.minimum(first, 255)]
+    for k in (1, 2):
+        j = i >> used & mask
+        more = (count == k) & (used + code.sizes[j] <= code.wide) & (code.symbols[j] < 256) & (code.sizes[j] > 0)
+        values.append(np.where(more, code.symbols[j], 0) & 255)
+        used, count = np.where(more, used + code.sizes[j], used), count + more
+    raw = np.stack(values, 1).astype(np.uint8).tobytes()
+    return used.tolist(), [raw[3 * a : 3 * a + n] for a, n in enumerate(count.tolist())]
+
+
+def _read_green(bits: Bits, codes: list[Code], n: int, width: int) -> bytearray:
+    """The green samples of an image whose other channels and group of codes are one: literals by the few at a time, and references."""
+    a = bits.at >> 3
+    raw = np.frombuffer(bits.data[a:] + b"\0" * 16, np.uint8).astype(np.uint32)
+    words = (raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)).tolist()
+    green, back = codes[0], codes[4]
+    steps, literals = _several(green)
+    symbols, sizes, mask = green.symbols.tolist(), green.sizes.tolist(), (1 << green.wide) - 1
+    back_symbols, back_sizes, back_mask = back.symbols.tolist(), back.sizes.tolist(), (1 << back.wide) - 1
+    out, p, left = bytearray(), bits.at & 7, n
+    try:
+        while left > 0:
+            for _ in range(left // 3):  # none of these can pass the end of the image
+                i = words[p >> 3] >> (p & 7) & mask
+                x = literals[i]
+                if not x:
+                    break
+                out += x
+                p += steps[i]
+            left = n - len(out)
+            i = words[p >> 3] >> (p & 7) & mask
+            if literals[i]:
+                if 0 < left < 3:
+                    out += literals[i][:1]
+                    p += sizes[i]
+                    left -= 1
+                continue
+            if not left:
+                break
+            p += sizes[i]
+            s = symbols[i] - 256
+            if s >= 24:
+                raise ValueError("no such colour")
+            if s < 4:
+                length = s + 1
+            else:
+                extra = (s - 2) >> 1
+                length = ((2 + (s & 1)) << extra) + (words[p >> 3] >> (p & 7) & ((1 << extra) - 1)) + 1
+                p += extra
+            i = words[p >> 3] >> (p & 7) & back_mask
+            p += back_sizes[i]
+            s = back_symbols[i]
+            if s < 4:
+                d = s + 1
+            else:
+                extra = (s - 2) >> 1
+                d = ((2 + (s & 1)) << extra) + (words[p >> 3] >> (p & 7) & ((1 << extra) - 1)) + 1
+                p += extra
+            d = _back(d, width)
+            at = len(out) - d
+            if at < 0 or length > left:
+                raise ValueError("a reference outside the image")
+            out += out[at : at + length] if d >= length else (out[at:] * (length // d + 1))[:length]
+            left -= length
+    except IndexError:
+        raise ValueError("the stream ends early") from None
+    bits.at = 8 * a + p
+    if bits.at > 8 * len(bits.data):
+        raise ValueError("the stream ends early")
+    return out
+
+
 def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """One entropy-coded image: uint32 ARGB, flat."""
     cache_bits = bits.read(4) if bits.read(1) else 0
@@ -147,22 +237,9 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         groups = max(of) + 1
     sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     codes = [[read_code(bits, s) for s in sizes] for _ in range(groups)]
-    if groups == 1 and not cache_bits and all(s < 256 for s in codes[0][0].lengths) and all(plain := [c.uniform() for c in codes[0][:4]]):
-        widths, each = [p[0] for p in plain], sum(p[0] for p in plain)
-        if bits.at + each * n > 8 * len(bits.data):
-            raise ValueError("the stream ends early")
-        a = bits.at >> 3
-        flat = np.unpackbits(np.frombuffer(bits.data, np.uint8, offset=a), count=(bits.at & 7) + each * n, bitorder="little")[bits.at & 7 :].reshape(n, each) if each else None
-        bits.at += each * n
-        channel, at = [], 0
-        for w, symbols in plain:
-            index = np.zeros(n, np.uint32)
-            for k in range(at, at + w):
-                index = index << 1 | flat[:, k]
-            channel.append(symbols.astype(np.uint32)[index])
-            at += w
-        g, r, b, al = channel
-        return al << 24 | r << 16 | g << 8 | b
+    if groups == 1 and not cache_bits and not any(c.wide for c in codes[0][1:4]):
+        red, blue, alpha = (int(c.symbols[0]) for c in codes[0][1:4])
+        return np.frombuffer(_read_green(bits, codes[0], n, width), np.uint8).astype(np.uint32) << 8 | np.uint32(alpha << 24 | red << 16 | blue)
     out, cache, at = [0] * n, [0] * (1 << cache_bits), 0
     across = (width + (1 << tile) - 1) >> tile
 
@@ -180,12 +257,7 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
             r, b, al = code[1].read(bits), code[2].read(bits), code[3].read(bits)
             put(al << 24 | r << 16 | s << 8 | b)
         elif s < 280:
-            length, d = _prefixed(s - 256, bits), _prefixed(code[4].read(bits), bits)
-            if d > 120:
-                d -= 120
-            else:
-                x, y = NEAR[d - 1]
-                d = max(1, x + y * width)
+            length, d = _prefixed(s - 256, bits), _back(_prefixed(code[4].read(bits), bits), width)
             if d > at or at + length > n:
                 raise ValueError("a reference outside the image")
             for _ in range(length):
@@ -205,36 +277,59 @@ def _join(c: np.ndarray) -> np.ndarray:
 
 
 def predict(mode: int, left, top, top_left, top_right):
-    """The predicted ARGB channels (last axis) by mode."""
-    mean = lambda a, b: (a + b) >> 1
-    if mode in (1, 2, 3, 4):
-        return (left, top, top_right, top_left)[mode - 1]
-    if mode in (5, 6, 7, 8, 9, 10):
-        return (mean(mean(left, top_right), top), mean(left, top_left), mean(left, top), mean(top_left, top), mean(top, top_right), mean(mean(left, top_left), mean(top, top_right)))[mode - 5]
+    """The predicted ARGB channels (last axis) by a mode that needs nothing to the left."""
+    if mode in (2, 3, 4):
+        return (top, top_right, top_left)[mode - 2]
+    if mode in (8, 9):
+        return (top_left + top, top + top_right)[mode - 8] >> 1
+    return np.array([255, 0, 0, 0])
+
+
+def _predict_pixel(mode: int, l, t, tl, tr) -> list[int]:
+    """The predicted channels of one pixel, for the modes that need the pixel to its left."""
+    if mode == 5:
+        return [(((a + d) >> 1) + b) >> 1 for a, b, d in zip(l, t, tr, strict=True)]
+    if mode == 6:
+        return [(a + c) >> 1 for a, c in zip(l, tl, strict=True)]
+    if mode == 7:
+        return [(a + b) >> 1 for a, b in zip(l, t, strict=True)]
+    if mode == 10:
+        return [(((a + c) >> 1) + ((b + d) >> 1)) >> 1 for a, b, c, d in zip(l, t, tl, tr, strict=True)]
     if mode == 11:
-        to_left, to_top = np.abs(top - top_left).sum(-1, keepdims=True), np.abs(left - top_left).sum(-1, keepdims=True)
-        return np.where(to_left < to_top, left, top)
+        to_left, to_top = sum(abs(b - c) for b, c in zip(t, tl, strict=True)), sum(abs(a - c) for a, c in zip(l, tl, strict=True))
+        return l if to_left < to_top else t
     if mode == 12:
-        return np.clip(left + top - top_left, 0, 255)
-    if mode == 13:
-        a = mean(left, top)
-        d = a - top_left
-        return np.clip(a + np.sign(d) * (np.abs(d) >> 1), 0, 255)
-    return np.array([255, 0, 0, 0])
+        return [min(255, max(0, a + b - c)) for a, b, c in zip(l, t, tl, strict=True)]
+    means = [((a + b) >> 1, c) for a, b, c in zip(l, t, tl, strict=True)]
+    return [min(255, max(0, m + (m - c) // 2 if m >= c else m - ((c - m) >> 1))) for m, c in means]
 
 
 def undo_predictor(pixels: np.ndarray, modes: np.ndarray, width: int, height: int, tile: int) -> np.ndarray:
+    """Row by row; within a row, tiles whose mode looks only above are added at once, those of the left pixel as running
+    sums, and only the other modes go pixel by pixel."""
     c = _split(pixels).reshape(height, width, 4)
     across = (width + (1 << tile) - 1) >> tile
     mode = (modes >> 8 & 15).reshape(-1, across)
     c[0, 0] = (c[0, 0] + [255, 0, 0, 0]) & 255
     c[0] = c[0].cumsum(0) & 255
     for y in range(1, height):
-        c[y, 0] = (c[y, 0] + c[y - 1, 0]) & 255
-        row = mode[y >> tile]
-        for x in range(1, width):
-            above = c[y - 1, x + 1] if x + 1 < width else c[y, 0]
-            c[y, x] = (c[y, x] + predict(int(row[x >> tile]), c[y, x - 1], c[y - 1, x], c[y - 1, x - 1], above)) & 255
+        row, above = c[y], c[y - 1]
+        row[0] = (row[0] + above[0]) & 255
+        right = np.concatenate([above[1:], row[:1]])  # above and to the right; the row's own first pixel for the last one
+        for k, m in enumerate(mode[y >> tile].tolist()):
+            a, b = max(1, k << tile), min(width, (k + 1) << tile)
+            if a >= b:
+                continue
+            if m in (0, 2, 3, 4, 8, 9, 14, 15):
+                row[a:b] = (row[a:b] + predict(m, None, above[a:b], above[a - 1 : b - 1], right[a:b])) & 255
+            elif m == 1:
+                row[a:b] = (row[a - 1] + row[a:b].cumsum(0)) & 255
+            else:
+                left, own = row[a - 1].tolist(), row[a:b].tolist()
+                top, corner, far = above[a:b].tolist(), above[a - 1 : b - 1].tolist(), right[a:b].tolist()
+                for i, r in enumerate(own):
+                    own[i] = left = [(x + p) & 255 for x, p in zip(r, _predict_pixel(m, left, top[i], corner[i], far[i]), strict=True)]
+                row[a:b] = own
     return _join(c).reshape(-1)
 
 
@@ -304,45 +399,193 @@ def images(media: bytes) -> list[tuple[int, int, np.ndarray]]:
     return out
 
 
-def _field(value: int, n: int) -> list[int]:
-    return [value >> k & 1 for k in range(n)]
-
-
-def _code_of(symbols: np.ndarray, size: int) -> tuple[list[np.ndarray], int, np.ndarray]:
-    """Header bits, code width and code by symbol of a one-length code that holds the symbols."""
-    used = np.flatnonzero(np.bincount(symbols, minlength=256))
-    k = max(0, int(len(used) - 1).bit_length())
-    if k == 0:
-        return [np.array([1, 0, 1, *_field(int(used[0]), 8)], np.uint8)], 0, np.zeros(256, np.int64)
-    inside = np.zeros(256, np.uint8)
-    inside[used] = 1
-    inside[np.flatnonzero(inside == 0)[: (1 << k) - len(used)]] = 1
-    count = LENGTH_ORDER.index(k) + 1
-    head = [0, *_field(count - 4, 4)]
-    for s in LENGTH_ORDER[:count]:
-        head += _field(1 if s in (0, k) else 0, 3)
-    return [np.array([*head, 0], np.uint8), inside, np.zeros(size - 256, np.uint8)], k, np.cumsum(inside) - 1
-
-
-def encode_pixels(argb: np.ndarray, width: int, height: int) -> bytes:
-    """One lossless WebP file of (n, 4) uint8 samples (alpha, red, green, blue)."""
-    parts: list[np.ndarray] = [np.array([*_field(0x2F, 8), *_field(width - 1, 14), *_field(height - 1, 14), 1, 0, 0, 0, 0, 0, 0], np.uint8)]
-    columns = []
-    for channel, size in ((2, 280), (1, 256), (3, 256), (0, 256)):
-        head, k, code = _code_of(argb[:, channel], size)
-        parts += head
-        if k:
-            columns.append((code[argb[:, channel]].astype(np.uint8), k))
-    parts.append(np.array([1, 0, 0, 0], np.uint8))
-    if columns:
-        flat = np.empty((len(argb), sum(k for _, k in columns)), np.uint8)
-        at = 0
-        for c, k in columns:
-            for b in range(k - 1, -1, -1):
-                flat[:, at] = c >> b & 1
-                at += 1
-        parts.append(flat.reshape(-1))
-    data = np.packbits(np.concatenate(parts), bitorder="little").tobytes()
+def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
+    """Lengths of the best prefix code for the counts (Huffman's), at most limit; counts are flattened until it fits."""
+    out, used = np.zeros(len(counts), np.int64), np.flatnonzero(counts)
+    if len(used) < 2:
+        out[used] = 1
+        return out
+    weights = counts[used].astype(np.int64)
+    while True:
+        order = np.argsort(weights, kind="stable")
+        n, leaves = len(order), weights[order].tolist()
+        sums, parent, i, j = [], [0] * (2 * n - 1), 0, 0
+        for k in range(n, 2 * n - 1):
+            both = 0
+            for _ in range(2):  # the two lightest of the leaves and sums not yet under a node
+                if j >= len(sums) or (i < n and leaves[i] <= sums[j]):
+                    both += leaves[i]
+                    parent[i] = k
+                    i += 1
+                else:
+                    both += sums[j]
+                    parent[n + j] = k
+                    j += 1
+            sums.append(both)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if max(depth[:n]) <= limit:
+            out[used[order]] = depth[:n]
+            return out
+        weights = weights + (int(weights.sum()) >> (limit - 1)) // 2 + 1
+
+
+def _codes(lengths: np.ndarray) -> np.ndarray:
+    """By symbol, the canonical code with its first bit lowest."""
+    out, used = np.zeros(len(lengths), np.int64), np.flatnonzero(lengths)
+    if len(used) > 1:
+        order = used[np.lexsort((used, lengths[used]))]
+        size = lengths[order]
+        wide = int(size[-1])
+        start = np.cumsum(1 << (wide - size)) - (1 << (wide - size))
+        out[order] = reversed_bits(wide)[start]
+    return out
+
+
+def _runs_of_lengths(lengths: list[int]) -> list[tuple[int, int, int]]:
+    """(symbol, extra value, extra bits) that write code lengths: 16 repeats the last one, 17 and 18 are zeros."""
+    out, i = [], 0
+    while i < len(lengths):
+        v, j = lengths[i], i
+        while j < len(lengths) and lengths[j] == v:
+            j += 1
+        n = j - i
+        i = j
+        if v:
+            out.append((v, 0, 0))
+            n -= 1
+        while n >= 3:
+            low, high, symbol, extra = (3, 6, 16, 2) if v else (11, 138, 18, 7) if n >= 11 else (3, 10, 17, 3)
+            take = min(n, high)
+            out.append((symbol, take - low, extra))
+            n -= take
+        out += [(v, 0, 0)] * n
+    return out
+
+
+def _code_fields(lengths: np.ndarray) -> list[tuple[int, int]]:
+    """(value, bits) that write a code."""
+    used = np.flatnonzero(lengths).tolist()
+    if len(used) <= 2 and all(s < 256 for s in used):
+        first, *second = used or [0]
+        return [(1, 1), (len(second), 1), (1, 1), (first, 8), *((s, 8) for s in second)]
+    runs = _runs_of_lengths(lengths.tolist())
+    inner = code_lengths(np.bincount([s for s, _, _ in runs], minlength=19), 7)
+    code, one = _codes(inner).tolist(), (inner > 0).sum() == 1
+    count = max(4, 1 + max(k for k, s in enumerate(LENGTH_ORDER) if inner[s]))
+    out = [(0, 1), (count - 4, 4), *((int(inner[s]), 3) for s in LENGTH_ORDER[:count]), (0, 1)]
+    for s, value, extra in runs:
+        if not one:
+            out.append((code[s], int(inner[s])))
+        if extra:
+            out.append((value, extra))
+    return out
+
+
+def _packed(values: np.ndarray, sizes: np.ndarray) -> bytes:
+    """Fields of at most 18 bits one after another, lowest bit first."""
+    at = np.cumsum(sizes) - sizes
+    total = int(sizes.sum())
+    # fields do not overlap, so sums of shifted values are exact
+    word = np.bincount(at >> 5, weights=(values << (at & 31)).astype(np.float64), minlength=(total >> 5) + 2).astype(np.int64)
+    word[1:] += word[:-1] >> 32
+    return (word & 0xFFFFFFFF).astype("<u4").tobytes()[: (total + 7) >> 3]
+
+
+def repeats(samples: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
+    """(start, length, distance) of the repeats to write as references, in order and apart: greedy along stretches in
+    which each place's last earlier place with the same `least` samples is equally far."""
+    if len(samples) <= least:
+        return []
+    x = samples.astype(np.uint64)
+    key = x[: len(x) - least + 1].copy()
+    for k in range(1, least):
+        key = key << np.uint64(8) | x[k : len(x) - least + 1 + k]
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    far = np.zeros(len(key), np.int64)
+    far[order[1:][same]] = (order[1:] - order[:-1])[same]
+    edge = np.flatnonzero(np.concatenate([[True], far[1:] != far[:-1]]))
+    last = np.append(edge[1:], len(far)) - 1
+    keep = far[edge] > 0
+    out, now = [], 0
+    for a, b, d in zip(edge[keep].tolist(), last[keep].tolist(), far[edge[keep]].tolist(), strict=True):
+        a = max(a, now)
+        if a <= b:
+            now = b + least
+            out += [(k, min(4096, now - k), d) for k in range(a, now, 4096)]
+    return out
+
+
+def _prefix_of(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, extra value, extra bits) of lengths or distance codes from 1."""
+    v = v - 1
+    high = np.log2(np.maximum(v, 1)).astype(np.int64)
+    extra = np.where(v < 4, 0, high - 1)
+    return np.where(v < 4, v, 2 * high + (v >> np.maximum(high - 1, 0) & 1)), v & ((1 << extra) - 1), extra
+
+
+def _entropy(samples: np.ndarray) -> float:
+    n = np.bincount(samples)
+    n = n[n > 0]
+    return float((n * (np.log2(len(samples)) - np.log2(n))).sum())
+
+
+def _image_fields(green: np.ndarray, alpha: int) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """Of a main image whose pixels differ in green alone: the fields of its codes, and the values and sizes of its pixels."""
+    found = repeats(green)
+    start, length, far = np.array(found, np.int64).reshape(-1, 3).T
+    literal = np.ones(len(green), bool)
+    for a, n, _ in found:
+        literal[a : a + n] = False
+    plain = np.flatnonzero(literal)
+    ls, lv, le = _prefix_of(length)
+    ds, dv, de = _prefix_of(far + 120)
+    first = code_lengths(np.bincount(np.concatenate([green[plain].astype(np.int64), 256 + ls]), minlength=280), LIMIT)
+    back = code_lengths(np.bincount(ds, minlength=40), LIMIT)
+    sizes = lambda lengths: lengths if (lengths > 0).sum() > 1 else np.zeros_like(lengths)
+    codes, width, back_codes, back_width = _codes(first), sizes(first), _codes(back), sizes(back)
+    order = np.argsort(np.concatenate([plain, *[start] * 4]), kind="stable")  # the four fields of a reference in turn
+    values = np.concatenate([codes[green[plain]], codes[256 + ls], lv, back_codes[ds], dv])[order]
+    bits = np.concatenate([width[green[plain]], width[256 + ls], le, back_width[ds], de])[order]
+    other = lambda v: [(1, 1), (0, 1), (1, 1), (v, 8)]
+    return [(0, 1), (0, 1), *_code_fields(first), *other(0), *other(0), *other(alpha), *_code_fields(back)], values, bits
+
+
+def encode_samples(samples: np.ndarray, width: int = WIDTH) -> bytes:
+    """One lossless WebP file of grey samples, rows of `width`."""
+    height = len(samples) // width
+    fields = [(0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3)]
+    one = lambda v: [(1, 1), (0, 1), (1, 1), (v, 8)]  # noqa: E731  a code of one symbol
+    used = np.flatnonzero(np.bincount(samples, minlength=256))
+    if len(used) <= 16:
+        packed = 3 if len(used) <= 2 else 2 if len(used) <= 4 else 1
+        step = np.diff(used, prepend=0)
+        steps = code_lengths(np.bincount(step, minlength=280), LIMIT)
+        colour, size = _codes(steps), steps if (steps > 0).sum() > 1 else np.zeros_like(steps)
+        # the palette: grey steps, each channel by the same code; alpha 255 at the first, then 0
+        alpha = code_lengths(np.bincount([255] + [0] * (len(used) - 1), minlength=256), LIMIT)
+        alpha_code, alpha_size = _codes(alpha), alpha if len(used) > 1 else np.zeros_like(alpha)
+        fields += [(1, 1), (3, 2), (len(used) - 1, 8), (0, 1), *_code_fields(steps), *_code_fields(steps[:256]), *_code_fields(steps[:256]), *_code_fields(alpha), *one(0)]
+        for k, v in enumerate(step.tolist()):
+            a = 0 if k else 255
+            fields += [(int(colour[v]), int(size[v]))] * 3 + [(int(alpha_code[a]), int(alpha_size[a]))]
+        index = np.searchsorted(used, samples).reshape(height, width >> packed, 1 << packed)
+        green, opaque = (index << (np.arange(1 << packed) * (8 >> packed))).sum(2).reshape(-1).astype(np.uint8), 0
+    else:
+        rows = samples.reshape(height, width)
+        left = rows.copy()
+        left[:, 1:] -= rows[:, :-1]
+        left[1:, 0] -= rows[:-1, 0]
+        green, opaque = samples, 255
+        if _entropy(left.reshape(-1)) < 0.9 * _entropy(samples):
+            green, opaque = left.reshape(-1), 0
+            fields += [(1, 1), (0, 2), (7, 3), (0, 1), *one(1), *one(0), *one(0), *one(255), *one(0)]  # tiles of 512, all of the left pixel
+        fields += [(1, 1), (2, 2)]
+    codes, values, bits = _image_fields(green, opaque)
+    head, size = np.array([*fields, (0, 1), *codes], np.int64).T
+    data = _packed(np.concatenate([head, values]), np.concatenate([size, bits]))
     body = b"WEBPVP8L" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) & 1)
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
@@ -354,13 +597,14 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 
 def encode_payload(payload: bytes) -> bytes:
     """Files of the payload; its length is a positive multiple of 64."""
-    samples = np.frombuffer(payload, np.uint8).reshape(-1, 4)
+    samples = np.frombuffer(payload, np.uint8)
     step = WIDTH * MAX_HEIGHT
-    return b"".join(encode_pixels(samples[a : a + step], WIDTH, len(samples[a : a + step]) // WIDTH) for a in range(0, len(samples), step))
+    return b"".join(encode_samples(samples[a : a + step]) for a in range(0, len(samples), step))
 
 
 def decode_payload(media: bytes) -> bytes:
-    return b"".join(p.astype(">u4").tobytes() for _, _, p in images(media))
+    """The green samples of all images."""
+    return b"".join((p >> 8 & 255).astype(np.uint8).tobytes() for _, _, p in images(media))
 
 
 def feature_of(payload: bytes) -> str:
@@ -383,16 +627,35 @@ def _digests(batches, schema: pa.Schema):
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
 
 
+def _stored(batches, column: str, schema: pa.Schema):
+    for batch in batches:
+        media = pa.array([encode_payload(payload_of(x.as_py())[1]) for x in batch.column(column)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in schema.names[:-1]), media], schema=schema)
+
+
+def _read_back(batches, column: str, schema: pa.Schema):
+    for batch in batches:
+        found = [[{"width": w, "height": h, "pixels": p.astype(">u4").tobytes()} for w, h, p in images(x.as_py() or b"")] for x in batch.column(column)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in schema.names[:-1]), pa.array(found, schema.field(-1).type)], schema=schema)
+
+
+def _with(df: DataFrame, out: str, kind: str, f) -> DataFrame:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+    schema = StructType([*(x for x in df.schema.fields if x.name != out), StructField(out, _parse_datatype_string(kind))])
+    arrow = to_arrow_schema(schema)
+    return df.mapInArrow(lambda it: f(it, arrow), schema)
+
+
 def to_webp(df: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
     """df with its text stored as lossless WebP in a binary column."""
-    store = F.udf(lambda t: bytearray(encode_payload(payload_of(t)[1])), "binary", useArrow=True)
-    return df.withColumn(out, store(text))
+    return _with(df, out, "binary", lambda it, schema: _stored(it, text, schema))
 
 
-def from_webp(df: DataFrame, media: str = "media") -> DataFrame:
-    """df with `images`: width, height and the pixel array (bytes, ARGB) of each image stored in `media` (null: none)."""
-    read = F.udf(lambda m: [(w, h, bytearray(p.astype(">u4").tobytes())) for w, h, p in images(bytes(m))] if m is not None else [], "array<struct<width:int,height:int,pixels:binary>>")
-    return df.withColumn("images", read(media))
+def from_webp(df: DataFrame, media: str = "media", out: str = "images") -> DataFrame:
+    """df with a list of width, height and the pixel array (bytes, ARGB) of each image stored in `media` (null: none)."""
+    return _with(df, out, "array<struct<width:int,height:int,pixels:binary>>", lambda it, schema: _read_back(it, media, schema))
 
 
 def media_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
