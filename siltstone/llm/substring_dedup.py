@@ -1,18 +1,18 @@
-"""Exact removal of repeated byte strings by longest-previous-factor tests in suffix order.
+"""Exact removal of repeated byte strings by longest-previous-factor (LPF) arrays.
 
 A byte goes if a string of `length` bytes over it also starts earlier in the corpus. That is: some window start p over
-it has a longest previous factor LPF[p] >= length. A suffix array of everything cannot be held, and need not be: LPF
-is asked only against `length`, so suffixes are compared only where their first `length` bytes can agree.
+it has LPF[p] >= length. A suffix array of everything cannot be held, and need not be: suffixes are compared only with
+those that can share `length` bytes with them, each such set in one bucket, with its own suffix order, LCP and LPF array.
 
 1. Anchors: each window of `length` bytes has an anchor, its leftmost 32-byte string of least hash. Equal windows have
    equal anchors at equal places. A text has an anchor every 35 bytes or so. Tasks fold anchors with equal surroundings
    (all bytes that its windows can reach) before anything moves, then send hashes and positions, in buckets of the anchor's hash.
-2. Of anchors with equal hash and surroundings all but the earliest are settled: every window around them
-   starts earlier too. Anchors whose hash has several surroundings are contested, the earliest of each is kept.
-3. The surroundings of contested anchors go to their bucket. There the windows of one alignment are ordered as
-   suffixes (ranks of the bytes before and after the anchor, from two sorts and their LCP arrays); runs of LCP >= length are
-   ordered by position, so a window's previous smaller position is its neighbour, and LPF >= length where it has one.
-4. Documents cut the union of the windows found.
+2. Of anchors with equal hash and surroundings all but the earliest are settled: each window around them is one around
+   the earliest, so its LPF is at least `length`. Both hashes together have 128 bits: over 10^13 anchors (some 300 TB) two
+   different ones agree with a chance below 10^-12. Anchors whose hash has several surroundings are contested, the earliest of each is kept.
+3. The surroundings of contested anchors go to their bucket. There the windows of one alignment are brought into suffix
+   order, their LCP array is counted on the bytes, and LPF follows from the previous and the next smaller position.
+4. Documents cut the union of the windows with LPF >= length.
 
 A hash with more than `wide` different surroundings is not compared in one task: its windows are dealt by their own
 128-bit hash instead, again folded before they move, and settled there; the result is the same.
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.blobs import by_bucket, joined, pack
-from siltstone.llm.common import table, written
+from siltstone.llm.common import numbered, release, table, written
 from siltstone.llm.shingles import M1, M2, mixed
 
 LENGTH, GRAM, WIDE = 100, 32, 50_000
@@ -349,31 +349,52 @@ def _suffix_ranks(group: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.n
     return order, lcp
 
 
+def longest_previous_factors(lcp: np.ndarray, place: np.ndarray, least: int) -> np.ndarray:
+    """LPF of suffixes in suffix order, from their LCP with the one before (-1: nothing in common, a new group) and places.
+
+    A suffix's longest previous factor is the longer of what it shares with the nearest suffixes of smaller place before and
+    after it. Both are found by jumps: a neighbour of larger place hands on its own. A walk ends where less than `least` is
+    shared, so of values below that only the fact counts.
+    """
+    out = np.zeros(len(lcp), np.int64)
+    for side in (1, -1):
+        shared = lcp.copy() if side > 0 else np.append(lcp[1:], -1)[::-1].copy()
+        at = place[::side]
+        to = np.arange(len(lcp)) - 1
+        walk = np.flatnonzero((to >= 0) & (shared >= least))
+        while len(walk):
+            walk = walk[at[to[walk]] > at[walk]]
+            by = to[walk]
+            shared[walk], to[walk] = np.minimum(shared[walk], shared[by]), to[by]
+            shared[walk[to[walk] < 0]] = -1
+            walk = walk[shared[walk] >= least]
+        out = np.maximum(out, shared[::side])
+    return out
+
+
 def repeated_windows(h, d, q, x, low, high, length: int = LENGTH) -> np.ndarray:
-    """Matrix (anchor, alignment): whether the window that starts `alignment` bytes before the anchor also starts earlier.
+    """Matrix (anchor, alignment): whether the window that starts `alignment` bytes before the anchor has LPF >= length.
 
-    Alignments low..high of each anchor are asked; x holds the bytes around it.
+    Alignments low..high of each anchor are asked; x holds the bytes around it. Windows of one alignment are brought into
+    suffix order by the ranks of their bytes before and after the anchor, and their LCPs are counted on the bytes themselves.
     """
     reach = length - GRAM
     _, group = np.unique(h, return_inverse=True)
-    after, lcp_after = _suffix_ranks(group, x[:, reach:])
+    after, _ = _suffix_ranks(group, x[:, reach:])
     before, lcp_before = _suffix_ranks(group, x[:, reach - 1 :: -1])
-    place = np.empty(len(h), np.int64)
+    place, rank, left = (np.empty(len(h), np.int64) for _ in range(3))
     place[np.lexsort((q, d))] = np.arange(len(h))
+    rank[after] = np.arange(len(h))
     found = np.zeros((len(h), reach + 1), bool)
-    right, left = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
     for o in range(reach + 1):
         rows = np.flatnonzero((low <= o) & (o <= high))
         if len(rows) < 2:
             continue
-        right[after] = np.cumsum(lcp_after < length - o)
         left[before] = np.cumsum(lcp_before < o)
-        # suffix order of this alignment's windows; equal ones by position, so the previous smaller one is the neighbour
-        key = left[rows] * (len(h) + 1) + right[rows]
-        order = np.lexsort((place[rows], key))
-        later = np.zeros(len(rows), bool)
-        later[order[1:]] = key[order[1:]] == key[order[:-1]]
-        found[rows, o] = later
+        rows = rows[np.argsort(left[rows] * len(h) + rank[rows], kind="stable")]
+        lcp = lcp_of(x[rows, reach - o : reach - o + length])
+        lcp[1:][group[rows[1:]] != group[rows[:-1]]] = -1
+        found[rows, o] = longest_previous_factors(lcp, place[rows], length) >= length
     return found
 
 
@@ -413,11 +434,10 @@ def _finish(batches):
 def substring_dedup(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", wide: int = WIDE) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of docs; length is 64 to 150."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    ids = docs.agg(F.count("*").alias("n"), F.countDistinct(doc_id).alias("k")).first()
-    rows, named = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")), None
-    if ids["n"] != ids["k"]:  # null or repeated ids: numbers in position order stand for them
-        named = written(rows.orderBy(F.asc_nulls_last("d"), F.asc_nulls_first("t")).select(F.monotonically_increasing_id().alias("u"), "d", "t"), "numbered")
-        rows = named.select(F.col("u").alias("d"), "t")
+    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
+    # null, repeated or text ids: numbers in position order stand for them
+    named = numbered(rows, "u", "numbered", [F.asc_nulls_last("d"), F.asc_nulls_first("t")], "d")
+    rows = rows.select(F.col("d").cast("long").alias("d"), "t") if named is None else named.select(F.col("u").alias("d"), "t")
     rows = rows.select("d", F.coalesce(F.col("t"), F.lit("")).cast("binary").alias("data"))
     # buckets follow the input's splits, so that one holds a bounded part of it
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * rows.rdd.getNumPartitions())
@@ -427,6 +447,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id
     nothing = ", ".join(f"cast(null as {t}) {n}" for n, t in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string")))
     texts = rows.selectExpr(f"cast(pmod(d, {buckets}) as int) bucket", f"{TEXT} kind", "d", "data", *nothing.split(", "))
     around = written(deal(texts.union(settled)).mapInArrow(lambda it: _surround(it, length, buckets), SPARK), "around")
+    release(settled)
     compared = deal(around.filter(F.col("kind").isin(AROUND, WINDOWS))).mapInArrow(lambda it: _compare(it, length, buckets), SPARK)
     last = deal(around.filter(F.col("kind").isin(HELD, SPANS)).union(compared)).mapInArrow(_finish, SPARK)
     out = around.filter(F.col("kind") == DONE).union(last).select("d", "n_bytes", "n_removed", "n_spans", "kept_sha256")
