@@ -22,6 +22,7 @@ import hashlib
 import struct
 import zlib
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import table
 
-WIDTH, MAX_HEIGHT, LEAST, LIMIT = 64, 16384, 7, 10
+WIDTH, MAX_HEIGHT, LEAST, LIMIT = 64, 16384, 8, 9
+PLACE, SPREAD = np.uint64((1 << 20) - 1), np.uint64(0x9E3779B97F4A7C15)  # low bits of a sort key that hold the place in an image
 
 # Fixed values of the format.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -79,24 +81,25 @@ def reversed_bits(n: int) -> np.ndarray:
 
 
 class Code:
-    """A canonical prefix code by its lengths; one symbol alone takes no bits.
+    """A canonical prefix code by its lengths (by symbol; 0: not used); one symbol alone takes no bits.
 
     `symbols` and `sizes` give, by the next `wide` bits, the symbol and how many bits it takes.
     """
 
-    def __init__(self, lengths: dict[int, int]):
-        self.lengths = {s: n for s, n in sorted(lengths.items()) if n}
-        order = sorted(self.lengths, key=lambda s: (self.lengths[s], s))
-        if len(order) < 2:
-            self.wide, self.symbols, self.sizes = 0, np.array(order or [0]), np.zeros(1, np.int64)
+    def __init__(self, lengths: np.ndarray | list[int], used: list[int] | None = None):
+        self.used = np.flatnonzero(lengths).tolist() if used is None else used
+        if len(self.used) < 2:
+            self.wide, self.symbols, self.sizes = 0, np.array(self.used or [0]), np.zeros(1, np.int64)
             return
-        self.wide = self.lengths[order[-1]]
-        size = np.array([self.lengths[s] for s in order])
+        size = np.asarray(lengths)[self.used]
+        order = np.argsort(size, kind="stable")
+        size = size[order]
+        self.wide = int(size[-1])
         share = 1 << (self.wide - size)
         if self.wide > 15 or share.sum() != 1 << self.wide:
             raise ValueError("an incomplete prefix code")
         at = reversed_bits(self.wide)
-        self.symbols, self.sizes = np.repeat(np.array(order), share)[at], np.repeat(size, share)[at]
+        self.symbols, self.sizes = np.repeat(np.array(self.used)[order], share)[at], np.repeat(size, share)[at]
 
     def read(self, bits: Bits) -> int:
         i = bits.peek(self.wide)
@@ -107,27 +110,41 @@ class Code:
 def read_code(bits: Bits, size: int) -> Code:
     if bits.read(1):
         n, wide = bits.read(1) + 1, bits.read(1)
-        symbols = [bits.read(8 if wide else 1), *([bits.read(8)] if n == 2 else [])]
-        return Code(dict.fromkeys(symbols, 1))
-    first = dict.fromkeys(range(19), 0)
+        symbols = sorted({bits.read(8 if wide else 1), *([bits.read(8)] if n == 2 else [])})
+        return Code([1] * (symbols[-1] + 1), symbols)
+    first = [0] * 19
     for k in range(bits.read(4) + 4):
         first[LENGTH_ORDER[k]] = bits.read(3)
     code = Code(first)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    lengths, at, last = {}, 0, 8
+    symbols, sizes, mask = code.symbols.tolist(), code.sizes.tolist(), (1 << code.wide) - 1
+    # the code's own bits as one number; no length takes more than 14
+    a = bits.at >> 3
+    held = int.from_bytes(bits.data[a : a + 2 * size + 8], "little") >> (bits.at & 7)
+    used, at, last, lengths = 0, 0, 8, [0] * size
     while at < size and left > 0:
         left -= 1
-        s = code.read(bits)
+        i = held & mask
+        s, n = symbols[i], sizes[i]
+        held >>= n
+        used += n
         if s < 16:
             lengths[at] = s
             last = s or last
             at += 1
             continue
-        value, n = (last, 3 + bits.read(2)) if s == 16 else (0, 3 + bits.read(3)) if s == 17 else (0, 11 + bits.read(7))
+        extra, least = ((2, 3), (3, 3), (7, 11))[s - 16]
+        n = least + (held & ((1 << extra) - 1))
+        held >>= extra
+        used += extra
         if at + n > size:
             raise ValueError("too many code lengths")
-        lengths.update(dict.fromkeys(range(at, at + n), value))
+        if s == 16:
+            lengths[at : at + n] = [last] * n
         at += n
+    bits.at += used
+    if bits.at > 8 * len(bits.data):
+        raise ValueError("the stream ends early")
     return Code(lengths)
 
 
@@ -146,6 +163,9 @@ def _back(code: int, width: int) -> int:
     return max(1, x + y * width)
 
 
+BYTES = [bytes((v,)) for v in range(256)]
+
+
 def _several(code: Code) -> tuple[list[int], list[bytes]]:
     """By the next bits: how many of them the literals take that end within them, three at most, and these; no literals and
     the bits of the first symbol where that is a reference."""
@@ -168,8 +188,9 @@ def _read_green(bits: Bits, codes: list[Code], n: int, width: int) -> bytearray:
     raw = np.frombuffer(bits.data[a:] + b"\0" * 16, np.uint8).astype(np.uint32)
     words = (raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)).tolist()
     green, back = codes[0], codes[4]
-    steps, literals = _several(green)
     symbols, sizes, mask = green.symbols.tolist(), green.sizes.tolist(), (1 << green.wide) - 1
+    # a table of several literals pays for itself in longer images
+    steps, literals = _several(green) if n > 4096 else (sizes, [BYTES[v] if v < 256 else b"" for v in symbols])
     back_symbols, back_sizes, back_mask = back.symbols.tolist(), back.sizes.tolist(), (1 << back.wide) - 1
     out, p, left = bytearray(), bits.at & 7, n
     try:
@@ -443,15 +464,11 @@ def _codes(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _runs_of_lengths(lengths: list[int]) -> list[tuple[int, int, int]]:
+def _runs_of_lengths(lengths: np.ndarray) -> list[tuple[int, int, int]]:
     """(symbol, extra value, extra bits) that write code lengths: 16 repeats the last one, 17 and 18 are zeros."""
-    out, i = [], 0
-    while i < len(lengths):
-        v, j = lengths[i], i
-        while j < len(lengths) and lengths[j] == v:
-            j += 1
-        n = j - i
-        i = j
+    out = []
+    for v, run in groupby(lengths.tolist()):
+        n = len(list(run))
         if v:
             out.append((v, 0, 0))
             n -= 1
@@ -470,7 +487,7 @@ def _code_fields(lengths: np.ndarray) -> list[tuple[int, int]]:
     if len(used) <= 2 and all(s < 256 for s in used):
         first, *second = used or [0]
         return [(1, 1), (len(second), 1), (1, 1), (first, 8), *((s, 8) for s in second)]
-    runs = _runs_of_lengths(lengths.tolist())
+    runs = _runs_of_lengths(lengths)
     inner = code_lengths(np.bincount([s for s, _, _ in runs], minlength=19), 7)
     code, one = _codes(inner).tolist(), (inner > 0).sum() == 1
     count = max(4, 1 + max(k for k, s in enumerate(LENGTH_ORDER) if inner[s]))
@@ -496,13 +513,11 @@ def _packed(values: np.ndarray, sizes: np.ndarray) -> bytes:
 def repeats(samples: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
     """(start, length, distance) of the repeats to write as references, in order and apart: greedy along stretches in
     which each place's last earlier place with the same `least` samples is equally far."""
-    if len(samples) <= least:
+    if len(samples) <= 8:
         return []
-    x = samples.astype(np.uint64)
-    key = x[: len(x) - least + 1].copy()
-    for k in range(1, least):
-        key = key << np.uint64(8) | x[k : len(x) - least + 1 + k]
-    order = np.argsort(key, kind="stable")
+    x = np.ascontiguousarray(samples)
+    key = np.ndarray((len(x) - 7,), "<u8", x, 0, (1,)) & np.uint64((1 << 8 * least) - 1)  # the samples from each place, 8 at most
+    order = (np.sort((key * SPREAD & ~PLACE) | np.arange(len(key), dtype=np.uint64)) & PLACE).astype(np.int64)
     same = key[order[1:]] == key[order[:-1]]
     far = np.zeros(len(key), np.int64)
     far[order[1:][same]] = (order[1:] - order[:-1])[same]
@@ -514,7 +529,10 @@ def repeats(samples: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int
         a = max(a, now)
         if a <= b:
             now = b + least
-            out += [(k, min(4096, now - k), d) for k in range(a, now, 4096)]
+            if now - a <= 4096:
+                out.append((a, now - a, d))
+            else:
+                out += [(k, min(4096, now - k), d) for k in range(a, now, 4096)]
     return out
 
 
@@ -546,9 +564,13 @@ def _image_fields(green: np.ndarray, alpha: int) -> tuple[list[tuple[int, int]],
     back = code_lengths(np.bincount(ds, minlength=40), LIMIT)
     sizes = lambda lengths: lengths if (lengths > 0).sum() > 1 else np.zeros_like(lengths)
     codes, width, back_codes, back_width = _codes(first), sizes(first), _codes(back), sizes(back)
-    order = np.argsort(np.concatenate([plain, *[start] * 4]), kind="stable")  # the four fields of a reference in turn
-    values = np.concatenate([codes[green[plain]], codes[256 + ls], lv, back_codes[ds], dv])[order]
-    bits = np.concatenate([width[green[plain]], width[256 + ls], le, back_width[ds], de])[order]
+    # one field for a literal, four for a reference
+    at = np.arange(len(plain)) + 4 * np.searchsorted(start, plain)
+    here = np.searchsorted(plain, start) + 4 * np.arange(len(start))
+    values, bits = np.empty((2, len(plain) + 4 * len(start)), np.int64)
+    values[at], bits[at] = codes[green[plain]], width[green[plain]]
+    for k, (v, n) in enumerate(((codes[256 + ls], width[256 + ls]), (lv, le), (back_codes[ds], back_width[ds]), (dv, de))):
+        values[here + k], bits[here + k] = v, n
     other = lambda v: [(1, 1), (0, 1), (1, 1), (v, 8)]
     return [(0, 1), (0, 1), *_code_fields(first), *other(0), *other(0), *other(alpha), *_code_fields(back)], values, bits
 
