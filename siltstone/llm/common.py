@@ -26,12 +26,23 @@ def word_count(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores after it where df has such a column already (in any case): input columns are never replaced."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a private one, set for the session, only where it is unset."""
+    """The folder of spark.checkpoint.dir; where it is unset, a private one, for a local master only: executors elsewhere
+    could not read it."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if context.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
     if not getattr(context, "_siltstone_dir", None):
         context._siltstone_dir = tempfile.mkdtemp(prefix="siltstone-")
     return context._siltstone_dir

@@ -14,9 +14,13 @@ Equal sets are folded first. In each table bucket only what can change the compo
    copies without a comparison; tokens left with one component go too.
 So copies of one text cost a link each, and no link between different components is lost.
 
-Only collections that agree with another document's make keys. Defined cases: a document with fewer words than a
-shingle is one shingle of all its words; one without words or text is empty and linked with nothing; a null id is
-linked with nothing, has a null component and is kept; repeated rows share a component; an empty table gives an empty result.
+Only collections that agree with another document's make keys. In the exact join a token of many rows is dealt in blocks of
+about BLOCK rows, each pair of blocks in its own task's share, so that a frequent token is not one task.
+
+Defined cases: a document with fewer words than a shingle is one shingle of all its words; one without words or text is
+empty and linked with nothing; ids of any type, ordered as the type orders them; rows of one id are documents of their own
+inside, each with its own text's component, which is the smallest id reachable; a null id is linked with nothing, has a
+null component and is kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from siltstone.llm.common import numbered, table, working, written
 from siltstone.llm.components import components
 from siltstone.llm.shingles import M1, mixed, shingle_set, similar
 
-SHINGLE, PERCENT, COLLECTIONS, SEED = 5, 80, 14, 3
+SHINGLE, PERCENT, COLLECTIONS, SEED, BLOCK = 5, 80, 14, 3, 500
 
 
 def signature(shingles: np.ndarray, count: int = 2 * COLLECTIONS, seed: int = SEED) -> np.ndarray:
@@ -151,13 +155,42 @@ def _prefixes(batches, percent: int):
         yield pa.RecordBatch.from_arrays([pa.array(h[keep].astype(np.int64)), pa.array(d[keep]), pa.array(i[keep])], names=["token", "u", "i"])
 
 
+def met(member: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v), v < u, of rows (token, u, n, i, c) with one token and different c whose sets of n shingles can share
+    enough after their places i. Tokens of more than BLOCK rows are dealt by pairs of blocks."""
+    blocks = member.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = member.join(blocks, "token").withColumn("b", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("token", F.least("b", "o").alias("low"), F.greatest("b", "o").alias("high"), "b", "u", "n", "i", "c")
+    keys = ["token", "low", "high"]
+    right = dealt.select(*keys, *(F.col(x).alias(f"{x}2") for x in ("b", "u", "n", "i", "c")))
+    near = (F.col("u2") < F.col("u")) & (F.col("c") != F.col("c2")) & ((F.col("b") != F.col("b2")) | (F.col("low") == F.col("high")))
+    near &= (100 + percent) * F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")) >= percent * (F.col("n") + F.col("n2"))
+    return dealt.join(right, keys).filter(near).select("u", F.col("u2").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): the smallest id reachable by links of similar sets."""
+    """(doc_id, n_shingles, component_id, kept): the smallest id reachable by links of similar sets, one row a row of docs."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    named = numbered(rows, "_nd_row", "near_rows", [F.asc_nulls_last("doc_id"), F.asc_nulls_first("text")])
+    if named is None:
+        return _near(rows, k, percent)
+    # numbers in the order of the ids stand for them; a null id's row only counts its shingles
+    of_row = _near(named.select("_nd_row", F.when(F.col("doc_id").isNotNull(), F.col("text")).alias("text")).withColumnRenamed("_nd_row", "doc_id"), k, percent)
+    nulls = signatures(named.filter("doc_id is null").select(F.lit(0).alias("doc_id"), "text"), k).select(F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"), "n_shingles", F.lit(None).cast(rows.schema["doc_id"].dataType).alias("component_id"), F.lit(True).alias("kept"))
+    names = named.filter("doc_id is not null").select("_nd_row", F.col("doc_id").alias("name"))
+    out = of_row.withColumnRenamed("doc_id", "row").join(names.withColumnRenamed("_nd_row", "row"), "row")
+    least = names.select(F.col("_nd_row").alias("component_id"), F.col("name").alias("least"))
+    out = out.join(least, "component_id").select(F.col("name").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"), (F.col("name") == F.col("least")).alias("kept"))
+    return out.union(nulls)
+
+
+def _near(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """near_duplicates() of rows (doc_id, text) with unique ids that are integers."""
+    doc_id, text = "doc_id", "text"
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     rows = written(signatures(docs, k, doc_id, text), "signatures")
-    whole = rows.filter("sig is not null and doc_id is not null")
-    counts = rows.filter("doc_id is not null").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("k")).first()
-    repeated = counts["n"] != counts["k"]
+    whole = rows.filter("sig is not null")
     # equal sets have equal signatures
     sets = written(whole.groupBy("lo", "hi").agg(F.min("doc_id").alias("u"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "sets")
     keys = written(table_keys(sets), "keys")
@@ -165,8 +198,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, d
     stars = written(keys.join(least, "key").filter("u <> v").select("u", "v").distinct(), "stars")
     nodes = stars.select("u").union(stars.select("v")).distinct()
     texts = docs.select(F.col(doc_id).cast("long").alias("u"), F.col(text).alias("text")).join(nodes.hint("merge"), "u", "left_semi")
-    # rows that share an id: one text stands for it
-    texts = written(texts.dropDuplicates(["u"]) if repeated else texts, "texts")
+    texts = written(texts, "texts")
     first = stars.groupBy("u").agg(F.min("v").alias("v"))
     links = written(confirm(first, texts, k, percent), "confirmed")
     labels = written(components(links), "labels")
@@ -185,27 +217,22 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, d
     smallest = member.groupBy("token").agg(F.min("n").alias("m"))
     member = member.join(smallest, "token").filter((100 + percent) * (F.col("n") - F.col("i")) >= percent * (F.col("n") + F.col("m"))).drop("m")
     member = written(_several(member, "token"), "across")
-    left, right = member.alias("x"), member.select(*(F.col(c).alias(f"{c}2") for c in member.columns)).alias("y")
-    near = (F.col("token") == F.col("token2")) & (F.col("u2") < F.col("u")) & (F.col("c") != F.col("c2"))
-    near &= (100 + percent) * F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")) >= percent * (F.col("n") + F.col("n2"))
-    rest = left.join(right, near).select("u", F.col("u2").alias("v")).distinct()
-    rest = rest.join(stars, ["u", "v"], "left_anti")
+    rest = met(member, percent).join(stars, ["u", "v"], "left_anti")
     last = written(confirm(rest, texts, k, percent), "confirmed")
     labels = components(links.union(last)) if last.limit(1).count() else labels
     of_set = _labelled(sets.select("lo", "hi", "u"), labels, "u", "component_id").select("lo", "hi", "component_id")
     out = rows.drop("sig").join(of_set, ["lo", "hi"], "left")
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    out = out.withColumn("component_id", own)
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-def one_each(docs: DataFrame, **options) -> DataFrame:
+def one_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """One row of each component of docs: the one of smallest id, then text. Where ids repeat or are null, each row is
     a document of its own; null ids come last."""
     columns, key = docs.columns, "doc_id"
     if (rows := numbered(docs, "_nd_row", "near_rows", [F.asc_nulls_last("doc_id"), F.asc_nulls_first("text")])) is not None:
         docs, key = rows, "_nd_row"
-    kept = near_duplicates(docs, doc_id=key, **options).filter("kept").select(F.col("doc_id").alias("_nd_id"))
+    kept = _near(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), k, percent).filter("kept").select(F.col("doc_id").alias("_nd_id"))
     return docs.join(kept, F.col(key) == F.col("_nd_id"), "left_semi").select(*columns)
 
 
