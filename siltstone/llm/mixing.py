@@ -9,10 +9,12 @@
    ring and then consecutive blocks from a seeded block on. A document's share is closed arithmetic: nothing is
    exploded, and reruns agree.
 
-What reaches the driver is one row a source. Shard rows (one for `shard_words` words) stay distributed.
+What reaches the driver is one row a source, as columns: its name and 40 bytes. Shard rows stay distributed; a shard has
+`shard_words` words, or so many more that the corpus has SHARDS at most.
 
-Defined cases: null or empty text has size 0 and takes 0; a null source is a source of its own; null ids are hashed as
-such; repeated rows are independent documents; an empty table gives an empty result; other columns pass through.
+Defined cases: null or empty text has size 0 and takes 0; a null source is a source of its own; documents of one id, or
+without one, are dealt and ordered by their text too, so only equal rows can trade places; repeated rows are independent documents;
+an empty table gives an empty result; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,32 +23,29 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import WORD, numbered, table, word_count, written
 
-WEIGHTS, REPEAT, BLOCK_WORDS, SHARD_WORDS, SEED = (1, 2, 3), 3, 256, 2_000_000, 17
-#: One row a source is gathered on the driver; more sources than this are refused rather than gathered.
-MAX_SOURCES = 1_000_000
+WEIGHTS, REPEAT, BLOCK_WORDS, SHARD_WORDS, SHARDS, SEED = (1, 2, 3), 3, 256, 200_000, 100_000, 17
 
 
 def capped_targets(sizes: list[int], weights: list[float], repeat: float = REPEAT) -> list[float]:
     """Shares of sum(sizes) by weight, none above repeat * size, the excess reshared by weight."""
-    left, target, active = float(sum(sizes)), [0.0] * len(sizes), list(range(len(sizes)))
-    while active and left > 0:
-        total = sum(weights[i] for i in active)
-        over = [i for i in active if left * weights[i] / total > repeat * sizes[i]]
-        if not over:
-            for i in active:
-                target[i] = left * weights[i] / total
+    sizes, weights = np.asarray(sizes, float), np.asarray(weights, float)
+    left, target, active = sizes.sum(), np.zeros(len(sizes)), np.arange(len(sizes))
+    while len(active) and left > 0:
+        share = left * weights[active] / weights[active].sum()
+        over = share > repeat * sizes[active]
+        if not over.any():
+            target[active] = share
             break
-        for i in over:
-            target[i] = float(repeat * sizes[i])
-            left -= target[i]
-        gone = set(over)
-        active = [i for i in active if i not in gone]
-    return target
+        full, active = active[over], active[~over]
+        target[full] = repeat * sizes[full]
+        left -= target[full].sum()
+    return target.tolist()
 
 
 def sainte_lague(weights, seats: int, caps) -> np.ndarray:
@@ -63,9 +62,13 @@ def sainte_lague(weights, seats: int, caps) -> np.ndarray:
         n = np.minimum(caps, np.floor(w / mid + 0.5)).sum() if mid > 0 else np.inf
         low, high = (mid, high) if n > seats else (low, mid)
     got = np.minimum(caps, np.floor(w / (high * (1 + 1e-12)) + 0.5)).astype(np.int64)
-    heap = [(-w[i] / (2 * got[i] + 1), i) for i in range(len(w)) if got[i] < caps[i] and w[i] > 0]
+    left = seats - int(got.sum())
+    open_ = np.flatnonzero((got < caps) & (w > 0))
+    if len(open_) > left:  # no more than `left` sources can win a seat: those of highest quotients
+        open_ = open_[np.lexsort((open_, -w[open_] / (2 * got[open_] + 1)))[:left]]
+    heap = [(-w[i] / (2 * got[i] + 1), i) for i in open_.tolist()]
     heapq.heapify(heap)
-    for _ in range(seats - int(got.sum())):
+    for _ in range(left):
         if not heap:
             break
         _, i = heapq.heappop(heap)
@@ -78,23 +81,19 @@ def sainte_lague(weights, seats: int, caps) -> np.ndarray:
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights=WEIGHTS, repeat: int = REPEAT, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, _mx_at, _mx_start, _mx_take, _mx_ring): one row a document."""
     spark = docs.sparkSession
-    base = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size")), "mix")
-    rows = base.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows = sorted(((r["source"], int(r["n"] or 0)) for r in rows), key=lambda r: (r[0] is None, r[0] or ""))
-    sizes = [n for _, n in rows]
-    targets = capped_targets(sizes, [float(weights[i % len(weights)]) for i in range(len(rows))], repeat)
+    base = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("_mx_text")), "mix")
+    rows = base.groupBy("source").agg(F.sum("size").alias("n")).orderBy(F.asc_nulls_last("source")).toArrow()  # by code point
+    sizes = rows.column("n").to_numpy()
+    targets = capped_targets(sizes, np.resize(np.array(weights, float), len(sizes)), repeat)
     smallest = min([t for t in targets if t > 0], default=1)
     block = int(max(1, min(block_words, smallest // 200)))  # so that a block is at most half a percent of any target
-    seats = sainte_lague(targets, round(sum(targets) / block), [repeat * n // block for n in sizes])
-    plan = spark.createDataFrame(
-        [(s, i, n, float(t), int(k), max(1, -(-n // shard_words))) for i, ((s, n), t, k) in enumerate(zip(rows, targets, seats, strict=True))],
-        "_mx_source string, _mx_i int, source_size long, target double, _mx_seats long, _mx_shards long",
-    )
-    plan = F.broadcast(plan) if len(rows) <= 10_000 else plan
+    seats = sainte_lague(targets, round(sum(targets) / block), repeat * sizes // block)
+    shard_words = max(shard_words, -(-int(sizes.sum()) // SHARDS))
+    columns = {"_mx_source": rows.column("source"), "_mx_i": np.arange(len(sizes)), "source_size": sizes, "target": np.array(targets, float), "_mx_seats": seats, "_mx_shards": np.maximum(1, -(-sizes // shard_words))}
+    plan = spark.createDataFrame(pa.table(columns))
+    plan = F.broadcast(plan) if len(sizes) <= 10_000 else plan
     at = base.join(plan, F.col("source").eqNullSafe(F.col("_mx_source"))).drop("_mx_source")
-    at = at.withColumn("_mx_shard", F.expr(f"pmod(xxhash64({seed}, doc_id, 1), _mx_shards)"))
+    at = at.withColumn("_mx_shard", F.expr(f"pmod(xxhash64({seed}, doc_id, _mx_text, 1), _mx_shards)"))
 
     def quotas(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_mx_shard")
@@ -102,8 +101,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
         return pd.DataFrame({"_q_i": pdf["_mx_i"], "_q_shard": pdf["_mx_shard"], "_mx_ring": pdf["_mx_ring"], "_mx_take": got * block})
 
     shards = at.groupBy("_mx_i", "_mx_shard").agg(F.sum("size").alias("_mx_ring"), F.first("_mx_seats").alias("_mx_seats"))
-    quota = shards.groupBy("_mx_i").applyInPandas(quotas, "_q_i int, _q_shard long, _mx_ring long, _mx_take long")
-    ring = Window.partitionBy("_mx_i", "_mx_shard").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    quota = shards.groupBy("_mx_i").applyInPandas(quotas, "_q_i long, _q_shard long, _mx_ring long, _mx_take long")
+    ring = Window.partitionBy("_mx_i", "_mx_shard").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "size", "_mx_text").rowsBetween(Window.unboundedPreceding, -1)
     at = at.withColumn("_mx_at", F.coalesce(F.sum("size").over(ring), F.lit(0)))
     at = at.join(quota, (F.col("_mx_i") == F.col("_q_i")) & (F.col("_mx_shard") == F.col("_q_shard")))
     at = at.withColumn("_mx_start", F.expr(f"if(_mx_ring = 0, 0, {block} * pmod(xxhash64({seed}, _mx_i, _mx_shard), greatest(1, _mx_ring div {block})))"))
@@ -125,15 +124,15 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     if (rows := numbered(docs, "_mx_row", "mix_rows", [F.asc_nulls_last("doc_id"), F.asc_nulls_first("text"), F.asc_nulls_last("source")])) is not None:
         docs, key = rows, "_mx_row"
     plan = mix(docs, doc_id=key, **options).filter("taken > 0")
-    plan = plan.select(F.col("doc_id").alias("_mx_id"), "size", "_mx_rounds", "_mx_first", "_mx_wrap", F.expr("greatest(0, _mx_start - _mx_at)").alias("_mx_from"))
+    plan = plan.select(F.col("doc_id").alias("_mx_id"), F.col("size").alias("_mx_size"), "_mx_rounds", "_mx_first", "_mx_wrap", F.expr("greatest(0, _mx_start - _mx_at)").alias("_mx_from"))
     rows = docs.join(plan, F.col(key) == F.col("_mx_id"))
-    both = F.expr("_mx_first + _mx_wrap = size").cast("long")
-    whole = F.expr("sequence(1L, _mx_rounds + if(_mx_first + _mx_wrap = size, 1, 0))")
+    both = F.expr("_mx_first + _mx_wrap = _mx_size").cast("long")
+    whole = F.expr("sequence(1L, _mx_rounds + if(_mx_first + _mx_wrap = _mx_size, 1, 0))")
     pieces = F.array_compact(F.array(
         F.when((both == 0) & F.expr("_mx_first > 0"), F.struct(F.col("_mx_from").cast("long").alias("a"), F.col("_mx_first").alias("n"))),
         F.when((both == 0) & F.expr("_mx_wrap > 0"), F.struct(F.lit(0).cast("long").alias("a"), F.col("_mx_wrap").alias("n"))),
     ))
-    full = F.when(F.expr("_mx_rounds + if(_mx_first + _mx_wrap = size, 1, 0) > 0"), F.transform(whole, lambda _: F.struct(F.lit(0).cast("long").alias("a"), F.lit(-1).cast("long").alias("n")))).otherwise(F.expr("cast(array() as array<struct<a:bigint,n:bigint>>)"))
+    full = F.when(F.expr("_mx_rounds + if(_mx_first + _mx_wrap = _mx_size, 1, 0) > 0"), F.transform(whole, lambda _: F.struct(F.lit(0).cast("long").alias("a"), F.lit(-1).cast("long").alias("n")))).otherwise(F.expr("cast(array() as array<struct<a:bigint,n:bigint>>)"))
     rows = rows.withColumn("_mx_part", F.explode(F.concat(full, pieces)))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     cut = F.array_join(F.slice(words, (F.col("_mx_part.a") + 1).cast("int"), F.col("_mx_part.n").cast("int")), " ")
