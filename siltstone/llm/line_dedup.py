@@ -2,12 +2,12 @@
 
 DataFrame operations only. Per host, pages that contain a line are divided by the host's page total; lines above
 `ratio` on at least `min_pages` pages go. Lines are compared by md5 of their exact bytes, so the counting shuffle moves
-16 bytes a line and partial aggregation folds hot lines before it; texts are joined back once, by row id.
+16 bytes a line and partial aggregation folds hot lines before it; texts do not move: the hosts' lists come to them.
 
 Defined cases: a null text stays null and counts as a page without lines; a null host is a host of its own; lines
 without a word are never counted or dropped; repeated lines in a page count once and all go; a page may end up empty
-and is kept; an empty table gives an empty result; other columns pass through, and helper names carry a prefix.
-Equal ids are told apart by their text.
+and is kept; an empty table gives an empty result; ids are not used; other columns pass through, helper names carry a
+prefix, and where the input has an n_lines or n_dropped the new one ends in an underscore.
 """
 
 from __future__ import annotations
@@ -15,9 +15,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import table
+from siltstone.llm.common import free_name, table, written
 
 RATIO, MIN_PAGES = 0.1, 5
+#: Dropped lines that are broadcast, some 50 bytes each on every executor; salts of the join that takes more.
+MAX_BROADCAST, SALTS = 500_000, 64
 
 
 def boilerplate_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -32,21 +34,32 @@ def _has_word(line):
     return F.length(F.regexp_replace(line, r"[\x20\x09-\x0D]", "")) > 0
 
 
-def line_dedup(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def line_dedup(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, most: int = MAX_BROADCAST) -> DataFrame:
     """All rows and columns of docs, `text` without the host's boilerplate lines, plus n_lines and n_dropped (bigint).
 
-    The host's list of dropped lines travels as one array a host: at most 1 / ratio * (lines a page) entries, since
-    each entry stands on more than `ratio` of the pages, so the host table is small whatever the corpus size.
+    A dropped line stands on more than `ratio` of its host's pages, so a host's list has at most 1 / ratio * (lines a
+    page) entries. All lists together are broadcast up to `most` lines; beyond that they are joined by host and salt,
+    each list once a salt, so that no host's pages meet in one task.
     """
-    drops = boilerplate_lines(docs, host, text, ratio, min_pages).groupBy("_ld_host").agg(F.collect_list("_ld_line").alias("_ld_drop"))
-    joined = docs.join(drops, F.col(host).eqNullSafe(F.col("_ld_host")), "left")
+    n_lines, n_dropped = free_name(docs, "n_lines"), free_name(docs, "n_dropped")
+    found = written(boilerplate_lines(docs, host, text, ratio, min_pages).select("_ld_host", "_ld_line"), "boilerplate")
+    drops = found.groupBy("_ld_host").agg(F.collect_list("_ld_line").alias("_ld_drop"))
+    same = F.col(host).eqNullSafe(F.col("_ld_host"))
+    if found.limit(most + 1).count() <= most:
+        joined = docs.join(F.broadcast(drops), same, "left")
+    else:
+        salted = docs.withColumn("_ld_salt", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
+        each = drops.withColumn("_ld_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = salted.join(each.hint("merge"), same & (F.col("_ld_salt") == F.col("_ld_s")), "left").drop("_ld_salt", "_ld_s")
     split = F.split(F.col(text), "\n")
-    gone = lambda x: F.array_contains(F.col("_ld_drop"), F.unhex(F.md5(x))) & _has_word(x)
-    kept = F.when(F.col("_ld_drop").isNull(), split).otherwise(F.filter(split, lambda x: ~gone(x)))
-    out = joined.withColumn("_ld_kept", kept).withColumn("n_lines", F.coalesce(F.size(split), F.lit(0)).cast("long"))
-    out = out.withColumn("n_lines", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("long"))
-    out = out.withColumn("n_dropped", (F.col("n_lines") - F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size("_ld_kept"))).cast("long"))
-    return out.withColumn(text, F.when(F.col(text).isNotNull(), F.array_join("_ld_kept", "\n"))).drop("_ld_host", "_ld_drop", "_ld_kept")
+    # the lists' lines that the page has: a set operation, so the list is not searched line by line
+    here = F.array_intersect(F.transform(split, lambda x: F.unhex(F.md5(x))), F.coalesce("_ld_drop", F.array().cast("array<binary>")))
+    joined = joined.withColumn("_ld_here", here)
+    kept = F.when(F.size("_ld_here") > 0, F.filter(split, lambda x: ~(F.array_contains(F.col("_ld_here"), F.unhex(F.md5(x))) & _has_word(x)))).otherwise(split)
+    out = joined.withColumn("_ld_kept", kept)
+    count = lambda lines: F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
+    out = out.withColumn(n_lines, count(split)).withColumn(n_dropped, count(split) - count(F.col("_ld_kept")))
+    return out.withColumn(text, F.when(F.col(text).isNotNull(), F.array_join("_ld_kept", "\n"))).drop("_ld_host", "_ld_drop", "_ld_here", "_ld_kept")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
