@@ -1,13 +1,14 @@
 """Quality rules with risk-controlled thresholds.
 
 Base rules are fixed. Beyond them each document gets one severity: the largest of its rule values over that rule's
-scale, so the rules form a nested family with a single cutoff. Labelled documents are split by a seeded hash. One half
+scale, so the rules form a nested family with a single cutoff. Labelled documents that pass the base rules, equal texts of a stratum
+once, are split by a seeded hash of the text, so copies never stand on both sides. One half
 of the good ones sets the scales (a high quantile of each value, per rule). The other half is the holdout: per stratum
 the cutoffs are tried from lenient to strict (fixed-sequence testing, so no correction over cutoffs), each by the exact
 binomial (Clopper-Pearson) upper bound of the share of good documents it rejects; the strata share the error `delta`
 by Bonferroni. Among cutoffs whose bound is at most `alpha`, the most lenient that still rejects `enough` of the bad
-holdout documents which the strictest of them rejects is used. So with probability 1 - delta no stratum rejects more
-than `alpha` of its good documents by severity. The error is shared by all strata with a holdout label, however many
+holdout documents which the strictest of them rejects is used. So with probability 1 - delta no stratum rejects by severity more
+than `alpha` of its good documents that pass the base rules. The error is shared by all strata with a holdout label, however many
 there are. In strata without a provable cutoff only the base rules apply: a cutoff of other strata's rows would prove nothing there.
 
 Histograms (stratum x severity bins) and cutoffs stay distributed; the driver sees the scales and the number of strata.
@@ -75,12 +76,12 @@ def _measured(batches, schema: pa.Schema):
 
 
 def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """(doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, base_failed)."""
+    """(doc_id, stratum, _qr_copy: the text's hash, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, base_failed)."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import LongType, StructType
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), F.col(text).alias("text"))
-    out = StructType(rows.schema.fields[:2])
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), F.xxhash64(text).alias("_qr_copy"), F.col(text).alias("text"))
+    out = StructType(rows.schema.fields[:3])
     for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals"):
         out = out.add(n, LongType())
     arrow = to_arrow_schema(out)
@@ -95,11 +96,29 @@ def rule_values(df: DataFrame) -> DataFrame:
     return df.withColumns({f"r_{k}": v for k, v in values.items()})
 
 
-def _log_tail(k: int, n: int, p: float) -> float:
-    """log P(X <= k), X binomial(n, p)."""
-    terms = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(max(0, k - 2000), k + 1)]
-    top = max(terms)
-    return top + math.log(sum(math.exp(t - top) for t in terms))
+def tail(k: int, n: int, p: float) -> float:
+    """P(X <= k), X binomial(n, p): the incomplete beta function of 1 - p at n - k and k + 1, by its continued fraction
+    on the side of the mean where that converges fast."""
+    if k >= n:
+        return 1.0
+    a, b, x = float(n - k), k + 1.0, 1.0 - p
+    other = x > (a + 1) / (a + b + 2)
+    if other:
+        a, b, x = b, a, p
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    # modified Lentz: the odd and the even step of each m
+    tiny, c, d = 1e-300, 1.0, 1.0 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    h, m = d, 1
+    while True:
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 + step * d, 1 + step / c
+            d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+            h *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+        m += 1
+    return 1 - front * h if other else front * h
 
 
 def upper_bound(k: int, n: int, delta: float) -> float:
@@ -109,7 +128,7 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     low, high = k / n, 1.0
     for _ in range(50):
         mid = (low + high) / 2
-        low, high = (mid, high) if _log_tail(k, n, min(max(mid, 1e-12), 1 - 1e-12)) > math.log(delta) else (low, mid)
+        low, high = (mid, high) if tail(k, n, min(max(mid, 1e-12), 1 - 1e-12)) > delta else (low, mid)
     return high
 
 
@@ -144,7 +163,7 @@ def _chosen(batches, alpha: float, share: float):
 def fit(values: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, seed: int = SEED):
     """(scales by rule, rows (_qr_s, cutoff) of the strata with a provable cutoff) from values (measured, rule_values) and labels (doc_id, good boolean)."""
     known = values.filter(~F.col("base_failed")).join(labels.select(F.col("doc_id").alias("_qr_id"), "good"), F.col("doc_id") == F.col("_qr_id"))
-    known = known.withColumn("half", F.expr(f"pmod(xxhash64({seed}, doc_id), 2)"))
+    known = known.dropDuplicates(["stratum", "_qr_copy", "good"]).withColumn("half", F.expr(f"pmod(xxhash64({seed}, _qr_copy), 2)"))
     known = written(known.select("stratum", "good", "half", *(f"r_{r}" for r in RULES)), "rules")
     row = known.filter((F.col("half") == 0) & F.col("good")).agg(F.count("*").alias("n"), *(F.percentile_approx(f"r_{r}", SCALE_QUANTILE, 10_000).alias(r) for r in RULES)).first()
     if not row["n"]:
