@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import table
+from siltstone.llm.common import free_name, table
 from siltstone.llm.dom import Node, blocks, parse
 
 SEED, TRAIN_PAGES, TREES, DEPTH, RATE, EDGES = 5, 360, 40, 4, 0.3, 16
@@ -313,11 +313,11 @@ def _extracted(batches, model: Trees, schema: pa.Schema, html: str):
 
 
 def extract_pages(pages: DataFrame, html: str = "html", model: Trees | None = None, out: str = "text") -> DataFrame:
-    """pages without `html`, with the main text in `out`."""
+    """pages without `html`, with the main text in `out` (with underscores after it where pages has such a column)."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StringType, StructType
 
-    model = model or train()
+    model, out = model or train(), free_name(pages.drop(html), out)
     kind = StructType([f for f in pages.schema.fields if f.name != html]).add(out, StringType())
     arrow = to_arrow_schema(kind)
     return pages.mapInArrow(lambda it: _extracted(it, model, arrow, html), kind)

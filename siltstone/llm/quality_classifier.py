@@ -11,7 +11,7 @@ smallest word hashes counted once); only their word hashes reach the driver. Hos
 
 Defined cases: null or empty text has no words and is judged by style and site; null hosts and paths are groups of
 their own; ids may be null or repeated, since rows keep their columns and no join is by id outside the fit; no labels: every document
-is kept with null scores; an empty table gives an empty result; helper columns carry a prefix.
+is kept with null scores; an empty table gives an empty result; helper columns carry a prefix, and input columns stay as they are.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import table, trim, working, written
+from siltstone.llm.common import free_name, table, trim, working, written
 
 MAX_TRAIN, SEED, BUCKETS, TERMS, LEAST_DOCS, BINS, MAX_SHIFT, MAX_BROADCAST_SITES = 8000, 41, 1 << 22, 400, 4, 8, 1.0, 50_000
 STYLE = 8
@@ -170,45 +170,51 @@ def _strength(groups: DataFrame, mean: str) -> float:
 
 
 def site_posteriors(scores: DataFrame, host: str, path: str) -> tuple[DataFrame, float]:
-    """(_qc_host, _qc_path, host_rate, path_rate) for each site, and the global rate, from scored rows."""
+    """(_qc_host, _qc_path, _qc_host_rate, _qc_path_rate, n) for each site, and the global rate, from scored rows."""
     paths = written(scores.groupBy(F.col(host).alias("_qc_host"), F.col(path).alias("_qc_path")).agg(F.count("*").alias("n"), F.sum(badness()).alias("s")), "sites")
     total = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     rate = float(np.clip((total["s"] or 0.0) / max(1, total["n"] or 0), 1e-6, 1 - 1e-6))
     hosts = paths.groupBy("_qc_host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     k = _strength(hosts, f"{rate!r}D")
-    hosts = hosts.select(F.col("_qc_host").alias("_qc_h"), F.expr(f"({k}D * {rate}D + s) / ({k}D + n)").alias("host_rate"))
+    hosts = hosts.select(F.col("_qc_host").alias("_qc_h"), F.expr(f"({k}D * {rate}D + s) / ({k}D + n)").alias("_qc_host_rate"))
     both = paths.join(hosts, F.col("_qc_host").eqNullSafe(F.col("_qc_h"))).drop("_qc_h")
-    k = _strength(both, "host_rate")
-    return both.select("_qc_host", "_qc_path", "host_rate", F.expr(f"({k}D * host_rate + s) / ({k}D + n)").alias("path_rate"), "n"), rate
+    k = _strength(both, "_qc_host_rate")
+    return both.select("_qc_host", "_qc_path", "_qc_host_rate", F.expr(f"({k}D * _qc_host_rate + s) / ({k}D + n)").alias("_qc_path_rate"), "n"), rate
 
 
 def _posterior(scores: DataFrame, sites: DataFrame, rate: float, host: str, path: str, max_shift: float, cutoff: float) -> DataFrame:
     few = sites.limit(MAX_BROADCAST_SITES + 1).count() <= MAX_BROADCAST_SITES
     sites = sites.drop("n")
     out = scores.join(F.broadcast(sites) if few else sites, F.col(host).eqNullSafe(F.col("_qc_host")) & F.col(path).eqNullSafe(F.col("_qc_path")), "left").drop("_qc_host", "_qc_path")
-    shift = F.greatest(F.lit(-max_shift), F.least(F.lit(max_shift), F.expr("ln(path_rate / (1 - path_rate))") - float(np.log(rate / (1 - rate)))))
+    shift = F.greatest(F.lit(-max_shift), F.least(F.lit(max_shift), F.expr("ln(_qc_path_rate / (1 - _qc_path_rate))") - float(np.log(rate / (1 - rate)))))
     own = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), badness()))
-    out = out.withColumn("posterior", 1 / (1 + F.exp(-(F.ln(own / (1 - own)) + shift))))
-    return out.withColumn("kept", F.col("posterior") < cutoff)
+    out = out.withColumn("_qc_posterior", 1 / (1 + F.exp(-(F.ln(own / (1 - own)) + shift))))
+    return out.withColumn("_qc_kept", F.col("_qc_posterior") < cutoff)
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", text: str = "text", max_shift: float = MAX_SHIFT, cutoff: float = CUTOFF, keep_text: bool = False, **options) -> DataFrame:
-    """docs (without `text` unless keep_text) with _qc_low, _qc_toxic (log odds), host_rate, path_rate, posterior, kept."""
+def _judged(docs: DataFrame, labels: DataFrame, host: str, path: str, text: str, max_shift: float, cutoff: float, keep_text: bool, options: dict) -> DataFrame:
+    """docs (without `text` unless keep_text) with _qc_low, _qc_toxic (log odds), _qc_host_rate, _qc_path_rate, _qc_posterior, _qc_kept."""
     heads = fit(docs, labels, **options)
     trim()  # the labelled sample's memory on the driver
     if heads is None:
-        out = docs.withColumns({c: F.lit(None).cast("double") for c in ("_qc_low", "_qc_toxic", "host_rate", "path_rate", "posterior")}).withColumn("kept", F.lit(True))
+        out = docs.withColumns({f"_qc_{c}": F.lit(None).cast("double") for c in ("low", "toxic", "host_rate", "path_rate", "posterior")}).withColumn("_qc_kept", F.lit(True))
         return out if keep_text else out.drop(text)
     rows = scored(docs, heads, text)
-    small = written(rows.drop(text), "scores") if not keep_text else rows
-    scores = small if not keep_text else rows.select(host, path, "_qc_low", "_qc_toxic")
+    scores = written(rows if keep_text else rows.drop(text), "scores")  # each text is scored once
     sites, rate = site_posteriors(scores, host, path)
-    return _posterior(small, written(sites, "posteriors"), rate, host, path, max_shift, cutoff)
+    return _posterior(scores, written(sites, "posteriors"), rate, host, path, max_shift, cutoff)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", text: str = "text", max_shift: float = MAX_SHIFT, cutoff: float = CUTOFF, **options) -> DataFrame:
+    """docs without `text`, with _qc_low, _qc_toxic (log odds), host_rate, path_rate, posterior, kept; where docs has
+    such columns, the new ones end in underscores."""
+    out = _judged(docs, labels, host, path, text, max_shift, cutoff, False, options)
+    return out.withColumnsRenamed({f"_qc_{c}": free_name(docs, c) for c in ("host_rate", "path_rate", "posterior", "kept")})
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", text: str = "text", max_shift: float = MAX_SHIFT, cutoff: float = CUTOFF, **options) -> DataFrame:
     """The rows of docs that the classifier keeps, columns unchanged."""
-    return classify(docs, labels, keep_text=True, **options).filter("kept").select(*docs.columns)
+    return _judged(docs, labels, host, path, text, max_shift, cutoff, True, options).filter("_qc_kept").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
