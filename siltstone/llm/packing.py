@@ -142,7 +142,6 @@ def combinations(window: int = WINDOW, bins: int = BINS, depth: int = DEPTH) ->
                 grow((*prefix, b), left - b, b)
 
     grow((), bins, 1)
-    found = [x for x in found if len(x) <= 3 or len(set(x)) <= 2]
     out = np.zeros((bins, len(found)))
     for j, x in enumerate(found):
         for b in x:
@@ -152,12 +151,11 @@ def combinations(window: int = WINDOW, bins: int = BINS, depth: int = DEPTH) ->
 
 def nnls(a: np.ndarray, h: np.ndarray, rounds: int = 400) -> np.ndarray:
     """min |a x - h| with x >= 0 by accelerated projected gradients."""
-    gram, rhs = a.T @ a, a.T @ h
-    step = 1 / max(np.linalg.norm(gram, 2), 1e-9)
+    step = 1 / max(np.linalg.norm(a @ a.T, 2), 1e-9)
     x = y = np.zeros(a.shape[1])
     t = 1.0
     for _ in range(rounds):
-        new = np.maximum(0, y - step * (gram @ y - rhs))
+        new = np.maximum(0, y - step * (a.T @ (a @ y - h)))
         t, old = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         x, y = new, new + (old - 1) / t * (new - x)
     return x
@@ -298,10 +296,27 @@ def _pack_batches(batches: Iterator[pa.RecordBatch], path: str, window: int, ext
         yield flush()
 
 
+#: Text with what a vocabulary's rules may treat apart: case, accents, marks, digits, white space, controls, special names.
+SAMPLE = ("Some Words, and more.  The END...\n\ttwo tabs\t\t(3.14, 1,000) don't re-enter a/b_c e.g. x=y; caf\u00e9 CAF\u00c9 \u00dcber na\u00efve", "\u4e2d\u6587 \u65e5\u672c\u8a9e. \U0001f600 ok\u00a0no-break \u2028 line \x0b\x0c end.", "", " ", "a.b, c", "<|x|> done. 12.5%, A.B.C.")
+
+
+def checked(path: str) -> None:
+    """Raise ValueError where the vocabulary's rules join or tell apart what the word cache does not: SAMPLE's ids differ."""
+    tokens = WordTokens(path)
+    ids, sizes = tokens.encode(list(SAMPLE))
+    for text, a, n in zip(SAMPLE, (np.cumsum(sizes) - sizes).tolist(), sizes.tolist(), strict=True):
+        if ids[a : a + n].tolist() != [*tokens.tokenizer.encode(text, add_special_tokens=False).ids, EOS]:
+            raise ValueError(f"{path}: ids of words are not the ids of their text, as in {text!r}")
+
+
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), all bigint but doc_id's own type."""
+    """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), all bigint but doc_id's own type.
+
+    Raises ValueError for a vocabulary whose rules do not go word by word; see checked().
+    """
     from pyspark.sql.pandas.types import to_arrow_type
 
+    checked(tokenizer_path)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     schema = pa.schema([pa.field("doc_id", to_arrow_type(rows.schema["doc_id"].dataType)), *(pa.field(n, pa.int64()) for n in names)])
