@@ -8,6 +8,7 @@ from siltstone.functions import text as T
 from siltstone.operators import diff as D
 from siltstone.operators import graph as G
 from siltstone.operators import keyed as K
+from siltstone.plans import marts as M
 from siltstone.registry import ORACLE, QUERIES, query
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -238,11 +239,15 @@ def change_summary(t):
     return symbol_diff(t).groupBy("change").agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS previous FROM orders")
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders)
+ SELECT a.o_orderkey AS artifact_id, b.o_orderkey AS ancestor, a.rn - b.rn AS steps FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND b.rn < a.rn""")
 def artifact_lineage(t):
     from pyspark.sql import Window
 
-    return t("orders").select("o_orderkey", F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("previous"))
+    from siltstone.sources import artifacts as A
+
+    previous = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("previous")
+    return A.lineage(t("orders").select(F.col("o_orderkey").alias("artifact_id"), previous))
 
 
 # validation
@@ -312,7 +317,7 @@ def _counted() -> str:
 
 @query(_counted())
 def redaction_counts(t):
-    return t("documents").select("doc_id", T.redact(F.col("text"))[1].alias("n"))
+    return T.redact(t("documents").select("doc_id", "text"), "text", "n").select("doc_id", "n")
 
 
 @query("SELECT page_id, replace(html, '</', '<\\/') AS html, strlen(replace(html, '</', '<\\/'))::BIGINT AS n_bytes FROM pages")
@@ -325,11 +330,11 @@ def size_gate(t):
     return t("pages").select("page_id", T.size_class(F.octet_length("html"), 2500, 5000).alias("status"))
 
 
-@query(r"SELECT l.doc_id, d.source || ':' || (l.doc_id % 90 + 1) || ':' || (l.doc_id % 17 + 1) || ': [' || CASE WHEN toxic = 1 THEN 'BLOCKING' WHEN quality = 0 THEN 'WARNING' ELSE 'SPOTLIGHT' END || '] ' || trim(regexp_replace(substr(d.text, 1, 80), '\s+', ' ', 'g')) AS line FROM labels l JOIN documents d USING (doc_id)")
+@query(r"SELECT l.doc_id, d.source || ':' || (l.doc_id % 90 + 1) || ':' || (l.doc_id % 17 + 1) || ': [' || CASE WHEN toxic = 1 THEN 'BLOCKING' WHEN quality = 0 THEN 'WARNING' ELSE 'SPOTLIGHT' END || '] ' || trim(regexp_replace(d.text, '\s+', ' ', 'g')) AS line FROM labels l JOIN documents d USING (doc_id)")
 def quickfix_lines(t):
     rows = t("labels").join(t("documents").select("doc_id", "source", "text"), "doc_id")
     severity = F.expr("case when toxic = 1 then 'blocking' when quality = 0 then 'warning' else 'spotlight' end")
-    line = T.quickfix_line(F.col("source"), F.col("doc_id") % 90 + 1, F.col("doc_id") % 17, severity, F.substring("text", 1, 80))
+    line = T.quickfix_line(F.col("source"), F.col("doc_id") % 90 + 1, F.col("doc_id") % 17, severity, F.col("text"))
     return rows.select("doc_id", line.alias("line"))
 
 
@@ -338,27 +343,26 @@ def quickfix_lines(t):
 
 @query(f"WITH {EDGES} SELECT node, sum(o)::BIGINT AS fan_out, sum(i)::BIGINT AS fan_in FROM (SELECT src AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY node")
 def fan_in_out(t):
-    e = _edges(t)
-    ends = e.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x"))
-    return ends.groupBy(F.col("x.node").alias("node")).agg(F.sum("x.o").alias("fan_out"), F.sum("x.i").alias("fan_in"))
+    return M.fan(_edges(t))
 
 
-@query("SELECT l_partkey, count(*)::BIGINT AS refs, min(l_orderkey) AS first_order FROM lineitem GROUP BY l_partkey")
-def backlinks(t):
-    return t("lineitem").groupBy("l_partkey").agg(F.count("*").alias("refs"), F.min("l_orderkey").alias("first_order"))
+@query(f"WITH {EDGES} SELECT count(*)::BIGINT AS edges, count(DISTINCT src)::BIGINT AS sources, count(DISTINCT dst)::BIGINT AS targets FROM edges")
+def index_stats(t):
+    return M.stats(_edges(t))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%re%'")
-def symbol_search(t):
-    return t("part").filter(F.col("p_name").ilike("%re%")).select("p_partkey", "p_name")
+@query(f"""WITH RECURSIVE {EDGES}, s AS (SELECT src AS symbol_id, dst AS parent FROM edges), r(symbol_id, ancestor, depth) AS (SELECT symbol_id, symbol_id, 0::BIGINT FROM s UNION SELECT r.symbol_id, s.parent, r.depth + 1 FROM r JOIN s ON s.symbol_id = r.ancestor)
+ SELECT symbol_id, ancestor, depth FROM r""")
+def symbol_tree(t):
+    return M.symbol_tree(_edges(t).select(F.col("src").alias("symbol_id"), F.col("dst").alias("parent")))
 
 
-@query("SELECT 'c:' || c_custkey AS node, n_name AS parent, r_name AS root FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
-def symbol_tree(t):
-    rows = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("node"), F.col("n_name").alias("parent"), F.col("r_name").alias("root"))
+@query("SELECT 'p' || p_partkey AS symbol_id, coalesce(n, 0)::BIGINT AS refs, coalesce(o, 0)::BIGINT AS paths FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n, count(DISTINCT l_orderkey) AS o FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey) ON l_partkey = p_partkey")
+def backlinks(t):
+    refs = t("lineitem").filter("l_returnflag = 'R'").select(F.expr("'p' || l_partkey").alias("symbol_id"), F.col("l_orderkey").alias("path"))
+    return M.find_references(refs, t("part").select(F.expr("'p' || p_partkey").alias("symbol_id")))
 
 
-@query(f"WITH {EDGES} SELECT count(*)::BIGINT AS edges, count(DISTINCT src)::BIGINT AS sources, count(DISTINCT dst)::BIGINT AS targets FROM edges")
-def index_stats(t):
-    return _edges(t).agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
+@query("SELECT p_partkey AS symbol_id, p_name AS qualname FROM part WHERE contains(lower(p_name), 're')")
+def symbol_search(t):
+    return M.search(t("part").select(F.col("p_partkey").alias("symbol_id"), F.col("p_name").alias("qualname")), "Re")

@@ -89,22 +89,42 @@ def go_symbols(t):
 
 
 CHAIN = "def f{key}():\n    return f{below}()\n"
+LINKS = "c AS (SELECT p_partkey AS k, p_partkey % 10 <> 0 AND EXISTS (SELECT 1 FROM part q WHERE q.p_partkey = part.p_partkey - 1) AS calls FROM part)"
+
+
+def _chain(t):
+    """Functions, one a part, that each call the one below; every tenth calls none that there is."""
+    return S.files(t("part").select(F.expr("concat('m', p_partkey, '.py')").alias("path"), _render(CHAIN, "p_partkey", below="if(p_partkey % 10 = 0, 'x', cast(p_partkey - 1 as string))").alias("content")))
 
 
 def _slice(t):
-    """Functions that each call the one below; the slice is about the first file."""
-    rows = t("nation").select(F.expr("concat('m', lpad(n_nationkey, 9, '0'), '.py')").alias("path"), _render(CHAIN, "n_nationkey", below="if(n_nationkey = 0, 99, n_nationkey - 1)").alias("content"))
-    return I.build(S.files(rows), ["m000000024.py"], 2)
+    """The slice about two files."""
+    return I.build(_chain(t), ["m75.py", "m146.py"], 2)
+
 
+#: Of each entry k the files k - 2 to k + 2 are in; functions that kept calls lead to, one after another, are stubs.
+AROUND = f"{LINKS}, near AS (SELECT c.* FROM c WHERE EXISTS (SELECT 1 FROM (VALUES (75), (146)) v(e) WHERE abs(k - e) <= 2))"
 
-@query("SELECT count(*)::BIGINT AS files_scanned, 6::BIGINT AS slice_symbols, 1::BIGINT AS boundary_symbols, 3::BIGINT AS edges, 1::BIGINT AS unresolved_calls FROM nation")
+
+@query(f"""WITH RECURSIVE {AROUND}, e AS (SELECT k AS i, k AS a, k - 1 AS b FROM c WHERE calls), r(k, t) AS (SELECT k, '' FROM near UNION SELECT x.k, x.p FROM (SELECT CASE WHEN e.a = r.k THEN e.b ELSE e.a END AS k, 'm' || e.a || '.py' AS p, r.t AS t FROM r JOIN e ON r.k IN (e.a, e.b)) x WHERE x.p > x.t),
+ t AS (SELECT k, min(t) AS t FROM r GROUP BY k), held AS (SELECT DISTINCT e.i FROM e JOIN t ON t.k IN (e.a, e.b) WHERE t.t < 'm' || e.a || '.py')
+ SELECT (SELECT count(*) FROM c)::BIGINT AS files_scanned, 2 * (SELECT count(*) FROM near)::BIGINT AS slice_symbols, (SELECT count(*) FROM t WHERE k NOT IN (SELECT k FROM near))::BIGINT AS boundary_symbols, (SELECT count(*) FROM held)::BIGINT AS edges, (SELECT count(*) FROM c WHERE NOT calls)::BIGINT AS unresolved_calls""")
 def slice_stats(t):
     return _slice(t).stats
 
 
-@query("SELECT 'python:m0000000' || n_nationkey || coalesce(':f' || q, '') AS symbol_id, n_nationkey > 21 AS in_slice FROM nation, LATERAL (VALUES (n_nationkey::VARCHAR), (CASE WHEN n_nationkey > 21 THEN NULL ELSE '-' END)) v(q) WHERE n_nationkey > 20 AND coalesce(q, '') <> '-'")
+@query(f"WITH {AROUND} SELECT 'python:m' || k || q AS symbol_id FROM near, LATERAL (VALUES (''), (':f' || k)) v(q)")
 def slice_symbols(t):
-    return _slice(t).symbols.select("symbol_id", "in_slice")
+    return _slice(t).symbols.filter("in_slice").select("symbol_id")
+
+
+@query(f"WITH {AROUND}, x AS (SELECT 'm' || k || '.py' AS path, 'def f' || k || '():' || chr(10) || '    return f' || CASE WHEN k % 10 = 0 THEN 'x' ELSE (k - 1)::VARCHAR END || '()' || chr(10) AS source FROM near) SELECT path, source, 'sha256:' || sha256(source) AS sha256, 'python' AS language, 'generic' AS tier FROM x")
+def index_document(t):
+    """The files of the document, read back from its JSON, each with its language's tier."""
+    doc = I.document(_slice(t), {"id": "parts", "root": "/parts", "head_commit": "none"}, 2)
+    kind = "index struct<resolution:map<string,string>,files:array<struct<path:string,language:string,sha256:string,source:string>>>"
+    rows = doc.select(F.from_json("json", kind).alias("d")).select("d.index.resolution", F.explode("d.index.files").alias("f"))
+    return rows.select("f.path", "f.source", "f.sha256", "f.language", F.col("resolution")[F.col("f.language")].alias("tier"))
 
 
 def _artifacts(t):
@@ -152,8 +172,7 @@ def symbol_at(t):
     return I.locate(points, S.symbols(facts)).select("l_partkey", "l_linenumber", "symbol_id")
 
 
-@query("SELECT doc_id, (length(substr(text, 1, 40)) + len(regexp_extract_all(substr(text, 1, 40), '[\\x{10000}-\\x{10FFFF}]')))::BIGINT AS utf16 FROM documents")
+@query("SELECT doc_id, (length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')))::BIGINT AS utf16 FROM documents")
 def utf16_columns(t):
-    text = F.concat(F.col("text"), F.lit("."))
-    at = F.octet_length(F.substring("text", 1, 40))
-    return t("documents").select("doc_id", K.utf16_column(text, at).alias("utf16"))
+    """The column after the whole text, taken as one line."""
+    return t("documents").select("doc_id", K.utf16_column(F.concat("text", F.lit(".")), F.octet_length("text")).alias("utf16"))

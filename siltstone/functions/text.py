@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Word boundary and white space as wide as the expected results need.
@@ -22,9 +22,14 @@ VALUE_PATTERNS = {
     "signed_token": r"\beyJ[A-Za-z0-9_-]{20,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b",
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----",
 }
-SECRET_NAME = r"(?:password|passwd|secret|api_key|apikey|access_key|auth_token|token|credential)"
-ASSIGNMENT = rf"(\b[A-Za-z_]*{SECRET_NAME}[A-Za-z_]*)(\s*[:=]\s*)(['\"])([^'\"\n]{{6,}})\3"
 SECRET_KEYS = r"password|passwd|secret|api_key|apikey|access_key|auth_token|credential"
+SECRET_NAME = rf"(?:{SECRET_KEYS}|token)"
+ASSIGNMENT = rf"(\b[A-Za-z_]*{SECRET_NAME}[A-Za-z_]*)(\s*[:=]\s*)(['\"])([^'\"\n]{{6,}})\3"
+#: By pattern, text without which it cannot match: looked for before the pattern is tried.
+LITERALS = {
+    "aws_key": ["AKIA"], "api_key": ["sk-"], "payment_key": ["_live_", "_test_"], "forge_token": ["ghp_"], "forge_login": ["gho_"],
+    "maps_key": ["AIza"], "chat_token": ["xox"], "signed_token": ["eyJ"], "private_key": ["-----BEGIN "],
+}
 MARK = "[REDACTED]"
 #: extension -> language
 LANGUAGES = {"py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "go": "go"}
@@ -64,17 +69,27 @@ def _wide(pattern: str) -> str:
 
 
 def redact_assignments(text: Column) -> tuple[Column, Column]:
-    """(text with the values of secret-named assignments replaced, how many)."""
-    pattern = "(?U)(?i)" + _wide(ASSIGNMENT).replace(r"\s", r"[\s\x1c-\x1f]")
-    return F.regexp_replace(text, F.lit(pattern), F.lit("$1$2$3" + MARK + "$3")), F.regexp_count(text, F.lit(pattern)).cast("long")
-
-
-def redact(text: Column) -> tuple[Column, Column]:
-    """(text, how many): assignments first, then the value patterns one after another."""
-    text, n = redact_assignments(text)
-    for p in VALUE_PATTERNS.values():
-        n, text = n + F.regexp_count(text, F.lit(_wide(p))), F.regexp_replace(text, F.lit(_wide(p)), F.lit(MARK))
-    return text, n.cast("long")
+    """(text with the values of secret-named assignments replaced, how many). Texts without such a name are not searched further."""
+    pattern = F.lit("(?U)(?i)" + _wide(ASSIGNMENT).replace(r"\s", r"[\s\x1c-\x1f]"))
+    named = text.rlike("(?U)(?i)" + SECRET_NAME)
+    return F.when(named, F.regexp_replace(text, pattern, F.lit("$1$2$3" + MARK + "$3"))).otherwise(text), F.when(named, F.regexp_count(text, pattern)).otherwise(F.lit(0)).cast("long")
+
+
+def redact(df: DataFrame, text: str, count: str) -> DataFrame:
+    """df with `text` redacted and `count`, how many places: assignments first, then the value patterns one after another.
+
+    Each step is a column of its own that the next one reads, so no step's text is computed twice.
+    """
+    c = F.col
+    whole, n = redact_assignments(c(text))
+    df = df.withColumns({"_r_text": whole, "_r_n": n})
+    for name, p in VALUE_PATTERNS.items():
+        wide, there = F.lit(_wide(p)), F.lit(False)
+        for x in LITERALS[name]:
+            there = there | F.contains(c("_r_text"), F.lit(x))
+        step = F.struct(F.when(there, F.regexp_replace("_r_text", wide, F.lit(MARK))).otherwise(c("_r_text")).alias("t"), F.when(there, F.regexp_count(c("_r_text"), wide)).otherwise(F.lit(0)).alias("n"))
+        df = df.withColumn("_r_step", step).withColumns({"_r_text": c("_r_step.t"), "_r_n": c("_r_n") + c("_r_step.n")})
+    return df.withColumns({text: c("_r_text"), count: c("_r_n").cast("long")}).drop("_r_text", "_r_n", "_r_step")
 
 
 def island(payload: Column) -> Column:

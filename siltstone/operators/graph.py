@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a private one, kept for the session, only where that is unset."""
+    """The folder of spark.checkpoint.dir; where that is unset, a private one, kept for the session, for a local master
+    only: executors elsewhere could not read it."""
     context = spark.sparkContext
     if found := context.getConf().get("spark.checkpoint.dir"):
         return found
+    if context.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
     if not getattr(context, "_siltstone_core_dir", None):
         context._siltstone_core_dir = tempfile.mkdtemp(prefix="siltstone-")
     return context._siltstone_core_dir
@@ -53,16 +59,22 @@ def match_entries(entries: DataFrame, names: DataFrame, fallback: DataFrame) ->
 def budget_fold(items: DataFrame, order: list[str], size: str, key: str, limit: int) -> DataFrame:
     """(key, kept): in order, an item stays if it still fits; one that does not is passed over.
 
-    The fold is sequential by definition. It runs over one slice's files (three numbers each), which the hop limit bounds.
+    The fold is sequential by definition: one pass over the sorted rows in one task, which holds the space left and one
+    batch. It runs over one slice's files (three numbers each), which the hop limit bounds.
     """
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(size).alias("_bf_size"), F.col(key).alias("_bf_key"))))
-    start = F.expr(f"named_struct('left', {limit}L, 'kept', cast(array() as array<boolean>))")
-    step = lambda acc, x: F.struct(
-        F.when(x["_bf_size"] <= acc["left"], acc["left"] - x["_bf_size"]).otherwise(acc["left"]).alias("left"),
-        F.concat(acc["kept"], F.array(x["_bf_size"] <= acc["left"])).alias("kept"),
-    )
-    folded = items.agg(rows.alias("r")).select("r", F.aggregate("r", start, step)["kept"].alias("k"))
-    return folded.select(F.explode(F.arrays_zip("r", "k")).alias("z")).select(F.col("z.r._bf_key").alias(key), F.col("z.k").alias("kept"))
+    kind = items.schema[key].dataType
+    rows = items.select(*order, F.col(size).alias("_bf_size"), F.col(key).alias("_bf_key")).coalesce(1).sortWithinPartitions(*order)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = limit
+        for b in batches:
+            kept = []
+            for n in b.column(0).to_pylist():
+                kept.append(n <= left)
+                left -= n if kept[-1] else 0
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(kept, pa.bool_())], names=[key, "kept"])
+
+    return rows.select("_bf_size", "_bf_key").mapInArrow(fold, StructType([StructField(key, kind), StructField("kept", BooleanType())]))
 
 
 def boundary(edges: DataFrame, inside: DataFrame) -> tuple[DataFrame, DataFrame]:

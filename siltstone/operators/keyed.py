@@ -38,14 +38,12 @@ def resolve_unique(calls: DataFrame, symbols: DataFrame, keys: list[str], symbol
     return rows.join(unique_names(symbols, keys, symbol), keys, "left")
 
 
-def innermost(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, order: list[str], part: str | None = None) -> DataFrame:
-    """points with the span that holds each and starts last, of those the one that ends first. Both ends belong to a span.
-
-    Where points and spans share a part (a file), it is the join's equality; else the spans must be few.
-    """
+def innermost(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, order: list[str], part: str) -> DataFrame:
+    """points with the span of their part (a file) that holds each and starts last, of those the one that ends first. Both
+    ends belong to a span. The part is the join's equality."""
     inside = (F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))
-    joined = points.join(spans, inside if part is None else (points[part] == spans[part]) & inside)
-    return _ranked(joined, [c for c in points.columns if c != part], [F.col(start).desc(), F.col(end).asc(), *(F.col(c) for c in order)], 1)
+    joined = points.join(spans, (points[part] == spans[part]) & inside).drop(spans[part])
+    return _ranked(joined, points.columns, [F.col(start).desc(), F.col(end).asc(), *(F.col(c) for c in order)], 1)
 
 
 def longest_prefix(targets: DataFrame, modules: DataFrame, target: str, module: str, separator: str) -> DataFrame:

@@ -13,9 +13,21 @@ from siltstone.sources import snapshot as S
 
 # Member names too common to be matched by name alone.
 BLOCKED = {
-    "python": "get set items keys values append extend add pop update join split strip lstrip rstrip format read write close copy encode decode count index sort replace startswith endswith lower upper setdefault clear remove insert".split(),
-    "typescript": "get set map filter reduce forEach push pop slice splice concat join split keys values entries includes indexOf find sort replace toString then catch finally add delete has trim startsWith endsWith charAt test exec".split(),
-    "go": "Error String Close Read Write Len Add Get Set Delete Lock Unlock Done Err".split(),
+    "python": [
+        "get", "set", "items", "keys", "values", "append", "extend", "add", "pop", "update", "join", "split",
+        "strip", "lstrip", "rstrip", "format", "read", "write", "close", "copy", "encode", "decode", "count",
+        "index", "sort", "replace", "startswith", "endswith", "lower", "upper", "setdefault", "clear", "remove",
+        "insert",
+    ],
+    "typescript": [
+        "get", "set", "map", "filter", "reduce", "forEach", "push", "pop", "slice", "splice", "concat", "join",
+        "split", "keys", "values", "entries", "includes", "indexOf", "find", "sort", "replace", "toString", "then",
+        "catch", "finally", "add", "delete", "has", "trim", "startsWith", "endsWith", "charAt", "test", "exec",
+    ],
+    "go": [
+        "Error", "String", "Close", "Read", "Write", "Len", "Add", "Get", "Set", "Delete", "Lock", "Unlock", "Done",
+        "Err",
+    ],
 }
 BLOCKED["javascript"] = BLOCKED["typescript"]
 MAX_SOURCE_BYTES = 4 * 1024 * 1024
@@ -132,9 +144,49 @@ def match_symbols(entries: DataFrame, files: DataFrame, symbols: DataFrame, last
     return by_file.join(symbols.select("path", "symbol_id"), "path").select("entry", "symbol_id").union(rest.join(named, "entry").select("entry", "symbol_id")).distinct()
 
 
+def served(facts: DataFrame, answers: DataFrame | None) -> DataFrame:
+    """(language, tier): `generic`, or the tier of a language's definition service where it answered all calls.
+
+    answers: (language, service, failed). A service that failed leaves its whole language to the generic tier.
+    """
+    languages = facts.select("language").distinct()
+    if answers is None:
+        return languages.withColumn("tier", F.lit("generic"))
+    sound = answers.groupBy("language").agg(F.first("service").alias("service"), F.max(F.coalesce("failed", F.lit(False))).alias("failed")).filter("not failed")
+    return languages.join(sound, "language", "left").select("language", F.when(F.col("service").isNotNull(), F.concat(F.lit("lsp:"), "service")).otherwise("generic").alias("tier"))
+
+
+def call_request() -> Column:
+    """The request that asks a definition service for a call: where its name begins."""
+    return F.concat_ws(":", "path", "start_line", "start_character")
+
+
+def tiered_calls(calls: DataFrame, symbols: DataFrame, tiers: DataFrame, definitions: DataFrame | None) -> DataFrame:
+    """calls with `target` and `resolution`: by the service's answers where its language has one, by unique names elsewhere."""
+    generic = resolve_calls(calls, symbols).withColumn("resolution", F.lit("name_match"))
+    if definitions is None:
+        return generic
+    by_service = tiers.filter("tier <> 'generic'").select("language")
+    asked = resolve_locations(calls.join(by_service, "language", "left_semi").withColumn("request", call_request()), definitions, symbols)
+    asked = asked.drop("request").withColumn("resolution", F.lit("exact"))
+    return generic.join(by_service, "language", "left_anti").unionByName(asked)
+
+
+def changed_entries(entries: list[str], changed: DataFrame | None) -> list[str]:
+    """The entries named, then the files of one review that were not removed, in order.
+
+    Raises ValueError where there is neither.
+    """
+    out = [*entries, *([] if changed is None else [r.path for r in changed.filter("change <> 'removed'").select("path").distinct().orderBy("path").collect()])]
+    if not out:
+        raise ValueError("no entry: name one, or a base with changes to files of a known language")
+    return out
+
+
 @dataclass
 class Index:
-    """Relations of a slice. `entries` has every entry with whether it matched; `dropped` the files beyond the byte budget."""
+    """Relations of a slice. `entries` has every entry with whether it matched; `dropped` the files beyond the byte budget;
+    `tiers` how each language's calls were resolved."""
 
     files: DataFrame
     symbols: DataFrame
@@ -143,35 +195,46 @@ class Index:
     entries: DataFrame
     dropped: DataFrame
     stats: DataFrame
+    tiers: DataFrame
 
 
-def relations(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def relations(facts: DataFrame, tiers: DataFrame | None = None, definitions: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(symbols, edges numbered by edge_seq, references with their order) of a whole snapshot; calls before imports in a language."""
     c = F.col
     symbols = S.symbols(facts)
-    calls = resolve_calls(S.listed(facts, "calls"), symbols).filter("target is not null")
+    calls = tiered_calls(S.listed(facts, "calls"), symbols, tiers, definitions).filter("target is not null")
     imports = resolve_imports(S.listed(facts, "targets"), symbols.select("language", "module", "file_ord").distinct())
     rank = S.language_rank(c("language"))
     order = ["_rank", "_phase", "file_ord", "pos"]
     site = F.struct("path", F.struct(*SPAN).alias("range"))
-    called = calls.select(rank.alias("_rank"), F.lit(0).alias("_phase"), "file_ord", "pos", c("enclosing").alias("src"), c("target").alias("dst"), F.lit("calls").alias("kind"), F.lit("name_match").alias("resolution"), site.alias("site"))
+    called = calls.select(rank.alias("_rank"), F.lit(0).alias("_phase"), "file_ord", "pos", c("enclosing").alias("src"), c("target").alias("dst"), F.lit("calls").alias("kind"), "resolution", site.alias("site"))
     imported = imports.select(rank.alias("_rank"), F.lit(1).alias("_phase"), "file_ord", "pos", "src", "dst", F.lit("imports").alias("kind"), F.lit("exact").alias("resolution"), F.lit(None).cast(called.schema["site"].dataType).alias("site"))
     edges = numbered(called.union(imported), order, "edge_seq").drop(*order)
     by_full = K.dedup_last(symbols.select("language", "full_name", "symbol_id", "file_ord", "sym_ord"), ["language", "full_name"], ["file_ord", "sym_ord"])
     named = S.listed(facts, "names").join(by_full.select("language", "full_name", "symbol_id"), ["language", "full_name"])
     refs = calls.select(rank.alias("_rank"), F.lit(0).alias("_phase"), "file_ord", "pos", "path", *SPAN, c("target").alias("symbol_id"))
     refs = refs.union(named.select(rank.alias("_rank"), F.lit(1).alias("_phase"), "file_ord", "pos", "path", *SPAN, "symbol_id"))
+    if definitions is not None:  # usages that the service leads to a symbol
+        asked = usage_requests(facts.join(tiers.filter("tier <> 'generic'"), "language", "left_semi"), symbols, refs.select("path", *SPAN, "symbol_id"))
+        used = usage_references(asked.withColumn("request", call_request()), definitions, symbols)
+        used = used.join(asked.select("path", *SPAN, "language", "file_ord", "pos"), ["path", *SPAN])
+        refs = refs.union(used.select(rank.alias("_rank"), F.lit(2).alias("_phase"), "file_ord", "pos", "path", *SPAN, "symbol_id"))
     return symbols, edges, refs.withColumn("ref_seq", F.struct(*order)).drop(*order)
 
 
-def build(files: DataFrame, entries: list[str], hops: int = 2, max_source_bytes: int = MAX_SOURCE_BYTES, repeats: bool = True) -> Index:
+def build(files: DataFrame, entries: list[str], hops: int = 2, max_source_bytes: int = MAX_SOURCE_BYTES, repeats: bool = True, definitions: DataFrame | None = None, answers: DataFrame | None = None, changed: DataFrame | None = None) -> Index:
     """Index the slice within `hops` of the entries. Facts are read once and written; ids keep the last of their definitions.
 
-    Raises ValueError where no entry matches anything.
+    definitions (request, answer, path, line, character) are the answers of definition services, requests being
+    `path:line:character` of a name, and answers (language, service, failed) says which languages have one; the others,
+    and those whose service failed, are resolved by names. changed (path, change) adds a review's files to the entries.
+    Raises ValueError without an entry and where none matches anything.
     """
     c = F.col
+    entries = changed_entries(entries, changed)
     facts = G.cut(S.facts(files, repeats))
-    symbols, edges, refs = relations(facts)
+    tiers = G.cut(served(facts, answers if definitions is not None else None))
+    symbols, edges, refs = relations(facts, tiers, definitions)
     last = K.dedup_last(symbols, ["symbol_id"], ["file_ord", "sym_ord"])
     wanted = facts.sparkSession.createDataFrame([(e,) for e in entries], "entry string").distinct()
     hits = G.cut(match_symbols(wanted, facts, symbols, last))
@@ -197,7 +260,7 @@ def build(files: DataFrame, entries: list[str], hops: int = 2, max_source_bytes:
     stats = stats.crossJoin(out.agg(F.count_if("in_slice").alias("slice_symbols"), F.count_if(~c("in_slice")).alias("boundary_symbols")))
     stats = stats.select("files_scanned", "slice_symbols", "boundary_symbols", "edges", (c("calls") - c("resolved")).alias("unresolved_calls"))
     matched = wanted.join(hits.select("entry").distinct().withColumn("_m", F.lit(True)), "entry", "left").select("entry", F.coalesce("_m", F.lit(False)).alias("matched"))
-    return Index(sliced, out, held_edges, spans, matched, fold.filter("not kept").select("path", "n_bytes"), stats)
+    return Index(sliced, out, held_edges, spans, matched, fold.filter("not kept").select("path", "n_bytes"), stats, tiers)
 
 
 def document(index: Index, repository: dict[str, str], hops: int, excludes: list[str] | None = None) -> DataFrame:
@@ -214,12 +277,13 @@ def document(index: Index, repository: dict[str, str], hops: int, excludes: list
         "edges": listed(index.edges, ["edge_seq"], c("src").alias("from"), c("dst").alias("to"), "kind", "resolution", "site"),
         "references": listed(index.references, ["ref_seq"], "path", span, "symbol_id"),
         "entries": listed(index.entries, ["entry"], "entry"),
+        "tiers": listed(index.tiers.join(index.files.select("language").distinct(), "language"), [S.language_rank(c("language"))], "language", "tier"),
         "dropped": listed(index.dropped, ["n_bytes", "path"], F.concat(F.lit("file dropped from slice (size budget): "), "path", F.lit(" ("), c("n_bytes").cast("string"), F.lit(" bytes)")).alias("t")),
     }
     row = index.stats.select(F.struct("*").alias("stats"))
     for name, df in found.items():
         row = row.crossJoin(df.withColumnRenamed("v", name))
-    tiers = F.map_from_entries(F.transform(F.array_distinct(c("files")["language"]), lambda x: F.struct(x, F.lit("generic"))))
+    tiers = F.map_from_entries("tiers")
     parts = F.struct(
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("generated_at"),
         F.struct(*(F.lit(v).alias(k) for k, v in repository.items())).alias("repository"),

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import diff as D
-from siltstone.operators import keyed as K
+from siltstone.operators import graph as G
 
 RANGE = "range:struct<start_line:int,start_character:int,end_line:int,end_character:int>"
 EVIDENCE = f"evidence:array<struct<symbol_id:string,path:string,{RANGE}>>"
@@ -50,77 +50,113 @@ def write_text(lines: DataFrame, path: str) -> None:
     lines.select("value").write.mode("overwrite").text(path)
 
 
-def evidence(of: DataFrame) -> DataFrame:
-    """(id, part, part_pos, item, location, symbol_id, path, range) of every pointer; part names the list that it stands in."""
-    outer = lambda name, items, rest="x.evidence": of.select("id", F.posexplode(items).alias("i", "x")).select("id", F.lit(name).alias("part"), "i", "x", F.concat(F.lit(f"{name}["), F.col("i").cast("string"), F.lit("]")).alias("at"))
+POINTER = "array<struct<part:string,part_pos:int,item:string,location:string,symbol_id:string,path:string,range:struct<start_line:int,start_character:int,end_line:int,end_character:int>>>"
 
-    def pointers(rows: DataFrame, items: str | Column, item: Column) -> DataFrame:
-        e = rows.select("id", "part", "i", item.alias("item"), "at", F.posexplode(items).alias("k", "e"))
-        return e.select("id", "part", F.col("i").alias("part_pos"), "item", F.concat("at", F.lit(".evidence["), F.col("k").cast("string"), F.lit("]")).alias("location"), "e.symbol_id", "e.path", "e.range")
 
-    def below(rows: DataFrame, field: str, name: str) -> DataFrame:
-        x = rows.select("id", "part", "i", "x", "at", F.posexplode(field).alias("j", "y"))
-        return x.select("id", "part", "i", F.struct(F.col("x.id").alias("id"), "y.*").alias("x"), F.concat("at", F.lit(f".{name}["), F.col("j").cast("string"), F.lit("]")).alias("at"))
+def _each(items: Column, f) -> Column:
+    """The pointers that f(item, position) gives, in one array; none for null."""
+    none = F.array().cast(POINTER)
+    return F.coalesce(F.flatten(F.transform(items, f)), none)
 
-    flows = outer("flows", "a.flows")
-    steps = below(flows, "x.steps", "steps")
-    branches = below(steps, "x.branches", "branches")
-    rows = [steps, branches, outer("concepts", "a.concepts"), outer("invariants", "a.invariants"), outer("findings", "a.findings"), outer("lessons.predict", "a.lessons.predict"), outer("lessons.localization", "a.lessons.localization")]
-    return reduce(DataFrame.union, [pointers(r, "x.evidence", F.col("x.id")) for r in rows])
+
+def _pointers(part: str, i: Column, item: Column, at: Column, found: Column) -> Column:
+    place = lambda e, k: F.struct(F.lit(part).alias("part"), i.alias("part_pos"), item.alias("item"), F.concat(at, F.lit(".evidence["), k.cast("string"), F.lit("]")).alias("location"), e["symbol_id"].alias("symbol_id"), e["path"].alias("path"), e["range"].alias("range"))
+    return F.coalesce(F.transform(found, place), F.array().cast(POINTER))
+
+
+def evidence(of: DataFrame, with_flows: bool = False) -> DataFrame:
+    """(id, part, part_pos, item, location, symbol_id, path, range) of every pointer; part names the list that it stands in.
+
+    One explode of one array a document. With `with_flows` also the pointers that a flow itself carries, at no location.
+    """
+    c, at = F.col, lambda name, i, *before: F.concat(*before, F.lit(f"{name}["), i.cast("string"), F.lit("]"))
+    listed = lambda name, items: _each(c(items), lambda x, i: _pointers(name, i, x["id"], at(name, i), x["evidence"]))
+
+    def step(x, i, y, j):
+        here = at("steps", j, at("flows", i), F.lit("."))
+        below = _each(y["branches"], lambda z, k: _pointers("flows", i, x["id"], at("branches", k, here, F.lit(".")), z["evidence"]))
+        return F.concat(_pointers("flows", i, x["id"], here, y["evidence"]), below)
+
+    parts = [_each(c("a.flows"), lambda x, i: _each(x["steps"], lambda y, j: step(x, i, y, j)))]
+    parts += [listed(name, f"a.{name}") for name in ("concepts", "invariants", "findings", "lessons.predict", "lessons.localization")]
+    if with_flows:
+        own = _each(c("a.flows"), lambda x, i: _pointers("flows", i, x["id"], F.lit(""), x["evidence"]))
+        parts.append(F.transform(own, lambda p: p.withField("location", F.lit(""))))
+    return of.select("id", F.explode(F.concat(*parts)).alias("e")).select("id", "e.*")
 
 
 def item_evidence(of: DataFrame) -> DataFrame:
     """Pointers that count for an item's freshness: those of `evidence` and those that a flow itself carries."""
-    own = of.select("id", F.posexplode("a.flows").alias("i", "x")).select("id", "i", "x", F.posexplode("x.evidence").alias("k", "e"))
-    own = own.select("id", F.lit("flows").alias("part"), F.col("i").alias("part_pos"), F.col("x.id").alias("item"), F.lit("").alias("location"), "e.symbol_id", "e.path", "e.range")
-    return evidence(of).union(own)
+    return evidence(of, with_flows=True)
+
+
+def slim(documents: DataFrame) -> DataFrame:
+    """(id, a): parsed documents cut off their text once, with the lines of each index file counted in place of its source."""
+    files = F.transform("a.index.files", lambda f: F.struct(f["path"].alias("path"), f["sha256"].alias("sha256"), T.line_count(f["source"]).alias("n_lines")))
+    index = F.col("a.index").withField("files", files)
+    rows = documents if "a" in documents.columns else parsed(documents)
+    return G.cut(rows.select("id", F.col("a").withField("index", index).alias("a")))
 
 
 def _symbols(of: DataFrame) -> DataFrame:
-    rows = of.select("id", F.posexplode("a.index.symbols").alias("pos", "s")).select("id", "pos", "s.*")
-    return K.dedup_last(rows, ["id", "symbol_id"], ["pos"])
+    """The last of each id in a document: one partial aggregate, no sort."""
+    rows = of.select("id", F.posexplode("a.index.symbols").alias("pos", "s"))
+    return rows.groupBy("id", F.col("s.symbol_id").alias("symbol_id")).agg(F.max_by("s", "pos").alias("s")).select("id", "symbol_id", "s.path", "s.content_hash", "s.parent", "s.in_slice")
 
 
 def _files(of: DataFrame) -> DataFrame:
-    rows = of.select("id", F.posexplode("a.index.files").alias("pos", "f")).select("id", "pos", "f.path", "f.sha256", T.line_count(F.col("f.source")).alias("n_lines"))
-    return K.dedup_last(rows, ["id", "path"], ["pos"])
+    rows = of.select("id", F.posexplode("a.index.files").alias("pos", "f"))
+    return rows.groupBy("id", F.col("f.path").alias("path")).agg(F.max_by("f", "pos").alias("f")).select("id", "path", "f.sha256", "f.n_lines")
 
 
 def integrity(of: DataFrame) -> DataFrame:
-    """(id, location, message): pointers of the document that lead nowhere. Empty for a sound document."""
-    c, lit = F.col, F.lit
+    """(id, location, message): pointers of the document that lead nowhere. Empty for a sound document.
+
+    The document is parsed once. All that names a symbol is one tall table, joined once with the symbols; then all that
+    names a file, with the files; then the stale ids with the items.
+    """
+    c, lit, text = F.col, F.lit, lambda x: x.cast("string")
+    of = slim(of)
     symbols, files = _symbols(of), _files(of)
-    known, paths = symbols.select("id", c("symbol_id").alias("key")), files.select("id", c("path").alias("key"))
-    missing = lambda rows, keys: rows.join(keys, ["id", "key"], "left_anti")
-    out = lambda rows, where, message: rows.select("id", where.alias("location"), message.alias("message"))
-    at = lambda name, field: F.concat(lit(f"{name}["), c("pos").cast("string"), lit("]."), field, lit(" "), "key")
-    ends = of.select("id", F.posexplode("a.index.edges").alias("pos", "e")).select("id", "pos", F.explode(F.array(F.struct(lit("from").alias("end"), c("e.from").alias("key")), F.struct(lit("to").alias("end"), c("e.to").alias("key")))).alias("x")).select("id", "pos", "x.*")
+    none = {"location": lit(None).cast("string"), "message": lit(None).cast("string"), "path": lit(None).cast("string"), "range": lit(None).cast(RANGE.split(":", 1)[1])}
+    ask = lambda rows, key, location, message, **more: rows.select("id", key.alias("key"), *(v.alias(k) for k, v in (none | {"location": location, "message": message} | more).items()))
+    at = lambda name, field: F.concat(lit(f"{name}["), text(c("pos")), lit(f"].{field} "))
+    edges = of.select("id", F.posexplode("a.index.edges").alias("pos", "e"))
+    ends = edges.select("id", F.explode(F.array(*(F.struct(c(f"e.{x}").alias("key"), F.concat(at("edges", x), c(f"e.{x}"), lit(" not in symbols")).alias("m")) for x in ("from", "to")))).alias("x")).select("id", "x.*")
     refs = of.select("id", F.posexplode("a.index.references").alias("pos", "r"))
     pointers = evidence(of)
-    placed = pointers.join(files.select("id", "path", "n_lines"), ["id", "path"], "left")
-    placed = placed.join(symbols.select("id", "symbol_id", c("in_slice").alias("_in"), lit(True).alias("_known")), ["id", "symbol_id"], "left")
-    stub = F.coalesce(c("_known") & ~F.coalesce("_in", lit(False)), lit(False))
+    # what names a symbol; of a pointer the message waits for its file
+    named = reduce(DataFrame.union, [
+        ask(symbols.filter("parent <> ''"), c("parent"), lit("index"), F.concat(lit("symbol "), "symbol_id", lit(" parent "), "parent", lit(" not in symbols"))),
+        ask(ends, c("key"), lit("index"), c("m")),
+        ask(refs, c("r.symbol_id"), lit("index"), F.concat(at("references", "symbol_id"), c("r.symbol_id"), lit(" not in symbols"))),
+        ask(pointers, c("symbol_id"), c("location"), lit(None).cast("string"), path=c("path"), range=c("range")),
+    ])
+    found = named.join(symbols.select("id", c("symbol_id").alias("key"), F.coalesce("in_slice", lit(False)).alias("_in")), ["id", "key"], "left")
+    lost = found.filter(c("_in").isNull() & (c("message").isNotNull() | c("key").isNotNull()))
+    lost = lost.select("id", "location", F.coalesce("message", F.concat(lit("symbol_id "), "key", lit(" not in index.symbols"))).alias("message"))
+    # what names a file; a symbol outside the slice needs none
+    placed = found.filter("message is null").select("id", c("path").alias("key"), "location", lit(None).cast("string").alias("message"), "range", F.coalesce(~c("_in"), lit(False)).alias("_stub"))
+    asked = reduce(DataFrame.union, [
+        ask(symbols.filter("in_slice"), c("path"), lit("index"), F.concat(lit("in_slice symbol "), "symbol_id", lit(" has no source file "), "path")),
+        ask(refs, c("r.path"), lit("index"), F.concat(at("references", "path"), c("r.path"), lit(" not in files"))),
+    ]).select("id", "key", "location", "message", "range", lit(False).alias("_stub"))
+    there = asked.union(placed).join(files.select("id", c("path").alias("key"), "n_lines"), ["id", "key"], "left")
     first, last = F.coalesce("range.start_line", lit(1)), F.coalesce("range.end_line", lit(1))
+    absent = F.when(c("message").isNotNull(), c("message")).when(~c("_stub"), F.concat(lit("path "), F.coalesce("key", lit("null")), lit(" not in index.files")))
+    beyond = F.when(c("message").isNull() & ((first > c("n_lines")) | (last > c("n_lines"))), F.concat(lit("range L"), text(first), lit("-L"), text(last), lit(" out of bounds for "), "key", lit(" ("), text(c("n_lines")), lit(" lines)")))
+    broken = there.select("id", "location", F.when(c("n_lines").isNull(), absent).otherwise(beyond).alias("message")).filter("message is not null")
     stale = of.select("id", F.explode("a.changes.stale_items").alias("key"))
     items = of.select("id", F.explode(F.flatten(F.array(*(F.coalesce(F.transform(f"a.{n}", lambda x: x["id"]), F.array().cast("array<string>")) for n in ("flows", "concepts", "invariants"))))).alias("key")).distinct()
-    checks = [
-        out(missing(symbols.filter("in_slice").select("id", "symbol_id", c("path").alias("key")), paths), lit("index"), F.concat(lit("in_slice symbol "), "symbol_id", lit(" has no source file "), "key")),
-        out(missing(symbols.filter("parent <> ''").select("id", "symbol_id", c("parent").alias("key")), known), lit("index"), F.concat(lit("symbol "), "symbol_id", lit(" parent "), "key", lit(" not in symbols"))),
-        out(missing(ends, known), lit("index"), F.concat(at("edges", c("end")), lit(" not in symbols"))),
-        out(missing(refs.select("id", "pos", c("r.path").alias("key")), paths), lit("index"), F.concat(at("references", lit("path")), lit(" not in files"))),
-        out(missing(refs.select("id", "pos", c("r.symbol_id").alias("key")), known), lit("index"), F.concat(at("references", lit("symbol_id")), lit(" not in symbols"))),
-        out(placed.filter("symbol_id is not null and _known is null"), c("location"), F.concat(lit("symbol_id "), "symbol_id", lit(" not in index.symbols"))),
-        out(placed.filter(c("n_lines").isNull() & ~stub), c("location"), F.concat(lit("path "), F.coalesce("path", lit("null")), lit(" not in index.files"))),
-        out(placed.filter((first > c("n_lines")) | (last > c("n_lines"))), c("location"), F.concat(lit("range L"), first.cast("string"), lit("-L"), last.cast("string"), lit(" out of bounds for "), "path", lit(" ("), c("n_lines").cast("string"), lit(" lines)"))),
-        out(missing(stale, items), lit("changes.stale_items"), F.concat(lit("unknown id "), "key")),
-    ]
-    return reduce(DataFrame.union, checks)
+    unknown = stale.join(items, ["id", "key"], "left_anti").select("id", lit("changes.stale_items").alias("location"), F.concat(lit("unknown id "), "key").alias("message"))
+    return lost.union(broken).union(unknown)
 
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(id, json): what changed from the artifact to the new index of the same id, the items that it makes stale and those
     that can be used again."""
     c = F.col
+    before, after = slim(before), slim(after)
     symbols = D.snapshot_diff(*(_symbols(x).filter("in_slice").select("id", c("symbol_id").alias("key"), c("content_hash").alias("h")) for x in (before, after)), ["id", "key"], "h")
     files = D.snapshot_diff(*(_files(x).select("id", c("path").alias("key"), c("sha256").alias("h")) for x in (before, after)), ["id", "key"], "h")
     touched = symbols.select("id", "key").union(files.select("id", F.concat(F.lit("path:"), "key")))
@@ -145,6 +181,31 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return rows.select("id", F.to_json(doc).alias("json"))
 
 
+def notice(changed: DataFrame) -> DataFrame:
+    """(id, notice) of the documents of changes() whose files and symbols are all as they were."""
+    lists = F.from_json("json", "changes struct<files:array<string>,symbols:array<string>>")
+    rows = changed.select("id", lists.alias("c")).filter((F.size("c.changes.files") == 0) & (F.size("c.changes.symbols") == 0))
+    return rows.select("id", F.lit("no changes: artifact is up to date").alias("notice"))
+
+
+def lineage(artifacts: DataFrame) -> DataFrame:
+    """(artifact_id, ancestor, steps) of artifacts (artifact_id, previous): all that previous ids lead to, known or not.
+
+    Chains are followed by doubling: each round joins what is known with itself, so rounds grow with the logarithm of
+    the longest chain. A chain that comes back to itself ends where it meets an id again.
+    """
+    c = F.col
+    links = artifacts.filter("previous is not null").select("artifact_id", c("previous").alias("ancestor"), F.lit(1).cast("long").alias("steps"))
+    known = G.cut(links.groupBy("artifact_id", "ancestor").agg(F.min("steps").alias("steps")))
+    count = known.count()
+    while True:
+        further = known.alias("x").join(known.alias("y"), c("x.ancestor") == c("y.artifact_id")).select("x.artifact_id", "y.ancestor", (c("x.steps") + c("y.steps")).alias("steps"))
+        known = G.cut(known.union(further.filter("artifact_id <> ancestor")).groupBy("artifact_id", "ancestor").agg(F.min("steps").alias("steps")))
+        before, count = count, known.count()
+        if count == before:
+            return known
+
+
 def quickfix(of: DataFrame) -> DataFrame:
     """(id, pos, value): one line for each finding that has evidence, at its first."""
     f = of.select("id", F.posexplode("a.findings").alias("pos", "f")).filter("size(f.evidence) > 0").select("id", "pos", "f", F.expr("f.evidence[0]").alias("e"))
@@ -177,6 +238,17 @@ def redacted(value, key: str | None = None):
     return value, total
 
 
+def redact(documents: DataFrame) -> DataFrame:
+    """(id, json, redactions): each document with its secrets replaced, by shape or by the key that they stand under."""
+
+    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [redacted(json.loads(x)) for x in b["json"]]
+            yield pd.DataFrame({"id": b["id"], "json": [json.dumps(d, ensure_ascii=False, separators=(",", ":")) for d, _ in found], "redactions": [n for _, n in found]})
+
+    return documents.select("id", "json").mapInPandas(clean, "id string, json string, redactions long")
+
+
 def rule_errors(value, rules: dict, root: dict | None = None, at: tuple = ()) -> list[tuple[str, str]]:
     """(location, message) where a value breaks a rule document in JSON Schema's words: $ref, type, enum, const, required,
     properties, additionalProperties, items, and the limits of lengths, numbers, sizes and patterns."""

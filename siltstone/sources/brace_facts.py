@@ -89,7 +89,10 @@ def tokens_of(raw: bytes, go: bool) -> list[Token]:
 
 
 class BraceFacts:
-    """As PythonFacts: symbols, calls, usages, targets and names of one file."""
+    """As PythonFacts: symbols, calls, usages, targets and names of one file. Tokens are read whatever their order, so a
+    file always counts as read whole."""
+
+    whole = True
 
     def __init__(self, language: str, module: str, source: str, repeats: bool = True):
         self.language, self.module, self.repeats, self.raw = language, module, repeats, source.encode()

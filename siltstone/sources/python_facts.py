@@ -31,6 +31,41 @@ def parts_of(node: ast.AST) -> list[ast.AST]:
     return sorted(flat(node), key=lambda c: (c.lineno, c.col_offset))
 
 
+def _statements(lines: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of lines that each begin with one that is not indented, is no comment and closes nothing."""
+    starts = [i for i, x in enumerate(lines) if x[:1] not in ("", " ", "\t", "\f", "#", ")", "]", "}", "\r")]
+    return zip([0, *starts[1:]], [*starts[1:], len(lines)], strict=True) if starts else iter([(0, len(lines))])
+
+
+def parsed(text: str) -> tuple[ast.Module, bool]:
+    """The syntax tree and whether it is that of the whole text.
+
+    A text with an error is read statement by statement. Of a statement with an error, the lines that stop the parser are
+    blanked one after another, each at its own statement's cost, and what is left is kept; all keep their lines.
+    """
+    try:
+        return ast.parse(text), True
+    except SyntaxError:
+        body, lines = [], text.split("\n")
+        for a, b in _statements(lines):
+            held = lines[a:b]
+            for _ in range(len(held)):
+                try:
+                    tree = ast.parse("\n" * a + "\n".join(held))
+                except SyntaxError as e:
+                    at = min(max((e.lineno or 0) - 1 - a, 0), len(held) - 1)
+                    while at and not held[at].strip():
+                        at -= 1
+                    indent = len(held[at]) - len(held[at].lstrip())
+                    if not held[at].strip() or held[at].strip() == "pass":
+                        break
+                    held[at] = held[at][:indent] + "pass" if at else ""  # keeps the block that the line stood in
+                    continue
+                body += tree.body
+                break
+        return ast.Module(body, []), False
+
+
 class PythonFacts:
     """Collects one file's facts. Lines count from 1; columns are UTF-8 bytes from 0.
 
@@ -49,7 +84,8 @@ class PythonFacts:
         self.targets: list[str] = []
         self.names: list[tuple] = []
         root = f"python:{module}"
-        for node in parts_of(ast.parse(self.raw.decode())):
+        tree, self.whole = parsed(self.raw.decode())
+        for node in parts_of(tree):
             self._see(node, (), root)
 
     def _text(self, s: Span) -> str:

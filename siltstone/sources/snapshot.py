@@ -10,7 +10,7 @@ import logging
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +23,7 @@ EXTENSIONS = {"python": ["py"], "typescript": ["ts", "tsx"], "javascript": ["js"
 PLACE = "start_line int, start_character int, end_line int, end_character int"
 SYMBOL = f"symbol_id string, kind string, name string, qualname string, {PLACE}, content_hash string, signature string, parent string"
 FACTS = (
-    "path string, parsed boolean, "
+    "parsed boolean, "
     f"symbols array<struct<{SYMBOL.replace(' string', ':string').replace(' int', ':int')}>>, "
     + ", ".join(f"{c} array<struct<{x}{PLACE.replace(' int', ':int')}>>" for c, x in {"calls": "enclosing:string, name:string, is_member:boolean, ", "usages": "enclosing:string, name:string, ", "names": "name:string, full_name:string, "}.items())
     + ", targets array<string>"
@@ -106,33 +106,38 @@ def _read(language: str, module: str, source: str, repeats: bool):
     return BraceFacts(language, module, source, repeats)
 
 
-def _rows(batches: Iterator[pd.DataFrame], repeats: bool) -> Iterator[pd.DataFrame]:
+def _rows(batches: Iterator[pa.RecordBatch], repeats: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     place = lambda s: dict(zip(("start_line", "start_character", "end_line", "end_character"), s, strict=True))
     for batch in batches:
         out = []
-        for path, language, module, source in zip(batch["path"], batch["language"], batch["module"], batch["source"], strict=True):
+        for language, module, source in zip(*(batch.column(c).to_pylist() for c in ("language", "module", "source")), strict=True):
             try:
                 f = _read(language, module, source, repeats)
             except (SyntaxError, ValueError, RecursionError, MemoryError):
-                out.append({"path": path, "parsed": False, "symbols": [], "calls": [], "usages": [], "names": [], "targets": []})
+                out.append({"parsed": False, "symbols": [], "calls": [], "usages": [], "names": [], "targets": []})
                 continue
             out.append({
-                "path": path,
-                "parsed": True,
+                "parsed": f.whole,
                 "symbols": [{k: v for k, v in s.items() if k != "span"} | place(s["span"]) for s in f.symbols],
                 "calls": [{"enclosing": o, "name": n, "is_member": m} | place(s) for o, n, m, s in f.calls],
                 "usages": [{"enclosing": o, "name": n} | place(s) for o, n, s in f.usages],
                 "names": [{"name": n, "full_name": full} | place(s) for s, n, full in f.names],
                 "targets": f.targets,
             })
-        yield pd.DataFrame(out, columns=["path", "parsed", "symbols", "calls", "usages", "names", "targets"])
+        new = [pa.array([r[field.name] for r in out], field.type) for field in list(schema)[batch.num_columns :]]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *new], schema=schema)
 
 
 def facts(of: DataFrame, repeats: bool = True) -> DataFrame:
-    """files with nested facts, one row a file. A file that does not parse has parsed = false and no facts but its module."""
+    """files with nested facts, one row a file, all from one pass over it. Where a file does not parse whole, parsed is
+    false, and the facts are those of the parts that do."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
     keys = of.select("path", "language", "module", "file_ord", "source", "sha256", "n_bytes")
-    found = keys.select("path", "language", "module", "source").mapInPandas(lambda it: _rows(it, repeats), FACTS)
-    return keys.join(found, "path")
+    schema = StructType([*keys.schema.fields, *_parse_datatype_string(FACTS).fields])
+    arrow = to_arrow_schema(schema)
+    return keys.mapInArrow(lambda it: _rows(it, repeats, arrow), schema)
 
 
 def symbols(of: DataFrame) -> DataFrame:

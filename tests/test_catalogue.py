@@ -5,7 +5,7 @@ from random import Random
 import duckdb
 import pytest
 
-from siltstone import catalogue, catalogue_sources  # noqa: F401  both register
+from siltstone import catalogue, catalogue_index, catalogue_sources  # noqa: F401  all register
 from siltstone.functions import text as T
 from siltstone.operators import diff as D
 from siltstone.operators import graph as G
@@ -56,9 +56,6 @@ def test_swapped_snapshots_swap_added_and_removed(spark):
 
 
 def test_redaction(spark):
-    from pyspark.sql import functions as F
-
     rows = [("db_password = 'hunter22'",), ('api_key: "abcdef" x',), ("token = 'short'",), ("k AKIA" + "A" * 16 + " end",), ("-----BEGIN RSA PRIVATE KEY-----\nx\n-----END RSA PRIVATE KEY-----",)]
-    text, n = T.redact(F.col("t"))
-    got = [tuple(r) for r in spark.createDataFrame(rows, "t string").select(text, n).collect()]
+    got = [(r.t, r.n) for r in T.redact(spark.createDataFrame(rows, "t string"), "t", "n").collect()]
     assert got == [("db_password = '[REDACTED]'", 1), ('api_key: "[REDACTED]" x', 1), ("token = 'short'", 0), ("k [REDACTED] end", 1), ("[REDACTED]", 1)]

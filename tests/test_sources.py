@@ -263,3 +263,54 @@ def test_revisions_and_review(spark, tmp_path):
     before, after = S.facts(S.files(R.base_files(changed, root, base))), S.facts(S.files(S.scan(spark, root)))
     got = {(r.symbol_id, r.change) for r in R.review(changed, before, after).collect()}
     assert got == {("python:keep:a", "modified"), ("python:keep:b", "removed"), ("python:keep:c", "added"), ("python:gone:g", "removed"), ("go:new:N", "added")}
+
+
+def test_files_with_errors_keep_their_sound_statements():
+    text = "import a\n\n\ndef f(:\n    pass\n\n\nclass C:\n    def run(self):\n        x = = 1\n        return go(x)\n\n    def rest(self):\n        return 2\n\n\nz = (1,\n\ndef last():\n    pass\n"
+    f = PythonFacts("m", text)
+    assert not f.whole and f.targets == ["a"]
+    assert [(k, q, a) for k, q, a, _ in short(f)] == [("class", "C", 8), ("method", "C.run", 9), ("method", "C.rest", 13), ("function", "last", 19)]
+    assert ("C.run", "go", False) in calls(f)
+    assert PythonFacts("m", "def f():\n    return 1\n").whole and not PythonFacts("m", "(((").whole
+
+
+def test_a_service_that_answers_and_one_that_failed(spark):
+    files = sources(spark, {"a.py": "from b import go\n\n\ndef start():\n    go(1)\n    return Shape\n", "b.py": "def go(x):\n    return x\n\n\nclass Shape:\n    def go(self):\n        pass\n"})
+    definitions = spark.createDataFrame([("a.py:5:4", 0, "b.py", 1, 4), ("a.py:6:11", 0, "b.py", 5, 6)], "request string, answer int, path string, line int, character int")
+    answers = spark.createDataFrame([("python", "srv", False)], "language string, service string, failed boolean")
+    x = I.build(files, ["a.py"], 1, definitions=definitions, answers=answers)
+    assert {(r.src, r.dst, r.resolution) for r in x.edges.filter("kind = 'calls'").collect()} == {("python:a:start", "python:b:go", "exact")}  # two symbols are named go
+    assert {(r.start_line, r.symbol_id) for r in x.references.collect()} >= {(5, "python:b:go"), (6, "python:b:Shape")}
+    assert json.loads(I.document(x, {"id": "p"}, 1).first().json)["index"]["resolution"] == {"python": "lsp:srv"}
+    failed = spark.createDataFrame([("python", "srv", True)], "language string, service string, failed boolean")
+    y = I.build(files, ["a.py"], 1, definitions=definitions, answers=failed)
+    assert y.edges.filter("kind = 'calls'").count() == 0 and [tuple(r) for r in y.tiers.collect()] == [("python", "generic")]
+
+
+def test_changed_files_are_entries_after_those_named(spark):
+    changed = spark.createDataFrame([("b.py", "modified"), ("a.py", "added"), ("c.py", "removed")], "path string, change string")
+    assert I.changed_entries(["x"], changed) == ["x", "a.py", "b.py"]
+    with pytest.raises(ValueError):
+        I.changed_entries([], changed.filter("change = 'removed'"))
+
+
+def test_lineage_of_a_circle_ends(spark):
+    rows = [("a", None), ("b", "a"), ("c", "b"), ("d", "gone"), ("x", "y"), ("y", "x")]
+    got = {tuple(r) for r in A.lineage(spark.createDataFrame(rows, "artifact_id string, previous string")).collect()}
+    assert got == {("b", "a", 1), ("c", "b", 1), ("c", "a", 2), ("d", "gone", 1), ("x", "y", 1), ("y", "x", 1)}
+
+
+def test_notice_only_where_nothing_changed(spark):
+    same, other = artifact(), artifact()
+    other["index"] = {**other["index"], "files": [{"path": "a.py", "sha256": "2", "source": "x\ny"}]}
+    before, after = docs(spark, same, same), docs(spark, same, other)
+    assert [r.id for r in A.notice(A.changes(A.parsed(before), A.parsed(after))).collect()] == ["0"]
+
+
+def test_pointers_of_steps_branches_and_flows(spark):
+    e = lambda s: [{"symbol_id": s, "path": "a.py"}]
+    flow = {"id": "f", "evidence": e("own"), "steps": [{"evidence": e("s0"), "branches": [{"evidence": e("b0")}, {}]}, {}]}
+    of = A.parsed(docs(spark, artifact(flows=[{}, flow], concepts=[], lessons={"predict": [{"id": "p", "evidence": e("l")}]})))
+    got = {(r.part, r.part_pos, r.item, r.location, r.symbol_id) for r in A.evidence(of).collect()}
+    assert got == {("flows", 1, "f", "flows[1].steps[0].evidence[0]", "s0"), ("flows", 1, "f", "flows[1].steps[0].branches[0].evidence[0]", "b0"), ("lessons.predict", 0, "p", "lessons.predict[0].evidence[0]", "l")}
+    assert {r.symbol_id for r in A.item_evidence(of).collect()} == {"own", "s0", "b0", "l"}
