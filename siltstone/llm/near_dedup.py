@@ -239,3 +239,16 @@ def one_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, text: st
 def query(spark, sf_dir: str) -> DataFrame:
     """op9: doc_id, n_shingles, component_id, kept at four-word shingles and 80 percent."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+ e AS (SELECT doc_id, unnest(s) AS t FROM s),
+ pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b USING (t) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+ links AS (SELECT x, y FROM pairs JOIN s p ON p.doc_id = x JOIN s q ON q.doc_id = y WHERE 100 * c >= 80 * (len(p.s) + len(q.s) - c)),
+ ways AS (SELECT x AS a, y AS b FROM links UNION ALL SELECT y, x FROM links),
+ r(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT ways.b, r.root FROM r JOIN ways ON ways.a = r.node),
+ c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, component_id, component_id = s.doc_id AS kept FROM s JOIN c ON c.node = s.doc_id
+"""

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_passage_windows": passage_windows.query,
 }
 
-ORACLE = {"op8_line_dedup": line_dedup.SQL}
+ORACLE = {"op3_substring_dedup": substring_dedup.SQL, "op8_line_dedup": line_dedup.SQL, "op9_near_dedup": near_dedup.SQL}

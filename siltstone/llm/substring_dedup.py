@@ -459,3 +459,16 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id
 def query(spark, sf_dir: str) -> DataFrame:
     """op3: all documents at 100 bytes."""
     return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ w AS (SELECT doc_id, unnest(range(0, length(h) // 2 - 99)) AS i, h FROM d WHERE length(h) >= 200),
+ f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS s FROM w)),
+ g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM f WHERE k > 1)),
+ runs AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, run),
+ cut AS (SELECT doc_id, sum(b - a) AS n, count(*) AS k, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM runs GROUP BY doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(k, 0)::BIGINT AS n_spans,
+ sha256(unhex(CASE WHEN k IS NULL THEN h ELSE array_to_string(list_transform(range(0, k + 1), lambda j: substr(h, 2 * (CASE WHEN j = 0 THEN 0 ELSE ends[j] END) + 1, 2 * (CASE WHEN j = k THEN length(h) // 2 ELSE starts[j + 1] END - CASE WHEN j = 0 THEN 0 ELSE ends[j] END))), '') END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
