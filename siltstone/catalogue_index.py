@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
-from siltstone.catalogue_sources import GO, OTHER, PYTHON, SCRIPT, P, _chain, _imports, _python, _render, _snapshot
+from siltstone.catalogue_sources import AROUND, GO, OTHER, PYTHON, STUBS, P, _artifacts, _chain, _python, _render, _slice, _snapshot
 from siltstone.functions import text as T
+from siltstone.operators import graph as G
 from siltstone.plans import index as I
 from siltstone.plans import marts as M
 from siltstone.registry import query
@@ -170,9 +174,40 @@ def callees(t):
     return M.callees(_edges(t), wanted)
 
 
+@query(f"""WITH RECURSIVE {AROUND}, {STUBS} SELECT 'python:m' || k || ':f' || k AS symbol_id FROM t WHERE k NOT IN (SELECT k FROM near)""")
+def slice_stubs(t):
+    """Symbols outside the slice that kept calls lead to."""
+    return _slice(t).symbols.filter("not in_slice").select("symbol_id")
+
+
+# snapshots of a folder
+
+
+@query("SELECT 'a/m' || s_suppkey || '.py' AS path, 'a.m' || s_suppkey AS module, 'sha256:' || sha256('x' || s_suppkey || chr(10)) AS sha256 FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT 'b/__init__.py', 'b', 'sha256:' || sha256('y')")
+def folder_scan(t):
+    """A folder of files, one a supplier: of three languages' names, some in a folder that is left out."""
+    rows = t("supplier").select("s_suppkey").collect()  # the files are made here
+    spark = t("supplier").sparkSession
+    root = f"{G.shared_dir(spark).removeprefix('file://')}/folder-{uuid.uuid4().hex}"
+    for name in ("a", "b", "skip"):
+        os.makedirs(f"{root}/{name}")
+    for r in rows:
+        place = ("a/m{}.py", "skip/m{}.py", "a/m{}.txt")[r.s_suppkey % 3].format(r.s_suppkey)
+        with open(f"{root}/{place}", "w") as f:
+            f.write(f"x{r.s_suppkey}\n")
+    with open(f"{root}/b/__init__.py", "w") as f:
+        f.write("y")
+    return S.files(S.scan(spark, root, ["skip"])).select("path", "module", "sha256")
+
+
 # documents
 
 
+@query("SELECT id, part, i::INTEGER AS part_pos, 'findings[' || i || '].evidence[0]' AS location, symbol_id, path FROM (SELECT l_orderkey AS id, 'findings' AS part, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'p' || l_partkey, 's' || l_suppkey) - 1 AS i, 's' || (l_suppkey + l_linenumber % 2) AS symbol_id, 'p' || l_partkey AS path FROM lineitem)")
+def evidence_pointers(t):
+    return A.evidence(A.parsed(_artifacts(t))).select("id", "part", "part_pos", "location", "symbol_id", "path")
+
+
 def _documents(t, hash_of: str = "s_suppkey"):
     """An artifact a supplier k. Its symbol's file is missing for odd k, its parent for k of three, its reference's symbol for
     k of five; one stale id of seven is unknown."""

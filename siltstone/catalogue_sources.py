@@ -106,8 +106,12 @@ def _slice(t):
 AROUND = f"{LINKS}, near AS (SELECT c.* FROM c WHERE EXISTS (SELECT 1 FROM (VALUES (75), (146)) v(e) WHERE abs(k - e) <= 2))"
 
 
-@query(f"""WITH RECURSIVE {AROUND}, e AS (SELECT k AS i, k AS a, k - 1 AS b FROM c WHERE calls), r(k, t) AS (SELECT k, '' FROM near UNION SELECT x.k, x.p FROM (SELECT CASE WHEN e.a = r.k THEN e.b ELSE e.a END AS k, 'm' || e.a || '.py' AS p, r.t AS t FROM r JOIN e ON r.k IN (e.a, e.b)) x WHERE x.p > x.t),
- t AS (SELECT k, min(t) AS t FROM r GROUP BY k), held AS (SELECT DISTINCT e.i FROM e JOIN t ON t.k IN (e.a, e.b) WHERE t.t < 'm' || e.a || '.py')
+#: The calls in their files' order, and of each function the first file that leads to it from the slice, one call after another.
+STUBS = """e AS (SELECT k AS i, k AS a, k - 1 AS b FROM c WHERE calls), r(k, t) AS (SELECT k, '' FROM near UNION SELECT x.k, x.p FROM (SELECT CASE WHEN e.a = r.k THEN e.b ELSE e.a END AS k, 'm' || e.a || '.py' AS p, r.t AS t FROM r JOIN e ON r.k IN (e.a, e.b)) x WHERE x.p > x.t),
+ t AS (SELECT k, min(t) AS t FROM r GROUP BY k)"""
+
+
+@query(f"""WITH RECURSIVE {AROUND}, {STUBS}, held AS (SELECT DISTINCT e.i FROM e JOIN t ON t.k IN (e.a, e.b) WHERE t.t < 'm' || e.a || '.py')
  SELECT (SELECT count(*) FROM c)::BIGINT AS files_scanned, 2 * (SELECT count(*) FROM near)::BIGINT AS slice_symbols, (SELECT count(*) FROM t WHERE k NOT IN (SELECT k FROM near))::BIGINT AS boundary_symbols, (SELECT count(*) FROM held)::BIGINT AS edges, (SELECT count(*) FROM c WHERE NOT calls)::BIGINT AS unresolved_calls""")
 def slice_stats(t):
     return _slice(t).stats

@@ -232,7 +232,7 @@ def build(files: DataFrame, entries: list[str], hops: int = 2, max_source_bytes:
     """
     c = F.col
     entries = changed_entries(entries, changed)
-    facts = G.cut(S.facts(files, repeats))
+    facts = G.written(S.facts(files, repeats), "facts")
     tiers = G.cut(served(facts, answers if definitions is not None else None))
     symbols, edges, refs = relations(facts, tiers, definitions)
     last = K.dedup_last(symbols, ["symbol_id"], ["file_ord", "sym_ord"])

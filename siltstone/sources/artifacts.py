@@ -95,7 +95,7 @@ def slim(documents: DataFrame) -> DataFrame:
     files = F.transform("a.index.files", lambda f: F.struct(f["path"].alias("path"), f["sha256"].alias("sha256"), T.line_count(f["source"]).alias("n_lines")))
     index = F.col("a.index").withField("files", files)
     rows = documents if "a" in documents.columns else parsed(documents)
-    return G.cut(rows.select("id", F.col("a").withField("index", index).alias("a")))
+    return G.written(rows.select("id", F.col("a").withField("index", index).alias("a")), "documents")
 
 
 def _symbols(of: DataFrame) -> DataFrame:
