@@ -47,3 +47,21 @@ def by_bucket(bucket: np.ndarray, *columns: np.ndarray):
     edges = np.flatnonzero(np.diff(b)) + 1
     for rows in np.split(order, edges) if len(order) else []:
         yield int(bucket[rows[0]]), pack(*(c[rows] for c in columns))
+
+
+def ragged(bucket: np.ndarray, columns: list[np.ndarray], parts: list[np.ndarray]):
+    """(bucket, blob of its rows) for each bucket: a row is a value of each column and an array of its own."""
+    order = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.diff(bucket[order])) + 1
+    for rows in np.split(order, edges) if len(order) else []:
+        mine = [parts[i] for i in rows.tolist()]
+        head = pack(*(c[rows] for c in columns), np.array([len(x) for x in mine], np.uint32))
+        yield int(bucket[rows[0]]), struct.pack("<I", len(head)) + head + pack(np.concatenate(mine))
+
+
+def joined_ragged(blobs: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(columns, where each row's array starts and ends in the values, the values) of blobs by ragged()."""
+    sizes = [struct.unpack_from("<I", x)[0] for x in blobs]
+    *columns, n = joined([x[4 : 4 + k] for x, k in zip(blobs, sizes, strict=True)])
+    (flat,) = joined([x[4 + k :] for x, k in zip(blobs, sizes, strict=True)])
+    return columns, np.concatenate([[0], np.cumsum(n.astype(np.int64))]), flat
