@@ -343,7 +343,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, text: str = "text", buckets
     histogram = postings.select(f"{held}.pairs").mapInArrow(_histogram, "b int, n long").groupBy("b").agg(F.sum("n").alias("n"))
     layout = Layout([tuple(r) for r in histogram.collect()], buckets or 2 * spark.sparkContext.defaultParallelism)  # a row a B id
     dealt = postings.select(F.col(row).alias("row"), f"{held}.pairs").mapInArrow(lambda it: _deal(it, layout), "bucket long, side int, blob binary")
-    sorted_ = dealt.repartition(layout.count, "bucket").sortWithinPartitions("bucket", "side")
+    sorted_ = dealt.repartitionById(layout.count, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "side")
     parts = sorted_.mapInArrow(_contributions, "row long, count_sum long, n_best long")
     sums = parts.groupBy("row").agg(F.sum("count_sum").alias("count_sum"), F.sum("n_best").alias("n_best"))
     out, c = facts.join(sums.select(F.col("row").alias(back), F.struct("count_sum", "n_best").alias(sum_of)), F.col(row) == F.col(back), "left"), F.col
