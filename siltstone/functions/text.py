@@ -68,28 +68,61 @@ def _wide(pattern: str) -> str:
     return pattern.replace(r"\b", EDGE)
 
 
+def _assignment() -> str:
+    return "(?U)(?i)" + _wide(ASSIGNMENT).replace(r"\s", r"[\s\x1c-\x1f]")
+
+
 def redact_assignments(text: Column) -> tuple[Column, Column]:
     """(text with the values of secret-named assignments replaced, how many). Texts without such a name are not searched further."""
-    pattern = F.lit("(?U)(?i)" + _wide(ASSIGNMENT).replace(r"\s", r"[\s\x1c-\x1f]"))
+    pattern = F.lit(_assignment())
     named = text.rlike("(?U)(?i)" + SECRET_NAME)
     return F.when(named, F.regexp_replace(text, pattern, F.lit("$1$2$3" + MARK + "$3"))).otherwise(text), F.when(named, F.regexp_count(text, pattern)).otherwise(F.lit(0)).cast("long")
 
 
-def redact(df: DataFrame, text: str, count: str) -> DataFrame:
-    """df with `text` redacted and `count`, how many places: assignments first, then the value patterns one after another.
+def _redacted(text: Column) -> Column:
+    """(t, places) of a text: redacted, and an array of (kind, n, line) with an entry a kind of secret.
 
-    Each step is a column of its own that the next one reads, so no step's text is computed twice.
+    Each step is a function of the value that the one before it made, so the expression grows with the number of steps
+    alone, wherever the optimizer puts it.
     """
-    c = F.col
-    whole, n = redact_assignments(c(text))
-    df = df.withColumns({"_r_text": whole, "_r_n": n})
+
+    def place(kind: str, n: Column, held: Column, pattern: str) -> Column:
+        line = F.when(n > 0, line_count(F.split(held, pattern, 2)[0]))  # what stands before the first match
+        return F.array(F.struct(F.lit(kind).alias("kind"), n.cast("long").alias("n"), line.alias("line")))
+
+    def first(held: Column) -> Column:
+        whole, n = redact_assignments(held)
+        return F.struct(whole.alias("t"), place("assignment", n, held, _assignment()).alias("places"))
+
+    def step(name: str, pattern: str):
+        def on(x: Column) -> Column:
+            there = F.lit(False)
+            for literal in LITERALS[name]:
+                there = there | F.contains(x["t"], F.lit(literal))
+            n = F.when(there, F.regexp_count(x["t"], F.lit(pattern))).otherwise(F.lit(0))
+            new = F.when(there, F.regexp_replace(x["t"], F.lit(pattern), F.lit(MARK))).otherwise(x["t"])
+            return F.struct(new.alias("t"), F.concat(x["places"], place(name, n, x["t"], pattern)).alias("places"))
+
+        return on
+
+    state = F.transform(F.array(text), first)
     for name, p in VALUE_PATTERNS.items():
-        wide, there = F.lit(_wide(p)), F.lit(False)
-        for x in LITERALS[name]:
-            there = there | F.contains(c("_r_text"), F.lit(x))
-        step = F.struct(F.when(there, F.regexp_replace("_r_text", wide, F.lit(MARK))).otherwise(c("_r_text")).alias("t"), F.when(there, F.regexp_count(c("_r_text"), wide)).otherwise(F.lit(0)).alias("n"))
-        df = df.withColumn("_r_step", step).withColumns({"_r_text": c("_r_step.t"), "_r_n": c("_r_n") + c("_r_step.n")})
-    return df.withColumns({text: c("_r_text"), count: c("_r_n").cast("long")}).drop("_r_text", "_r_n", "_r_step")
+        state = F.transform(state, step(name, _wide(p)))
+    return state[0]
+
+
+def redact(df: DataFrame, text: str, count: str) -> DataFrame:
+    """df with `text` redacted and `count`, how many places: assignments first, then the value patterns one after another."""
+    out = df.withColumn("_r", _redacted(F.col(text)))
+    total = F.aggregate("_r.places", F.lit(0).cast("long"), lambda n, x: n + x["n"])
+    return out.withColumns({text: F.col("_r.t"), count: total}).drop("_r")
+
+
+def redact_places(df: DataFrame, text: str, places: str) -> DataFrame:
+    """df with `text` redacted as redact() does and `places`, an array of (kind, n, line): of each kind of secret found how
+    often it stood there and the line of the first. Lines count from 1 in the text as it was."""
+    out = df.withColumn("_r", _redacted(F.col(text)))
+    return out.withColumns({text: F.col("_r.t"), places: F.filter("_r.places", lambda x: x["n"] > 0)}).drop("_r")
 
 
 def island(payload: Column) -> Column:

@@ -37,13 +37,21 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder, by columns, and read back: what reads it again takes only the columns it needs.
 
-    The files go when the application ends.
+    The files go when the application ends, or by removed().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._siltstone_path = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t._siltstone_path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -5,6 +5,7 @@ from random import Random
 import duckdb
 import pytest
 
+from jobs import queries as job_queries  # noqa: F401  registers
 from siltstone import catalogue, catalogue_index, catalogue_sources  # noqa: F401  all register
 from siltstone.functions import text as T
 from siltstone.operators import diff as D
