@@ -67,7 +67,7 @@ def unique_name_resolve(t):
     return _resolved(t).filter("target is not null").select("l_orderkey", "l_linenumber", "name", "target")
 
 
-@query(f"WITH {CALLS} SELECT p_type, count(*)::BIGINT AS calls, count(*) FILTER (WHERE target IS NULL)::BIGINT AS unresolved FROM calls c LEFT JOIN one o ON o.name = c.name WHERE NOT (l_returnflag = 'R' AND p_type = 'PROMO') GROUP BY p_type")
+@query(f"WITH {CALLS} SELECT p_type, count(*)::BIGINT AS calls, count(*) FILTER (WHERE target IS NULL OR (l_returnflag = 'R' AND p_type = 'PROMO'))::BIGINT AS unresolved FROM calls c LEFT JOIN one o ON o.name = c.name GROUP BY p_type")
 def unresolved_count(t):
     return _resolved(t).groupBy("p_type").agg(F.count("*").alias("calls"), F.count_if(F.col("target").isNull()).alias("unresolved"))
 

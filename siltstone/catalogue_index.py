@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from siltstone.catalogue_sources import AROUND, GO, OTHER, PYTHON, STUBS, P, _artifacts, _chain, _python, _render, _slice, _snapshot
 from siltstone.functions import text as T
+from siltstone.operators import diff as D
 from siltstone.operators import graph as G
 from siltstone.plans import index as I
 from siltstone.plans import marts as M
 from siltstone.registry import query
 from siltstone.sources import artifacts as A
+from siltstone.sources import revisions as R
 from siltstone.sources import snapshot as S
+from siltstone.sources import store
 
 # definition services and tiers
 
@@ -50,7 +53,7 @@ def resolution_tiers(t):
     return I.served(_two_languages(t), _tiers(t))
 
 
-@query("SELECT 'python:m' || p_partkey || ':C' || p_partkey || '.run' AS enclosing, 'python:m' || p_partkey || ':helper' || p_partkey AS target, 'exact' AS resolution FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'go:m' || p_partkey || '/x:Box' || p_partkey || '.Open', 'go:m' || p_partkey || '/x:Make' || p_partkey, 'name_match' FROM part WHERE p_partkey % 2 = 1")
+@query("SELECT 'python:m' || p_partkey || ':C' || p_partkey || '.run' AS enclosing, 'python:m' || p_partkey || ':helper' || p_partkey AS target, 'lsp' AS resolution FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'go:m' || p_partkey || '/x:Box' || p_partkey || '.Open', 'go:m' || p_partkey || '/x:Make' || p_partkey, 'name_match' FROM part WHERE p_partkey % 2 = 1")
 def tiered_calls(t):
     """Calls that lead somewhere: by the service's answers in Python, by names in Go, whose service failed."""
     facts, answers = _two_languages(t), t("part").select(F.expr("concat('m', p_partkey, '.py:7:15')").alias("request"), F.lit(0).alias("answer"), F.expr("concat('m', p_partkey, '.py')").alias("path"), F.lit(10).alias("line"), F.lit(4).alias("character"))
@@ -60,24 +63,25 @@ def tiered_calls(t):
 
 @query("SELECT 'm' || p_partkey || '.py' AS path, 11::INTEGER AS start_line, 15 + length(p_partkey::VARCHAR) AS start_character, 'python:m' || p_partkey || ':C' || p_partkey || '.run' AS symbol_id FROM part")
 def usage_references(t):
-    """The usages left to ask for are the calls of `run`, which every class has."""
+    """The service's answers for the usages of `run`, of all that are asked for."""
     facts = _python(t)
-    symbols, _, refs = I.relations(facts)
-    asked = I.usage_requests(facts, symbols, refs, most=1 << 30).withColumn("request", I.call_request())
+    symbols = S.symbols(facts)
+    asked = I.usage_requests(facts, symbols, most=1 << 30).withColumn("request", I.call_request())
     answers = t("part").select(F.expr("concat('m', p_partkey, '.py:11:', 15 + length(cast(p_partkey as string)))").alias("request"), F.lit(0).alias("answer"), F.expr("concat('m', p_partkey, '.py')").alias("path"), F.lit(6).alias("line"), F.lit(8).alias("character"))
     return I.usage_references(asked, answers, symbols).select("path", "start_line", F.col("start_character").cast("long"), "symbol_id")
 
 
-@query("SELECT language, least(n, 500)::BIGINT AS asked FROM (SELECT 'python' AS language, count(*) AS n FROM part) WHERE n > 0")
+@query(f"WITH {P} SELECT 'python' AS language, least(sum(3 + (o <= top)::INTEGER), 500)::BIGINT AS asked FROM p, known HAVING count(*) > 0")
 def usage_budget(t):
+    """Of each file the usages of its class, of `run` and of a helper that there is, in a budget of 500 requests."""
     facts = _python(t)
-    symbols, _, refs = I.relations(facts)
-    return I.usage_requests(facts, symbols, refs).groupBy("language").agg(F.count("*").alias("asked"))
+    return I.usage_requests(facts, S.symbols(facts)).groupBy("language").agg(F.count("*").alias("asked"))
 
 
 @query(f"WITH {P} SELECT 'm' || k || '.py' AS path, 'python:m' || o || ':helper' || o AS symbol_id FROM p, known WHERE o <= top")
 def import_name_references(t):
-    return I.relations(_python(t))[2].filter("start_line = 2").select("path", "symbol_id")
+    facts = _python(t)
+    return I.name_references(facts, S.symbols(facts)).select("path", "symbol_id")
 
 
 @query("SELECT 'python:m' || p_partkey || e AS enclosing, name, n::BIGINT AS copies FROM part, LATERAL (VALUES (':C' || p_partkey || '.run', 'self', 1), (':C' || p_partkey || '.run', 'x', 2), (':C' || p_partkey || '.run', 'helper' || (p_partkey % 100 + 1), 1), (':helper' || p_partkey, 'y', 2), (':helper' || p_partkey, 'run', 1), (':helper' || p_partkey, 'C' || p_partkey, 2)) v(e, name, n)")
@@ -130,12 +134,12 @@ def entry_ends(t):
     return I.match_symbols(entries, facts, symbols, symbols)
 
 
-@query("SELECT row_number() OVER (ORDER BY path) - 1 AS pos, path AS entry FROM (SELECT 'm' || s_suppkey || '.py' AS path FROM supplier WHERE s_suppkey % 3 <> 0)")
+@query("SELECT 'm' || s_suppkey || '.py' AS entry, 1::INTEGER AS after_named, 'm' || s_suppkey || '.py' AS place FROM supplier WHERE s_suppkey % 3 <> 0")
 def review_entries(t):
     """The changed files that are still there, as entries of the index."""
     changed = t("supplier").select(F.expr("concat('m', s_suppkey, '.py')").alias("path"), F.expr("element_at(array('removed', 'added', 'modified'), cast(s_suppkey % 3 + 1 as int))").alias("change"))
-    rows = list(enumerate(I.changed_entries([], changed)))
-    return changed.sparkSession.createDataFrame(rows, "pos long, entry string")
+    entries = I.entry_table(changed.sparkSession, [], changed)
+    return entries.select("entry", F.col("entry_ord.g").alias("after_named"), F.col("entry_ord.path").alias("place"))
 
 
 @query("WITH near AS (SELECT p_partkey AS k FROM part WHERE EXISTS (SELECT 1 FROM (VALUES (5), (84)) v(e) WHERE abs(p_partkey - e) <= 1)) SELECT 'm' || k || '.py' AS path FROM near")
@@ -145,33 +149,91 @@ def review_slice(t):
     return I.build(_chain(t), [], 1, changed=changed).files.select("path")
 
 
+#: A later snapshot: of four files one changes a function, one goes, one stays and one comes.
+LATER = PYTHON.replace("run(y)", "run(y + 1)")
+
+
+def _two_snapshots(t):
+    """(changed, before, after) of two snapshots, changes by path and hash."""
+    part = t("part").select(F.expr("concat('m', p_partkey, '.py')").alias("path"), _render(PYTHON, "p_partkey", other=OTHER).alias("old"), _render(LATER, "p_partkey", other=OTHER).alias("new"), (F.col("p_partkey") % 4).alias("r"))
+    before = S.facts(S.files(part.filter("r <> 3").select("path", F.col("old").alias("content"))))
+    after = S.facts(S.files(part.filter("r <> 1").select("path", F.expr("if(r = 0, new, old)").alias("content"))))
+    return D.snapshot_diff(before, after, ["path"], "sha256"), before, after
+
+
+CHANGED = """SELECT 'm' || p_partkey || '.py' AS path, ['modified', 'removed', '', 'added'][p_partkey % 4 + 1] AS change, p_partkey AS k FROM part WHERE p_partkey % 4 <> 2"""
+
+
+@query(f"""WITH c AS ({CHANGED}) SELECT path, change, NULL AS symbol_id, CASE WHEN change <> 'added' THEN 'import os' END AS base FROM c
+ UNION ALL SELECT path, change, 'python:m' || k || ':' || q, NULL FROM c, LATERAL (VALUES ('C' || k, change <> 'modified'), ('C' || k || '.run', change <> 'modified'), ('helper' || k, true)) v(q, there) WHERE there""")
+def review_changes(t):
+    """Changed files with the first line of their text at the base, and changed symbols."""
+    files, symbols = R.review_changes(*_two_snapshots(t))
+    rows = files.select("path", "change", F.lit(None).cast("string").alias("symbol_id"), F.split("base_source", "\n")[0].alias("base"))
+    return rows.union(symbols.select("path", "change", "symbol_id", F.lit(None).cast("string")))
+
+
+@query(f"""WITH c AS ({CHANGED}), own AS (SELECT * FROM c WHERE k % 50 = 0 OR k % 50 = 1), e AS (SELECT path FROM own WHERE change <> 'removed')
+ SELECT 'file' AS part, path AS name, change FROM own UNION ALL SELECT 'symbol', 'python:m' || k || ':' || q, change FROM own, LATERAL (VALUES ('C' || k, change <> 'modified'), ('C' || k || '.run', change <> 'modified'), ('helper' || k, true)) v(q, there) WHERE there
+ UNION ALL SELECT 'entry', path, NULL FROM e UNION ALL SELECT 'slice', path, NULL FROM e""")
+def review_document(t):
+    """The changes, entries and files of a review's document without hops, read back from its JSON."""
+    changed, before, after = _two_snapshots(t)
+    of = "cast(substring(path, 2, length(path) - 4) as int) % 50 in (0, 1)"
+    changed = changed.filter(of)
+    index = I.build(after, [], 0, max_source_bytes=1 << 40, changed=changed, facts=after)
+    doc = I.document(index, {"id": "parts", "base_commit": "b"}, 0, changes=R.review_changes(changed, before, after))
+    kind = "changes struct<files:array<struct<path:string,change:string>>,symbols:array<struct<symbol_id:string,change:string>>>, slice struct<entry_points:array<string>>, index struct<files:array<struct<path:string>>>"
+    d = doc.select(F.from_json("json", kind).alias("d")).select("d.*")
+    rows = lambda part, column, name, change: d.select(F.lit(part).alias("part"), F.explode(column).alias("x")).select("part", F.expr(name).alias("name"), F.expr(change).alias("change"))
+    none = "cast(null as string)"
+    out = rows("file", "changes.files", "x.path", "x.change").union(rows("symbol", "changes.symbols", "x.symbol_id", "x.change"))
+    return out.union(rows("entry", "slice.entry_points", "x", none)).union(rows("slice", "index.files", "x.path", none))
+
+
+@query("SELECT 'm' || p_partkey || '.py' AS path, 3::BIGINT AS symbols, 'sha256:' || sha256(replace(replace(replace(CASE WHEN p_partkey % 10 = 0 THEN '" + LATER.replace("\n", "' || chr(10) || '") + "' ELSE '" + PYTHON.replace("\n", "' || chr(10) || '") + "' END, '{key}', p_partkey::VARCHAR), '{other}', (" + OTHER + ")::VARCHAR), chr(13), '')) AS sha256, (SELECT count(*) FROM part WHERE p_partkey % 10 <> 0)::BIGINT AS known, (SELECT count(*) FROM part WHERE p_partkey % 10 = 0)::BIGINT AS computed FROM part")
+def fact_store(t):
+    """Facts of a second snapshot, in which every tenth file changed, from the store that the first one filled."""
+    part = t("part").select(F.expr("concat('m', p_partkey, '.py')").alias("path"), _render(PYTHON, "p_partkey", other=OTHER).alias("old"), _render(LATER, "p_partkey", other=OTHER).alias("new"), (F.col("p_partkey") % 10).alias("r"))
+    path = f"{G.shared_dir(part.sparkSession)}/store-{uuid.uuid4().hex}"
+    store.facts(S.files(part.select("path", F.col("old").alias("content"))), path)
+    found = store.facts(S.files(part.select("path", F.expr("if(r = 0, new, old)").alias("content"))), path)
+    return found.rows.select("path", F.size("symbols").cast("long").alias("symbols"), "sha256", F.lit(found.known).cast("long").alias("known"), F.lit(found.computed).cast("long").alias("computed"))
+
+
 # graphs of an index
 
 
-def _edges(t):
-    return I.relations(_python(t))[1]
+def _calls(t):
+    facts = _python(t)
+    return I.call_edges(I.tiered_calls(S.listed(facts, "calls"), S.symbols(facts), I.served(facts, None), None))
+
+
+def _imports(t):
+    facts = _python(t)
+    return I.import_edges(facts, S.symbols(facts))
 
 
 @query(f"WITH {P} SELECT 'python:m' || k || ':C' || k || '.run' AS src, 'python:m' || o || ':helper' || o AS dst, 1::BIGINT AS sites FROM p, known WHERE o <= top UNION ALL SELECT 'python:m' || k || ':helper' || k, 'python:m' || k || ':C' || k, 2 FROM p")
 def call_graph(t):
-    return M.call_graph(_edges(t))
+    return M.call_graph(_calls(t))
 
 
 @query(f"WITH {P} SELECT 'python:m' || k AS src, 'python:m' || o AS dst, 1::BIGINT AS sites FROM p, known WHERE o <= top AND o <> k")
 def import_graph(t):
-    return M.import_graph(_edges(t))
+    return M.import_graph(_imports(t))
 
 
 @query(f"WITH {P} SELECT 'python:m' || o || ':helper' || o AS symbol_id, 'python:m' || k || ':C' || k || '.run' AS caller, 1::BIGINT AS sites FROM p, known WHERE o <= top AND o % 10 = 0")
 def callers(t):
     wanted = t("part").filter("p_partkey % 10 = 0").select(F.expr("concat('python:m', p_partkey, ':helper', p_partkey)").alias("symbol_id"))
-    return M.callers(_edges(t), wanted)
+    return M.callers(_calls(t), wanted)
 
 
 @query("SELECT 'python:m' || p_partkey || ':helper' || p_partkey AS symbol_id, 'python:m' || p_partkey || ':C' || p_partkey AS callee, 2::BIGINT AS sites FROM part WHERE p_partkey % 10 = 0")
 def callees(t):
     wanted = t("part").filter("p_partkey % 10 = 0").select(F.expr("concat('python:m', p_partkey, ':helper', p_partkey)").alias("symbol_id"))
-    return M.callees(_edges(t), wanted)
+    return M.callees(_calls(t), wanted)
 
 
 @query(f"""WITH RECURSIVE {AROUND}, {STUBS} SELECT 'python:m' || k || ':f' || k AS symbol_id FROM t WHERE k NOT IN (SELECT k FROM near)""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,7 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,6 +49,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """df written once to the shared folder in buckets of the keys, so that a join on them does not shuffle it again."""
+    spark = df.sparkSession
+    table, n = f"{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_dir(spark)}/{table}"
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    atexit.register(_remove, spark, path)
+    return spark.table(table)
+
+
 def removed(*tables: DataFrame) -> None:
     """Remove written tables that nothing reads any more."""
     for t in tables:
@@ -86,41 +97,83 @@ def match_entries(entries: DataFrame, names: DataFrame, fallback: DataFrame) ->
     return first.union(rest.join(fallback, rest["entry"] == fallback["name"]).select("entry", "node"))
 
 
-def budget_fold(items: DataFrame, order: list[str], size: str, key: str, limit: int) -> DataFrame:
-    """(key, kept): in order, an item stays if it still fits; one that does not is passed over.
+def budget_fold(items: DataFrame, order: list[str], size: str, key: str, limit: int, parts: int | None = None) -> DataFrame:
+    """(key, kept): in order, an item stays if it still fits; one that does not is passed over. Ties in order go by key.
 
-    The fold is sequential by definition: one pass over the sorted rows in one task, which holds the space left and one
-    batch. It runs over one slice's files (three numbers each), which the hop limit bounds.
+    Items are dealt by ranges of the order. Of what fits alone, sums by range and their prefix sums show the first range
+    that holds a misfit: all before it stays; its own items are gone through one by one, in one task as each range is;
+    what then no longer fits alone goes, and the next round looks at the ranges after it. So there are at most as many rounds as ranges,
+    and few where sizes grow along the order. The driver holds a number a range.
     """
-    kind = items.schema[key].dataType
-    rows = items.select(*order, F.col(size).alias("_bf_size"), F.col(key).alias("_bf_key")).coalesce(1).sortWithinPartitions(*order)
+    spark, kind = items.sparkSession, items.schema[key].dataType
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"_bf_{i}" for i in range(len(order))]
+    rows = items.select(*(F.col(c).alias(a) for c, a in zip(order, names, strict=True)), F.col(size).cast("long").alias("_bf_size"), F.col(key).alias("_bf_key"))
+    by = [*names, "_bf_key"]
+    rows = written(rows.repartitionByRange(n, *by).withColumn("_bf_part", F.spark_partition_id()), "fold")
+    ranges, left, start, rounds = {}, limit, 0, 0  # of a range: what fits in it, and whether its items must be gone through
+    while True:
+        rounds += 1
+        fits = rows.filter((F.col("_bf_part") >= start) & (F.col("_bf_size") <= left)).groupBy("_bf_part").agg(F.sum("_bf_size"))
+        sums, before = dict(tuple(r) for r in fits.collect()), left
+        misfit = None
+        for p in sorted(sums):
+            if sums[p] > left:
+                misfit = p
+                break
+            left -= sums[p]
+        stop = max(sums, default=start - 1) + 1 if misfit is None else misfit
+        ranges |= {p: (before, False) for p in range(start, stop)}
+        if misfit is None:
+            break
+        ranges[misfit] = (left, True)
+        one = rows.filter(F.col("_bf_part") == misfit)
+        left -= _folded(one, ranges, by, kind, key).filter("kept").agg(F.sum("_bf_size")).first()[0] or 0
+        start = misfit + 1
+    logging.getLogger(__name__).info("budget: %d rounds over %d ranges", rounds, n)
+    return _folded(rows.repartition(n, "_bf_part"), ranges, by, kind, key).select(key, "kept")
+
+
+def _folded(rows: DataFrame, ranges: dict, by: list[str], kind, key: str) -> DataFrame:
+    """(key, kept, _bf_size) of rows whose ranges each lie in one partition: by size alone, or one by one where ranges says so."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = limit
+        now, left, single = None, -1, False
         for b in batches:
             kept = []
-            for n in b.column(0).to_pylist():
+            for part, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if part != now:
+                    now, (left, single) = part, ranges.get(part, (-1, False))
                 kept.append(n <= left)
-                left -= n if kept[-1] else 0
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(kept, pa.bool_())], names=[key, "kept"])
+                left -= n if single and kept[-1] else 0
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(kept, pa.bool_()), b.column(1)], names=[key, "kept", "_bf_size"])
 
-    return rows.select("_bf_size", "_bf_key").mapInArrow(fold, StructType([StructField(key, kind), StructField("kept", BooleanType())]))
+    sorted_ = rows.sortWithinPartitions("_bf_part", *by).select("_bf_part", "_bf_size", "_bf_key")
+    return sorted_.mapInArrow(fold, StructType([StructField(key, kind), StructField("kept", BooleanType()), StructField("_bf_size", LongType())]))
 
 
 def boundary(edges: DataFrame, inside: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept edges, stubs) of ordered edges (seq, src, dst) about the nodes inside.
 
     An edge is kept if an end is inside or was admitted by an earlier kept edge; its other end is then admitted. The
-    admission time of a node is the least sequence number that reaches it in increasing order: a fixpoint of joins.
+    admission time of a node is the least sequence number that reaches it in increasing order. Only nodes whose time
+    fell in a round are joined with their edges in the next, and edges are dealt by their ends once.
     """
-    both = edges.select("seq", F.col("src").alias("x"), F.col("dst").alias("y")).union(edges.select("seq", F.col("dst").alias("x"), F.col("src").alias("y")))
-    time = cut(inside.select(F.col("node").alias("x"), F.lit(-1).cast("long").alias("t")).distinct())
+    ends = edges.select("seq", F.col("src").alias("x"), F.col("dst").alias("y")).union(edges.select("seq", F.col("dst").alias("x"), F.col("src").alias("y")))
+    both = dealt(ends.filter("x <> y"), "ends", "x")
+    front = time = cut(inside.select(F.col("node").alias("x"), F.lit(-1).cast("long").alias("t")).distinct())
+    joined = 0
     while True:
-        reached = time.join(both, "x").filter("seq > t").groupBy("y").agg(F.min("seq").alias("t")).withColumnRenamed("y", "x")
-        new = cut(time.union(reached).groupBy("x").agg(F.min("t").alias("t")))
-        changed = new.join(time.withColumnRenamed("t", "t0"), "x", "left").filter("t0 is null or t < t0").limit(1).count()
-        time = new
-        if not changed:
+        reached = front.join(both, "x").filter("seq > t").groupBy("y").agg(F.min("seq").alias("t"), F.count("*").alias("n")).withColumnRenamed("y", "x")
+        new = reached.join(time.withColumnRenamed("t", "t0"), "x", "left").filter("t0 is null or t < t0")
+        front = cut(new.select("x", "t", "n"))
+        found = front.agg(F.count("*"), F.sum("n")).first()
+        if not found[0]:
             break
-    ends = both.join(time, "x").filter("t < seq").select("seq").distinct()
-    return edges.join(ends, "seq", "left_semi"), time.filter("t >= 0").select(F.col("x").alias("node"), "t")
+        joined += found[1]
+        front = front.select("x", "t")
+        time = cut(time.union(front).groupBy("x").agg(F.min("t").alias("t")))
+    logging.getLogger(__name__).info("boundary: %d edges brought a node an earlier time", joined)
+    held = both.join(time, "x").filter("t < seq").select("seq").distinct()
+    loops = edges.filter("src = dst").join(time.select(F.col("x").alias("src"), "t"), "src").filter("t < seq").select("seq")
+    return edges.join(held.union(loops), "seq", "left_semi"), time.filter("t >= 0").select(F.col("x").alias("node"), "t")

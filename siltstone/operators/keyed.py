@@ -33,9 +33,10 @@ def unique_names(symbols: DataFrame, keys: list[str], symbol: str) -> DataFrame:
 
 
 def resolve_unique(calls: DataFrame, symbols: DataFrame, keys: list[str], symbol: str, blocked: Column | None = None) -> DataFrame:
-    """calls with `target`: the only symbol of the same keys, null where there is none or more than one; blocked calls go."""
-    rows = calls if blocked is None else calls.filter(~blocked)
-    return rows.join(unique_names(symbols, keys, symbol), keys, "left")
+    """calls with `target`: the only symbol of the same keys, null where there is none or more than one, and for blocked calls."""
+    rows = calls.withColumn("_blocked", F.lit(False) if blocked is None else F.coalesce(blocked, F.lit(False)))
+    rows = rows.join(unique_names(symbols, keys, symbol), keys, "left")
+    return rows.withColumn("target", F.when(~F.col("_blocked"), F.col("target"))).drop("_blocked")
 
 
 def innermost(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, order: list[str], part: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators import graph as G
@@ -45,9 +47,7 @@ def blocked_call() -> Column:
 def resolve_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """calls with `target`, the only function, method or class of that name in the language; null where unresolved."""
     known = symbols.filter(F.col("kind").isin("function", "method", "class")).select("language", "name", "symbol_id")
-    one = K.unique_names(known, ["language", "name"], "symbol_id")
-    rows = calls.withColumn("_blocked", blocked_call()).join(one, ["language", "name"], "left")
-    return rows.withColumn("target", F.when(~F.col("_blocked"), F.col("target"))).drop("_blocked")
+    return K.resolve_unique(calls, known, ["language", "name"], "symbol_id", blocked_call())
 
 
 def resolve_imports(targets: DataFrame, modules: DataFrame) -> DataFrame:
@@ -76,58 +76,97 @@ def resolve_imports(targets: DataFrame, modules: DataFrame) -> DataFrame:
     return one.select("language", "path", "file_ord", "pos", name(c("module")).alias("src"), name(c("dst")).alias("dst"))
 
 
+#: Lines of a file that one task sweeps: a longer file is dealt by its lines, and spans go to each part that they reach into.
+BLOCK = 4096
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Points with the span that holds each and begins last, of events sorted by part of a file, place, and spans first.
+
+    Open spans lie on a stack in the order they begin, so the last that has not ended holds the point; one that has
+    ended holds no later point either, and goes when it comes to lie on top.
+    """
+    now, stack = None, []
+    for b in batches:
+        out = []
+        for path, block, line, character, is_point, end_line, end_character, symbol in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if (path, block) != now:
+                now, stack = (path, block), []
+            if not is_point:
+                stack.append((end_line, end_character, symbol, line, character))
+                continue
+            while stack and stack[-1][:2] < (line, character):
+                stack.pop()
+            if stack:
+                out.append((path, line, character, *stack[-1][2:]))
+        columns = list(zip(*out, strict=True)) if out else [[]] * 6
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32())
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["_path", "_line", "_character", "_symbol", "span_line", "span_character"])
+
+
 def locate(points: DataFrame, symbols: DataFrame) -> DataFrame:
-    """points (path, line, character, ...) with `symbol_id`: the innermost symbol that holds each, ends included; the
-    file's module where none does; null where the file has none.
+    """points (path, line, character, ...) with `symbol_id`, the innermost symbol that holds each, ends included, and where
+    it begins (span_line, span_character); the file's module where none does; null where the file has none.
 
-    Of spans that begin and end alike the first stays. Points and spans meet in their file.
+    Innermost is what begins last, of those what ends first, of those the first by sym_ord. One sweep over a file's
+    spans and points in order of their places finds them, in parts of BLOCK lines.
     """
     c = F.col
-    at = F.struct(c("line").alias("l"), c("character").alias("c"))
-    spans = symbols.select(
-        "path", F.struct(c("start_line").alias("l"), c("start_character").alias("c")).alias("_a"), F.struct(c("end_line").alias("l"), c("end_character").alias("c")).alias("_b"),
-        "kind", "sym_ord", c("symbol_id").alias("_symbol"),
-    )
-    own = spans.filter("kind = 'module'").groupBy("path").agg(F.max("_symbol").alias("_module"))
-    keyed = points.withColumn("_p", F.struct(c("path").alias("p"), at.alias("at")))
-    places = keyed.select("path", "_p").distinct()
-    inside = places.join(spans.filter("kind <> 'module'"), "path").filter((c("_a") <= c("_p.at")) & (c("_p.at") <= c("_b")))
-    # the span that begins last, of those the one that ends first, of those the first seen: one aggregate, no sort
-    best = inside.groupBy("_p").agg(F.max(F.struct("_a", (-c("_b.l")).alias("l"), (-c("_b.c")).alias("c"), (-c("sym_ord")).alias("o"), "_symbol")).alias("_best"))
-    rows = keyed.join(best, "_p", "left").join(own, "path", "left")
-    return rows.withColumn("symbol_id", F.coalesce("_best._symbol", "_module")).drop("_p", "_best", "_module")
+    block = lambda line: F.floor(c(line) / BLOCK).cast("int")
+    places = points.select("path", "line", "character").distinct()
+    spans = symbols.filter("kind <> 'module'")
+    begins = spans.select("path", F.explode(F.sequence(block("start_line"), F.greatest(block("start_line"), block("end_line")))).alias("block"), c("start_line").alias("line"), c("start_character").alias("character"),
+                          F.lit(False).alias("is_point"), "end_line", "end_character", "symbol_id", "sym_ord")
+    none = F.lit(None).cast("int")
+    asked = places.select("path", block("line").alias("block"), c("line").cast("int").alias("line"), c("character").cast("int").alias("character"), F.lit(True).alias("is_point"), none.alias("end_line"), none.alias("end_character"), F.lit(None).cast("string").alias("symbol_id"), none.alias("sym_ord"))
+    events = begins.join(asked.select("path", "block").distinct(), ["path", "block"], "left_semi").unionByName(asked)
+    order = ["path", "block", "line", "character", "is_point", c("end_line").desc(), c("end_character").desc(), c("sym_ord").desc()]
+    swept = events.repartition("path", "block").sortWithinPartitions(*order).drop("sym_ord")
+    found = swept.mapInArrow(_sweep, "_path string, _line int, _character int, _symbol string, span_line int, span_character int")
+    own = symbols.filter("kind = 'module'").groupBy(c("path").alias("_path")).agg(F.max_by("symbol_id", "sym_ord").alias("_module"), F.max_by("start_line", "sym_ord").alias("_line0"), F.max_by("start_character", "sym_ord").alias("_character0"))
+    rows = points.join(found, (c("path") == c("_path")) & (c("line") == c("_line")) & (c("character") == c("_character")), "left").drop("_path", "_line", "_character")
+    rows = rows.join(own, c("path") == c("_path"), "left").drop("_path")
+    at = lambda span, module: F.when(c("_symbol").isNull(), c(module)).otherwise(c(span)).alias(span)
+    return rows.select(*points.columns, F.coalesce("_symbol", "_module").alias("symbol_id"), at("span_line", "_line0"), at("span_character", "_character0"))
 
 
 def resolve_locations(requests: DataFrame, definitions: DataFrame, symbols: DataFrame) -> DataFrame:
     """requests (request, name, ...) with `target`: of the answers of a definition service, in order, the first whose symbol
-    has the name asked for. definitions: (request, answer, path, line, character), character in bytes."""
+    has the name asked for; and `target_at` (path, line, character), where that begins. definitions: (request, answer,
+    path, line, character), character in bytes."""
     named = locate(definitions, symbols.select("path", *SPAN, "kind", "sym_ord", "symbol_id"))
     known = symbols.select("symbol_id", F.col("name").alias("_name")).distinct()
-    right = named.join(known, "symbol_id").join(requests.select("request", F.col("name").alias("_name")), ["request", "_name"])
-    first = right.groupBy("request").agg(F.min_by("symbol_id", "answer").alias("target"))
-    return requests.join(first, "request", "left")
+    right = named.join(known, "symbol_id").join(requests.select("request", F.col("name").alias("_name")).distinct(), ["request", "_name"])
+    at = F.struct("path", F.col("span_line").alias("line"), F.col("span_character").alias("character"))
+    first = right.groupBy("request").agg(F.min_by(F.struct("symbol_id", at.alias("at")), "answer").alias("_first"))
+    return requests.join(first, "request", "left").withColumns({"target": F.col("_first.symbol_id"), "target_at": F.col("_first.at")}).drop("_first")
 
 
-def usage_requests(facts: DataFrame, symbols: DataFrame, references: DataFrame, most: int = 500) -> DataFrame:
-    """Usages that are worth a question to a definition service: known names of the language, not yet references, not the
-    name at its own definition; at most `most` a language, a budget of requests."""
+def usage_requests(facts: DataFrame, symbols: DataFrame, most: int = 500) -> DataFrame:
+    """Usages in these files (a slice's) that are worth a question to a definition service: names that the language knows, apart
+    from names that stand where a symbol of that name begins; at most `most` a language, a budget of requests. Usages
+    that are references already are asked for too: the first reference of a span stays, whatever came of it."""
     names = symbols.select("language", "name").distinct()
     start = ["path", "start_line", "start_character", "name"]
-    defined = symbols.filter("kind <> 'module'").select(*start)
-    rows = S.listed(facts, "usages").join(names, ["language", "name"], "left_semi").join(references.select(*start[:3]), start[:3], "left_anti").join(defined, start, "left_anti")
+    rows = S.listed(facts, "usages").join(names, ["language", "name"], "left_semi").join(symbols.select(*start), start, "left_anti")
     return K.first_per_key(rows, ["language"], ["file_ord", "pos"], most)
 
 
 def usage_references(requests: DataFrame, definitions: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(path, span, symbol_id) of usage requests that lead to a symbol other than a module or the one they stand in."""
-    found = resolve_locations(requests, definitions, symbols).filter("target is not null and target <> enclosing")
-    modules = symbols.filter("kind = 'module'").select(F.col("symbol_id").alias("target"))
-    return found.join(modules, "target", "left_anti").select("path", *SPAN, F.col("target").alias("symbol_id"))
+    """requests that lead to a symbol, with it as symbol_id: other than a module, and not one that begins at the usage's own place."""
+    c = F.col
+    own = (c("target_at.path") == c("path")) & (c("target_at.line") == c("start_line")) & (c("target_at.character") == c("start_character"))
+    found = resolve_locations(requests, definitions, symbols).filter(c("target").isNotNull() & ~own)
+    modules = symbols.filter("kind = 'module'").select(c("symbol_id").alias("target"))
+    return found.join(modules, "target", "left_anti").drop("target_at").withColumnRenamed("target", "symbol_id")
 
 
 def numbered(rows: DataFrame, order: list[str], number: str) -> DataFrame:
-    """rows with an increasing number along order: a range sort and ids that grow with the partition, written once."""
-    return G.cut(rows.orderBy(*order).withColumn(number, F.monotonically_increasing_id()))
+    """rows with an increasing number along order: written, then a range sort and ids that grow with the partition."""
+    held = G.written(rows, "unordered")
+    out = G.cut(held.orderBy(*order).withColumn(number, F.monotonically_increasing_id()))
+    G.removed(held)
+    return out
 
 
 def match_symbols(entries: DataFrame, files: DataFrame, symbols: DataFrame, last: DataFrame) -> DataFrame:
@@ -147,12 +186,15 @@ def match_symbols(entries: DataFrame, files: DataFrame, symbols: DataFrame, last
 def served(facts: DataFrame, answers: DataFrame | None) -> DataFrame:
     """(language, tier): `generic`, or the tier of a language's definition service where it answered all calls.
 
-    answers: (language, service, failed). A service that failed leaves its whole language to the generic tier.
+    answers: (language, service, failed) and perhaps failed_in. A service that failed leaves its whole language to the
+    generic tier, unless it failed in `usages`: by then calls were answered, and what it found of usages stays.
     """
     languages = facts.select("language").distinct()
     if answers is None:
         return languages.withColumn("tier", F.lit("generic"))
-    sound = answers.groupBy("language").agg(F.first("service").alias("service"), F.max(F.coalesce("failed", F.lit(False))).alias("failed")).filter("not failed")
+    late = F.col("failed_in") == "usages" if "failed_in" in answers.columns else F.lit(False)
+    failed = F.coalesce("failed", F.lit(False)) & ~F.coalesce(late, F.lit(False))
+    sound = answers.groupBy("language").agg(F.first("service").alias("service"), F.max(failed).alias("failed")).filter("not failed")
     return languages.join(sound, "language", "left").select("language", F.when(F.col("service").isNotNull(), F.concat(F.lit("lsp:"), "service")).otherwise("generic").alias("tier"))
 
 
@@ -168,25 +210,24 @@ def tiered_calls(calls: DataFrame, symbols: DataFrame, tiers: DataFrame, definit
         return generic
     by_service = tiers.filter("tier <> 'generic'").select("language")
     asked = resolve_locations(calls.join(by_service, "language", "left_semi").withColumn("request", call_request()), definitions, symbols)
-    asked = asked.drop("request").withColumn("resolution", F.lit("exact"))
+    asked = asked.drop("request", "target_at").withColumn("resolution", F.lit("lsp"))
     return generic.join(by_service, "language", "left_anti").unionByName(asked)
 
 
-def changed_entries(entries: list[str], changed: DataFrame | None) -> list[str]:
-    """The entries named, then the files of one review that were not removed, in order.
-
-    Raises ValueError where there is neither.
-    """
-    out = [*entries, *([] if changed is None else [r.path for r in changed.filter("change <> 'removed'").select("path").distinct().orderBy("path").collect()])]
-    if not out:
-        raise ValueError("no entry: name one, or a base with changes to files of a known language")
-    return out
+def entry_table(spark: SparkSession, entries: list[str], changed: DataFrame | None = None) -> DataFrame:
+    """(entry, entry_ord): the entries named, then the files of a review (path, change) that were not removed, in order."""
+    named = spark.createDataFrame(list(enumerate(entries)), "pos long, entry string").select("entry", F.struct(F.lit(0).alias("g"), "pos", F.lit("").alias("path")).alias("entry_ord"))
+    if changed is None:
+        return named
+    files = changed.filter("change <> 'removed'").select("path").distinct()
+    return named.union(files.select(F.col("path").alias("entry"), F.struct(F.lit(1).alias("g"), F.lit(0).cast("long").alias("pos"), "path").alias("entry_ord")))
 
 
 @dataclass
 class Index:
-    """Relations of a slice. `entries` has every entry with whether it matched; `dropped` the files beyond the byte budget;
-    `tiers` how each language's calls were resolved."""
+    """Relations of a slice. `files` come in order of `slot`, and `symbols` of `slot` too: those of the slice by their first
+    place, then those that edges and references lead to, as they do. `entries` has every entry with whether it matched;
+    `dropped` the files beyond the byte budget; `tiers` how each language's calls were resolved."""
 
     files: DataFrame
     symbols: DataFrame
@@ -198,97 +239,139 @@ class Index:
     tiers: DataFrame
 
 
-def relations(facts: DataFrame, tiers: DataFrame | None = None, definitions: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(symbols, edges numbered by edge_seq, references with their order) of a whole snapshot; calls before imports in a language."""
+ORDER = ["_late", "_rank", "_phase", "file_ord", "pos"]
+
+
+def _ordered(late: int, phase: int) -> list[Column]:
+    """Where rows stand among those of all languages: calls before imports in a language, usages after all."""
+    return [F.lit(late).alias("_late"), S.language_rank(F.col("language")).alias("_rank"), F.lit(phase).alias("_phase"), F.col("file_ord"), F.col("pos")]
+
+
+def call_edges(calls: DataFrame) -> DataFrame:
+    """Edges of calls with target and resolution."""
     c = F.col
-    symbols = S.symbols(facts)
-    calls = tiered_calls(S.listed(facts, "calls"), symbols, tiers, definitions).filter("target is not null")
-    imports = resolve_imports(S.listed(facts, "targets"), symbols.select("language", "module", "file_ord").distinct())
-    rank = S.language_rank(c("language"))
-    order = ["_rank", "_phase", "file_ord", "pos"]
     site = F.struct("path", F.struct(*SPAN).alias("range"))
-    called = calls.select(rank.alias("_rank"), F.lit(0).alias("_phase"), "file_ord", "pos", c("enclosing").alias("src"), c("target").alias("dst"), F.lit("calls").alias("kind"), "resolution", site.alias("site"))
-    imported = imports.select(rank.alias("_rank"), F.lit(1).alias("_phase"), "file_ord", "pos", "src", "dst", F.lit("imports").alias("kind"), F.lit("exact").alias("resolution"), F.lit(None).cast(called.schema["site"].dataType).alias("site"))
-    edges = numbered(called.union(imported), order, "edge_seq").drop(*order)
+    return calls.filter("target is not null").select(*_ordered(0, 0), c("enclosing").alias("src"), c("target").alias("dst"), F.lit("calls").alias("kind"), "resolution", site.alias("site"))
+
+
+def import_edges(facts: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Edges between modules, one a file and module, without a place."""
+    none = F.lit(None).cast(f"struct<path:string,range:struct<{','.join(f'{x}:int' for x in SPAN)}>>")
+    found = resolve_imports(S.listed(facts, "targets"), symbols.select("language", "module", "file_ord").distinct())
+    return found.select(*_ordered(0, 1), "src", "dst", F.lit("imports").alias("kind"), F.lit("exact").alias("resolution"), none.alias("site"))
+
+
+def call_references(calls: DataFrame) -> DataFrame:
+    return calls.filter("target is not null").select(*_ordered(0, 0), "path", *SPAN, F.col("target").alias("symbol_id"))
+
+
+def name_references(facts: DataFrame, symbols: DataFrame) -> DataFrame:
+    """References of imported names to what they name, the last of that full name."""
     by_full = K.dedup_last(symbols.select("language", "full_name", "symbol_id", "file_ord", "sym_ord"), ["language", "full_name"], ["file_ord", "sym_ord"])
     named = S.listed(facts, "names").join(by_full.select("language", "full_name", "symbol_id"), ["language", "full_name"])
-    refs = calls.select(rank.alias("_rank"), F.lit(0).alias("_phase"), "file_ord", "pos", "path", *SPAN, c("target").alias("symbol_id"))
-    refs = refs.union(named.select(rank.alias("_rank"), F.lit(1).alias("_phase"), "file_ord", "pos", "path", *SPAN, "symbol_id"))
-    if definitions is not None:  # usages that the service leads to a symbol
-        asked = usage_requests(facts.join(tiers.filter("tier <> 'generic'"), "language", "left_semi"), symbols, refs.select("path", *SPAN, "symbol_id"))
-        used = usage_references(asked.withColumn("request", call_request()), definitions, symbols)
-        used = used.join(asked.select("path", *SPAN, "language", "file_ord", "pos"), ["path", *SPAN])
-        refs = refs.union(used.select(rank.alias("_rank"), F.lit(2).alias("_phase"), "file_ord", "pos", "path", *SPAN, "symbol_id"))
-    return symbols, edges, refs.withColumn("ref_seq", F.struct(*order)).drop(*order)
+    return named.select(*_ordered(0, 1), "path", *SPAN, "symbol_id")
 
 
-def build(files: DataFrame, entries: list[str], hops: int = 2, max_source_bytes: int = MAX_SOURCE_BYTES, repeats: bool = True, definitions: DataFrame | None = None, answers: DataFrame | None = None, changed: DataFrame | None = None) -> Index:
-    """Index the slice within `hops` of the entries. Facts are read once and written; ids keep the last of their definitions.
+def build(files: DataFrame, entries: list[str], hops: int = 2, max_source_bytes: int = MAX_SOURCE_BYTES, repeats: bool = True, definitions: DataFrame | None = None, answers: DataFrame | None = None, changed: DataFrame | None = None, facts: DataFrame | None = None) -> Index:
+    """Index the slice within `hops` of the entries. Facts are read once and written, or given (of a store); ids keep the
+    last of their definitions.
 
     definitions (request, answer, path, line, character) are the answers of definition services, requests being
     `path:line:character` of a name, and answers (language, service, failed) says which languages have one; the others,
-    and those whose service failed, are resolved by names. changed (path, change) adds a review's files to the entries.
-    Raises ValueError without an entry and where none matches anything.
+    and those whose service failed, are resolved by names. Usages are asked for in the slice's files alone. changed (path,
+    change) adds a review's files to the entries. Raises ValueError without an entry and where none matches anything.
     """
     c = F.col
-    entries = changed_entries(entries, changed)
-    facts = G.written(S.facts(files, repeats), "facts")
+    wanted = entry_table(files.sparkSession, entries, changed)
+    if not entries and wanted.isEmpty():
+        raise ValueError("no entry: name one, or a base with changes to files of a known language")
+    facts = S.facts(files, repeats) if facts is None else facts
     tiers = G.cut(served(facts, answers if definitions is not None else None))
-    symbols, edges, refs = relations(facts, tiers, definitions)
-    last = K.dedup_last(symbols, ["symbol_id"], ["file_ord", "sym_ord"])
-    wanted = facts.sparkSession.createDataFrame([(e,) for e in entries], "entry string").distinct()
-    hits = G.cut(match_symbols(wanted, facts, symbols, last))
+    symbols = S.symbols(facts)
+    last = G.written(K.dedup_last(symbols, ["symbol_id"], ["file_ord", "sym_ord"]), "symbols")
+    calls = G.written(tiered_calls(S.listed(facts, "calls"), symbols, tiers, definitions), "calls")
+    edges = numbered(call_edges(calls).union(import_edges(facts, symbols)), ORDER, "edge_seq").drop(*ORDER)
+    hits = G.cut(match_symbols(wanted.select("entry").distinct(), facts, symbols, last))
     if hits.isEmpty():
         raise ValueError("no entry matches a file or symbol")
     contains = last.filter("parent is not null").select(c("symbol_id").alias("src"), c("parent").alias("dst"))
-    seen = G.khop(G.adjacency(edges.select("src", "dst").union(contains)), hits.select(c("symbol_id").alias("node")), hops)
+    seen = G.khop(G.dealt(G.adjacency(edges.select("src", "dst").union(contains)), "adjacency", "a"), hits.select(c("symbol_id").alias("node")), hops)
     paths = last.join(seen, last["symbol_id"] == seen["node"], "left_semi").select("path").distinct()
-    near = facts.join(paths, "path", "left_semi")
-    fold = G.budget_fold(near.select("path", F.length("source").alias("chars"), "file_ord", "n_bytes"), ["chars", "file_ord"], "n_bytes", "path", max_source_bytes)
-    fold = G.cut(fold.join(near.select("path", "n_bytes"), "path"))
-    held = fold.filter("kept").select("path")
-    sliced = facts.join(held, "path", "left_semi").select("path", "language", "sha256", "source", "n_bytes", "file_ord")
-    inside = K.dedup_last(symbols.join(held, "path", "left_semi"), ["symbol_id"], ["file_ord", "sym_ord"]).withColumn("in_slice", F.lit(True))
+    near = facts.join(paths, "path", "left_semi").select("path", F.length("source").alias("chars"), "file_ord", "n_bytes")
+    fold = G.budget_fold(near, ["chars", "file_ord"], "n_bytes", "path", max_source_bytes)
+    fold = G.cut(fold.join(near, "path"))
+    cut_short = not fold.filter("not kept").isEmpty()  # then files stand by their lengths, else as they were read
+    slot = F.struct((c("chars") if cut_short else F.lit(0)).alias("chars"), "file_ord").alias("slot")
+    held = fold.filter("kept").select("path", slot)
+    sliced = facts.join(held, "path").select("path", "language", "sha256", "source", "n_bytes", "file_ord", "slot")
+    refs = call_references(calls).union(name_references(facts, symbols)).join(held.select("path"), "path", "left_semi")
+    if definitions is not None:
+        of_slice = facts.join(held.select("path"), "path", "left_semi").join(tiers.filter("tier <> 'generic'"), "language", "left_semi")
+        asked = usage_requests(of_slice, symbols).withColumn("request", call_request())
+        used = usage_references(asked, definitions, symbols)
+        refs = refs.unionByName(used.select(*_ordered(1, 2), "path", *SPAN, "symbol_id"))
+    refs = refs.join(last.select("symbol_id"), "symbol_id", "left_semi").select(F.struct(*ORDER).alias("ref_seq"), "path", *SPAN, "symbol_id")
+    spans = G.written(K.dedup_first(refs, ["path", *SPAN], ["ref_seq"]), "references")
+    led = refs.groupBy("symbol_id").agg(F.min("ref_seq").alias("ref"))
+    own = symbols.join(held, "path").withColumn("slot", F.struct("slot", "sym_ord"))
+    inside = G.cut(own.groupBy("symbol_id").agg(F.min("slot").alias("own"), F.max_by(F.struct(*symbols.columns), "slot").alias("s")))
     kept, stubs = G.boundary(edges.select(c("edge_seq").alias("seq"), "src", "dst"), inside.select(c("symbol_id").alias("node")))
     held_edges = edges.join(kept.select(c("seq").alias("edge_seq")), "edge_seq", "left_semi")
-    local = refs.join(held, "path", "left_semi").join(last.select("symbol_id"), "symbol_id", "left_semi")
-    outside = stubs.select(c("node").alias("symbol_id")).union(local.select("symbol_id")).distinct().join(inside.select("symbol_id"), "symbol_id", "left_anti")
-    out = inside.unionByName(last.join(outside, "symbol_id", "left_semi").withColumn("in_slice", F.lit(False)))
-    spans = K.dedup_first(local, ["path", *SPAN], ["ref_seq"])
-    calls = facts.agg(F.coalesce(F.sum(F.size("calls")), F.lit(0)).alias("calls"), F.count("*").alias("files_scanned"))
-    stats = calls.crossJoin(edges.agg(F.count_if(c("kind") == "calls").alias("resolved"))).crossJoin(held_edges.agg(F.count("*").alias("edges")))
+    by_edge = stubs.select(c("node").alias("symbol_id"), c("t").alias("edge")).join(held_edges.select(c("edge_seq").alias("edge"), "src"), "edge")
+    by_edge = by_edge.select("symbol_id", F.struct("edge", (c("src") != c("symbol_id")).alias("end")).alias("edge"))
+    outside = by_edge.join(led, "symbol_id", "full_outer").join(inside.select("symbol_id"), "symbol_id", "left_anti")
+    places = lambda n, own, edge, ref: F.struct(F.lit(n).alias("kind"), own.alias("own"), edge.alias("edge"), ref.alias("ref")).alias("slot")
+    nothing = lambda like: F.lit(None).cast(like)
+    kinds = inside.schema["own"].dataType, by_edge.schema["edge"].dataType, led.schema["ref"].dataType
+    rows = inside.select("s.*", F.lit(True).alias("in_slice"), places(0, c("own"), nothing(kinds[1]), nothing(kinds[2])))
+    far = places(1, nothing(kinds[0]), c("edge"), F.when(c("edge").isNull(), c("ref")))
+    far = F.when(c("edge").isNull(), F.struct(F.lit(2).alias("kind"), nothing(kinds[0]).alias("own"), nothing(kinds[1]).alias("edge"), c("ref").alias("ref"))).otherwise(far).alias("slot")
+    out = G.cut(rows.unionByName(last.join(outside, "symbol_id").select(*symbols.columns, F.lit(False).alias("in_slice"), far)))
+    counts = facts.agg(F.coalesce(F.sum(F.size("calls")), F.lit(0)).alias("calls"), F.count("*").alias("files_scanned"))
+    stats = counts.crossJoin(edges.agg(F.count_if(c("kind") == "calls").alias("resolved"))).crossJoin(held_edges.agg(F.count("*").alias("edges")))
     stats = stats.crossJoin(out.agg(F.count_if("in_slice").alias("slice_symbols"), F.count_if(~c("in_slice")).alias("boundary_symbols")))
     stats = stats.select("files_scanned", "slice_symbols", "boundary_symbols", "edges", (c("calls") - c("resolved")).alias("unresolved_calls"))
-    matched = wanted.join(hits.select("entry").distinct().withColumn("_m", F.lit(True)), "entry", "left").select("entry", F.coalesce("_m", F.lit(False)).alias("matched"))
-    return Index(sliced, out, held_edges, spans, matched, fold.filter("not kept").select("path", "n_bytes"), stats, tiers)
+    matched = wanted.join(hits.select("entry").distinct().withColumn("_m", F.lit(True)), "entry", "left").select("entry", "entry_ord", F.coalesce("_m", F.lit(False)).alias("matched"))
+    dropped = fold.filter("not kept").select("path", "n_bytes", F.struct("chars", "file_ord").alias("slot"))
+    return Index(sliced, out, held_edges, spans, matched, dropped, stats, tiers)
+
+
+def _listed(df: DataFrame, order: str, *columns) -> DataFrame:
+    """(v): one row with the rows' columns as an array of structs, in order."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*columns).alias("_v"))))
+    return df.agg(F.transform(rows, lambda x: x["_v"]).alias("v"))
 
 
-def document(index: Index, repository: dict[str, str], hops: int, excludes: list[str] | None = None) -> DataFrame:
+def document(index: Index, repository: dict[str, str], hops: int, excludes: list[str] | None = None, changes: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(json): the index as one JSON document, for a slice that the byte budget bounds. Absent values are left out.
 
-    repository: id, root, head_commit and, for reviews, base_commit.
+    repository: id, root, head_commit and, for reviews, base_commit. changes: (files, symbols) of a review, as
+    revisions.review_changes gives them.
     """
     c = F.col
-    listed = lambda df, order, *cols: df.agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(*cols).alias("_v")))), lambda x: x["_v"]).alias("v"))
     span = F.struct(*SPAN).alias("range")
     found = {
-        "files": listed(index.files, ["file_ord"], "path", "language", "sha256", "source"),
-        "symbols": listed(index.symbols, [F.when(c("in_slice"), 0).otherwise(1), "file_ord", "sym_ord"], "symbol_id", "kind", "name", "qualname", "path", span, "content_hash", "signature", "parent", "in_slice"),
-        "edges": listed(index.edges, ["edge_seq"], c("src").alias("from"), c("dst").alias("to"), "kind", "resolution", "site"),
-        "references": listed(index.references, ["ref_seq"], "path", span, "symbol_id"),
-        "entries": listed(index.entries, ["entry"], "entry"),
-        "tiers": listed(index.tiers.join(index.files.select("language").distinct(), "language"), [S.language_rank(c("language"))], "language", "tier"),
-        "dropped": listed(index.dropped, ["n_bytes", "path"], F.concat(F.lit("file dropped from slice (size budget): "), "path", F.lit(" ("), c("n_bytes").cast("string"), F.lit(" bytes)")).alias("t")),
+        "files": _listed(index.files, "slot", "path", "language", "sha256", "source"),
+        "symbols": _listed(index.symbols, "slot", "symbol_id", "kind", "name", "qualname", "path", span, "content_hash", "signature", F.nullif("parent", F.lit("")).alias("parent"), "in_slice"),
+        "edges": _listed(index.edges, "edge_seq", c("src").alias("from"), c("dst").alias("to"), "kind", "resolution", "site"),
+        "references": _listed(index.references, "ref_seq", "path", span, "symbol_id"),
+        "entries": _listed(index.entries, "entry_ord", "entry"),
+        "tiers": _listed(index.tiers.withColumn("slot", S.language_rank(c("language"))), "slot", "language", "tier"),
+        "dropped": _listed(index.dropped, "slot", F.concat(F.lit("file dropped from slice (size budget): "), "path", F.lit(" ("), c("n_bytes").cast("string"), F.lit(" bytes)")).alias("t")),
     }
+    if changes is not None:
+        found["changed_files"] = _listed(changes[0], "path", "path", "change", "base_source")
+        found["changed_symbols"] = _listed(changes[1].withColumn("slot", F.struct("symbol_id", "path")), "slot", "symbol_id", "change")
     row = index.stats.select(F.struct("*").alias("stats"))
     for name, df in found.items():
         row = row.crossJoin(df.withColumnRenamed("v", name))
     tiers = F.map_from_entries("tiers")
-    parts = F.struct(
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("generated_at"),
-        F.struct(*(F.lit(v).alias(k) for k, v in repository.items())).alias("repository"),
+    parts = [F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssxxx").alias("generated_at"), F.struct(*(F.lit(v).alias(k) for k, v in repository.items())).alias("repository")]
+    if changes is not None:
+        parts.append(F.struct(F.lit(repository.get("base_commit")).alias("previous_head_commit"), c("changed_files").alias("files"), c("changed_symbols").alias("symbols")).alias("changes"))
+    parts += [
         F.struct(c("entries")["entry"].alias("entry_points"), F.lit(hops).alias("hop_limit"), F.size("files").alias("file_count"), F.array(*(F.lit(e) for e in excludes or [])).cast("array<string>").alias("excludes"), c("dropped")["t"].alias("truncations")).alias("slice"),
         F.struct(tiers.alias("resolution"), "files", "symbols", "edges", "references").alias("index"),
-        "stats",
-    )
-    return row.select(F.to_json(parts).alias("json"))
+        F.struct("stats.*", tiers.alias("resolution")).alias("stats"),
+    ]
+    return row.select(F.to_json(F.struct(*parts)).alias("json"))

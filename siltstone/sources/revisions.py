@@ -60,3 +60,16 @@ def review(changed: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame
         rows = S.symbols(facts.join(there, "path", "left_semi")).filter("kind <> 'module'")
         sides.append(rows.groupBy("path", "symbol_id").agg(F.max_by("content_hash", F.struct("file_ord", "sym_ord")).alias("content_hash")))
     return D.snapshot_diff(*sides, ["path", "symbol_id"], "content_hash")
+
+
+def review_changes(changed: DataFrame, before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files, symbols) of a review from the facts of both snapshots: files (path, change, base_source), the text at the base
+    of those that were there and could be read, and the symbols of review()."""
+    there = changed.filter("change <> 'added'").select("path")
+    base = before.join(there, "path", "left_semi").select("path", F.col("source").alias("base_source"))
+    return changed.join(base, "path", "left").select("path", "change", "base_source"), review(changed, before, after)
+
+
+def commit(root: str, base: str) -> str:
+    """The commit that a name stands for; raises CalledProcessError where it is none."""
+    return _git(root, "rev-parse", base).decode().strip()

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as T
 from siltstone.operators import graph as G
 
-# Extensions by language, both in order.
+# Folders that no scan takes, and extensions by language, both in order.
+DEFAULT_EXCLUDES = [".git", ".venv", "venv", "__pycache__", "node_modules", ".tox", ".mypy_cache", ".ruff_cache", "build", "dist", ".eggs", "vendor", ".next", "coverage"]
 EXTENSIONS = {"python": ["py"], "typescript": ["ts", "tsx"], "javascript": ["js", "jsx", "mjs", "cjs"], "go": ["go"]}
 PLACE = "start_line int, start_character int, end_line int, end_character int"
 SYMBOL = f"symbol_id string, kind string, name string, qualname string, {PLACE}, content_hash string, signature string, parent string"
@@ -110,7 +111,8 @@ def _rows(batches: Iterator[pa.RecordBatch], repeats: bool, schema: pa.Schema) -
     place = lambda s: dict(zip(("start_line", "start_character", "end_line", "end_character"), s, strict=True))
     for batch in batches:
         out = []
-        for language, module, source in zip(*(batch.column(c).to_pylist() for c in ("language", "module", "source")), strict=True):
+        columns = [batch.column(c) for c in ("language", "module", "source")]
+        for language, module, source in (tuple(c[i].as_py() for c in columns) for i in range(batch.num_rows)):  # one text at a time
             try:
                 f = _read(language, module, source, repeats)
             except (SyntaxError, ValueError, RecursionError, MemoryError):
@@ -129,8 +131,13 @@ def _rows(batches: Iterator[pa.RecordBatch], repeats: bool, schema: pa.Schema) -
 
 
 def facts(of: DataFrame, repeats: bool = True) -> DataFrame:
+    """unwritten_facts, written: relations are explodes that read the columns they need."""
+    return G.written(unwritten_facts(of, repeats), "facts")
+
+
+def unwritten_facts(of: DataFrame, repeats: bool = True) -> DataFrame:
     """files with nested facts, one row a file, all from one pass over it. Where a file does not parse whole, parsed is
-    false, and the facts are those of the parts that do."""
+    false, and the facts are those of the parts that do. Whatever reads this parses the files again."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 

@@ -67,14 +67,14 @@ def reused(rows: DataFrame, key: list[str], compute: Callable[[DataFrame], DataF
 
 
 def facts(files: DataFrame, path: str, repeats: bool = True) -> Reuse:
-    """snapshot.facts of files from a store: a file is parsed if its language, module or text is new.
+    """Facts of files from a store: a file is parsed if its language, module or text is new.
 
     Facts name symbols by language and module, so those belong to the key; where a file lies and its order do not.
     """
-    own = [f.name for f in S.facts(files, repeats).schema if f.name not in files.columns]
+    own = [f.name for f in S.unwritten_facts(files, repeats).schema if f.name not in files.columns]
 
     def parse(rows: DataFrame) -> DataFrame:
-        return S.facts(rows, repeats).select(*FACT_KEY, *own)
+        return S.unwritten_facts(rows, repeats).select(*FACT_KEY, *own)
 
     out = reused(files, FACT_KEY, parse, f"{path}/repeats={str(repeats).lower()}")
     return Reuse(out.rows.select("path", "language", "module", "file_ord", "source", "sha256", "n_bytes", *own), out.known, out.computed)

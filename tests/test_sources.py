@@ -5,7 +5,9 @@ import subprocess
 
 import pytest
 
+from siltstone.operators import graph as G
 from siltstone.plans import index as I
+from siltstone.plans.review import review_document
 from siltstone.sources import artifacts as A
 from siltstone.sources import revisions as R
 from siltstone.sources import snapshot as S
@@ -231,13 +233,13 @@ def test_documents_written_and_read_again(spark, tmp_path):
 def test_definition_answers_become_references(spark):
     files = sources(spark, {"a.py": "class A:\n    def f(self):\n        return B\n", "b.py": "class B:\n    pass\n\n\nclass C:\n    B = 1\n"})
     facts = S.facts(files)
-    symbols, _, refs = I.relations(facts)
-    asked = I.usage_requests(facts, symbols, refs).selectExpr("monotonically_increasing_id() as request", "*").filter("name = 'B' and path = 'a.py'")
+    symbols = S.symbols(facts)
+    asked = G.cut(I.usage_requests(facts, symbols).selectExpr("monotonically_increasing_id() as request", "*")).filter("name = 'B' and path = 'a.py'")
     n = asked.first().request
     # the first answer lies in C, whose name differs; the second is B
     answers = spark.createDataFrame([(n, 0, "b.py", 6, 4), (n, 1, "b.py", 1, 6), (n, 2, "none.py", 1, 0)], "request long, answer int, path string, line int, character int")
     got = I.usage_references(asked, answers, symbols).collect()
-    assert [tuple(r) for r in got] == [("a.py", 3, 15, 3, 16, "python:b:B")]
+    assert [(r.path, r.start_line, r.start_character, r.symbol_id) for r in got] == [("a.py", 3, 15, "python:b:B")]
     points = spark.createDataFrame([("b.py", 2, 4), ("b.py", 3, 0), ("no.py", 1, 0)], "path string, line int, character int")
     assert {(r.path, r.line, r.symbol_id) for r in I.locate(points, symbols).collect()} == {("b.py", 2, "python:b:B"), ("b.py", 3, "python:b"), ("no.py", 1, None)}
 
@@ -279,7 +281,7 @@ def test_a_service_that_answers_and_one_that_failed(spark):
     definitions = spark.createDataFrame([("a.py:5:4", 0, "b.py", 1, 4), ("a.py:6:11", 0, "b.py", 5, 6)], "request string, answer int, path string, line int, character int")
     answers = spark.createDataFrame([("python", "srv", False)], "language string, service string, failed boolean")
     x = I.build(files, ["a.py"], 1, definitions=definitions, answers=answers)
-    assert {(r.src, r.dst, r.resolution) for r in x.edges.filter("kind = 'calls'").collect()} == {("python:a:start", "python:b:go", "exact")}  # two symbols are named go
+    assert {(r.src, r.dst, r.resolution) for r in x.edges.filter("kind = 'calls'").collect()} == {("python:a:start", "python:b:go", "lsp")}  # two symbols are named go
     assert {(r.start_line, r.symbol_id) for r in x.references.collect()} >= {(5, "python:b:go"), (6, "python:b:Shape")}
     assert json.loads(I.document(x, {"id": "p"}, 1).first().json)["index"]["resolution"] == {"python": "lsp:srv"}
     failed = spark.createDataFrame([("python", "srv", True)], "language string, service string, failed boolean")
@@ -289,9 +291,9 @@ def test_a_service_that_answers_and_one_that_failed(spark):
 
 def test_changed_files_are_entries_after_those_named(spark):
     changed = spark.createDataFrame([("b.py", "modified"), ("a.py", "added"), ("c.py", "removed")], "path string, change string")
-    assert I.changed_entries(["x"], changed) == ["x", "a.py", "b.py"]
+    assert [r.entry for r in I.entry_table(spark, ["x"], changed).orderBy("entry_ord").collect()] == ["x", "a.py", "b.py"]
     with pytest.raises(ValueError):
-        I.changed_entries([], changed.filter("change = 'removed'"))
+        I.build(sources(spark, {"c.py": ""}), [], changed=changed.filter("change = 'removed'"))
 
 
 def test_lineage_of_a_circle_ends(spark):
@@ -314,3 +316,91 @@ def test_pointers_of_steps_branches_and_flows(spark):
     got = {(r.part, r.part_pos, r.item, r.location, r.symbol_id) for r in A.evidence(of).collect()}
     assert got == {("flows", 1, "f", "flows[1].steps[0].evidence[0]", "s0"), ("flows", 1, "f", "flows[1].steps[0].branches[0].evidence[0]", "b0"), ("lessons.predict", 0, "p", "lessons.predict[0].evidence[0]", "l")}
     assert {r.symbol_id for r in A.item_evidence(of).collect()} == {"own", "s0", "b0", "l"}
+
+
+def git_tree(tmp_path):
+    root = tmp_path / "shop"
+    root.mkdir()
+    git = lambda *w: subprocess.run(["git", "-C", str(root), "-c", "user.name=t", "-c", "user.email=t@example.org", *w], check=True, capture_output=True)
+    git("init", "-q")
+    return root, git
+
+
+def test_review_document_field_by_field(spark, tmp_path):
+    """The whole document of a made tree: a changed, a removed and an added file, one beside them and one that is excluded."""
+    root, git = git_tree(tmp_path)
+    old = {"b.py": "from a import one\n\n\ndef two():\n    return one()\n\n\ndef old():\n    pass\n", "gone.py": "def lost():\n    pass\n", "a.py": "def one():\n    return 1\n", "far.py": "from b import two\n\n\ndef three():\n    return two()\n", "skip/x.py": "def s():\n    pass\n"}
+    for name, text in old.items():
+        (root / name).parent.mkdir(exist_ok=True)
+        (root / name).write_text(text)
+    git("add", "-A")
+    git("commit", "-qm", "one")
+    base = R.head(str(root))
+    new = {"b.py": "from a import one\n\n\ndef two():\n    return one() + 1\n\n\ndef two():\n    return 'ü'\n", "c.py": "def fresh():\n    {}.get(1)\n", "skip/x.py": "def s():\n    return 2\n"}
+    for name, text in new.items():
+        (root / name).write_text(text)
+    (root / "gone.py").unlink()
+    git("add", "-N", "c.py")
+    doc = json.loads(review_document(spark, str(root), base, ["far.py"], 0, ["skip"]).first().json)
+    assert doc.pop("generated_at")[-6:] == "+00:00"
+    assert doc["repository"] == {"id": "shop", "root": str(root), "head_commit": R.head(str(root)), "base_commit": base}
+    assert doc["changes"] == {
+        "previous_head_commit": base,
+        "files": [{"path": "b.py", "change": "modified", "base_source": old["b.py"]}, {"path": "c.py", "change": "added"}, {"path": "gone.py", "change": "removed", "base_source": old["gone.py"]}, {"path": "skip/x.py", "change": "modified", "base_source": old["skip/x.py"]}],
+        "symbols": [{"symbol_id": "python:b:old", "change": "removed"}, {"symbol_id": "python:b:two", "change": "modified"}, {"symbol_id": "python:c:fresh", "change": "added"}, {"symbol_id": "python:gone:lost", "change": "removed"}, {"symbol_id": "python:skip.x:s", "change": "removed"}],
+    }
+    # skip/x.py changed, so it is an entry though no scan reads it
+    assert doc["slice"] == {"entry_points": ["far.py", "b.py", "c.py", "skip/x.py"], "hop_limit": 0, "file_count": 3, "excludes": ["skip"], "truncations": []}
+    index = doc["index"]
+    assert index["resolution"] == {"python": "generic"}
+    assert [(f["path"], f["language"], f["source"]) for f in index["files"]] == [("b.py", "python", new["b.py"]), ("c.py", "python", new["c.py"]), ("far.py", "python", old["far.py"])]
+    at = lambda *x: dict(zip(("start_line", "start_character", "end_line", "end_character"), x, strict=True))
+    # two stands where it was first defined, with its last definition; stubs come as the calls, then the imports lead to them
+    assert [(s["symbol_id"], s["in_slice"], s["range"]) for s in index["symbols"]] == [
+        ("python:b", True, at(1, 0, 10, 0)), ("python:b:two", True, at(8, 0, 9, 15)), ("python:c", True, at(1, 0, 3, 0)), ("python:c:fresh", True, at(1, 0, 2, 13)),
+        ("python:far", True, at(1, 0, 6, 0)), ("python:far:three", True, at(4, 0, 5, 16)), ("python:a:one", False, at(1, 0, 2, 12)), ("python:a", False, at(1, 0, 3, 0))]
+    # the name two stands for two symbols, so its calls lead nowhere
+    assert index["edges"] == [
+        {"from": "python:b:two", "to": "python:a:one", "kind": "calls", "resolution": "name_match", "site": {"path": "b.py", "range": at(5, 11, 5, 14)}},
+        {"from": "python:b", "to": "python:a", "kind": "imports", "resolution": "exact"}, {"from": "python:far", "to": "python:b", "kind": "imports", "resolution": "exact"}]
+    assert index["references"] == [
+        {"path": "b.py", "range": at(5, 11, 5, 14), "symbol_id": "python:a:one"}, {"path": "b.py", "range": at(1, 14, 1, 17), "symbol_id": "python:a:one"}, {"path": "far.py", "range": at(1, 14, 1, 17), "symbol_id": "python:b:two"}]
+    assert doc["stats"] == {"files_scanned": 4, "slice_symbols": 6, "boundary_symbols": 2, "edges": 3, "unresolved_calls": 2, "resolution": {"python": "generic"}}
+    assert set(doc) == {"repository", "changes", "slice", "index", "stats"}
+
+
+def test_files_and_symbols_of_a_cut_slice_stand_by_length(spark):
+    files = sources(spark, {"a.py": "def f():\n    g()\n    pass\n", "b.py": "def g():\n    pass\n", "c.py": "def h():\n    f()\n" + "#" * 200})
+    x = I.build(files, ["a.py"], 2, max_source_bytes=100)
+    doc = json.loads(I.document(x, {"id": "p"}, 2).first().json)
+    assert [f["path"] for f in doc["index"]["files"]] == ["b.py", "a.py"] and doc["slice"]["truncations"] == ["file dropped from slice (size budget): c.py (217 bytes)"]
+    assert [s["symbol_id"] for s in doc["index"]["symbols"]] == ["python:b", "python:b:g", "python:a", "python:a:f", "python:c:h"]
+
+
+def answers_of(spark, *rows):
+    return spark.createDataFrame(list(rows), "request string, answer int, path string, line int, character int")
+
+
+def test_usages_are_asked_for_in_the_slice_alone(spark):
+    """600 usages in a file outside the slice leave the budget to the slice's own."""
+    files = sources(spark, {"a.py": "from z import T\n" + "T\n" * 600, "z.py": "class T:\n    pass\n\n\ndef f():\n    return T\n"})
+    service = spark.createDataFrame([("python", "srv", False)], "language string, service string, failed boolean")
+    x = I.build(files, ["z.py"], 0, definitions=answers_of(spark, ("z.py:6:11", 0, "z.py", 1, 6)), answers=service)
+    assert [(r.path, r.start_line, r.symbol_id) for r in x.references.collect()] == [("z.py", 6, "python:z:T")]
+
+
+def test_a_usage_of_the_symbol_it_stands_in_is_a_reference(spark):
+    """Only a target that begins at the usage's own place is none."""
+    files = sources(spark, {"a.py": "def f():\n    return f\n"})
+    service = spark.createDataFrame([("python", "srv", True, "usages")], "language string, service string, failed boolean, failed_in string")
+    x = I.build(files, ["a.py"], 0, definitions=answers_of(spark, ("a.py:2:11", 0, "a.py", 1, 4)), answers=service)
+    assert [(r.start_line, r.symbol_id) for r in x.references.collect()] == [(2, "python:a:f")]
+    # a service that failed while it was asked for usages keeps its tier and what it found
+    assert [tuple(r) for r in x.tiers.collect()] == [("python", "lsp:srv")]
+
+
+def test_blocked_calls_are_unresolved(spark):
+    files = sources(spark, {"a.py": "def get():\n    pass\n\n\ndef f(x):\n    x.get()\n    get()\n"})
+    facts = S.facts(files)
+    got = {(r.is_member, r.target) for r in I.resolve_calls(S.listed(facts, "calls"), S.symbols(facts)).collect()}
+    assert got == {(True, None), (False, "python:a:get")}
