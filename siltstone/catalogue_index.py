@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import functions as F
@@ -17,7 +16,7 @@ from siltstone.registry import query
 from siltstone.sources import artifacts as A
 from siltstone.sources import revisions as R
 from siltstone.sources import snapshot as S
-from siltstone.sources import store
+from siltstone.sources import store, tree
 
 # definition services and tiers
 
@@ -245,20 +244,29 @@ def slice_stubs(t):
 # snapshots of a folder
 
 
-@query("SELECT 'a/m' || s_suppkey || '.py' AS path, 'a.m' || s_suppkey AS module, 'sha256:' || sha256('x' || s_suppkey || chr(10)) AS sha256 FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT 'b/__init__.py', 'b', 'sha256:' || sha256('y')")
+def _write_files(root: str):
+    """What writes rows (path, content) as files under root, wherever the rows are."""
+
+    def write(rows) -> None:
+        store, base = tree.file_system(root)
+        for r in rows:
+            store.create_dir(f"{base}/{r.path.rpartition('/')[0]}")
+            with store.open_output_stream(f"{base}/{r.path}") as f:
+                f.write(r.content.encode())
+
+    return write
+
+
+@query("SELECT 'a/m' || s_suppkey || '.py' AS path, 'a.m' || s_suppkey AS module, 'sha256:' || sha256('x' || s_suppkey || chr(10)) AS sha256 FROM supplier WHERE s_suppkey % 5 = 0 UNION ALL SELECT 'b/k' || s_suppkey || '/__init__.py', 'b.k' || s_suppkey, 'sha256:' || sha256('x' || s_suppkey || chr(10)) FROM supplier WHERE s_suppkey % 5 = 1")
 def folder_scan(t):
-    """A folder of files, one a supplier: of three languages' names, some in a folder that is left out."""
-    rows = t("supplier").select("s_suppkey").collect()  # the files are made here
-    spark = t("supplier").sparkSession
-    root = f"{G.shared_dir(spark).removeprefix('file://')}/folder-{uuid.uuid4().hex}"
-    for name in ("a", "b", "skip"):
-        os.makedirs(f"{root}/{name}")
-    for r in rows:
-        place = ("a/m{}.py", "skip/m{}.py", "a/m{}.txt")[r.s_suppkey % 3].format(r.s_suppkey)
-        with open(f"{root}/{place}", "w") as f:
-            f.write(f"x{r.s_suppkey}\n")
-    with open(f"{root}/b/__init__.py", "w") as f:
-        f.write("y")
+    """A folder of files, one a supplier, written by tasks: packages' own files too, others in folders that are left out or
+    of no known language."""
+    supplier = t("supplier")
+    spark, place = supplier.sparkSession, "element_at(array('a/m{}.py', 'b/k{}/__init__.py', 'skip/m{}.py', 'a/node_modules/m{}.js', 'a/m{}.txt'), cast(s_suppkey % 5 + 1 as int))"
+    root = f"{G.shared_dir(spark)}/folder-{uuid.uuid4().hex}"
+    spark.createDataFrame([("",)], "x string").coalesce(1).write.text(root)
+    rows = supplier.select(F.expr(f"replace({place}, '{{}}', cast(s_suppkey as string))").alias("path"), F.expr("concat('x', s_suppkey, '\n')").alias("content"))
+    rows.foreachPartition(_write_files(tree.resolved(spark, root)))
     return S.files(S.scan(spark, root, ["skip"])).select("path", "module", "sha256")
 
 

@@ -6,17 +6,15 @@ files in one task. Each file is read once into nested facts; relations are explo
 
 from __future__ import annotations
 
-import logging
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import graph as G
+from siltstone.sources import tree
 
 # Folders that no scan takes, and extensions by language, both in order.
 DEFAULT_EXCLUDES = [".git", ".venv", "venv", "__pycache__", "node_modules", ".tox", ".mypy_cache", ".ruff_cache", "build", "dist", ".eggs", "vendor", ".next", "coverage"]
@@ -35,49 +33,10 @@ def language_rank(language: Column) -> Column:
     return F.array_position(F.array(*(F.lit(x) for x in EXTENSIONS)), language)
 
 
-def _hidden(spark: SparkSession, root, fs, base: str, at_once: int = 64 << 20) -> DataFrame:
-    """(path, content) of files that Spark's readers pass over: those with a name, or a folder, that begins with _ or a dot.
-
-    The driver lists and reads them, `at_once` bytes at a time, and writes them to the shared folder.
-    """
-    io = spark.sparkContext._jvm.org.apache.commons.io.IOUtils
-    names = {e for x in EXTENSIONS.values() for e in x}
-    out, held, size = f"{G.shared_dir(spark)}/hidden-{uuid.uuid4().hex}", [], 0
-    write = lambda: spark.createDataFrame(held, "path string, content binary").write.mode("append").parquet(out)
-    found = fs.listFiles(root, True)
-    while found.hasNext():
-        file = found.next()
-        path = file.getPath().toString()[len(base) + 1 :]
-        if path.rsplit(".", 1)[-1] not in names or not any(p[:1] in ("_", ".") and "=" not in p for p in path.split("/")):
-            continue
-        try:
-            stream = fs.open(file.getPath())
-            held.append((path, bytearray(io.toByteArray(stream))))
-            stream.close()
-        except Py4JJavaError as e:  # as with other unreadable files
-            logging.getLogger(__name__).warning("not readable: %s (%s)", path, type(e).__name__)
-            continue
-        size += len(held[-1][1])
-        if size >= at_once:
-            write()
-            held, size = [], 0
-    write()
-    return spark.read.schema("path string, content binary").parquet(out)
-
-
 def scan(spark: SparkSession, root: str, excludes: list[str] | None = None) -> DataFrame:
-    """(path, content) of the source files under root; unreadable files are passed over, as are those that `excludes` names.
-
-    Names that begin with _ are hidden to Spark's readers, so the driver reads those (`__init__.py`); for very large
-    snapshots give `files` a table of (path, content) instead.
-    """
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    base = fs.makeQualified(folder).toString().rstrip("/")
-    wanted = ",".join(e for x in EXTENSIONS.values() for e in x)
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{wanted}}}").option("ignoreCorruptFiles", True).load(root)
-    rows = rows.select(F.expr(f"substring(path, {len(base) + 2})").alias("path"), "content").union(_hidden(spark, folder, fs, base))
-    return rows.filter(~T.excluded(F.col("path"), excludes)) if excludes else rows
+    """(path, content) of the source files under root, apart from those that DEFAULT_EXCLUDES or `excludes` name; folders
+    that are excluded are not looked into, and files that cannot be read are passed over."""
+    return tree.read(spark, root, [e for x in EXTENSIONS.values() for e in x], DEFAULT_EXCLUDES + (excludes or []))
 
 
 def files(raw: DataFrame) -> DataFrame:

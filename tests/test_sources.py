@@ -404,3 +404,39 @@ def test_blocked_calls_are_unresolved(spark):
     facts = S.facts(files)
     got = {(r.is_member, r.target) for r in I.resolve_calls(S.listed(facts, "calls"), S.symbols(facts)).collect()}
     assert got == {(True, None), (False, "python:a:get")}
+
+
+def test_executors_read_hidden_names_and_excluded_folders_are_not_looked_into(spark, tmp_path):
+    tree = {"pkg/__init__.py": "a = 1\n", "_own/.x.py": "", ".hidden/y.go": "package y\n", "node_modules/x/a.js": "x", "web/node_modules/b.js": "x", "gen/a_pb2.py": "x", "gen/b.py": "b", "big/m.ts": "z" * 5000, "note.md": "n"}
+    for path, text in tree.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    got = S.scan(spark, str(tmp_path), ["*_pb2.py"])
+    assert {r.path: bytes(r.content).decode() for r in got.collect()} == {p: t for p, t in tree.items() if p not in ("node_modules/x/a.js", "web/node_modules/b.js", "gen/a_pb2.py", "note.md")}
+    looked = []
+
+    class Store:
+        def get_file_info(self, selector):
+            looked.append(selector.base_dir)
+            return tree_source.fs.LocalFileSystem().get_file_info(selector)
+
+    from siltstone.sources import tree as tree_source
+
+    found, real = [], tree_source.file_system
+    try:
+        tree_source.file_system = lambda root: (Store(), root)
+        found = [p for p, _ in tree_source.listed(str(tmp_path), ["py", "ts", "go", "js"], S.DEFAULT_EXCLUDES + ["gen"])]
+    finally:
+        tree_source.file_system = real
+    assert found == [".hidden/y.go", "_own/.x.py", "big/m.ts", "pkg/__init__.py"] and not any("node_modules" in x or x.endswith("gen") for x in looked)
+
+
+def test_files_are_dealt_to_tasks_by_size(spark, tmp_path):
+    from siltstone.sources.tree import TreeReader
+
+    for i in range(9):
+        (tmp_path / f"m{i}.py").write_text("x" * 100_000)
+    reader = TreeReader({"root": str(tmp_path), "partitionBytes": "450000", "extensions": "py", "excludes": ""})
+    assert [len(p.paths) for p in reader.partitions()] == [3, 3, 3]
+    (tmp_path / "m1.py").unlink()  # gone since it was listed
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 8
