@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ast
 import hashlib
+import itertools
+import re
 from collections.abc import Iterator
 
 Span = tuple[int, int, int, int]
@@ -31,39 +33,89 @@ def parts_of(node: ast.AST) -> list[ast.AST]:
     return sorted(flat(node), key=lambda c: (c.lineno, c.col_offset))
 
 
-def _statements(lines: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of lines that each begin with one that is not indented, is no comment and closes nothing."""
-    starts = [i for i, x in enumerate(lines) if x[:1] not in ("", " ", "\t", "\f", "#", ")", "]", "}", "\r")]
-    return zip([0, *starts[1:]], [*starts[1:], len(lines)], strict=True) if starts else iter([(0, len(lines))])
+#: Words that go on with the statement before them.
+GOES_ON = re.compile(r"[ \t\f]*(?:else|elif|except|finally)\b")
+NO_START = re.compile(r"\s*(?:[#)\]}]|$)")
+
+
+def _indent(line: str) -> int:
+    return len(line) - len(line.lstrip(" \t\f"))
+
+
+def _statements(lines: list[str], a: int, b: int) -> tuple[int, list[tuple[int, int]]]:
+    """(indent, ranges of lines): a statement begins on a line with the block's indent that closes nothing and goes on with
+    nothing; decorators belong to what follows them."""
+    real = [i for i in range(a, b) if not NO_START.match(lines[i])]
+    if not real:
+        return 0, []
+    indent = _indent(lines[real[0]])
+    starts, decorated = [], False
+    for i in real:
+        if _indent(lines[i]) == indent and not GOES_ON.match(lines[i]):
+            if not decorated:
+                starts.append(i)
+            decorated = lines[i].lstrip().startswith("@")
+    return indent, list(zip(starts, [*starts[1:], b], strict=True))
+
+
+def _tree(lines: list[str], a: int, b: int, indent: int) -> list[ast.stmt]:
+    """The statements of lines that stand at an indent, in their places; raises SyntaxError."""
+    above = 1 if indent else 0
+    tree = ast.parse("if 1:\n" * above + "\n".join(lines[a:b]))
+    ast.increment_lineno(tree, a - above)
+    return tree.body[0].body if above else tree.body
+
+
+def _header(lines: list[str], indent: int, most: int = 20) -> tuple[list[ast.stmt], int]:
+    """(the statement that lines begin with, with `pass` for a body, the first line after its header); nothing where none of
+    the first lines that end in a colon ends a header."""
+    ends = (i for i, line in enumerate(lines) if line.split("#")[0].rstrip().endswith(":"))
+    for i in itertools.islice(ends, most):
+        try:
+            return _tree([*lines[:i], f"{lines[i].split('#')[0].rstrip()} pass"], 0, i + 1, indent), i + 1
+        except SyntaxError:
+            continue
+    return [], len(lines)
+
+
+def _sound(lines: list[str], a: int, b: int) -> list[ast.stmt]:
+    """What can be read of a block. Statements are read one by one, and of one with an error its body's in the same way, so
+    each line is read about as often as it is deep. A statement of which nothing can be read is `pass`; with a header that cannot be
+    read its body goes."""
+    indent, found = _statements(lines, a, b)
+    out: list[ast.stmt] = []
+    for s, e in found:
+        try:
+            out += _tree(lines, s, e, indent)
+            continue
+        except SyntaxError:
+            pass
+        clauses = [s, *(i for i in range(s + 1, e) if _indent(lines[i]) == indent and GOES_ON.match(lines[i])), e]
+        for n, (c, d) in enumerate(zip(clauses, clauses[1:], strict=False)):
+            held = lines[c:d]
+            if n:  # a later clause is read as a condition of its own, in which its words keep their columns
+                held[0] = re.sub(r"\b(?:elif|else|except|finally)\b.*", lambda m: "  if" + m[0][4:] if m[0].startswith("elif") else "  if 1:", held[0], count=1)
+            head, first = _header(held, indent or 2 * (n > 0))
+            if not head:
+                out += [] if n else [ast.Pass(lineno=c + 1, col_offset=indent, end_lineno=c + 1, end_col_offset=indent + 4)]
+                continue
+            for x in head:
+                ast.increment_lineno(x, c)
+            inner = _sound(lines, c + first, d)
+            node = head[-1]
+            if inner and hasattr(node, "body"):
+                node.body, node.end_lineno, node.end_col_offset = inner, inner[-1].end_lineno, inner[-1].end_col_offset
+            out += head
+    return out
 
 
 def parsed(text: str) -> tuple[ast.Module, bool]:
-    """The syntax tree and whether it is that of the whole text.
-
-    A text with an error is read statement by statement. Of a statement with an error, the lines that stop the parser are
-    blanked one after another, each at its own statement's cost, and what is left is kept; all keep their lines.
-    """
+    """The syntax tree and whether it is that of the whole text. Of a text with an error what can be read is kept, in its place."""
     try:
         return ast.parse(text), True
     except SyntaxError:
-        body, lines = [], text.split("\n")
-        for a, b in _statements(lines):
-            held = lines[a:b]
-            for _ in range(len(held)):
-                try:
-                    tree = ast.parse("\n" * a + "\n".join(held))
-                except SyntaxError as e:
-                    at = min(max((e.lineno or 0) - 1 - a, 0), len(held) - 1)
-                    while at and not held[at].strip():
-                        at -= 1
-                    indent = len(held[at]) - len(held[at].lstrip())
-                    if not held[at].strip() or held[at].strip() == "pass":
-                        break
-                    held[at] = held[at][:indent] + "pass" if at else ""  # keeps the block that the line stood in
-                    continue
-                body += tree.body
-                break
-        return ast.Module(body, []), False
+        lines = text.split("\n")
+        return ast.Module(_sound(lines, 0, len(lines)), []), False
 
 
 class PythonFacts:

@@ -440,3 +440,23 @@ def test_files_are_dealt_to_tasks_by_size(spark, tmp_path):
     assert [len(p.paths) for p in reader.partitions()] == [3, 3, 3]
     (tmp_path / "m1.py").unlink()  # gone since it was listed
     assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 8
+
+
+def test_broken_python_is_read_in_time_that_grows_with_its_lines():
+    import time
+
+    took = []
+    for n in (1000, 8000):
+        text = "class A:\n    def f(self):\n" + "".join(f"        print 'x{i}'\n        go{i}(1)\n" for i in range(n))
+        start = time.perf_counter()
+        f = PythonFacts("m", text)
+        took.append(time.perf_counter() - start)
+        assert not f.whole and len(f.calls) == n and [s["span"] for s in f.symbols] == [(1, 0, 2 * n + 2, f.calls[-1][3][3] + 3), (2, 4, 2 * n + 2, f.calls[-1][3][3] + 3)]
+    assert took[1] < 30 * took[0] + 1
+
+
+def test_clauses_of_a_broken_statement_are_read_each():
+    text = "if a(1):\n    x = = 1\n    b(2)\nelif c(3):\n    d(4)\nelse:\n    print 'y'\n    e(5)\n@deco\ndef f(\n    q,\n):\n    return (\n        g(6)\n    )\n    z z\ntry:\n    h(7)\nexcept E as x:\n    i(8)\nfoo(\n"
+    f = PythonFacts("m", text)
+    assert [(o, n, s[:2]) for o, n, _, s in f.calls] == [("python:m", "a", (1, 3)), ("python:m", "b", (3, 4)), ("python:m", "c", (4, 5)), ("python:m", "d", (5, 4)), ("python:m", "e", (8, 4)), ("python:m:f", "g", (14, 8)), ("python:m:f", "deco", (9, 1)), ("python:m", "h", (18, 4)), ("python:m", "i", (20, 4))]
+    assert [(s["qualname"], s["span"]) for s in f.symbols] == [("f", (9, 0, 16, 8))]
