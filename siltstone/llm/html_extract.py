@@ -6,6 +6,11 @@ synthetic pages of many layouts with known content, give each element the log od
 The labels are then decoded together: a wrapper may hold both kinds, an article may hold boilerplate inside, but nothing
 below boilerplate is content; the best consistent labelling is found by dynamic programming from the leaves.
 
+Names say nothing on many pages. So a second model of the same kind is fitted on pages whose names and telling tags are
+masked at random and whose article stands in a plain body, section or table cell; where it finds twice the text that the
+first does, or the first nothing, its labelling is taken. Where neither finds any, the subtree with most text outside links is
+the article, if it has any.
+
 Defined cases: null or empty html gives an empty text; broken markup is read leniently; very long pages are read whole;
 repeated rows are extracted alike; an empty table gives an empty result; other columns pass through.
 """
@@ -103,6 +108,7 @@ class Trees:
         bins = self._bins(x)
         p = np.clip(y.mean(), 0.01, 0.99)
         self.base, self.trees, self.depth = math.log(p / (1 - p)), [], depth
+        self.plain: Trees | None = None  # judges pages of which this one finds nothing
         z = np.full(len(y), self.base)
         for _ in range(trees):
             q = 1 / (1 + np.exp(-z))
@@ -171,6 +177,27 @@ def decode(nodes: list[Node], logits: np.ndarray, switch: float = 2.0) -> set[in
     return out
 
 
+def densest(nodes: list[Node]) -> set[int]:
+    """Orders of the elements with text of their own below the one that has most text outside links for its elements."""
+    at = {n.order: i for i, n in enumerate(nodes)}
+    own = np.array([n.text - 2.0 * n.link_text for n in nodes])
+    total, count = own.copy(), np.ones(len(nodes))
+    for i in range(len(nodes) - 1, 0, -1):
+        p = at[nodes[i].parent.order]
+        total[p] += total[i]
+        count[p] += count[i]
+    best = int(np.argmax(np.where(total > 0, total / np.sqrt(count), 0)))
+    out, todo = set(), [nodes[best]]
+    while todo:
+        n = todo.pop()
+        if n is not nodes[best] and n.tag in BAD_TAGS:
+            continue
+        if n.text and 2 * n.link_text <= n.text:
+            out.add(n.order)
+        todo += n.children
+    return out
+
+
 def extract(page: str | None, model: Trees) -> str:
     return extract_many([page], model)[0]
 
@@ -277,14 +304,28 @@ def _marked(page: str) -> dict[int, int]:
     return out
 
 
-@lru_cache(maxsize=2)
-def train(pages: int = TRAIN_PAGES, seed: int = SEED) -> Trees:
-    """The model; the same for the same arguments."""
+def masked(page: str, r: Random) -> str:
+    """The page with names that say nothing, telling tags become plain ones, and the article in another place."""
+    import re
+
+    word = lambda: "".join(r.choice("bcdfghklmnprst") + r.choice("aeiou") for _ in range(r.randint(1, 3)))
+    if r.random() < 0.8:
+        page = re.sub(r' (class|id)="[^"]*"', lambda m: "" if r.random() < 0.5 else f' {m[1]}="{word()}"', page)
+    for tag in ("nav", "aside", "header", "footer", "form"):
+        if r.random() < 0.4:
+            page = re.sub(rf"<(/?){tag}\b", r"<\1div", page)
+    start, end = r.choice((("", ""), ("", ""), ("<div>", "</div>"), ("<section>", "</section>"), (f"<div id={word()}>", "</div>"), ("<table><tr><td>", "</td></tr></table>"), ("<div><div>", "</div></div>")))
+    page = re.sub(r' itemprop="[^"]*"', "", page)
+    for tag in ("article", "main"):
+        page = re.sub(rf"<{tag}\b[^>]*>", start, page).replace(f"</{tag}>", end)
+    return page
+
+
+def _fitted(pages: list[str]) -> Trees:
     import re
 
-    r, xs, ys = Random(seed), [], []
-    for _ in range(pages):
-        page = synthetic_page(r)
+    xs, ys = [], []
+    for page in pages:
         labels = _marked(page)
         nodes, x = features(parse(re.sub(r" data-c=[01]", "", page))[0])
         keep = [i for i, n in enumerate(nodes) if n.order in labels]
@@ -293,6 +334,15 @@ def train(pages: int = TRAIN_PAGES, seed: int = SEED) -> Trees:
     return Trees(np.concatenate(xs), np.concatenate(ys).astype(float))
 
 
+@lru_cache(maxsize=2)
+def train(pages: int = TRAIN_PAGES, seed: int = SEED) -> Trees:
+    """The model, with the one for plain pages; the same for the same arguments."""
+    r = Random(seed)
+    model = _fitted([synthetic_page(r) for _ in range(pages)])
+    model.plain = _fitted([masked(synthetic_page(r), r) for _ in range(pages)])
+    return model
+
+
 def extract_many(pages: list[str | None], model: Trees) -> list[str]:
     """extract() of each page, the trees applied to all their elements at once."""
     read = [(runs, *features(root)) for root, runs in (parse(p) for p in pages if p)]
@@ -300,7 +350,15 @@ def extract_many(pages: list[str | None], model: Trees) -> list[str]:
         return [""] * len(pages)
     z = model.logits(np.concatenate([x for _, _, x in read]))
     ends = np.cumsum([len(x) for _, _, x in read])
-    texts = iter([blocks(runs, decode(nodes, z[e - len(x) : e])) for (runs, nodes, x), e in zip(read, ends, strict=True)])
+    found = [blocks(runs, decode(nodes, z[e - len(x) : e])) for (runs, nodes, x), e in zip(read, ends, strict=True)]
+    if model.plain:
+        y = model.plain.logits(np.concatenate([x for _, _, x in read]))
+        for i, ((runs, nodes, x), e) in enumerate(zip(read, ends, strict=True)):
+            other = blocks(runs, decode(nodes, y[e - len(x) : e]))
+            if 2 * len(found[i]) <= len(other):
+                found[i] = other
+            found[i] = found[i] or blocks(runs, densest(nodes))
+    texts = iter(found)
     return [next(texts) if p else "" for p in pages]
 
 
