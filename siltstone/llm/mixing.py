@@ -2,7 +2,8 @@
 
 1. Sources in code point order (null last) weigh 1, 2, 3, 1, ... and share the words of the corpus; a target stops at
    `repeat` times its source's size and the excess is reshared by weight until none is above.
-2. The mix is cut into blocks of equal size. Sainte-Lague gives blocks to sources by the highest target / (2 k + 1).
+2. The mix is cut into blocks of equal size, at most half a percent of the smallest target: one tiny source makes the blocks
+   of the whole mix small, down to a word, at the cost of more seats and of nothing else. Sainte-Lague gives blocks to sources by the highest target / (2 k + 1).
 3. Each source is dealt by a seeded hash into shards of about `shard_words` words, so no hot source meets in one task;
    the source's blocks go to its shards by the same rule.
 4. A shard's documents stand in seeded order as a ring of words. Its quota of blocks is taken as whole rounds of the

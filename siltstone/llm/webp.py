@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import table
+from siltstone.llm.common import free_name, table
 
 WIDTH, MAX_HEIGHT, LEAST, LIMIT = 64, 16384, 8, 9
 PLACE, SPREAD = np.uint64((1 << 20) - 1), np.uint64(0x9E3779B97F4A7C15)  # low bits of a sort key that hold the place in an image
@@ -665,18 +665,19 @@ def _with(df: DataFrame, out: str, kind: str, f) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-    schema = StructType([*(x for x in df.schema.fields if x.name != out), StructField(out, _parse_datatype_string(kind))])
+    schema = StructType([*df.schema.fields, StructField(free_name(df, out), _parse_datatype_string(kind))])
     arrow = to_arrow_schema(schema)
     return df.mapInArrow(lambda it: f(it, arrow), schema)
 
 
 def to_webp(df: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
-    """df with its text stored as lossless WebP in a binary column."""
+    """df with its text stored as lossless WebP in a binary column `out`, with underscores after it where df has such a column."""
     return _with(df, out, "binary", lambda it, schema: _stored(it, text, schema))
 
 
 def from_webp(df: DataFrame, media: str = "media", out: str = "images") -> DataFrame:
-    """df with a list of width, height and the pixel array (bytes, ARGB) of each image stored in `media` (null: none)."""
+    """df with a list of width, height and the pixel array (bytes, ARGB) of each image stored in `media` (null: none), in `out`, with
+    underscores after it where df has such a column."""
     return _with(df, out, "array<struct<width:int,height:int,pixels:binary>>", lambda it, schema: _read_back(it, media, schema))
 
 

@@ -172,3 +172,13 @@ def test_columns_there_and_back(spark):
     for r, t in zip(back, ("some text", None)):
         assert b"".join(bytes(p & 255 for (p,) in struct.iter_unpack(">I", x.pixels)) for x in r.images) == payload(t)
         assert (r.doc_id, r.text) == (1 if t else 2, t)
+
+
+def test_input_columns_of_the_same_name_stay(spark):
+    df = spark.createDataFrame([("some text", "old", 1), (None, None, None)], "text string, Media string, images int")
+    stored = webp.to_webp(df)
+    assert stored.columns == ["text", "Media", "images", "media_"]
+    back = webp.from_webp(stored, "media_")
+    assert back.columns == ["text", "Media", "images", "media_", "images_"]
+    rows = {r.text: r for r in back.collect()}
+    assert (rows["some text"].Media, rows["some text"].images) == ("old", 1) and rows["some text"].images_[0].width > 0
