@@ -168,10 +168,10 @@ def test_damaged_streams():
 
 def test_columns_there_and_back(spark):
     df = spark.createDataFrame([(1, "some text", "old"), (2, None, None)], "doc_id long, text string, media string")
-    back = webp.from_webp(webp.to_webp(df)).orderBy("doc_id").collect()
+    back = webp.from_webp(webp.to_webp(df), "media_").orderBy("doc_id").collect()
     for r, t in zip(back, ("some text", None)):
         assert b"".join(bytes(p & 255 for (p,) in struct.iter_unpack(">I", x.pixels)) for x in r.images) == payload(t)
-        assert (r.doc_id, r.text) == (1 if t else 2, t)
+        assert (r.doc_id, r.text, r.media) == (1 if t else 2, t, "old" if t else None)
 
 
 def test_input_columns_of_the_same_name_stay(spark):
