@@ -10,8 +10,10 @@ from siltstone.catalogue_sources import AROUND, GO, OTHER, PYTHON, STUBS, P, _ar
 from siltstone.functions import text as T
 from siltstone.operators import diff as D
 from siltstone.operators import graph as G
+from siltstone.plans import architecture as AM
 from siltstone.plans import index as I
 from siltstone.plans import marts as M
+from siltstone.plans import panes as V
 from siltstone.registry import query
 from siltstone.sources import artifacts as A
 from siltstone.sources import revisions as R
@@ -200,6 +202,42 @@ def fact_store(t):
     return found.rows.select("path", F.size("symbols").cast("long").alias("symbols"), "sha256", F.lit(found.known).cast("long").alias("known"), F.lit(found.computed).cast("long").alias("computed"))
 
 
+@query(f"""WITH c AS (SELECT c.*, {OTHER.replace('p_partkey', 'k')} AS o FROM ({CHANGED}) c), whole AS (SELECT path, change, k, q, n, text FROM c, LATERAL (VALUES ('C' || k, 1, 'class C' || k || ':'), ('C' || k, 2, '    def run(self, x):'), ('C' || k, 3, '        return helper' || o || '(x)'),
+ ('C' || k || '.run', 1, 'def run(self, x):'), ('C' || k || '.run', 2, '        return helper' || o || '(x)'), ('helper' || k, 1, 'def helper' || k || '(y):'), ('helper' || k, 2, '    return C' || k || '().run(y)')) v(q, n, text) WHERE change <> 'modified')
+ SELECT path, 'python:m' || k || ':' || q AS symbol_id, change, CASE change WHEN 'added' THEN '+' ELSE '-' END AS op, CASE WHEN change = 'removed' THEN n END AS old_line, CASE WHEN change = 'added' THEN n END AS new_line, text FROM whole
+ UNION ALL SELECT path, 'python:m' || k || ':helper' || k, change, op, x, y, text FROM c, LATERAL (VALUES (' ', 1, 1, 'def helper' || k || '(y):'), ('-', 2, NULL, '    return C' || k || '().run(y)'), ('+', NULL, 2, '    return C' || k || '().run(y + 1)')) v(op, x, y, text) WHERE change = 'modified'""")
+def diff_view(t):
+    """The lines of all changed symbols of two snapshots."""
+    changed, before, after = _two_snapshots(t)
+    return V.diff_view(R.review(changed, before, after), before, after)
+
+
+CIRCLES = "import m{next}\nimport m{far}\n"
+
+
+@query("""WITH RECURSIVE s AS (SELECT s_suppkey AS k FROM supplier), e AS (SELECT x.k AS a, y.k AS b FROM s x JOIN s y ON y.k <> x.k AND (y.k = x.k // 4 * 4 + (x.k + 1) % 4 OR (x.k % 8 = 0 AND y.k = x.k + 4))),
+ r(a, b) AS (SELECT k, k FROM s UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), comp AS (SELECT x.a AS k, min('python:m' || x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
+ links AS (SELECT DISTINCT p.component AS a, q.component AS b FROM e JOIN comp p ON p.k = e.a JOIN comp q ON q.k = e.b WHERE p.component <> q.component), l(c, n) AS (SELECT component, 0::BIGINT FROM comp UNION SELECT links.a, n + 1 FROM l JOIN links ON links.b = l.c)
+ SELECT 'python:m' || k AS module, component, count(*) OVER (PARTITION BY component)::BIGINT AS size, (SELECT max(n) FROM l WHERE c = component)::BIGINT AS layer FROM comp""")
+def architecture_map(t):
+    """Files, one a supplier, that import each other in circles of four, some circles another."""
+    of = {"next": "s_suppkey div 4 * 4 + (s_suppkey + 1) % 4", "far": "if(s_suppkey % 8 = 0, s_suppkey + 4, s_suppkey)"}
+    facts = S.facts(S.files(t("supplier").select(F.expr("concat('m', s_suppkey, '.py')").alias("path"), _render(CIRCLES, "s_suppkey", **of).alias("content"))))
+    symbols = S.symbols(facts)
+    return AM.architecture(I.import_edges(facts, symbols), symbols.filter("kind = 'module'"))[0]
+
+
+@query("""WITH h AS (SELECT l_orderkey AS k, l_linenumber AS a, l_linenumber + 1 + l_suppkey % 5 AS b, l_returnflag AS label FROM lineitem), p AS (SELECT DISTINCT k, x FROM (SELECT k, a AS x FROM h UNION ALL SELECT k, b FROM h)),
+ r AS (SELECT k, x AS a, lead(x) OVER (PARTITION BY k ORDER BY x) AS b FROM p)
+ SELECT 'o' || r.k AS path, r.a::BIGINT AS a, r.b::BIGINT AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, repeat('x', (r.b - r.a)::INTEGER) AS text FROM r JOIN h ON h.k = r.k AND h.a <= r.a AND h.b >= r.b GROUP BY r.k, r.a, r.b""")
+def highlight_runs(t):
+    """A line an order, its items' highlights overlapping."""
+    files = t("orders").select(F.expr("concat('o', o_orderkey)").alias("path"), F.lit("x" * 20).alias("source"))
+    spans = t("lineitem").selectExpr("concat('o', l_orderkey) as path", "1 as start_line", "cast(l_linenumber as int) as start_character", "1 as end_line", "cast(l_linenumber + 1 + l_suppkey % 5 as int) as end_character", "l_returnflag as label")
+    runs = V.highlight_runs(files, spans)
+    return runs.select("path", F.col("start_character").cast("long").alias("a"), F.col("end_character").cast("long").alias("b"), F.array_join("labels", ",").alias("labels"), "text")
+
+
 # graphs of an index
 
 
