@@ -19,6 +19,7 @@ from siltstone.sources import artifacts as A
 from siltstone.sources import revisions as R
 from siltstone.sources import snapshot as S
 from siltstone.sources import store, tree
+from siltstone.sources import strict as ST
 
 # definition services and tiers
 
@@ -387,3 +388,26 @@ def line_shift(t):
     plain = t("documents").filter(~F.col("text").rlike("(?i)password|passwd|secret|api_?key|access_key|token|credential|AKIA|sk-|_live_|_test_|gh[po]_|AIza|xox|eyJ|BEGIN"))
     key = "-----BEGIN PRIVATE KEY-----\nabc\ndef\n-----END PRIVATE KEY-----"
     return T.redact(plain.select("doc_id", F.concat(F.lit(f"x\n{key}\n"), "text").alias("text")), "text", "n").select("doc_id", "n", T.line_count(F.col("text")).alias("n_lines"))
+
+
+STRICT = """concat('{"index":{"files":[{"path":"p","sha256":"1","source":"n', s_suppkey, '\\\\nü', s_name, '\\\\nend"}]},"concepts":[{"id":"c', if(s_suppkey % 3 = 0, 1, s_suppkey + 2), '","evidence":[{"path":"p","range":{"start_line":1,"start_character":1,"end_line":2,"end_character":4},"content_hash":"sha256:',
+ sha2(concat(if(s_suppkey % 2 = 0, cast(s_suppkey as string), 'x'), '\\nü', substring(s_name, 1, 2)), 256), '"}]},{"id":"c1","evidence":[{"path":"p","range":{"start_line":', if(s_suppkey % 5 = 0, 3, 2), ',"start_character":0,"end_line":2,"end_character":9}}]}],"findings":[', array_join(transform(sequence(1, cast(s_suppkey % 7 + 1 as int)), i -> concat('{"id":"f', i, '","severity":"blocking"}')), ','), ']}')"""
+
+
+@query("""SELECT s_suppkey::VARCHAR AS id, 'concepts[0].evidence[0]' AS location, 'content_hash is not that of p L1-L2' AS message FROM supplier WHERE s_suppkey % 2 = 1
+ UNION ALL SELECT s_suppkey::VARCHAR, 'concepts[1].evidence[0]', 'range begins after its end: L3-L2' FROM supplier WHERE s_suppkey % 5 = 0
+ UNION ALL SELECT s_suppkey::VARCHAR, 'concepts', 'id c1 is given 2 times' FROM supplier WHERE s_suppkey % 3 = 0
+ UNION ALL SELECT s_suppkey::VARCHAR, 'findings', (s_suppkey % 7 + 1) || ' blocking findings, published are at most 3' FROM supplier WHERE s_suppkey % 7 + 1 > 3""")
+def strict_checks(t):
+    """An artifact a supplier, with a wrong hash, a range the wrong way round, an id given twice or too many findings."""
+    docs = t("supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.expr(STRICT).alias("json"))
+    return ST.strict(A.parsed(docs))
+
+
+@query("SELECT 'p' || p_partkey AS symbol_id, p_name AS qualname FROM part WHERE contains(lower(p_name), 'ot r')")
+def posting_search(t):
+    """Names that have a text, from the postings of its grams."""
+    part = t("part")
+    path = f"{G.shared_dir(part.sparkSession)}/postings-{uuid.uuid4().hex}"
+    M.write_postings(part.select(F.expr("concat('p', p_partkey)").alias("symbol_id"), F.col("p_name").alias("qualname")), path)
+    return M.search_postings(part.sparkSession, path, "oT R")

@@ -167,11 +167,11 @@ def artifact_quickfix(t):
     return A.quickfix(A.parsed(_artifacts(t))).select("id", "value")
 
 
-@query("""WITH l AS (SELECT DISTINCT l_partkey, l_linenumber FROM lineitem) SELECT l_partkey, l_linenumber, CASE WHEN l_linenumber IN (5, 7) THEN 'python:m' || l_partkey || ':C' || l_partkey || CASE WHEN l_linenumber = 7 THEN '.run' ELSE '' END ELSE 'python:m' || l_partkey END AS symbol_id
- FROM l JOIN part ON l_partkey = p_partkey WHERE l_linenumber <> 6""")
+@query("""WITH l AS (SELECT DISTINCT l_partkey, l_linenumber FROM lineitem) SELECT l_partkey, l_linenumber, CASE WHEN l_linenumber IN (5, 6, 7) THEN 'python:m' || l_partkey || ':C' || l_partkey || CASE WHEN l_linenumber > 5 THEN '.run' ELSE '' END ELSE 'python:m' || l_partkey END AS symbol_id
+ FROM l JOIN part ON l_partkey = p_partkey""")
 def symbol_at(t):
     facts = _python(t)
-    points = t("lineitem").join(t("part").select(F.col("p_partkey").alias("l_partkey")), "l_partkey").filter("l_linenumber <> 6").select("l_partkey", "l_linenumber").distinct()
+    points = t("lineitem").join(t("part").select(F.col("p_partkey").alias("l_partkey")), "l_partkey").select("l_partkey", "l_linenumber").distinct()
     points = points.select("*", F.expr("concat('m', l_partkey, '.py')").alias("path"), F.col("l_linenumber").alias("line"), F.lit(8).alias("character"))
     return I.locate(points, S.symbols(facts)).select("l_partkey", "l_linenumber", "symbol_id")
 

@@ -6,7 +6,7 @@ references (path, span, symbol_id), and return relations that a viewer can filte
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators import graph as G
@@ -78,6 +78,38 @@ def search(symbols: DataFrame, text: str) -> DataFrame:
     return rows.orderBy(F.length("qualname"), "qualname", "symbol_id")
 
 
+#: Folders that the postings of three characters are dealt to by their hash: a search reads those of its text alone.
+FOLDERS = 64
+
+
+def _folder(gram) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(FOLDERS)).cast("int")
+
+
+def write_postings(symbols: DataFrame, path: str) -> None:
+    """Write, for search_postings, each three characters of qualified names (in lower case) with the symbols (symbol_id,
+    qualname) that have them, under path."""
+    low = F.lower("qualname")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, 3)))
+    rows = symbols.filter(F.length(low) >= 3).select("symbol_id", "qualname", F.explode(grams).alias("gram")).withColumn("folder", _folder(F.col("gram")))
+    # a common gram's postings go to several tasks; a task's rows of a folder stand in order of the gram, so files can be passed over
+    rows.repartition("folder", F.pmod(F.xxhash64("symbol_id"), F.lit(8))).sortWithinPartitions("folder", "gram").write.mode("overwrite").partitionBy("folder").parquet(path)
+    symbols.select("symbol_id", "qualname").filter("qualname is not null").write.mode("overwrite").parquet(f"{path}-names")
+
+
+def search_postings(spark: SparkSession, path: str, text: str) -> DataFrame:
+    """(symbol_id, qualname) as search() finds them, from what write_postings wrote: symbols with all grams of the text, of
+    which those that have the text itself stay. A text of less than three characters has no gram; then all names are read."""
+    low = text.lower()
+    grams = sorted({low[i : i + 3] for i in range(len(low) - 2)})
+    if not grams:
+        return search(spark.read.parquet(f"{path}-names"), text)
+    folders = [r[0] for r in spark.createDataFrame([(g,) for g in grams], "gram string").select(_folder(F.col("gram"))).distinct().collect()]
+    found = spark.read.schema("symbol_id string, qualname string, gram string, folder int").parquet(path).filter(F.col("folder").isin(folders) & F.col("gram").isin(grams))
+    both = found.groupBy("symbol_id", "qualname").agg(F.countDistinct("gram").alias("n")).filter(F.col("n") == len(grams))
+    return search(both.select("symbol_id", "qualname"), text)
+
+
 def stats(edges: DataFrame) -> DataFrame:
     """One row: edges, sources, targets."""
     return edges.agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))

@@ -21,7 +21,7 @@ from siltstone.operators import diff as D
 from siltstone.operators import graph as G
 
 RANGE = "range:struct<start_line:int,start_character:int,end_line:int,end_character:int>"
-EVIDENCE = f"evidence:array<struct<symbol_id:string,path:string,{RANGE}>>"
+EVIDENCE = f"evidence:array<struct<symbol_id:string,path:string,{RANGE},content_hash:string>>"
 ITEM = f"array<struct<id:string,{EVIDENCE}>>"
 ARTIFACT = (
     "artifact_id string, title string, repository struct<head_commit:string>, "
@@ -50,7 +50,7 @@ def write_text(lines: DataFrame, path: str) -> None:
     lines.select("value").write.mode("overwrite").text(path)
 
 
-POINTER = "array<struct<part:string,part_pos:int,item:string,location:string,symbol_id:string,path:string,range:struct<start_line:int,start_character:int,end_line:int,end_character:int>>>"
+POINTER = "array<struct<part:string,part_pos:int,item:string,location:string,symbol_id:string,path:string,range:struct<start_line:int,start_character:int,end_line:int,end_character:int>,content_hash:string>>"
 
 
 def _each(items: Column, f) -> Column:
@@ -60,12 +60,12 @@ def _each(items: Column, f) -> Column:
 
 
 def _pointers(part: str, i: Column, item: Column, at: Column, found: Column) -> Column:
-    place = lambda e, k: F.struct(F.lit(part).alias("part"), i.alias("part_pos"), item.alias("item"), F.concat(at, F.lit(".evidence["), k.cast("string"), F.lit("]")).alias("location"), e["symbol_id"].alias("symbol_id"), e["path"].alias("path"), e["range"].alias("range"))
+    place = lambda e, k: F.struct(F.lit(part).alias("part"), i.alias("part_pos"), item.alias("item"), F.concat(at, F.lit(".evidence["), k.cast("string"), F.lit("]")).alias("location"), e["symbol_id"].alias("symbol_id"), e["path"].alias("path"), e["range"].alias("range"), e["content_hash"].alias("content_hash"))
     return F.coalesce(F.transform(found, place), F.array().cast(POINTER))
 
 
 def evidence(of: DataFrame, with_flows: bool = False) -> DataFrame:
-    """(id, part, part_pos, item, location, symbol_id, path, range) of every pointer; part names the list that it stands in.
+    """(id, part, part_pos, item, location, symbol_id, path, range, content_hash) of every pointer; part names the list that it stands in.
 
     One explode of one array a document. With `with_flows` also the pointers that a flow itself carries, at no location.
     """
@@ -246,7 +246,7 @@ def redact(documents: DataFrame) -> DataFrame:
             found = [redacted(json.loads(x)) for x in b["json"]]
             yield pd.DataFrame({"id": b["id"], "json": [json.dumps(d, ensure_ascii=False, separators=(",", ":")) for d, _ in found], "redactions": [n for _, n in found]})
 
-    return documents.select("id", "json").mapInPandas(clean, "id string, json string, redactions long")
+    return documents.select("id", "json").mapInPandas(clean, f"id {documents.schema['id'].dataType.simpleString()}, json string, redactions long")
 
 
 def rule_errors(value, rules: dict, root: dict | None = None, at: tuple = ()) -> list[tuple[str, str]]:
@@ -310,7 +310,7 @@ def check(documents: DataFrame, rules: dict) -> DataFrame:
                     rows.append((key, "(root)", f"not JSON: {type(e).__name__}"))
             yield pd.DataFrame(rows, columns=["id", "location", "message"])
 
-    broken = documents.select("id", "json").mapInPandas(find, "id string, location string, message string")
+    broken = G.written(documents.select("id", "json").mapInPandas(find, f"id {documents.schema['id'].dataType.simpleString()}, location string, message string"), "breaches")
     sound = parsed(documents.join(broken.select("id").distinct(), "id", "left_anti"))
     return broken.unionByName(integrity(sound))
 
@@ -339,7 +339,7 @@ def render(documents: DataFrame, template: str, breaches: DataFrame, title_mark:
             yield pd.DataFrame(rows, columns=["id", "redactions", "html"])
 
     errors = breaches.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.concat("location", F.lit(": "), "message"))), 1, SHOWN).alias("errors"))
-    good = documents.join(errors, "id", "left_anti").select("id", "json").mapInPandas(fill, "id string, redactions long, html string")
+    good = documents.join(errors, "id", "left_anti").select("id", "json").mapInPandas(fill, f"id {documents.schema['id'].dataType.simpleString()}, redactions long, html string")
     size = F.octet_length("html").cast("long")
     status = T.size_class(size, WARN_BYTES, MOST_BYTES)
     pages = good.select("id", status.alias("status"), "redactions", size.alias("n_bytes"), F.array().cast("array<string>").alias("errors"), F.when(status != "refuse", F.col("html")).alias("html"))

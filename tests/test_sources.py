@@ -460,3 +460,29 @@ def test_clauses_of_a_broken_statement_are_read_each():
     f = PythonFacts("m", text)
     assert [(o, n, s[:2]) for o, n, _, s in f.calls] == [("python:m", "a", (1, 3)), ("python:m", "b", (3, 4)), ("python:m", "c", (4, 5)), ("python:m", "d", (5, 4)), ("python:m", "e", (8, 4)), ("python:m:f", "g", (14, 8)), ("python:m:f", "deco", (9, 1)), ("python:m", "h", (18, 4)), ("python:m", "i", (20, 4))]
     assert [(s["qualname"], s["span"]) for s in f.symbols] == [("f", (9, 0, 16, 8))]
+
+
+def test_strict_checks_of_ranges_and_hashes(spark):
+    import hashlib
+
+    from siltstone.sources import strict as ST
+
+    source = "añb\n\nlast"
+    raw = source.encode().split(b"\n")
+    at = lambda a, b, c, d: {"start_line": a, "start_character": b, "end_line": c, "end_character": d}
+    text = lambda a, b, c, d: (raw[a - 1][b:d] if a == c else b"\n".join([raw[a - 1][b:], *raw[a : c - 1], raw[c - 1][:d]]))
+    of = lambda r: "sha256:" + hashlib.sha256(text(*r)).hexdigest()
+    ranges = [(1, 0, 1, 4), (1, 1, 3, 2), (2, 0, 2, 0), (3, 0, 3, 4), (1, 3, 2, 0)]
+    good = [{"path": "p", "range": at(*r), "content_hash": of(r)} for r in ranges]
+    beyond = {"path": "p", "range": at(9, 0, 9, 1), "content_hash": of((1, 0, 1, 1))}
+    doc = {"index": {"files": [{"path": "p", "source": source}]}, "concepts": [{"id": "c", "evidence": [*good, beyond, {"path": "q", "range": at(1, 0, 1, 1), "content_hash": "x"}]}], "flows": [{"id": "c", "steps": []}]}
+    bad = {**doc, "concepts": [{"id": "c", "evidence": [{**x, "content_hash": "sha256:0"} for x in good]}], "findings": [{"id": f"f{i % 5}", "severity": "warning"} for i in range(6)]}
+    got = sorted((r.id, r.location, r.message) for r in ST.strict(A.parsed(docs(spark, doc, bad))).collect())
+    assert [r for r in got if r[0] == "0"] == []
+    assert [r[1:] for r in got] == [*((f"concepts[0].evidence[{i}]", f"content_hash is not that of p L{r[0]}-L{r[2]}") for i, r in enumerate(ranges)), ("findings", "6 warning findings, published are at most 5"), ("findings", "id f0 is given 2 times")]
+
+
+def test_documents_keep_their_kind_of_id(spark):
+    of = docs(spark, artifact(), artifact(extra=1)).selectExpr("cast(id as long) as id", "json")
+    assert {(r.id, r.location) for r in A.check(of, RULES).collect()} == {(1, "(root)")}
+    assert A.redact(of).schema["id"].dataType.typeName() == "long"

@@ -5,6 +5,7 @@ from random import Random
 import pytest
 
 from siltstone.plans import architecture as A
+from siltstone.plans import marts as M
 from siltstone.plans import panes as P
 
 
@@ -96,3 +97,15 @@ def test_runs_cover_each_character_with_its_labels(spark):
                 if label and (a, b) <= (n, i) < (c, d):
                     want.setdefault((path, n, i), set()).add(label)
     assert seen == {k: sorted(v) for k, v in want.items()}
+
+
+def test_postings_find_what_a_scan_finds_and_read_only_their_folders(spark, tmp_path):
+    r = Random(2)
+    rows = [(f"s{i}", "".join(r.choice("abAB.") for _ in range(r.randint(0, 9)))) for i in range(300)] + [("same", "aBa.b"), ("same2", "aBa.b"), ("none", None)]
+    symbols, path = spark.createDataFrame(rows, "symbol_id string, qualname string"), str(tmp_path / "p")
+    M.write_postings(symbols, path)
+    for text in ("aba", "Ba.b", "bbbb", "zzz", "ab", "", "%_."):
+        got = [tuple(x) for x in M.search_postings(spark, path, text).collect()]
+        assert got == [tuple(x) for x in M.search(symbols, text).collect()] == sorted(((s, q) for s, q in rows if q is not None and text.lower() in q.lower()), key=lambda x: (len(x[1]), x[1], x[0]))
+    plan = M.search_postings(spark, path, "aba")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [folder" in plan and "In(gram" in plan or "EqualTo(gram" in plan
