@@ -228,10 +228,10 @@ def _texts_and_blobs(batches) -> tuple[dict[int, bytes], dict[int, list[bytes]]]
     texts, blobs = {}, defaultdict(list)
     for batch in batches:
         for k, d, x in zip(batch.column("kind").to_pylist(), batch.column("d").to_pylist(), batch.column("data"), strict=True):
-            if k in (TEXT, HELD):
+            if k == TEXT:
                 texts[d] = x.as_py()
             else:
-                blobs[k].append(x.as_py())
+                blobs[k].append(d if k == HELD else x.as_py())
     return texts, blobs
 
 
@@ -242,7 +242,8 @@ def _runs_of(d: np.ndarray) -> dict[int, slice]:
 
 
 def _surround(batches, length: int, buckets: int):
-    """TEXT with SETTLED and CONTESTED -> DONE, or HELD with spans so far and AROUND (or WINDOWS) for the comparison."""
+    """TEXT with SETTLED and CONTESTED -> DONE, or HELD (the document's number) with spans so far and AROUND (or WINDOWS) for
+    the comparison."""
     texts, blobs = _texts_and_blobs(batches)
     settled = defaultdict(list)
     if blobs[SETTLED]:
@@ -267,10 +268,10 @@ def _surround(batches, length: int, buckets: int):
                 yield _done(done)
                 done = []
             continue
-        held.append((k % buckets, HELD, k, text))
+        held.append((k % buckets, HELD, k, None))
         if len(a):
             held.append((k % buckets, SPANS, None, pack(np.full(len(a), k, np.int64), a, b)))
-        if sum(len(x[3]) for x in held) > 16_000_000 or len(held) > 2000:
+        if sum(len(x[3] or b"") for x in held) > 16_000_000 or len(held) > 2000:
             yield _rows(held)
             held = []
         q, h, big = contested[k]
@@ -418,6 +419,7 @@ def _compare(batches, length: int, buckets: int):
 
 
 def _finish(batches):
+    """TEXT with SPANS -> DONE of the documents that are HELD."""
     texts, blobs = _texts_and_blobs(batches)
     if not texts:
         return
@@ -428,7 +430,7 @@ def _finish(batches):
         d, a, b = d[order], a[order], b[order]
         by = {k: (a[s], b[s]) for k, s in _runs_of(d).items()}
     none = np.zeros(0, np.int64)
-    yield _done([(k, len(t), *spans(t, *by.get(k, (none, none)))) for k, t in texts.items()])
+    yield _done([(k, len(texts[k]), *spans(texts[k], *by.get(k, (none, none)))) for k in blobs[HELD]])
 
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", wide: int = WIDE) -> DataFrame:
@@ -449,7 +451,8 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id
     around = written(deal(texts.union(settled)).mapInArrow(lambda it: _surround(it, length, buckets), SPARK), "around")
     release(settled)
     compared = deal(around.filter(F.col("kind").isin(AROUND, WINDOWS))).mapInArrow(lambda it: _compare(it, length, buckets), SPARK)
-    last = deal(around.filter(F.col("kind").isin(HELD, SPANS)).union(compared)).mapInArrow(_finish, SPARK)
+    # texts move once more from where they lie rather than being written with what was found in them
+    last = deal(around.filter(F.col("kind").isin(HELD, SPANS)).union(compared).union(texts)).mapInArrow(_finish, SPARK)
     out = around.filter(F.col("kind") == DONE).union(last).select("d", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     if named is not None:
         out = out.join(named.select("u", F.col("d").alias("_ss_id")), F.col("d") == F.col("u")).drop("d").withColumnRenamed("_ss_id", "d")
