@@ -411,3 +411,57 @@ def posting_search(t):
     path = f"{G.shared_dir(part.sparkSession)}/postings-{uuid.uuid4().hex}"
     M.write_postings(part.select(F.expr("concat('p', p_partkey)").alias("symbol_id"), F.col("p_name").alias("qualname")), path)
     return M.search_postings(part.sparkSession, path, "oT R")
+
+
+# facts and resolution that no other query reaches
+
+COMMON = "def f{key}(x):\n    x.get()\n    get()\n"
+
+
+@query("SELECT 'python:m' || p_partkey || ':f' || p_partkey AS enclosing, m AS is_member, CASE WHEN NOT m THEN 'python:common:get' END AS target FROM part, LATERAL (VALUES (true), (false)) v(m)")
+def blocked_calls(t):
+    """A name too common for a member call to be matched by it, though one function has it: the plain call is matched."""
+    part = t("part").select(F.expr("concat('m', p_partkey, '.py')").alias("path"), _render(COMMON, "p_partkey").alias("content"))
+    one = part.sparkSession.createDataFrame([("common.py", "def get():\n    pass\n")], "path string, content string")
+    facts = S.facts(S.files(part.union(one)))
+    return I.resolve_calls(S.listed(facts, "calls"), S.symbols(facts)).select("enclosing", "is_member", "target")
+
+
+PHANTOM = "export function run{key}() {\n  return list.map(() => { const g{key} = () => 1; return g{key}(); }).filter(h{key});\n}\n"
+
+
+@query("SELECT 'typescript:m' || p_partkey || ':' || q AS symbol_id, 'typescript:m' || p_partkey || o AS parent, a::INTEGER AS start_line FROM part, LATERAL (VALUES ('run' || p_partkey, '', 1), ('g' || p_partkey, ':run' || p_partkey, 2), ('run' || p_partkey || '.g' || p_partkey, ':run' || p_partkey, 2)) v(q, o, a)")
+def receiver_symbols(t):
+    """What a receiver's callback defines stands once in its scope and once without one, as receivers are read twice."""
+    return S.symbols(_snapshot(t, PHANTOM, "concat('m', p_partkey, '.ts')")).filter("kind <> 'module'").select("symbol_id", "parent", "start_line")
+
+
+UNWALKED = ("class A{key} extends B{key} {\n  x = d{key};\n}\nconst v: T{key} = w{key};\n", "package p\n\ntype X{key} = Y{key}\n\ntype S{key} struct {\n\tn Z{key}\n}\n")
+
+
+@query("SELECT CASE l WHEN 'go' THEN 'go:m' ELSE 'typescript:m' END || p_partkey || q AS enclosing, name FROM part, LATERAL (VALUES ('ts', ':A' || p_partkey, 'x'), ('ts', ':A' || p_partkey, 'd' || p_partkey), ('ts', '', 'w' || p_partkey), ('go', ':S' || p_partkey, 'n'), ('go', ':S' || p_partkey, 'Z' || p_partkey)) v(l, q, name)")
+def unwalked_parts(t):
+    """Usages in classes and declarations: what a class extends, a variable's type and a type's other name are none."""
+    rows = [t("part").select(F.expr(f"concat('m', p_partkey, '.{e}')").alias("path"), _render(text, "p_partkey").alias("content")) for e, text in zip(("ts", "go"), UNWALKED, strict=True)]
+    return S.listed(S.facts(S.files(rows[0].union(rows[1]))), "usages").select("enclosing", "name")
+
+
+@query("SELECT s_suppkey::VARCHAR AS id, CASE WHEN s_suppkey % 40 = 0 THEN 'ok' ELSE 'invalid' END AS status, least(30, s_suppkey % 40)::BIGINT AS shown FROM supplier")
+def render_gate(t):
+    """Documents with breaches are not rendered; the first thirty are shown."""
+    docs = t("supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.lit('{"title":"t"}').alias("json"), (F.col("s_suppkey") % 40).cast("int").alias("n"))
+    breaches = docs.filter("n > 0").select("id", F.explode(F.transform(F.sequence(F.lit(1), "n"), lambda i: i.cast("string"))).alias("location"), F.lit("wrong").alias("message"))
+    pages = A.render(docs.select("id", "json"), "<title>@T@</title>@D@", breaches, "@T@", "@D@")
+    return pages.select("id", "status", F.size("errors").cast("long").alias("shown"))
+
+
+@query("SELECT 'a' || s_suppkey || '.json' AS file, 'art_' || s_suppkey AS artifact_id, s_name AS title FROM supplier")
+def artifact_files(t):
+    """Artifacts read from files, one a supplier, with line breaks within."""
+    supplier = t("supplier")
+    spark, root = supplier.sparkSession, f"{G.shared_dir(supplier.sparkSession)}/artifacts-{uuid.uuid4().hex}"
+    spark.createDataFrame([("",)], "x string").coalesce(1).write.text(root)
+    rows = supplier.select(F.expr("concat('a', s_suppkey, '.json')").alias("path"), F.expr("""concat('{\n "artifact_id": "art_', s_suppkey, '",\n "title": "', s_name, '"\n}\n')""").alias("content"))
+    rows.foreachPartition(_write_files(tree.resolved(spark, root)))
+    found = A.parsed(A.read(spark, f"{root}/*.json"))
+    return found.select(F.element_at(F.split("id", "/"), -1).alias("file"), "a.artifact_id", "a.title")
