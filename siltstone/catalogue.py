@@ -80,7 +80,7 @@ def innermost_interval(t):
     spans = wide.union(r(10000).filter("id % 3 = 0").selectExpr("100 * id", "100 * id + 99", "100000 + id"))
     # spans never cross a thousand, so that is the part that both sides share
     part = lambda df, c: df.withColumn("part", F.expr(f"{c} div 1000"))
-    return K.innermost(part(points, "event_id"), part(spans, "a"), "event_id", "a", "b", ["span"], "part").select("event_id", "span")
+    return K.innermost(part(points, "event_id"), part(spans, "a"), "part", ["event_id"], ["a"], ["b"], "span", "span").filter("span is not null").select("event_id", "span")
 
 
 URLS = "SELECT DISTINCT regexp_replace(regexp_replace(url, '[?#].*$', ''), '^https?://', '') AS path FROM pages"

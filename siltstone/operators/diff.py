@@ -14,15 +14,22 @@ def snapshot_diff(before: DataFrame, after: DataFrame, keys: list[str], content:
     return b.join(a, keys, "full_outer").withColumn("change", change).filter("change is not null").select(*keys, "change")
 
 
-def stale_split(evidence: DataFrame, touched: DataFrame, item: str, key: str) -> tuple[DataFrame, DataFrame]:
+def _list(keys: str | list[str]) -> list[str]:
+    return [keys] if isinstance(keys, str) else keys
+
+
+def stale_split(evidence: DataFrame, touched: DataFrame, item: str | list[str], key: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """(stale, reusable) items of evidence (item, key): those with touched evidence, and the others."""
-    stale = evidence.join(touched.select(key).distinct(), key, "left_semi").select(item).distinct()
-    return stale, evidence.select(item).distinct().join(stale, item, "left_anti")
+    item, key = _list(item), _list(key)
+    stale = evidence.join(touched.select(*key).distinct(), key, "left_semi").select(*item).distinct()
+    return stale, evidence.select(*item).distinct().join(stale, item, "left_anti")
 
 
-def orphans(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:
+def orphans(children: DataFrame, parents: DataFrame, child_key: str | list[str], parent_key: str | list[str]) -> DataFrame:
     """Rows of children whose key no parent has."""
-    return children.join(parents.select(F.col(parent_key).alias(child_key)).distinct(), child_key, "left_anti")
+    child_key, parent_key = _list(child_key), _list(parent_key)
+    known = parents.select(*(F.col(p).alias(c) for p, c in zip(parent_key, child_key, strict=True))).distinct()
+    return children.join(known, child_key, "left_anti")
 
 
 def violations(df: DataFrame, rules: dict) -> DataFrame:

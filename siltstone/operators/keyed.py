@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
 def _ranked(df: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
@@ -39,12 +44,65 @@ def resolve_unique(calls: DataFrame, symbols: DataFrame, keys: list[str], symbol
     return rows.withColumn("target", F.when(~F.col("_blocked"), F.col("target"))).drop("_blocked")
 
 
-def innermost(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, order: list[str], part: str) -> DataFrame:
-    """points with the span of their part (a file) that holds each and starts last, of those the one that ends first. Both
-    ends belong to a span. The part is the join's equality."""
-    inside = (F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))
-    joined = points.join(spans, (points[part] == spans[part]) & inside).drop(spans[part])
-    return _ranked(joined, points.columns, [F.col(start).desc(), F.col(end).asc(), *(F.col(c) for c in order)], 1)
+def _sweep(n: int, value: pa.DataType):
+    """What sweeps events (part, block, n numbers of a place, is_point, n numbers of an end, value) sorted by part, place and
+    spans first.
+
+    Open spans lie on a stack in the order they begin, so the last that has not ended holds the point; one that has
+    ended holds no later point either, and goes when it comes to lie on top.
+    """
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, stack = None, []
+        for b in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                at = row[2 : 2 + n]
+                if row[:2] != now:
+                    now, stack = row[:2], []
+                if not row[2 + n]:
+                    stack.append((row[3 + n : 3 + 2 * n], row[-1], at))
+                    continue
+                while stack and stack[-1][0] < at:
+                    stack.pop()
+                if stack:
+                    out.append((row[0], *at, stack[-1][1], *stack[-1][2]))
+            columns = list(zip(*out, strict=True)) if out else [[]] * (2 + 2 * n)
+            kinds = [pa.string(), *[pa.int64()] * n, value, *[pa.int64()] * n]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[f"c{i}" for i in range(len(kinds))])
+
+    return sweep
+
+
+#: Lines (or other first numbers of places) of a part that one task sweeps.
+BLOCK = 4096
+
+
+def innermost(points: DataFrame, spans: DataFrame, part: str, at: list[str], start: list[str], end: list[str], order: str, value: str) -> DataFrame:
+    """points with `value` of the span of their part (a file) that holds each, ends included, and where it begins (span_ and
+    the names of `at`); null where none does.
+
+    Innermost is what begins last, of those what ends first, of those the first by order. One sweep over a part's spans and
+    points in order of their places finds them. Long parts are dealt by the first number of places, and spans go to each piece
+    that they reach into.
+    """
+    c, n = F.col, len(at)
+    block = lambda x: F.floor(c(x) / BLOCK).cast("long")
+    kind = spans.schema[value].dataType
+    numbers = lambda names, to: [c(x).cast("long").alias(f"{to}{i}") for i, x in enumerate(names)]
+    begins = spans.select(c(part).cast("string").alias("part"), F.explode(F.sequence(block(start[0]), F.greatest(block(start[0]), block(end[0])))).alias("block"), *numbers(start, "a"), F.lit(False).alias("is_point"), *numbers(end, "b"), c(value).alias("value"), c(order).alias("order"))
+    nulls = [F.lit(None).cast("long").alias(f"b{i}") for i in range(n)]
+    asked = points.select(c(part).cast("string").alias("part"), block(at[0]).alias("block"), *numbers(at, "a")).distinct()
+    asked = asked.select("*", F.lit(True).alias("is_point"), *nulls, F.lit(None).cast(kind).alias("value"), F.lit(None).cast(spans.schema[order].dataType).alias("order"))
+    events = begins.join(asked.select("part", "block").distinct(), ["part", "block"], "left_semi").unionByName(asked)
+    places = [f"a{i}" for i in range(n)]
+    swept = events.repartition("part", "block").sortWithinPartitions("part", "block", *places, "is_point", *(c(f"b{i}").desc() for i in range(n)), c("order").desc()).drop("order")
+    schema = StructType([StructField("_part", StringType()), *(StructField(f"_p{i}", LongType()) for i in range(n)), StructField(value, kind), *(StructField(f"span_{x}", LongType()) for x in at)])
+    found = swept.mapInArrow(_sweep(n, to_arrow_type(kind)), schema)
+    same = c(part).cast("string") == c("_part")
+    for i, x in enumerate(at):
+        same = same & (c(x).cast("long") == c(f"_p{i}"))
+    return points.join(found, same, "left").drop("_part", *(f"_p{i}" for i in range(n)))
 
 
 def longest_prefix(targets: DataFrame, modules: DataFrame, target: str, module: str, separator: str) -> DataFrame:

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,76 +55,29 @@ def resolve_imports(targets: DataFrame, modules: DataFrame) -> DataFrame:
     folder ends it. Prefixes and path ends are joined by equality.
     """
     c = F.col
-    keys = ["language", "path", "pos"]
     known = modules.groupBy("language", "module").agg(F.min("file_ord").alias("first"))
-    parts = F.split(c("target"), "[.]")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
-    tries = targets.withColumn("_try", F.explode(F.when(c("language") == "python", prefixes).otherwise(F.array("target"))))
-    found = known.select(c("language"), c("module").alias("_try"))
-    direct = tries.join(found, ["language", "_try"]).groupBy(*keys).agg(F.max_by("_try", F.length("_try")).alias("dst"))
-    go = targets.filter("language = 'go'").join(direct.select(*keys), keys, "left_anti")
-    steps = F.split("target", "/")
-    ends = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, n, F.size(steps)), "/"))
+    of = lambda df, language: df.filter(c("language") == language)
+    named = lambda df, language: df.select(F.lit(language).alias("language"), "target", c("resolved").alias("dst"))
+    prefixes = named(K.longest_prefix(of(targets, "python").select("target").distinct(), of(known, "python"), "target", "module", "."), "python")
+    exact = targets.filter("language <> 'python'").select("language", "target").distinct().join(known.select("language", c("module").alias("target")), ["language", "target"], "left_semi").select("language", "target", c("target").alias("dst"))
     folder = F.when(c("module").contains("/"), F.regexp_replace("module", "/[^/]*$", "")).otherwise(F.lit("."))
-    folders = known.filter("language = 'go'").select(folder.alias("_end"), c("module").alias("_mod"), "first")
-    by_end = go.withColumn("_end", F.explode(ends)).join(folders, "_end").groupBy(*keys).agg(F.min_by("_mod", "first").alias("dst"))
-    rows = targets.join(direct.union(by_end), keys).filter(c("dst") != c("module"))
+    paths = of(targets, "go").select("language", "target").distinct().join(exact, ["language", "target"], "left_anti")
+    ends = named(K.directory_suffix(paths.select("target"), of(known, "go").select("module", "first", folder.alias("directory")), "target", "module", "directory", "first"), "go")
+    direct = targets.join(prefixes.union(exact).union(ends), ["language", "target"])
+    rows = direct.filter(c("dst") != c("module"))
     name = lambda m: F.concat("language", F.lit(":"), m)
     one = rows.groupBy("language", "path", "file_ord", "module", "dst").agg(F.min("pos").alias("pos"))
     return one.select("language", "path", "file_ord", "pos", name(c("module")).alias("src"), name(c("dst")).alias("dst"))
 
 
-#: Lines of a file that one task sweeps: a longer file is dealt by its lines, and spans go to each part that they reach into.
-BLOCK = 4096
-
-
-def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Points with the span that holds each and begins last, of events sorted by part of a file, place, and spans first.
-
-    Open spans lie on a stack in the order they begin, so the last that has not ended holds the point; one that has
-    ended holds no later point either, and goes when it comes to lie on top.
-    """
-    now, stack = None, []
-    for b in batches:
-        out = []
-        for path, block, line, character, is_point, end_line, end_character, symbol in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if (path, block) != now:
-                now, stack = (path, block), []
-            if not is_point:
-                stack.append((end_line, end_character, symbol, line, character))
-                continue
-            while stack and stack[-1][:2] < (line, character):
-                stack.pop()
-            if stack:
-                out.append((path, line, character, *stack[-1][2:]))
-        columns = list(zip(*out, strict=True)) if out else [[]] * 6
-        kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32())
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["_path", "_line", "_character", "_symbol", "span_line", "span_character"])
-
-
 def locate(points: DataFrame, symbols: DataFrame) -> DataFrame:
     """points (path, line, character, ...) with `symbol_id`, the innermost symbol that holds each, ends included, and where
-    it begins (span_line, span_character); the file's module where none does; null where the file has none.
-
-    Innermost is what begins last, of those what ends first, of those the first by sym_ord. One sweep over a file's
-    spans and points in order of their places finds them, in parts of BLOCK lines.
-    """
+    it begins (span_line, span_character); the file's module where none does; null where the file has none."""
     c = F.col
-    block = lambda line: F.floor(c(line) / BLOCK).cast("int")
-    places = points.select("path", "line", "character").distinct()
-    spans = symbols.filter("kind <> 'module'")
-    begins = spans.select("path", F.explode(F.sequence(block("start_line"), F.greatest(block("start_line"), block("end_line")))).alias("block"), c("start_line").alias("line"), c("start_character").alias("character"),
-                          F.lit(False).alias("is_point"), "end_line", "end_character", "symbol_id", "sym_ord")
-    none = F.lit(None).cast("int")
-    asked = places.select("path", block("line").alias("block"), c("line").cast("int").alias("line"), c("character").cast("int").alias("character"), F.lit(True).alias("is_point"), none.alias("end_line"), none.alias("end_character"), F.lit(None).cast("string").alias("symbol_id"), none.alias("sym_ord"))
-    events = begins.join(asked.select("path", "block").distinct(), ["path", "block"], "left_semi").unionByName(asked)
-    order = ["path", "block", "line", "character", "is_point", c("end_line").desc(), c("end_character").desc(), c("sym_ord").desc()]
-    swept = events.repartition("path", "block").sortWithinPartitions(*order).drop("sym_ord")
-    found = swept.mapInArrow(_sweep, "_path string, _line int, _character int, _symbol string, span_line int, span_character int")
+    found = K.innermost(points, symbols.filter("kind <> 'module'").withColumnRenamed("symbol_id", "_symbol"), "path", ["line", "character"], SPAN[:2], SPAN[2:], "sym_ord", "_symbol")
     own = symbols.filter("kind = 'module'").groupBy(c("path").alias("_path")).agg(F.max_by("symbol_id", "sym_ord").alias("_module"), F.max_by("start_line", "sym_ord").alias("_line0"), F.max_by("start_character", "sym_ord").alias("_character0"))
-    rows = points.join(found, (c("path") == c("_path")) & (c("line") == c("_line")) & (c("character") == c("_character")), "left").drop("_path", "_line", "_character")
-    rows = rows.join(own, c("path") == c("_path"), "left").drop("_path")
-    at = lambda span, module: F.when(c("_symbol").isNull(), c(module)).otherwise(c(span)).alias(span)
+    rows = found.join(own, c("path") == c("_path"), "left").drop("_path")
+    at = lambda span, module: F.when(c("_symbol").isNull(), c(module)).otherwise(c(span)).cast("int").alias(span)
     return rows.select(*points.columns, F.coalesce("_symbol", "_module").alias("symbol_id"), at("span_line", "_line0"), at("span_character", "_character0"))
 
 

@@ -148,7 +148,7 @@ def integrity(of: DataFrame) -> DataFrame:
     broken = there.select("id", "location", F.when(c("n_lines").isNull(), absent).otherwise(beyond).alias("message")).filter("message is not null")
     stale = of.select("id", F.explode("a.changes.stale_items").alias("key"))
     items = of.select("id", F.explode(F.flatten(F.array(*(F.coalesce(F.transform(f"a.{n}", lambda x: x["id"]), F.array().cast("array<string>")) for n in ("flows", "concepts", "invariants"))))).alias("key")).distinct()
-    unknown = stale.join(items, ["id", "key"], "left_anti").select("id", lit("changes.stale_items").alias("location"), F.concat(lit("unknown id "), "key").alias("message"))
+    unknown = D.orphans(stale, items, ["id", "key"], ["id", "key"]).select("id", lit("changes.stale_items").alias("location"), F.concat(lit("unknown id "), "key").alias("message"))
     return lost.union(broken).union(unknown)
 
 
@@ -163,7 +163,7 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     kinds = F.array(*(F.lit(k) for k in ("flows", "concepts", "invariants")))
     pointers = item_evidence(before).filter(c("part").isin("flows", "concepts", "invariants"))
     keys = pointers.select("id", "part", "part_pos", F.explode(F.array("symbol_id", F.concat(F.lit("path:"), "path"))).alias("key"))
-    hit = keys.join(touched, ["id", "key"], "left_semi").select("id", "part", "part_pos").distinct().withColumn("stale", F.lit(True))
+    hit = D.stale_split(keys, touched, ["id", "part", "part_pos"], ["id", "key"])[0].withColumn("stale", F.lit(True))
     items = reduce(DataFrame.union, [before.select("id", F.lit(k).alias("part"), F.posexplode(f"a.{k}").alias("part_pos", "x")).select("id", "part", "part_pos", c("x.id").alias("item")) for k in ("flows", "concepts", "invariants")])
     items = items.join(hit, ["id", "part", "part_pos"], "left").withColumn("o", F.struct(F.array_position(kinds, c("part")), "part_pos", "item"))
     chosen = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, c("o")))), lambda o: o["item"])

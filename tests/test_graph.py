@@ -5,6 +5,7 @@ from random import Random
 import pytest
 
 from siltstone.operators import graph as G
+from siltstone.operators import keyed as K
 from siltstone.plans import index as I
 
 
@@ -68,7 +69,7 @@ def innermost(spans, path, at):
 
 @pytest.mark.parametrize("block", [4096, 3])
 def test_locate_equals_the_definition(spark, monkeypatch, block):
-    monkeypatch.setattr(I, "BLOCK", block)
+    monkeypatch.setattr(K, "BLOCK", block)
     r, spans = Random(block), []
     place = lambda: (r.randint(1, 25), r.randint(0, 3))
     for _ in range(160):
