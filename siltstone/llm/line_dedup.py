@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import free_name, table, written
 
 RATIO, MIN_PAGES = 0.1, 5
-#: Dropped lines that are broadcast, some 50 bytes each on every executor; salts of the join that takes more.
-MAX_BROADCAST, SALTS = 500_000, 64
+#: Dropped lines that are broadcast, some 50 bytes each on every executor; text of a host that one salt of the join takes
+#: where there are more.
+MAX_BROADCAST, SALT_BYTES = 500_000, 1 << 30
 
 
 def boilerplate_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -39,7 +40,8 @@ def line_dedup(docs: DataFrame, host: str = "source", text: str = "text", ratio:
 
     A dropped line stands on more than `ratio` of its host's pages, so a host's list has at most 1 / ratio * (lines a
     page) entries. All lists together are broadcast up to `most` lines; beyond that they are joined by host and salt,
-    each list once a salt, so that no host's pages meet in one task.
+    each list once a salt. A host has a salt for each SALT_BYTES of its texts; those with several, of which there are at most as many
+    as the corpus has SALT_BYTES, are broadcast to the pages.
     """
     n_lines, n_dropped = free_name(docs, "n_lines"), free_name(docs, "n_dropped")
     found = written(boilerplate_lines(docs, host, text, ratio, min_pages).select("_ld_host", "_ld_line"), "boilerplate")
@@ -48,8 +50,12 @@ def line_dedup(docs: DataFrame, host: str = "source", text: str = "text", ratio:
     if found.limit(most + 1).count() <= most:
         joined = docs.join(F.broadcast(drops), same, "left")
     else:
-        salted = docs.withColumn("_ld_salt", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
-        each = drops.withColumn("_ld_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        size = F.sum(F.octet_length(text).cast("long"))
+        large = docs.groupBy(F.col(host).alias("_ld_h")).agg(F.ceil(size / SALT_BYTES).cast("int").alias("_ld_salts")).filter("_ld_salts > 1")
+        salts = F.coalesce("_ld_salts", F.lit(1))
+        mixed = [f.name for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]  # copies of a text go apart
+        salted = docs.join(F.broadcast(large), F.col(host).eqNullSafe(F.col("_ld_h")), "left").withColumn("_ld_salt", F.pmod(F.xxhash64(*mixed), salts).cast("int")).drop("_ld_h", "_ld_salts")
+        each = drops.join(F.broadcast(large), F.col("_ld_host").eqNullSafe(F.col("_ld_h")), "left").withColumn("_ld_s", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_ld_h", "_ld_salts")
         joined = salted.join(each.hint("merge"), same & (F.col("_ld_salt") == F.col("_ld_s")), "left").drop("_ld_salt", "_ld_s")
     split = F.split(F.col(text), "\n")
     # the lists' lines that the page has: a set operation, so the list is not searched line by line

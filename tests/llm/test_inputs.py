@@ -71,6 +71,18 @@ def test_salted_lists_drop_the_same_lines(spark):
     assert a == b and any(n for _, n in a.values())
 
 
+def test_hosts_of_many_bytes_are_salted_with_the_same_result(spark, monkeypatch):
+    """One host with most rows, copies of one text among them, and a null host; salts by their bytes."""
+    rows = [(i, "menu line\nown words %d\nfoot line" % (i % 7 if i < 60 else i), "big" if i < 90 else ("small", None)[i % 2]) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    plain = {tuple(r) for r in line_dedup.line_dedup(docs).collect()}
+    monkeypatch.setattr(line_dedup, "SALT_BYTES", 200)
+    salted = line_dedup.line_dedup(docs, most=0)
+    assert {tuple(r) for r in salted.collect()} == plain and salted.count() == 120
+    plan = salted._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Python" not in plan
+
+
 def test_pages_with_a_text_column(spark):
     pages = spark.createDataFrame([(1, "u", "<html><body><article><p>" + "Some words of the story. " * 30 + "</p></article></body></html>", "old"), (2, "u", None, None)], "page_id long, url string, html string, text string")
     out = html_extract.extract_pages(pages).orderBy("page_id").collect()
