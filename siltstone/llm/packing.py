@@ -22,6 +22,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +45,8 @@ class _Words(dict):
 
 
 #: A comma or full stop between an ASCII letter or digit and white space is a token group of its own in the vocabulary's rules.
-STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[\x20\x09-\x0D]|\Z)")
+#: What is looked for stands first, what must stand before it after that: so the search runs from mark to mark.
+STOP = re.compile(rb"([.,])(?<=[a-z0-9][.,])(?=[\x20\x09-\x0D]|\Z)")
 
 
 class WordTokens:
@@ -279,12 +281,11 @@ def _pack_batches(batches: Iterator[pa.RecordBatch], path: str, window: int, ext
     waiting = 0
     for batch in batches:
         texts = batch.column(1)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         a = 0
         while a < len(texts):  # a slice of about 2 MB of text at a time
-            b, n = a, 0
-            while b < len(texts) and n < 2_000_000:
-                n += len(texts[b].as_py() or "")
-                b += 1
+            b = 1 + int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 2_000_000))
+            b = min(b, len(texts))
             ids, sizes = tokens.encode(texts.slice(a, b - a).to_pylist())
             held.append((batch.column(0).slice(a, b - a), ids, sizes))
             waiting += len(ids)
