@@ -134,3 +134,10 @@ def test_command_lines(tmp_path):
     for said in ("run 0:", "no changes"):
         done = subprocess.run(argv, cwd=ROOT, capture_output=True, text=True, timeout=300)
         assert done.returncode == 0 and said in done.stderr
+
+
+def test_command_line_of_the_stream(spark, tmp_path):
+    argv = [sys.executable, "-m", "jobs.publish", "--documents", f"{DIR}/documents.parquet", "--out", str(tmp_path / "out"), "--checkpoint", str(tmp_path / "mark")]
+    done = subprocess.run(argv, cwd=ROOT, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0 and "read 200 new rows" in done.stderr
+    assert publish.read(spark, str(tmp_path / "out")).count() == 200 and list((tmp_path / "out").glob("lang=*"))
