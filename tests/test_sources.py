@@ -4,8 +4,10 @@ import json
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.operators import graph as G
+from siltstone.operators import keyed as K
 from siltstone.plans import index as I
 from siltstone.plans.review import review_document
 from siltstone.sources import artifacts as A
@@ -486,3 +488,11 @@ def test_documents_keep_their_kind_of_id(spark):
     of = docs(spark, artifact(), artifact(extra=1)).selectExpr("cast(id as long) as id", "json")
     assert {(r.id, r.location) for r in A.check(of, RULES).collect()} == {(1, "(root)")}
     assert A.redact(of).schema["id"].dataType.typeName() == "long"
+
+
+def test_files_of_one_split_are_parsed_by_several_tasks(spark):
+    rows = spark.range(0, 400, 1, 1).selectExpr("concat('m', id, '.py') as path", "concat('def f', id, '(): pass') as content")
+    facts = S.unwritten_facts(S.files(rows))
+    tasks = facts.select(F.spark_partition_id().alias("task"), F.size("symbols").alias("n")).collect()
+    assert len(tasks) == 400 and {r.n for r in tasks} == {1}
+    assert len({r.task for r in tasks}) >= 4
