@@ -496,3 +496,15 @@ def test_files_of_one_split_are_parsed_by_several_tasks(spark):
     tasks = facts.select(F.spark_partition_id().alias("task"), F.size("symbols").alias("n")).collect()
     assert len(tasks) == 400 and {r.n for r in tasks} == {1}
     assert len({r.task for r in tasks}) >= 4
+
+
+def test_first_rows_of_a_long_key_are_ranked_in_pieces(spark):
+    rows = spark.range(0, 6000, 1, 3).selectExpr("if(id % 3 = 0, 'a', if(id % 3 = 1, null, concat('k', id % 30))) as k", "id * 7919 % 6007 as o", "id")
+    kept = K.first_per_key(rows, ["k"], ["o"], 1500)
+    assert kept.columns == rows.columns
+    want = {}
+    for r in rows.orderBy("o").collect():
+        want.setdefault(r.k, []).append(r.id)
+    assert sorted(r.id for r in kept.collect()) == sorted(i for ids in want.values() for i in ids[:1500])
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "_k_piece" in plan  # no window over a whole key's rows
