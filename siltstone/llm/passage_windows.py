@@ -13,13 +13,17 @@ range of starts of the `least`-token subsequences whose minimum is m (longer one
 4. A start of a stretch of `least` tokens is open if later occurrences of `most` functions hold it and no verified link
    covers it: the first partners may hold only a part of the passage. Open stretches are compared with all earlier ones
    that share a min-hash with them and can be similar: with tokens ordered from rare to frequent, similar stretches share
-   one so early that the rest suffices for their intersection. The first one that is similar at the place of that
-   token is linked. Stretches of common phrases whose other tokens are rarer fall out before anything is compared.
+   one so early that the rest suffices for their intersection. Earlier ones that are similar at the place of that token are
+   linked until no open start is left, and beyond that all whose class is another: similarity does not carry over, so a link
+   with the first partner does not stand for those with others. For that, starts are compared too, covered or not, at which
+   `most` functions have occurrences in several classes of the links so far. Stretches of common phrases whose other tokens
+   are rarer fall out before anything is compared.
 
 Fingerprints of the verified sets have 64 bits. What a task holds is a bucket's share; buckets follow the input's splits.
 A link is one row: (doc_id, start, n_words, other_id, other_start, other_words, shared, together, class_id), words counted
-from 0, other_id the earlier document. Each open or covered passage has a row with an earlier document that has it, so documents are not
-expanded into all pairs; class_id, the smallest id that links reach, groups them.
+from 0, other_id the earlier document. Each open or covered passage has a row with an earlier document that has it, and similar passages
+of two documents put these into one class, by their own row or by those of others, so documents are not expanded into all
+pairs; class_id, the smallest id that links reach, groups them.
 
 Defined cases: null text, empty text and texts of fewer than `least_words` words have no passages; null ids are left out;
 ids of any type, ordered as the type orders them; rows with one id and links between them are told apart inside and
@@ -44,7 +48,7 @@ SHINGLE, PERCENT, LEAST_WORDS, FUNCTIONS, ENOUGH, MOST, DRIFT, SEED = 5, 80, 50,
 PART, FOLD = 400_000, 3_000_000
 ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("d", pa.int64()), ("data", pa.binary())])
 SPARK = "bucket int, kind int, d long, data binary"
-TEXT, WINDOWS, PAIRS, BOXES, SIDES, MEMBERS, COVERED, HOPE, OPEN, PLACES, HELD, COUNT, AROUND = range(13)
+TEXT, WINDOWS, PAIRS, BOXES, SIDES, MEMBERS, COVERED, HOPE, OPEN, PLACES, HELD, COUNT, AROUND, CLASS = range(14)
 LINK = "doc_id long, start long, n_words long, other_id long, other_start long, other_words long, shared long, together long"
 LINKS = pa.schema([(x.split()[0], pa.int64()) for x in LINK.split(", ")])
 
@@ -300,15 +304,29 @@ def similar_starts(x: np.ndarray, y: np.ndarray, shift: int, least: int, percent
     return starts[good]
 
 
-def verified(x: np.ndarray, y: np.ndarray, shifts: list[int], least: int, percent: int) -> list[tuple[int, int, int, int, int, int]]:
-    """(start, end, other start, other end, shared, together) of the similar passages of two token sequences: the whole
-    where it is similar, else runs of similar stretches along the diagonals y = x + shift."""
+def similar_runs(x: np.ndarray, y: np.ndarray, starts: np.ndarray, shift: int, least: int, percent: int) -> list[tuple[int, int, int, int, int, int]]:
+    """(start, end, other start, other end, shared, together) of the runs of starts, each of which is similar, cut where a run is
+    not so as one."""
+    out: list[tuple] = []
 
-    def test(a: int, b: int, c: int, d: int):
-        u, v = np.unique(x[a:b]), np.unique(y[c:d])
+    def add(first: int, last: int) -> None:
+        u, v = np.unique(x[first : last + least]), np.unique(y[first + shift : last + shift + least])
         both = overlap(u, v)
         every = len(u) + len(v) - both
-        return (a, b, c, d, both, every) if every and 100 * both >= percent * every else None
+        if every and 100 * both >= percent * every:
+            out.append((first, last + least, first + shift, last + shift + least, both, every))
+        elif first < last:  # similar at each start, but not as one
+            add(first, (first + last) // 2), add((first + last) // 2 + 1, last)
+
+    edge = np.flatnonzero(np.diff(starts) > 1) + 1
+    for run in np.split(starts, edge) if len(starts) else []:
+        add(int(run[0]), int(run[-1]))
+    return out
+
+
+def verified(x: np.ndarray, y: np.ndarray, shifts: list[int], least: int, percent: int) -> list[tuple[int, int, int, int, int, int]]:
+    """(start, end, other start, other end, shared, together) of the similar passages of two token sequences: the whole
+    where it is similar, else runs of similar stretches along the diagonals y = x + shift."""
 
     u, v = np.unique(x), np.unique(y)
     both = overlap(u, v)
@@ -318,18 +336,8 @@ def verified(x: np.ndarray, y: np.ndarray, shifts: list[int], least: int, percen
     if len(u) == len(x) and 100 * both < percent * least:  # each stretch of x has `least` tokens, of which too few are in y
         return out
 
-    def add(first: int, last: int, shift: int) -> None:
-        got = test(first, last + least, first + shift, last + least + shift)
-        if got:
-            out.append(got)
-        elif first < last:  # similar at each start, but not as one
-            add(first, (first + last) // 2, shift), add((first + last) // 2 + 1, last, shift)
-
     for shift in dict.fromkeys(shifts):
-        found = similar_starts(x, y, shift, least, percent)
-        edge = np.flatnonzero(np.diff(found) > 1) + 1
-        for run in np.split(found, edge) if len(found) else []:
-            add(int(run[0]), int(run[-1]), shift)
+        out += similar_runs(x, y, similar_starts(x, y, shift, least, percent), shift, least, percent)
     return out
 
 
@@ -363,14 +371,34 @@ def _covers(batches, k: int, buckets: int):
             yield _rows([(b, COVERED, None, x) for b, x in by_bucket(d % buckets, d, a, a + n - k + 1, o, (both > 0).astype(np.uint8))])
 
 
+def _classes(batches, buckets: int):
+    """(node, component) -> CLASS by document bucket."""
+    for batch in batches:
+        d, c = (batch.column(x).to_numpy() for x in ("node", "component"))
+        if len(d):
+            yield _rows([(b, CLASS, None, x) for b, x in by_bucket(d % buckets, d, c)])
+
+
+def class_of(docs: np.ndarray, blobs: list[bytes]) -> np.ndarray:
+    """The class of each document, by CLASS blobs: itself where it has none."""
+    out = docs.astype(np.int64)
+    if blobs:
+        d, c = joined(blobs)
+        order = np.argsort(d, kind="stable")
+        d, c = d[order], c[order]
+        at = np.minimum(np.searchsorted(d, docs), len(d) - 1)
+        out = np.where(d[at] == docs, c[at], out)
+    return out
+
+
 def shared_least(u, w, percent: int):
     """The least intersection of similar sets of sizes u and w."""
     return -(-percent * (u + w) // (100 + percent))
 
 
 def _open(batches, least: int, enough: int, percent: int, buckets: int):
-    """MEMBERS and COVERED of a document bucket -> HOPE: the open starts, each with a document it was compared with (-1:
-    none), and OPEN by min-hash bucket: all members, those marked that hold an open start.
+    """MEMBERS, COVERED and CLASS of a document bucket -> HOPE: the open starts, each with a document it was compared with (-1:
+    none), and OPEN by min-hash bucket: all members with their class, those marked that hold an open start.
 
     A start is open where `enough` functions have a later occurrence and its stretch is not, but for as many tokens as
     similar sets may differ in, inside a verified link.
@@ -414,18 +442,24 @@ def _open(batches, least: int, enough: int, percent: int, buckets: int):
     yield _rows([(k, HOPE, None, x) for k, x in by_bucket(docs[of] % buckets, docs[of], low - base[of], high - base[of], partner[low])])
     seen = np.concatenate([[0], np.cumsum(hope)])
     marked = ((seen[e + shift + 1] > seen[s + shift]) & (later > 0)).astype(np.uint8)
-    yield _rows([(k, OPEN, None, x) for k, x in by_bucket((v % np.uint64(buckets)).astype(np.int64), v, d, s.astype(np.uint32), e.astype(np.uint32), marked)])
+    yield _rows([(k, OPEN, None, x) for k, x in by_bucket((v % np.uint64(buckets)).astype(np.int64), v, d, s.astype(np.uint32), e.astype(np.uint32), marked, np.repeat(class_of(docs, got[CLASS]), np.diff(np.append(first, len(d)))))])
 
 
 def _places(batches, buckets: int):
-    """OPEN of a bucket -> PLACES by document bucket: the occurrences of min-hashes with a marked one."""
+    """OPEN of a bucket -> PLACES by document bucket: the occurrences of min-hashes with a marked one (1), with several classes
+    (2) or both (3)."""
     trim()
     blobs = _gathered(batches)[OPEN]
     if not blobs:
         return
-    v, d, s, e, marked = joined(blobs)
-    keep = np.isin(v, v[marked > 0])
-    yield _rows([(k, PLACES, None, x) for k, x in by_bucket(d[keep] % buckets, d[keep], s[keep], e[keep])])
+    v, d, s, e, marked, c = joined(blobs)
+    order = np.argsort(v, kind="stable")
+    v, d, s, e, marked, c = (x[order] for x in (v, d, s, e, marked, c))
+    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    several = np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first)
+    kind = np.repeat((np.maximum.reduceat(marked, first) > 0) + 2 * several, np.diff(np.append(first, len(v)))).astype(np.uint8)
+    keep = kind > 0
+    yield _rows([(k, PLACES, None, x) for k, x in by_bucket(d[keep] % buckets, d[keep], s[keep], e[keep], kind[keep])])
 
 
 def _mask(n: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -483,8 +517,9 @@ def _by_document(blobs: list[bytes]) -> dict[int, list[np.ndarray]]:
 def _tokens(batches, k: int, least: int, enough: int, buckets: int, few: int):
     """TEXT, HOPE and PLACES of a document bucket -> HELD: the tokens of the stretches in question, and COUNT by token bucket.
 
-    Stretches that start where `enough` functions have a place are in question. A token of HELD has the number of distinct
-    tokens of the stretch that starts there (0: none is in question), whether that start is open, and how many next starts
+    Stretches that start where `enough` functions have a place by a marked min-hash, or by one of several classes, are in
+    question. A token of HELD has the number of distinct
+    tokens of the stretch that starts there (0: none is in question), whether that start is open (2) or may lead to another class (1), and how many next starts
     have the same set and are left out for it; one of COUNT has
     (by 32 bits of its hash, which at worst counts two tokens as one) the least such number of the stretches over it, whether an open one is among them, and the document with which all
     those were compared (-1: none or several).
@@ -508,9 +543,10 @@ def _tokens(batches, k: int, least: int, enough: int, buckets: int, few: int):
         held.clear(), counts.clear()
         return _rows(rows)
 
-    for d, (s, e) in _by_document(blobs[PLACES]).items():
+    for d, (s, e, kind) in _by_document(blobs[PLACES]).items():
         n = int(e.max()) + 1
-        starts = np.flatnonzero(_mask(n, s.astype(np.int64), e.astype(np.int64)) >= enough)
+        open_, leads = (_mask(n, s[kind & bit > 0].astype(np.int64), e[kind & bit > 0].astype(np.int64)) >= enough for bit in (1, 2))
+        starts = np.flatnonzero(open_ | leads)
         if not len(starts):
             continue
         tokens = shingle_hashes(word_hashes(texts[d].as_py()), k)
@@ -518,7 +554,9 @@ def _tokens(batches, k: int, least: int, enough: int, buckets: int, few: int):
         u[starts] = distinct_counts(tokens, starts, least)
         partner, more = np.full(len(tokens), -1, np.int64), np.zeros(len(tokens), np.uint32)
         for low, high, other in zip(*(c.tolist() for c in hope.get(d, ())), strict=True):
-            o[low : high + 1], partner[low : high + 1] = u[low : high + 1] > 0, other
+            o[low : high + 1], partner[low : high + 1] = 2 * (u[low : high + 1] > 0), other
+        partner[:n][leads] = -1
+        o[:n][leads & (o[:n] == 0)] = 1
         like = like_the_one_before(tokens, least)
         if like.any():  # of neighbouring starts with the same set, the first stands for all
             n = len(like)
@@ -611,8 +649,9 @@ def prefix_places(rank: np.ndarray, use: np.ndarray, w: np.ndarray, starts: np.n
 
 
 def _around(batches, least: int, percent: int, buckets: int):
-    """HELD and COUNT of a document bucket -> AROUND by token bucket: for each token by which stretches are found, the
-    tokens of those stretches, with the first and last open one of them (1, 0: none) and the starts left out after the last."""
+    """HELD, COUNT and CLASS of a document bucket -> AROUND by token bucket: for each token by which stretches are found, the
+    tokens of those stretches, with the first and last of them that is open or may lead to another class (1, 0: none), the starts
+    left out after the last, whether one is open, and the document's class."""
     trim()
     got = _gathered(batches)
     count = _by_document(got[COUNT])
@@ -648,12 +687,13 @@ def _around(batches, least: int, percent: int, buckets: int):
         p, q = p[order], q[order]
         first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
         s, e = np.minimum.reduceat(p, first), np.maximum.reduceat(p, first)
+        bare = np.maximum.reduceat(o[p], first) > 1
         low = np.minimum.reduceat(np.where(o[p] > 0, p, len(h)), first)
         high = np.maximum.reduceat(np.where(o[p] > 0, p, -1), first)
         none = high < 0
         q = q[first]
         low, high = np.where(none, 1, place[np.minimum(low, len(h) - 1)]), np.where(none, 0, place[high])
-        store.append((h[q], np.full(len(q), d, np.int64), *(x.astype(np.uint32) for x in (place[q], place[s], low, high, more[e])), [h[a : b + least] for a, b in zip(s.tolist(), e.tolist(), strict=True)]))
+        store.append((h[q], np.full(len(q), d, np.int64), *(x.astype(np.uint32) for x in (place[q], place[s], low, high, more[e])), bare.astype(np.uint8), np.full(len(q), class_of(np.array([d]), got[CLASS])[0]), [h[a : b + least] for a, b in zip(s.tolist(), e.tolist(), strict=True)]))
         size += int((e - s + least).sum())
         if size > 500_000:
             yield flush()
@@ -675,33 +715,25 @@ def prefix_ranks(ranks: np.ndarray, least: int, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def similar_at(x: np.ndarray, y: np.ndarray, starts: range, shift: int, least: int, percent: int):
-    """(start, end, other start, other end, shared, together) of the first run of starts a whose stretches of x at a and of y
-    at a + shift are similar, as far as they are so together; None without one."""
-    found = None
-    for a in starts:
-        if not 0 <= a <= len(x) - least or not 0 <= a + shift <= len(y) - least:
-            continue
-        b = found[0] if found else a
-        u, w = np.unique(x[b : a + least]), np.unique(y[b + shift : a + shift + least])
-        both = overlap(u, w)
-        if 100 * both >= percent * (len(u) + len(w) - both):
-            found = (b, a + least, b + shift, a + shift + least, both, len(u) + len(w) - both)
-        elif found:
-            break
-    return found
-
-
 def _repair(batches, k: int, least: int, percent: int):
-    """AROUND of a bucket -> links of the open occurrences with the first earlier one that has a similar stretch."""
+    """AROUND of a bucket -> links of occurrences with earlier ones that have similar stretches: in order, until no open start is
+    without one, and beyond that with each whose class is another."""
     trim()
     blobs = _gathered(batches)[AROUND]
     if not blobs:
         return
     columns, edge, flat = joined_ragged(blobs)
     order = np.lexsort((columns[2], columns[1], columns[0]))
-    v, d, m, s, low, high, more = (c[order] for c in columns)
+    v, d, m, s, low, high, more, bare, of = (c[order] for c in columns)
     d, m, s, low, high, more = (c.astype(np.int64) for c in (d, m, s, low, high, more))
+    of, up = of.tolist(), {}  # classes that links of this bucket join
+
+    def top(c: int) -> int:
+        while c in up:
+            up[c] = up.get(up[c], up[c])
+            c = up[c]
+        return c
+
     first_of_group = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
     rows = []
     for g, h in zip(first_of_group.tolist(), [*first_of_group[1:].tolist(), len(v)], strict=True):
@@ -721,17 +753,26 @@ def _repair(batches, k: int, least: int, percent: int):
             prefix = prefix_ranks(mine, least, percent) if low[i] <= high[i] or first == i else ()
             prefix = [r for r in prefix if r >= single]
             if low[i] <= high[i]:
-                x = tokens[i - g]
+                x, a, b = tokens[i - g], int(low[i] - s[i]), int(high[i] - s[i])
+                left = np.zeros(max(len(x) - least + 1, b + 1), bool)
+                left[a : b + 1] = bare[i] > 0
                 for j in sorted({j for r in prefix for j in earlier[r]}):
                     if d[j] == d[i]:
                         continue
-                    y = tokens[j - g]
-                    got = similar_at(x, y, range(low[i] - s[i], high[i] - s[i] + 1), int(m[j] - s[j] - m[i] + s[i]), least, percent)
-                    if got:
-                        a, b, c, e, both, every = got
-                        rest = more[i] if b == len(x) else 0  # words that add nothing to the set
-                        rows.append((d[i], s[i] + a, b - a + k - 1 + rest, d[j], s[j] + c, e - c + k - 1, both, every))
-                        break
+                    other = top(of[i]) != top(of[j])
+                    if not other and not left.any():
+                        continue
+                    y, shift = tokens[j - g], int(m[j] - s[j] - m[i] + s[i])
+                    starts = similar_starts(x, y, shift, least, percent)
+                    starts = starts[(starts >= a) & (starts <= b)]
+                    if not len(starts) or not (other or left[starts].any()):
+                        continue
+                    for p, q, c, e, both, every in similar_runs(x, y, starts, shift, least, percent):
+                        rest = more[i] if q == len(x) else 0  # words that add nothing to the set
+                        rows.append((d[i], s[i] + p, q - p + k - 1 + rest, d[j], s[j] + c, e - c + k - 1, both, every))
+                    left[starts] = False
+                    if other:
+                        up[max(top(of[i]), top(of[j]))] = min(top(of[i]), top(of[j]))
             if first == i:
                 for r in prefix:
                     earlier[r].append(i)
@@ -755,18 +796,20 @@ def _links(rows: DataFrame, k: int, percent: int, least: int, functions: int, en
     release(sides)
     links = compared.filter("shared > 0")
     # what the first partners did not settle
+    found = components(links.select(F.col("doc_id").alias("u"), F.col("other_id").alias("v")))
+    classes = written(found.mapInArrow(lambda it: _classes(it, buckets), SPARK), "classes")
     covers = compared.mapInArrow(lambda it: _covers(it, k, buckets), SPARK)
-    open_ = written(deal(members.union(covers)).mapInArrow(lambda it: _open(it, least, most, percent, buckets), SPARK), "open")
+    open_ = written(deal(members.union(covers).union(classes)).mapInArrow(lambda it: _open(it, least, most, percent, buckets), SPARK), "open")
     release(paired)
     places = deal(open_.filter(f"kind = {OPEN}")).mapInArrow(lambda it: _places(it, buckets), SPARK)
     asked = texts.union(open_.filter(f"kind = {HOPE}")).union(places)
     held = written(deal(asked).mapInArrow(lambda it: _tokens(it, k, least, most, buckets, few), SPARK), "held")
     release(open_)
     counts = deal(held.filter(f"kind = {COUNT}")).mapInArrow(lambda it: _frequencies(it, buckets), SPARK)
-    around = deal(held.filter(f"kind = {HELD}").union(counts)).mapInArrow(lambda it: _around(it, least, percent, few), SPARK)
+    around = deal(held.filter(f"kind = {HELD}").union(counts).union(classes)).mapInArrow(lambda it: _around(it, least, percent, few), SPARK)
     more = deal(around).mapInArrow(lambda it: _repair(it, k, least, percent), LINK)
     out = written(links.union(more).distinct(), "links")
-    release(held, compared)
+    release(held, compared, classes)
     return out
 
 

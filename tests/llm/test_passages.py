@@ -163,3 +163,33 @@ def test_similar_starts_against_sets():
             for shift in (-3, 0, 4, 5, 6):
                 want = [a for a in range(len(x) - 9) if 0 <= a + shift <= len(y) - 10 and 100 * len(set(x[a : a + 10]) & set(y[a + shift : a + shift + 10])) >= 80 * len(set(x[a : a + 10]) | set(y[a + shift : a + shift + 10]))]
                 assert P.similar_starts(x, y, shift, 10, 80).tolist() == want
+
+
+def test_a_link_with_the_first_partner_does_not_stand_for_others(spark):
+    """A passage is similar to two others, which are not similar to each other; each of these may have a partner of its own."""
+    r, texts = Random(9), []
+    for t in range(40):
+        passage = words(r, WORDS)
+        one, two = list(passage), list(passage)
+        one[11], two[37] = "edited", "altered"
+        for body in (one, two, *([two] if t % 2 else []), passage):
+            texts.append(" ".join(words(r, 20) + body + words(r, 20)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    links = P.passage_links(docs).collect()
+    of = {d: r.class_id for r in links for d in (r.doc_id, r.other_id)}
+    due = similar_stretches(texts)[3]
+    assert len(due) >= 100 and sum(of.get(d, -1) == of.get(e, -2) for d, e in due) >= 0.93 * len(due)
+    tokens = [shingle_hashes(word_hashes(t), K) for t in texts]
+    for r in links:
+        a, b = (set(tokens[x][p : p + n - K + 1].tolist()) for x, p, n in ((r.doc_id, r.start, r.n_words), (r.other_id, r.other_start, r.other_words)))
+        assert (len(a & b), len(a | b)) == (r.shared, r.together) and 100 * r.shared >= 80 * r.together
+
+
+def test_runs_of_similar_starts_are_all_found():
+    y = np.arange(60, dtype=np.uint64)
+    x = y.copy()
+    x[25:32] = np.arange(100, 107, dtype=np.uint64)
+    starts = P.similar_starts(x, y, 0, 10, 80)
+    assert (np.diff(starts) > 1).sum() == 1
+    got = {a for s, e, *_ in P.similar_runs(x, y, starts, 0, 10, 80) for a in range(s, e - 9)}
+    assert got == set(starts.tolist())
