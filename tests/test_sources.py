@@ -508,3 +508,16 @@ def test_first_rows_of_a_long_key_are_ranked_in_pieces(spark):
     assert sorted(r.id for r in kept.collect()) == sorted(i for ids in want.values() for i in ids[:1500])
     plan = kept._jdf.queryExecution().optimizedPlan().toString()
     assert "_k_piece" in plan  # no window over a whole key's rows
+
+
+def test_facts_of_all_kinds_keep_their_places(spark):
+    """Lists, empty ones among them, come back as they were read, file by file."""
+    rows = [("a.py", "import os\nfrom b import c\n\n\ndef f(x):\n    return x.g()\n"), ("b.py", ""), ("c.py", "c.d(e)\n")]
+    facts = {r.path: r for r in S.facts(S.files(spark.createDataFrame(rows, "path string, content string"))).collect()}
+    for path, source in rows:
+        own, of = facts[path], PythonFacts(path[0], source)
+        assert own.parsed and own.targets == of.targets
+        assert [tuple(x) for x in own.calls] == [(*c[:3], *c[3]) for c in of.calls] and [tuple(x) for x in own.usages] == [(*u[:2], *u[2]) for u in of.usages]
+        assert [tuple(x) for x in own.names] == [(*n[1:], *n[0]) for n in of.names]
+        assert [{k: v for k, v in x.asDict().items() if not k.startswith(("start_", "end_"))} for x in own.symbols] == [{k: v for k, v in s.items() if k != "span"} for s in of.symbols]
+        assert [(x.start_line, x.start_character, x.end_line, x.end_character) for x in own.symbols] == [s["span"] for s in of.symbols]
