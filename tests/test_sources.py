@@ -521,3 +521,22 @@ def test_facts_of_all_kinds_keep_their_places(spark):
         assert [tuple(x) for x in own.names] == [(*n[1:], *n[0]) for n in of.names]
         assert [{k: v for k, v in x.asDict().items() if not k.startswith(("start_", "end_"))} for x in own.symbols] == [{k: v for k, v in s.items() if k != "span"} for s in of.symbols]
         assert [(x.start_line, x.start_character, x.end_line, x.end_character) for x in own.symbols] == [s["span"] for s in of.symbols]
+
+
+def test_facts_asked_for_alone_are_those_of_all(spark):
+    """Some relations are parsed without the others, which are no columns then; what they hold stays the same."""
+    rows = [
+        ("a.py", "import os\nif os:\n    try:\n        from b import c\n    except E:\n        def g(): pass\n    finally:\n        import d\n\n\n@t.u(1)\nclass K:\n    async def f(self, x=lambda: y()):\n        with x as z:\n            def h(): return z.w()\n"),
+        ("b.py", "def a():\n    return 1\n\n\ndef b(:\n    pass\n\n\nclass D:\n    def run(self):\n        x = = 2\n        import e\n        return a()\n"),
+        ("c.ts", "import { q } from './a';\nexport const m = (a: T) => `x${b.map(() => { const g = () => 1; return g(); })}`;\nclass A { open() { return /a[/]/.test(q) / 2; } }\n"),
+        ("d/x.go", 'package d\n\nimport "app/e"\n\nfunc (b *Box) Open() int {\n\treturn e.Make(b) / 2 // no\n}\n'),
+    ]
+    of = S.files(spark.createDataFrame(rows, "path string, content string"))
+    known = {r.path: r for r in S.facts(of).collect()}
+    assert all(len(r.symbols) > 0 for r in known.values())
+    for only in (["symbols"], ["targets"], ["names", "targets"], ["calls"], ["calls", "symbols"], ["usages"], []):
+        some = S.facts(of, only=only)
+        assert [c for c in some.columns if c in S.RELATIONS] == [c for c in known["a.py"].__fields__ if c in only]
+        assert {r.path: r for r in some.collect()} == {p: type(r)(**{c: r[c] for c in some.columns}) for p, r in known.items()}
+    with pytest.raises(ValueError):
+        S.facts(of, only=["symbol"])
