@@ -22,7 +22,7 @@ import hashlib
 import struct
 import zlib
 from functools import lru_cache
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -87,12 +87,13 @@ class Code:
     """
 
     def __init__(self, lengths: np.ndarray | list[int], used: list[int] | None = None):
-        self.used = np.flatnonzero(lengths).tolist() if used is None else used
+        lengths = np.asarray(lengths)
+        self.used = lengths.nonzero()[0].tolist() if used is None else used
         if len(self.used) < 2:
             self.wide, self.symbols, self.sizes = 0, np.array(self.used or [0]), np.zeros(1, np.int64)
             return
-        size = np.asarray(lengths)[self.used]
-        order = np.argsort(size, kind="stable")
+        size = lengths[self.used]
+        order = size.argsort(kind="stable")
         size = size[order]
         self.wide = int(size[-1])
         share = 1 << (self.wide - size)
@@ -148,11 +149,14 @@ def read_code(bits: Bits, size: int) -> Code:
     return Code(lengths)
 
 
+#: By the symbol of a length or distance code: its bits beyond the symbol, their mask, and the least it stands for.
+EXTRA = [max(0, (p - 2) >> 1) for p in range(40)]
+MASK = [(1 << n) - 1 for n in EXTRA]
+BASE = [p + 1 if p < 4 else ((2 + (p & 1)) << EXTRA[p]) + 1 for p in range(40)]
+
+
 def _prefixed(p: int, bits: Bits) -> int:
-    if p < 4:
-        return p + 1
-    extra = (p - 2) >> 1
-    return ((2 + (p & 1)) << extra) + bits.read(extra) + 1
+    return BASE[p] + bits.read(EXTRA[p])
 
 
 def _back(code: int, width: int) -> int:
@@ -163,9 +167,6 @@ def _back(code: int, width: int) -> int:
     return max(1, x + y * width)
 
 
-BYTES = [bytes((v,)) for v in range(256)]
-
-
 def _several(code: Code) -> tuple[list[int], list[bytes]]:
     """By the next bits: how many of them the literals take that end within them, three at most, and these; no literals and
     the bits of the first symbol where that is a reference."""
@@ -190,23 +191,36 @@ def _read_green(bits: Bits, codes: list[Code], n: int, width: int) -> bytearray:
     green, back = codes[0], codes[4]
     symbols, sizes, mask = green.symbols.tolist(), green.sizes.tolist(), (1 << green.wide) - 1
     # a table of several literals pays for itself in longer images
-    steps, literals = _several(green) if n > 4096 else (sizes, [BYTES[v] if v < 256 else b"" for v in symbols])
+    many = 3 if n > 4096 else 1
+    steps, literals = _several(green) if many > 1 else (sizes, [])
     back_symbols, back_sizes, back_mask = back.symbols.tolist(), back.sizes.tolist(), (1 << back.wide) - 1
     out, p, left = bytearray(), bits.at & 7, n
+    add = out.append
     try:
         while left > 0:
-            for _ in range(left // 3):  # none of these can pass the end of the image
-                i = words[p >> 3] >> (p & 7) & mask
-                x = literals[i]
-                if not x:
+            if many == 1:
+                for _ in range(left):
+                    i = words[p >> 3] >> (p & 7) & mask
+                    x = symbols[i]
+                    if x > 255:
+                        break
+                    add(x)
+                    p += sizes[i]
+                else:
                     break
-                out += x
-                p += steps[i]
+            else:
+                for _ in range(left // many):  # none of these can pass the end of the image
+                    i = words[p >> 3] >> (p & 7) & mask
+                    x = literals[i]
+                    if not x:
+                        break
+                    out += x
+                    p += steps[i]
             left = n - len(out)
             i = words[p >> 3] >> (p & 7) & mask
-            if literals[i]:
-                if 0 < left < 3:
-                    out += literals[i][:1]
+            if symbols[i] < 256:
+                if 0 < left < many:
+                    add(symbols[i])
                     p += sizes[i]
                     left -= 1
                 continue
@@ -216,22 +230,18 @@ def _read_green(bits: Bits, codes: list[Code], n: int, width: int) -> bytearray:
             s = symbols[i] - 256
             if s >= 24:
                 raise ValueError("no such colour")
-            if s < 4:
-                length = s + 1
-            else:
-                extra = (s - 2) >> 1
-                length = ((2 + (s & 1)) << extra) + (words[p >> 3] >> (p & 7) & ((1 << extra) - 1)) + 1
-                p += extra
+            length = BASE[s]
+            if s > 3:
+                length += words[p >> 3] >> (p & 7) & MASK[s]
+                p += EXTRA[s]
             i = words[p >> 3] >> (p & 7) & back_mask
             p += back_sizes[i]
             s = back_symbols[i]
-            if s < 4:
-                d = s + 1
-            else:
-                extra = (s - 2) >> 1
-                d = ((2 + (s & 1)) << extra) + (words[p >> 3] >> (p & 7) & ((1 << extra) - 1)) + 1
-                p += extra
-            d = _back(d, width)
+            d = BASE[s]
+            if s > 3:
+                d += words[p >> 3] >> (p & 7) & MASK[s]
+                p += EXTRA[s]
+            d = d - 120 if d > 120 else _back(d, width)
             at = len(out) - d
             if at < 0 or length > left:
                 raise ValueError("a reference outside the image")
@@ -422,27 +432,35 @@ def images(media: bytes) -> list[tuple[int, int, np.ndarray]]:
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
     """Lengths of the best prefix code for the counts (Huffman's), at most limit; counts are flattened until it fits."""
-    out, used = np.zeros(len(counts), np.int64), np.flatnonzero(counts)
+    out, used = np.zeros(len(counts), np.int64), counts.nonzero()[0]
     if len(used) < 2:
         out[used] = 1
         return out
     weights = counts[used].astype(np.int64)
     while True:
         order = np.argsort(weights, kind="stable")
-        n, leaves = len(order), weights[order].tolist()
-        sums, parent, i, j = [], [0] * (2 * n - 1), 0, 0
-        for k in range(n, 2 * n - 1):
-            both = 0
-            for _ in range(2):  # the two lightest of the leaves and sums not yet under a node
-                if j >= len(sums) or (i < n and leaves[i] <= sums[j]):
-                    both += leaves[i]
-                    parent[i] = k
-                    i += 1
-                else:
-                    both += sums[j]
-                    parent[n + j] = k
-                    j += 1
-            sums.append(both)
+        n = len(order)
+        # beyond the last leaf and the last sum stand weights that are never the lightest
+        leaves, sums = [*weights[order].tolist(), 1 << 60], [1 << 61] * n
+        parent, i, j = [0] * (2 * n - 1), 0, 0
+        for k in range(n - 1):  # a node above the two lightest of the leaves and sums not yet under one
+            a, b = leaves[i], sums[j]
+            if a <= b:
+                parent[i] = n + k
+                i += 1
+                one, a = a, leaves[i]
+            else:
+                parent[n + j] = n + k
+                j += 1
+                one, b = b, sums[j]
+            if a <= b:
+                parent[i] = n + k
+                i += 1
+                sums[k] = one + a
+            else:
+                parent[n + j] = n + k
+                j += 1
+                sums[k] = one + b
         depth = [0] * (2 * n - 1)
         for k in range(2 * n - 3, -1, -1):
             depth[k] = depth[parent[k]] + 1
@@ -454,10 +472,11 @@ def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
 
 def _codes(lengths: np.ndarray) -> np.ndarray:
     """By symbol, the canonical code with its first bit lowest."""
-    out, used = np.zeros(len(lengths), np.int64), np.flatnonzero(lengths)
+    out, used = np.zeros(len(lengths), np.int64), lengths.nonzero()[0]
     if len(used) > 1:
-        order = used[np.lexsort((used, lengths[used]))]
-        size = lengths[order]
+        size = lengths[used]
+        order = size.argsort(kind="stable")
+        order, size = used[order], size[order]
         wide = int(size[-1])
         start = np.cumsum(1 << (wide - size)) - (1 << (wide - size))
         out[order] = reversed_bits(wide)[start]
@@ -544,6 +563,17 @@ def _prefix_of(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(v < 4, v, 2 * high + (v >> np.maximum(high - 1, 0) & 1)), v & ((1 << extra) - 1), extra
 
 
+@lru_cache(maxsize=1)
+def _known_prefixes() -> np.ndarray:
+    return np.stack(_prefix_of(np.arange(1, 1 << 16)))
+
+
+def _prefixes(v: np.ndarray) -> np.ndarray:
+    """As _prefix_of, looked up where all are small."""
+    known = _known_prefixes()
+    return known[:, v - 1] if v.max(initial=0) <= known.shape[1] else np.stack(_prefix_of(v))
+
+
 def _entropy(samples: np.ndarray) -> float:
     n = np.bincount(samples)
     n = n[n > 0]
@@ -554,12 +584,11 @@ def _image_fields(green: np.ndarray, alpha: int) -> tuple[list[tuple[int, int]],
     """Of a main image whose pixels differ in green alone: the fields of its codes, and the values and sizes of its pixels."""
     found = repeats(green)
     start, length, far = np.array(found, np.int64).reshape(-1, 3).T
-    literal = np.ones(len(green), bool)
-    for a, n, _ in found:
-        literal[a : a + n] = False
-    plain = np.flatnonzero(literal)
-    ls, lv, le = _prefix_of(length)
-    ds, dv, de = _prefix_of(far + 120)
+    within = np.zeros(len(green) + 1, np.int8)
+    within[start] = 1
+    within[start + length] -= 1
+    plain = np.flatnonzero(within[:-1].cumsum(dtype=np.int8) == 0)
+    (ls, lv, le), (ds, dv, de) = _prefixes(length), _prefixes(far + 120)
     first = code_lengths(np.bincount(np.concatenate([green[plain].astype(np.int64), 256 + ls]), minlength=280), LIMIT)
     back = code_lengths(np.bincount(ds, minlength=40), LIMIT)
     sizes = lambda lengths: lengths if (lengths > 0).sum() > 1 else np.zeros_like(lengths)
@@ -606,7 +635,8 @@ def encode_samples(samples: np.ndarray, width: int = WIDTH) -> bytes:
             fields += [(1, 1), (0, 2), (7, 3), (0, 1), *one(1), *one(0), *one(0), *one(255), *one(0)]  # tiles of 512, all of the left pixel
         fields += [(1, 1), (2, 2)]
     codes, values, bits = _image_fields(green, opaque)
-    head, size = np.array([*fields, (0, 1), *codes], np.int64).T
+    fields += [(0, 1), *codes]
+    head, size = np.fromiter(chain.from_iterable(fields), np.int64, 2 * len(fields)).reshape(-1, 2).T
     data = _packed(np.concatenate([head, values]), np.concatenate([size, bits]))
     body = b"WEBPVP8L" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) & 1)
     return b"RIFF" + struct.pack("<I", len(body)) + body
@@ -629,11 +659,16 @@ def decode_payload(media: bytes) -> bytes:
     return b"".join((p >> 8 & 255).astype(np.uint8).tobytes() for _, _, p in images(media))
 
 
+BANDS = np.arange(65)
+NEXT = np.arange(1, 65) % 64
+
+
 def feature_of(payload: bytes) -> str:
     """16 band means of the samples and a difference hash over 64 bands, in hex."""
     a = np.frombuffer(payload, np.uint8)
-    means = np.add.reduceat(a.astype(np.int64), np.arange(64) * len(a) // 64) / np.diff(np.append(np.arange(64) * len(a) // 64, len(a)))
-    sign = np.packbits(np.diff(means, append=means[0]) > 0).tobytes().hex()
+    edge = BANDS * len(a) // 64
+    means = np.add.reduceat(a, edge[:-1], dtype=np.int64) / (edge[1:] - edge[:-1])
+    sign = np.packbits(means[NEXT] > means).tobytes().hex()
     return bytes(means.reshape(16, 4).mean(1).astype(np.uint8)).hex() + ":" + sign
 
 

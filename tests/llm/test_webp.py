@@ -182,3 +182,11 @@ def test_input_columns_of_the_same_name_stay(spark):
     assert back.columns == ["text", "Media", "images", "media_", "images_"]
     rows = {r.text: r for r in back.collect()}
     assert (rows["some text"].Media, rows["some text"].images) == ("old", 1) and rows["some text"].images_[0].width > 0
+
+
+def test_prefixes_that_are_looked_up_are_those_that_are_computed():
+    for v in (np.zeros(0, np.int64), np.arange(1, 5000), np.array([1, 4096, (1 << 16) - 1]), np.array([3, 1 << 16, 64 * 16384 + 120])):
+        assert [x.tolist() for x in webp._prefixes(v)] == [x.tolist() for x in webp._prefix_of(v)]
+    for v in (1, 2, 4, 5, 120, 121, 4096, 70_000, 1_000_000):
+        symbol, extra, n = (int(x[0]) for x in webp._prefix_of(np.array([v])))
+        assert webp.BASE[symbol] + extra == v and webp.EXTRA[symbol] == n and extra <= webp.MASK[symbol]
