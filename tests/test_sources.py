@@ -540,3 +540,29 @@ def test_facts_asked_for_alone_are_those_of_all(spark):
         assert {r.path: r for r in some.collect()} == {p: type(r)(**{c: r[c] for c in some.columns}) for p, r in known.items()}
     with pytest.raises(ValueError):
         S.facts(of, only=["symbol"])
+
+
+def test_facts_without_texts_keep_their_relations(spark):
+    """Texts are not written where relations alone are read; the module's last line is still known."""
+    rows = [("a.py", "import os\n\n\ndef f(): pass\n"), ("b/c.ts", "import { q } from './a';\n\nexport const m = (a: T) => q(a)"), ("d.go", "")]
+    of = S.files(S.spread(spark.createDataFrame(rows, "path string, content string")))
+    whole, bare = S.facts(of), S.unwritten_facts(of, text=False, dealt=True)
+    assert "source" not in bare.columns and {r.path: r.n_lines for r in bare.collect()} == {p: x.count("\n") + 1 for p, x in rows}
+    assert sorted(map(str, S.symbols(bare).collect())) == sorted(map(str, S.symbols(whole).collect()))
+    assert sorted(map(str, S.listed(bare, "usages").collect())) == sorted(map(str, S.listed(whole, "usages").collect()))
+    assert bare._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1
+
+
+def test_imports_alone_are_read_without_what_follows_them(monkeypatch):
+    """Nothing behind the last import is walked through, and no text is hashed for symbols that are not asked for."""
+    from siltstone.sources import brace_facts
+
+    text = "import { a } from './x';\nif (b) { import('c'); }\nimport d from './y';\n" + "class K { open() { return a.b(c); } }\n" * 20
+    for language, source in (("typescript", text), ("go", 'package p\n\nimport "app/x"\n\n' + "func F(a int) int {\n\treturn g(a)\n}\n" * 20)):
+        whole, seen = BraceFacts(language, "app/m", source), []
+        monkeypatch.setattr(brace_facts, "digest", lambda x, seen=seen: seen.append(x) or x)
+        monkeypatch.setattr(BraceFacts, "_read", lambda self, parts, n, scope, owner, seen=seen: seen.append(parts) if parts[0][1] > self.last else None)
+        some = BraceFacts(language, "app/m", source, only=["targets", "names"])
+        assert (some.targets, some.names) == (whole.targets, whole.names) and whole.targets
+        assert not seen
+        monkeypatch.undo()
