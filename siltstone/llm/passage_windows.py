@@ -280,16 +280,30 @@ def _sides(batches, k: int, buckets: int):
         yield flush()
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values: as np.unique, which takes several times as long for the few tokens of a stretch."""
+    x = np.sort(x)
+    keep = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=keep[1:])
+    return x[keep]
+
+
+def all_distinct(x: np.ndarray) -> bool:
+    x = np.sort(x)
+    return not (x[1:] == x[:-1]).any()
+
+
 def similar_starts(x: np.ndarray, y: np.ndarray, shift: int, least: int, percent: int) -> np.ndarray:
     """The starts a at which the stretches of x at a and of y at a + shift, `least` tokens each, are similar."""
     first, count = max(0, -shift), min(len(x), len(y) - shift) - least + 1
     if count <= first:
         return np.zeros(0, np.int64)
-    order = np.argsort(y, kind="stable")
-    if len(np.unique(x)) == len(x) and (y[order][1:] != y[order][:-1]).all():
+    order = np.argsort(y)
+    known = y[order]
+    if all_distinct(x) and (known[1:] != known[:-1]).all():
         # a token's places i and j are both in the stretches from max(i, j - shift) - least + 1 to min(i, j - shift)
-        at = np.minimum(np.searchsorted(y, x, sorter=order), len(y) - 1)
-        i = np.flatnonzero(y[order[at]] == x)
+        at = np.minimum(np.searchsorted(known, x), len(y) - 1)
+        i = np.flatnonzero(known[at] == x)
         j = order[at[i]] - shift
         low, high = np.maximum(np.maximum(i, j) - least + 1, 0), np.minimum(np.minimum(i, j), count - 1)
         good = low <= high
@@ -310,7 +324,7 @@ def similar_runs(x: np.ndarray, y: np.ndarray, starts: np.ndarray, shift: int, l
     out: list[tuple] = []
 
     def add(first: int, last: int) -> None:
-        u, v = np.unique(x[first : last + least]), np.unique(y[first + shift : last + shift + least])
+        u, v = distinct(x[first : last + least]), distinct(y[first + shift : last + shift + least])
         both = overlap(u, v)
         every = len(u) + len(v) - both
         if every and 100 * both >= percent * every:
@@ -318,9 +332,10 @@ def similar_runs(x: np.ndarray, y: np.ndarray, starts: np.ndarray, shift: int, l
         elif first < last:  # similar at each start, but not as one
             add(first, (first + last) // 2), add((first + last) // 2 + 1, last)
 
-    edge = np.flatnonzero(np.diff(starts) > 1) + 1
-    for run in np.split(starts, edge) if len(starts) else []:
-        add(int(run[0]), int(run[-1]))
+    if len(starts):
+        edge = np.flatnonzero(starts[1:] - starts[:-1] > 1)
+        for first, last in zip([int(starts[0]), *starts[edge + 1].tolist()], [*starts[edge].tolist(), int(starts[-1])], strict=True):
+            add(first, last)
     return out
 
 
@@ -469,8 +484,10 @@ def _mask(n: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 def last_places(tokens: np.ndarray) -> np.ndarray:
     """Of each place, the last earlier one of the same token; -1 for none."""
-    order = np.argsort(tokens, kind="stable")
     before = np.full(len(tokens), -1, np.int64)
+    if all_distinct(tokens):  # which is known sooner than their stable order
+        return before
+    order = np.argsort(tokens, kind="stable")
     same = tokens[order][1:] == tokens[order][:-1]
     before[order[1:][same]] = order[:-1][same]
     return before
@@ -481,8 +498,10 @@ def distinct_counts(tokens: np.ndarray, starts: np.ndarray, least: int) -> np.nd
     before = last_places(tokens)
     if not (before >= 0).any():
         return np.full(len(starts), least, np.int64)
-    windows = np.lib.stride_tricks.sliding_window_view(before, least)
-    return np.concatenate([(windows[x] < x[:, None]).sum(1) for x in np.array_split(starts, len(starts) // 50_000 + 1)])
+    # a place counts in the stretches that hold it and start behind the last earlier one of its token
+    at = np.arange(len(tokens))
+    low = np.maximum(before, at - least) + 1
+    return np.cumsum(np.bincount(np.maximum(low, 0), minlength=len(tokens) + 1) - np.bincount(at + 1, minlength=len(tokens) + 1))[starts]
 
 
 def like_the_one_before(tokens: np.ndarray, least: int) -> np.ndarray:
@@ -619,7 +638,7 @@ def _frequencies(batches, buckets: int):
 def prefix_places(rank: np.ndarray, use: np.ndarray, w: np.ndarray, starts: np.ndarray, u: np.ndarray, least: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(start, token position) of the tokens by which the stretches at the starts are found: those to use that stand, by
     rank, so early among the stretch's u distinct tokens that a similar set of w tokens or more can share what follows."""
-    windows = np.lib.stride_tricks.sliding_window_view
+    windows, rank = np.lib.stride_tricks.sliding_window_view, rank.astype(np.int32)
     most = least - shared_least(least, -(-least * percent // 100), percent) + 1
     # stretches with a token to use that comes early enough: not after `most` others
     first = np.sort(rank[use])[0] if use.any() else 0
@@ -702,17 +721,22 @@ def _around(batches, least: int, percent: int, buckets: int):
         yield flush()
 
 
-def prefix_ranks(ranks: np.ndarray, least: int, percent: int) -> np.ndarray:
-    """The ranks (rare first) of which two similar stretches of `least` tokens must share one, over all stretches."""
-    stretches = np.lib.stride_tricks.sliding_window_view(ranks, least)
-    if len(np.unique(ranks)) == len(ranks):
+def prefix_ranks(ranks: np.ndarray, least: int, percent: int, lowest: int = 0) -> np.ndarray:
+    """The ranks (rare first), from the lowest on, of which two similar stretches of `least` tokens must share one, over all stretches."""
+    if not len(ranks) or ranks.max() < lowest:
+        return ranks[:0]
+    count = len(ranks) - least + 1
+    if all_distinct(ranks):
         n = least - -(-least * percent // 100) + 1
-        return np.unique(np.partition(stretches, n - 1, axis=1)[:, :n])
+        stretches = ranks[np.arange(count)[:, None] + np.arange(least)] if count > 1 else ranks[None, :]
+        out = np.partition(stretches, n - 1, axis=1)[:, :n].ravel()
+        return distinct(out[out >= lowest])
     out = []
-    for x in stretches:
-        x = np.unique(x)
+    for a in range(count):
+        x = distinct(ranks[a : a + least])
         out.append(x[: len(x) - -(-len(x) * percent // 100) + 1])
-    return np.unique(np.concatenate(out))
+    out = np.concatenate(out)
+    return distinct(out[out >= lowest])
 
 
 def _repair(batches, k: int, least: int, percent: int):
@@ -741,17 +765,19 @@ def _repair(batches, k: int, least: int, percent: int):
             continue
         tokens = [flat[edge[i] : edge[i + 1]] for i in order[g:h].tolist()]
         _, at, count = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
-        rank = np.empty(len(count), np.int64)
+        rank = np.empty(len(count), np.int32)
         rank[np.argsort(count, kind="stable")] = np.arange(len(count))
         ranks, single = np.split(rank[at], np.cumsum([len(x) for x in tokens])[:-1]), int((count == 1).sum())
         earlier: dict[int, list[int]] = defaultdict(list)
         same: dict[bytes, int] = {}  # the first occurrence of each content stands for it
+        prefixes: dict[int, list[int]] = {}  # of the first occurrences
         for i in range(g, h):
             mine = ranks[i - g]
             content = mine.tobytes() + int(m[i] - s[i]).to_bytes(4, "little")
             first = same.setdefault(content, i)
-            prefix = prefix_ranks(mine, least, percent) if low[i] <= high[i] or first == i else ()
-            prefix = [r for r in prefix if r >= single]
+            if first == i:
+                prefixes[i] = prefix_ranks(mine, least, percent, single).tolist()
+            prefix = prefixes[first]
             if low[i] <= high[i]:
                 x, a, b = tokens[i - g], int(low[i] - s[i]), int(high[i] - s[i])
                 left = np.zeros(max(len(x) - least + 1, b + 1), bool)

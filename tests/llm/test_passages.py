@@ -193,3 +193,31 @@ def test_runs_of_similar_starts_are_all_found():
     assert (np.diff(starts) > 1).sum() == 1
     got = {a for s, e, *_ in P.similar_runs(x, y, starts, 0, 10, 80) for a in range(s, e - 9)}
     assert got == set(starts.tolist())
+
+
+def test_prefixes_and_counts_of_stretches():
+    """Against brute force, with repeated tokens and without; of prefixes, only ranks that several occurrences hold are made."""
+    r = np.random.default_rng(5)
+    for n, kinds in ((6, 50), (6, 4), (11, 400), (30, 9), (40, 4000)):
+        for _ in range(20):
+            x, least = r.integers(0, kinds, n), 6
+            stretches = [sorted(set(x[a : a + least].tolist())) for a in range(n - least + 1)]
+            assert P.distinct_counts(x, np.arange(len(stretches)), least).tolist() == [len(y) for y in stretches]
+            want = {t for y in stretches for t in y[: len(y) - -(-len(y) * 80 // 100) + 1]}
+            low = int(r.integers(0, kinds + 1))
+            assert P.prefix_ranks(x, least, 80).tolist() == sorted(want)
+            assert P.prefix_ranks(x, least, 80, low).tolist() == sorted(t for t in want if t >= low)
+            assert P.distinct(x).tolist() == sorted(set(x.tolist())) and P.all_distinct(x) == (len(set(x.tolist())) == n)
+
+
+def test_copies_take_the_prefix_of_the_first(monkeypatch):
+    """Of occurrences with the same stretches, one prefix is made for all."""
+    k, least, calls, real = 5, 6, [], P.prefix_ranks
+    monkeypatch.setattr(P, "prefix_ranks", lambda *a: calls.append(1) or real(*a))
+    tokens, n = np.arange(100, 106, dtype=np.uint64), 9
+    one = lambda x, kind: np.full(n, x, kind)
+    columns = [one(7, np.uint64), np.arange(n), *(one(x, np.uint32) for x in (3, 0, 0, 0, 0)), one(1, np.uint8), np.arange(n)]
+    blobs = [x for _, x in P.ragged(np.zeros(n, np.int64), columns, [tokens] * n)]
+    found = [x for b in P._repair(iter([P._rows([(0, P.AROUND, None, x) for x in blobs])]), k, least, 80) for x in b.to_pylist()]
+    assert {x["doc_id"] for x in found} == set(range(1, n)) and {x["other_id"] for x in found} == {0}
+    assert len(calls) == 1
