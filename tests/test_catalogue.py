@@ -35,6 +35,13 @@ def test_query_equals_its_sql(spark, duck, name):
     assert plain(df.columns, df.collect()) == plain(rel.columns, rel.fetchall())
 
 
+def test_the_review_document_has_every_changed_file(spark):
+    """Not only those of some keys: all files of two snapshots that changed."""
+    changed = spark.read.parquet(f"{DIR}/part.parquet").filter("p_partkey % 4 <> 2").selectExpr("concat('m', p_partkey, '.py') as path")
+    got = catalogue.QUERIES["review_document"](spark, DIR).filter("part = 'file'")
+    assert sorted(r.name for r in got.collect()) == sorted(r.path for r in changed.collect())
+
+
 def test_boundary_equals_the_sequential_scan(spark):
     r = Random(6)
     for _ in range(3):
