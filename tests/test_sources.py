@@ -379,6 +379,23 @@ def test_files_and_symbols_of_a_cut_slice_stand_by_length(spark):
     assert [s["symbol_id"] for s in doc["index"]["symbols"]] == ["python:b", "python:b:g", "python:a", "python:a:f", "python:c:h"]
 
 
+def test_parts_make_the_document(spark):
+    """A document written in parts, an entry a row, is the document in one row: lists in order, quotes and brackets in texts, files dropped."""
+    files = sources(spark, {"a.py": "def f():\n    g(']\"[')\n    pass\n", "b.py": "def g():\n    pass\n", "c.py": "def h():\n    f()\n" + "#" * 200})
+    changes = spark.createDataFrame([("b.py", "added", None), ("a.py", "modified", "[x\ny]")], "path string, change string, base_source string"), spark.createDataFrame([("b.py", "python:b:g", "added")], "path string, symbol_id string, change string")
+    x = I.build(files, ["a.py", "b.py"], 2, max_source_bytes=100)
+    of = (x, {"id": "p", "base_commit": "b"}, 2, ["skip"], changes)
+    whole, parts = json.loads(I.document(*of).first().json), I.parts(*of)
+    made = json.loads(parts.pop("").first().json)
+    for place, entries in parts.items():
+        section, name = place.split(".")
+        assert made[section][name] == []
+        made[section][name] = [json.loads(r.json) for r in entries.orderBy("slot").collect()]
+    assert whole.pop("generated_at") and made.pop("generated_at")
+    assert made == whole and whole["slice"]["file_count"] == 2 and len(whole["slice"]["truncations"]) == 1 and len(whole["changes"]["files"]) == 2
+    assert list(made["index"]) == list(whole["index"])
+
+
 def answers_of(spark, *rows):
     return spark.createDataFrame(list(rows), "request string, answer int, path string, line int, character int")
 
