@@ -191,19 +191,44 @@ def notice(changed: DataFrame) -> DataFrame:
 def lineage(artifacts: DataFrame) -> DataFrame:
     """(artifact_id, ancestor, steps) of artifacts (artifact_id, previous): all that previous ids lead to, known or not.
 
-    Chains are followed by doubling: each round joins what is known with itself, so rounds grow with the logarithm of
-    the longest chain. A chain that comes back to itself ends where it meets an id again.
+    Chains are followed by doubling, so rounds grow with the logarithm of the longest chain. Where an artifact has one
+    previous id, a row holds its ancestors in order, and only those whose chain goes on are joined, with those of their
+    last; pairs are written nowhere. A chain that comes back to itself ends where it meets an id again.
     """
     c = F.col
-    links = artifacts.filter("previous is not null").select("artifact_id", c("previous").alias("ancestor"), F.lit(1).cast("long").alias("steps"))
-    known = G.cut(links.groupBy("artifact_id", "ancestor").agg(F.min("steps").alias("steps")))
-    count = known.count()
-    while True:
-        further = known.alias("x").join(known.alias("y"), c("x.ancestor") == c("y.artifact_id")).select("x.artifact_id", "y.ancestor", (c("x.steps") + c("y.steps")).alias("steps"))
-        known = G.cut(known.union(further.filter("artifact_id <> ancestor")).groupBy("artifact_id", "ancestor").agg(F.min("steps").alias("steps")))
-        before, count = count, known.count()
-        if count == before:
-            return known
+    links = artifacts.filter("previous is not null").select("artifact_id", "previous")
+    ends = links.groupBy("artifact_id").agg(F.min("previous").alias("first"), F.max("previous").alias("last"))
+    goes_on = F.coalesce(c("artifact_id") != c("first"), F.lit(False))
+    chains = G.written(ends.select("artifact_id", F.array("first").alias("path"), goes_on.alias("open"), (c("first") != c("last")).alias("several")), "chains")
+    if not chains.filter("several").isEmpty():
+        G.removed(chains)
+        return _pairs(links)
+    own = c("artifact_id").cast(links.schema["previous"].dataType)
+    while not chains.filter("open").isEmpty():
+        last, further = F.element_at("path", -1), chains.select(c("artifact_id").alias("_last"), c("path").alias("_path"), c("open").alias("_open"))
+        found = chains.filter("open").withColumn("_last", last).join(further, "_last", "left")
+        both = F.concat("path", F.coalesce("_path", F.array().cast(chains.schema["path"].dataType)))
+        # what comes after an id that was met is all known, and the artifact itself can only come last
+        found = found.withColumn("_met", F.array_remove(F.array_distinct(both), own))
+        found = found.select("artifact_id", c("_met").alias("path"), (F.coalesce("_open", F.lit(False)) & (F.size("_met") == F.size("path") + F.size("_path"))).alias("open"))
+        before, chains = chains, G.written(chains.filter("not open").select("artifact_id", "path", "open").union(found), "chains")
+        G.removed(before)
+    return chains.select("artifact_id", F.posexplode("path").alias("steps", "ancestor")).select("artifact_id", "ancestor", (c("steps") + 1).cast("long").alias("steps"))
+
+
+def _pairs(links: DataFrame) -> DataFrame:
+    """lineage() where artifacts have several previous ids: the least steps of each pair. Of the pairs as many steps apart as
+    any known, each round goes on from the ancestors."""
+    c = F.col
+    least = lambda rows: G.written(rows.groupBy("artifact_id", "ancestor").agg(F.min("steps").alias("steps")), "pairs")
+    known, span = least(links.select("artifact_id", c("previous").alias("ancestor"), F.lit(1).cast("long").alias("steps"))), 1
+    while not known.filter(c("steps") == span).isEmpty():
+        ends = known.filter(c("steps") == span).select("artifact_id", c("ancestor").alias("_end"))
+        further = ends.join(known.select(c("artifact_id").alias("_end"), "ancestor", (c("steps") + span).alias("steps")), "_end").select("artifact_id", "ancestor", "steps")
+        before, known = known, least(known.union(further.filter("artifact_id <> ancestor")))
+        G.removed(before)
+        span *= 2
+    return known
 
 
 def quickfix(of: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Source facts, the index of a snapshot and artifact documents on small inputs."""
 
 import json
+import random
 import subprocess
 
 import pytest
@@ -304,6 +305,39 @@ def test_lineage_of_a_circle_ends(spark):
     assert got == {("b", "a", 1), ("c", "b", 1), ("c", "a", 2), ("d", "gone", 1), ("x", "y", 1), ("y", "x", 1)}
 
 
+def shuffled(spark):
+    """Rows that all stages of the session wrote to shuffles."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_lineage_shuffles_artifacts_and_no_pairs(spark):
+    rows = [(c * 100 + i, c * 100 + i - 1 if i else None) for c in range(20) for i in range(64)]
+    of, before = spark.createDataFrame(rows, "artifact_id long, previous long"), shuffled(spark)
+    assert A.lineage(of).count() == 20 * 64 * 63 // 2
+    assert shuffled(spark) - before < 25 * len(rows)
+
+
+@pytest.mark.parametrize("several", [False, True])
+def test_lineage_equals_a_search(spark, several):
+    """Chains, trees, circles, ways into circles and ids that lead to themselves; with several previous ids an artifact too."""
+    r = random.Random(4)
+    links = [(i, r.randint(0, i - 1) if i % 9 else r.randint(0, 60)) for i in range(1, 50)] + [(0, 0), (70, 99), (71, 71), (72, 71)] + [(100 + i, 100 + (i + 1) % 7) for i in range(7)]
+    links += [(i, r.randint(0, 60)) for i in range(0, 50, 3)] if several else []
+    want = set()
+    for a in {a for a, _ in links}:
+        steps, layer, n = {}, {a}, 0
+        while layer:
+            n += 1
+            layer = {q for p, q in links if p in layer} - set(steps) - ({a} if n > 1 else set())
+            steps |= {x: n for x in layer}
+            layer -= {a}
+        want |= {(a, x, n) for x, n in steps.items()}
+    got = [tuple(x) for x in A.lineage(spark.createDataFrame(links, "artifact_id long, previous long")).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_notice_only_where_nothing_changed(spark):
     same, other = artifact(), artifact()
     other["index"] = {**other["index"], "files": [{"path": "a.py", "sha256": "2", "source": "x\ny"}]}
