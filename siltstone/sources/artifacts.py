@@ -64,11 +64,8 @@ def _pointers(part: str, i: Column, item: Column, at: Column, found: Column) ->
     return F.coalesce(F.transform(found, place), F.array().cast(POINTER))
 
 
-def evidence(of: DataFrame, with_flows: bool = False) -> DataFrame:
-    """(id, part, part_pos, item, location, symbol_id, path, range, content_hash) of every pointer; part names the list that it stands in.
-
-    One explode of one array a document. With `with_flows` also the pointers that a flow itself carries, at no location.
-    """
+def pointers(with_flows: bool = False) -> Column:
+    """All pointers of the parsed document `a` in one array. With `with_flows` also those that a flow itself carries, at no location."""
     c, at = F.col, lambda name, i, *before: F.concat(*before, F.lit(f"{name}["), i.cast("string"), F.lit("]"))
     listed = lambda name, items: _each(c(items), lambda x, i: _pointers(name, i, x["id"], at(name, i), x["evidence"]))
 
@@ -82,7 +79,12 @@ def evidence(of: DataFrame, with_flows: bool = False) -> DataFrame:
     if with_flows:
         own = _each(c("a.flows"), lambda x, i: _pointers("flows", i, x["id"], F.lit(""), x["evidence"]))
         parts.append(F.transform(own, lambda p: p.withField("location", F.lit(""))))
-    return of.select("id", F.explode(F.concat(*parts)).alias("e")).select("id", "e.*")
+    return F.concat(*parts)
+
+
+def evidence(of: DataFrame, with_flows: bool = False) -> DataFrame:
+    """(id, part, part_pos, item, location, symbol_id, path, range, content_hash) of every pointer; part names the list that it stands in."""
+    return of.select("id", F.explode(pointers(with_flows)).alias("e")).select("id", "e.*")
 
 
 def item_evidence(of: DataFrame) -> DataFrame:
@@ -109,47 +111,68 @@ def _files(of: DataFrame) -> DataFrame:
     return rows.groupBy("id", F.col("f.path").alias("path")).agg(F.max_by("f", "pos").alias("f")).select("id", "path", "f.sha256", "f.n_lines")
 
 
+def _dealt(rows: Column) -> Column:
+    """An array's structs with a key, dealt by it to as many lists as the root of their number."""
+    n = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(rows))).cast("int"))
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.filter(rows, lambda r: F.pmod(F.hash(r["key"]), n) == i))
+
+
+def _last(dealt: Column, key: Column, same=Column.__eq__) -> Column:
+    """The last struct of a key among those dealt; null where there is none."""
+    return F.try_element_at(F.filter(F.get(dealt, F.pmod(F.hash(key), F.size(dealt))), lambda r: same(r["key"], key)), F.lit(-1))
+
+
 def integrity(of: DataFrame) -> DataFrame:
     """(id, location, message): pointers of the document that lead nowhere. Empty for a sound document.
 
-    The document is parsed once. All that names a symbol is one tall table, joined once with the symbols; then all that
-    names a file, with the files; then the stale ids with the items.
+    A document is a row, so all is looked up within it, and nothing is shuffled or written: what a row names is looked for in the lists
+    of its symbols and files, dealt by their keys. All that names a symbol goes through one array, then all that names a file.
     """
     c, lit, text = F.col, F.lit, lambda x: x.cast("string")
-    of = slim(of)
-    symbols, files = _symbols(of), _files(of)
-    none = {"location": lit(None).cast("string"), "message": lit(None).cast("string"), "path": lit(None).cast("string"), "range": lit(None).cast(RANGE.split(":", 1)[1])}
-    ask = lambda rows, key, location, message, **more: rows.select("id", key.alias("key"), *(v.alias(k) for k, v in (none | {"location": location, "message": message} | more).items()))
-    at = lambda name, field: F.concat(lit(f"{name}["), text(c("pos")), lit(f"].{field} "))
-    edges = of.select("id", F.posexplode("a.index.edges").alias("pos", "e"))
-    ends = edges.select("id", F.explode(F.array(*(F.struct(c(f"e.{x}").alias("key"), F.concat(at("edges", x), c(f"e.{x}"), lit(" not in symbols")).alias("m")) for x in ("from", "to")))).alias("x")).select("id", "x.*")
-    refs = of.select("id", F.posexplode("a.index.references").alias("pos", "r"))
-    pointers = evidence(of)
+    rows = of if "a" in of.columns else parsed(of)
+    kind = "array<struct<key:string,location:string,message:string,path:string," + RANGE + ">>"
+    some = lambda array, of=kind: F.coalesce(array, F.array().cast(of))
+    ask = lambda key, location, message, path=lit(None), range_=lit(None): F.struct(key.alias("key"), location.alias("location"), message.alias("message"), path.cast("string").alias("path"), range_.cast(RANGE.split(":", 1)[1]).alias("range"))
+    at = lambda name, i, field, key: F.concat(lit(f"{name}["), text(i), lit(f"].{field} "), key)
+    ids = F.concat(*(some(F.transform(f"a.{n}", lambda x: x["id"]), "array<string>") for n in ("flows", "concepts", "invariants")))
+    rows = rows.select(
+        "id", c("a.index.edges").alias("edges"), c("a.index.references").alias("refs"), c("a.changes.stale_items").alias("stale"), pointers().alias("pointers"),
+        F.transform("a.index.symbols", lambda s, i: F.struct(s["symbol_id"].alias("key"), i.alias("pos"), s["path"].alias("path"), s["parent"].alias("parent"), F.coalesce(s["in_slice"], lit(False)).alias("inside"))).alias("symbols"),
+        F.transform("a.index.files", lambda f: F.struct(f["path"].alias("key"), T.line_count(f["source"]).alias("n_lines"))).alias("files"),
+        F.transform(ids, lambda x: F.struct(x.alias("key"))).alias("items"),
+    )
+    rows = rows.select("*", _dealt(c("symbols")).alias("by_symbol"), _dealt(c("files")).alias("by_file"), _dealt(c("items")).alias("by_item"))
+    rows = rows.withColumn("symbols", F.filter("symbols", lambda s: _last(c("by_symbol"), s["key"], Column.eqNullSafe)["pos"] == s["pos"]))
     # what names a symbol; of a pointer the message waits for its file
-    named = reduce(DataFrame.union, [
-        ask(symbols.filter("parent <> ''"), c("parent"), lit("index"), F.concat(lit("symbol "), "symbol_id", lit(" parent "), "parent", lit(" not in symbols"))),
-        ask(ends, c("key"), lit("index"), c("m")),
-        ask(refs, c("r.symbol_id"), lit("index"), F.concat(at("references", "symbol_id"), c("r.symbol_id"), lit(" not in symbols"))),
-        ask(pointers, c("symbol_id"), c("location"), lit(None).cast("string"), path=c("path"), range=c("range")),
-    ])
-    found = named.join(symbols.select("id", c("symbol_id").alias("key"), F.coalesce("in_slice", lit(False)).alias("_in")), ["id", "key"], "left")
-    lost = found.filter(c("_in").isNull() & (c("message").isNotNull() | c("key").isNotNull()))
-    lost = lost.select("id", "location", F.coalesce("message", F.concat(lit("symbol_id "), "key", lit(" not in index.symbols"))).alias("message"))
+    named = F.concat(
+        some(F.transform(F.filter("symbols", lambda s: s["parent"] != ""), lambda s: ask(s["parent"], lit("index"), F.concat(lit("symbol "), s["key"], lit(" parent "), s["parent"], lit(" not in symbols"))))),
+        some(F.flatten(F.transform("edges", lambda e, i: F.array(*(ask(e[x], lit("index"), F.concat(at("edges", i, x, e[x]), lit(" not in symbols"))) for x in ("from", "to")))))),
+        some(F.transform("refs", lambda r, i: ask(r["symbol_id"], lit("index"), F.concat(at("references", i, "symbol_id", r["symbol_id"]), lit(" not in symbols"))))),
+        some(F.transform("pointers", lambda p: ask(p["symbol_id"], p["location"], lit(None).cast("string"), p["path"], p["range"]))),
+    )
+    rows = rows.withColumn("named", F.transform(named, lambda x: x.withField("inside", _last(c("by_symbol"), x["key"])["inside"])))
+    lost = F.filter("named", lambda x: x["inside"].isNull() & (x["message"].isNotNull() | x["key"].isNotNull()))
+    lost = F.transform(lost, lambda x: F.struct(x["location"].alias("location"), F.coalesce(x["message"], F.concat(lit("symbol_id "), x["key"], lit(" not in index.symbols"))).alias("message")))
     # what names a file; a symbol outside the slice needs none
-    placed = found.filter("message is null").select("id", c("path").alias("key"), "location", lit(None).cast("string").alias("message"), "range", F.coalesce(~c("_in"), lit(False)).alias("_stub"))
-    asked = reduce(DataFrame.union, [
-        ask(symbols.filter("in_slice"), c("path"), lit("index"), F.concat(lit("in_slice symbol "), "symbol_id", lit(" has no source file "), "path")),
-        ask(refs, c("r.path"), lit("index"), F.concat(at("references", "path"), c("r.path"), lit(" not in files"))),
-    ]).select("id", "key", "location", "message", "range", lit(False).alias("_stub"))
-    there = asked.union(placed).join(files.select("id", c("path").alias("key"), "n_lines"), ["id", "key"], "left")
-    first, last = F.coalesce("range.start_line", lit(1)), F.coalesce("range.end_line", lit(1))
-    absent = F.when(c("message").isNotNull(), c("message")).when(~c("_stub"), F.concat(lit("path "), F.coalesce("key", lit("null")), lit(" not in index.files")))
-    beyond = F.when(c("message").isNull() & ((first > c("n_lines")) | (last > c("n_lines"))), F.concat(lit("range L"), text(first), lit("-L"), text(last), lit(" out of bounds for "), "key", lit(" ("), text(c("n_lines")), lit(" lines)")))
-    broken = there.select("id", "location", F.when(c("n_lines").isNull(), absent).otherwise(beyond).alias("message")).filter("message is not null")
-    stale = of.select("id", F.explode("a.changes.stale_items").alias("key"))
-    items = of.select("id", F.explode(F.flatten(F.array(*(F.coalesce(F.transform(f"a.{n}", lambda x: x["id"]), F.array().cast("array<string>")) for n in ("flows", "concepts", "invariants"))))).alias("key")).distinct()
-    unknown = D.orphans(stale, items, ["id", "key"], ["id", "key"]).select("id", lit("changes.stale_items").alias("location"), F.concat(lit("unknown id "), "key").alias("message"))
-    return lost.union(broken).union(unknown)
+    asked = F.concat(
+        some(F.transform(F.filter("symbols", lambda s: s["inside"]), lambda s: ask(s["path"], lit("index"), F.concat(lit("in_slice symbol "), s["key"], lit(" has no source file "), s["path"])))),
+        some(F.transform("refs", lambda r, i: ask(r["path"], lit("index"), F.concat(at("references", i, "path", r["path"]), lit(" not in files"))))),
+    )
+    stub = lambda array, of: F.transform(array, lambda x: x.withField("stub", of(x)))
+    placed = F.transform(F.filter("named", lambda x: x["message"].isNull()), lambda x: F.struct(x["path"].alias("key"), x["location"].alias("location"), x["message"].alias("message"), lit(None).cast("string").alias("path"), x["range"].alias("range"), F.coalesce(~x["inside"], lit(False)).alias("stub")))
+    there = F.transform(F.concat(stub(asked, lambda x: lit(False)), placed), lambda x: x.withField("n_lines", _last(c("by_file"), x["key"])["n_lines"]))
+
+    def broken(x):
+        first, last = F.coalesce(x["range"]["start_line"], lit(1)), F.coalesce(x["range"]["end_line"], lit(1))
+        absent = F.when(x["message"].isNotNull(), x["message"]).when(~x["stub"], F.concat(lit("path "), F.coalesce(x["key"], lit("null")), lit(" not in index.files")))
+        beyond = F.when(x["message"].isNull() & ((first > x["n_lines"]) | (last > x["n_lines"])), F.concat(lit("range L"), text(first), lit("-L"), text(last), lit(" out of bounds for "), x["key"], lit(" ("), text(x["n_lines"]), lit(" lines)")))
+        return F.struct(x["location"].alias("location"), F.when(x["n_lines"].isNull(), absent).otherwise(beyond).alias("message"))
+
+    wrong = F.filter(F.transform(there, broken), lambda x: x["message"].isNotNull())
+    unknown = F.transform(F.filter("stale", lambda k: _last(c("by_item"), k).isNull()), lambda k: F.struct(lit("changes.stale_items").alias("location"), F.concat(lit("unknown id "), k).alias("message")))
+    # outer: of an inner explode Spark infers a filter that works all of this out a second time
+    found = rows.select("id", F.explode_outer(F.concat(lost, wrong, some(unknown, "array<struct<location:string,message:string>>"))).alias("x"))
+    return found.filter("x is not null").select("id", "x.*")
 
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:

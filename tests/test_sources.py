@@ -208,6 +208,60 @@ def test_check_reports_rules_first_then_integrity(spark):
     }
 
 
+def shuffled(spark):
+    """Rows that all stages of the session wrote to shuffles."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def breaches(doc):
+    """What integrity must say of a document, one name after another."""
+    index, out = doc["index"], []
+    files, symbols = {f["path"]: f for f in index["files"]}, {x["symbol_id"]: x for x in index["symbols"]}
+    for x in symbols.values():
+        if x.get("in_slice") and x["path"] not in files:
+            out.append(("index", f"in_slice symbol {x['symbol_id']} has no source file {x['path']}"))
+        if x.get("parent") and x["parent"] not in symbols:
+            out.append(("index", f"symbol {x['symbol_id']} parent {x['parent']} not in symbols"))
+    for i, e in enumerate(index["edges"]):
+        out += [("index", f"edges[{i}].{end} {e[end]} not in symbols") for end in ("from", "to") if e[end] not in symbols]
+    for i, r in enumerate(index["references"]):
+        out += [("index", f"references[{i}].path {r['path']} not in files")] * (r["path"] not in files) + [("index", f"references[{i}].symbol_id {r['symbol_id']} not in symbols")] * (r["symbol_id"] not in symbols)
+    for i, x in enumerate(doc["findings"]):
+        for k, p in enumerate(x["evidence"]):
+            at, symbol = f"findings[{i}].evidence[{k}]", symbols.get(p.get("symbol_id"))
+            if p.get("symbol_id") and not symbol:
+                out.append((at, f"symbol_id {p['symbol_id']} not in index.symbols"))
+            if p["path"] not in files:
+                out += [(at, f"path {p['path']} not in index.files")] * (not symbol or bool(symbol.get("in_slice")))
+                continue
+            n, r = files[p["path"]]["source"].count("\n") + 1, p.get("range", {})
+            if r.get("start_line", 1) > n or r.get("end_line", 1) > n:
+                out.append((at, f"range L{r['start_line']}-L{r['end_line']} out of bounds for {p['path']} ({n} lines)"))
+    known = {x["id"] for x in doc["flows"] + doc["concepts"]}
+    return out + [("changes.stale_items", f"unknown id {x}") for x in doc["changes"]["stale_items"] if x not in known]
+
+
+def test_integrity_of_documents_small_and_large(spark):
+    """With repeated symbols and files (the last counts), stubs and absent fields; nothing is shuffled or written for it."""
+    r = random.Random(5)
+
+    def made(n):
+        name = lambda p: f"{p}{r.randint(0, n + n // 4)}"
+        at = lambda a: {"start_line": a, "start_character": 0, "end_line": a + 1, "end_character": 0}
+        pointer = lambda: {"path": name("f"), **({"symbol_id": name("s")} if r.random() < 0.8 else {}), **({"range": at(r.randint(1, 5))} if r.random() < 0.8 else {})}
+        symbols = [{"symbol_id": name("s"), "path": name("f"), **({"parent": r.choice(["", name("s")])} if r.random() < 0.5 else {}), **({"in_slice": r.random() < 0.5} if r.random() < 0.9 else {})} for _ in range(n)]
+        index = {"files": [{"path": name("f"), "source": "x\n" * r.randint(0, 5)} for _ in range(n)], "symbols": symbols, "edges": [{"from": name("s"), "to": name("s")} for _ in range(n)], "references": [{"path": name("f"), "symbol_id": name("s")} for _ in range(n)]}
+        return {"index": index, "findings": [{"evidence": [pointer() for _ in range(3)]} for _ in range(n)], "flows": [{"id": name("i")} for _ in range(n)], "concepts": [{"id": "c"}], "changes": {"stale_items": ["c", *(name("i") for _ in range(n))]}}
+
+    found = [made(n) for n in (0, 1, 2, 5, 30, 400)]
+    of, before = A.parsed(docs(spark, *found, "{")), shuffled(spark)
+    got = [tuple(x) for x in A.integrity(of).collect()]
+    assert shuffled(spark) == before
+    assert sorted(got) == sorted((str(i), *x) for i, d in enumerate(found) for x in breaches(d)) and len(got) > 500
+
+
 def test_changes_make_items_stale(spark):
     new = artifact()
     new["index"] = {**new["index"], "symbols": [{"symbol_id": "s", "path": "a.py", "content_hash": "2", "in_slice": True}]}
@@ -305,13 +359,6 @@ def test_lineage_of_a_circle_ends(spark):
     assert got == {("b", "a", 1), ("c", "b", 1), ("c", "a", 2), ("d", "gone", 1), ("x", "y", 1), ("y", "x", 1)}
 
 
-def shuffled(spark):
-    """Rows that all stages of the session wrote to shuffles."""
-    sc = spark.sparkContext
-    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
-    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
-
-
 def test_lineage_shuffles_artifacts_and_no_pairs(spark):
     rows = [(c * 100 + i, c * 100 + i - 1 if i else None) for c in range(20) for i in range(64)]
     of, before = spark.createDataFrame(rows, "artifact_id long, previous long"), shuffled(spark)
