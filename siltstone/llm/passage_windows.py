@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from siltstone.llm.blobs import by_bucket, joined, joined_ragged, ragged
 from siltstone.llm.common import numbered, release, table, trim, working, written
 from siltstone.llm.components import components
-from siltstone.llm.shingles import M1, M2, mixed, overlap, shingle_hashes, word_hashes
+from siltstone.llm.shingles import M1, M2, mixed, overlap, shingle_codes
 
 SHINGLE, PERCENT, LEAST_WORDS, FUNCTIONS, ENOUGH, MOST, DRIFT, SEED = 5, 80, 50, 5, 2, 3, 8, 11
 PART, FOLD = 400_000, 3_000_000
@@ -90,7 +90,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def _find(batches, k: int, least: int, functions: int, buckets: int):
     """Documents -> WINDOWS by min-hash bucket."""
-    working("shingles")
+    working("passages")
     salts = mixed(np.arange(1, functions + 1, dtype=np.uint64) * M1 + np.uint64(SEED))
     own = np.arange(functions, dtype=np.uint64) * M2
     store: list[tuple] = []
@@ -120,7 +120,7 @@ def _find(batches, k: int, least: int, functions: int, buckets: int):
     ids, tokens, size = [], [], 0
     for batch in batches:
         for d, t in zip(batch.column("d").to_pylist(), batch.column("data"), strict=True):
-            x = shingle_hashes(word_hashes(t.as_py()), k)
+            x = shingle_codes(t.as_py(), k)
             if len(x) < least:
                 continue
             ids.append(d), tokens.append(x)
@@ -245,7 +245,7 @@ def _boxes(batches, least: int, enough: int, buckets: int):
 
 def _sides(batches, k: int, buckets: int):
     """TEXT and BOXES of a document bucket -> SIDES: the boxes' tokens, by box bucket."""
-    working("shingles")
+    working("passages")
     texts, blobs = {}, []
     for batch in batches:
         for kind, d, x in zip(batch.column("kind").to_pylist(), batch.column("d").to_pylist(), batch.column("data"), strict=True):
@@ -269,7 +269,7 @@ def _sides(batches, k: int, buckets: int):
     for i in order:
         if own[i] != last:
             last = own[i]
-            tokens = shingle_hashes(word_hashes(texts[int(last)].as_py()), k)
+            tokens = shingle_codes(texts[int(last)].as_py(), k)
         x = tokens[a[i] : b[i]]
         store.append((name[i], side[i], d[i], o[i], a[i], sa[i], sb[i], x))
         size += len(x)
@@ -543,7 +543,7 @@ def _tokens(batches, k: int, least: int, enough: int, buckets: int, few: int):
     (by 32 bits of its hash, which at worst counts two tokens as one) the least such number of the stretches over it, whether an open one is among them, and the document with which all
     those were compared (-1: none or several).
     """
-    working("shingles")
+    working("passages")
     texts, blobs = {}, defaultdict(list)
     for batch in batches:
         for kind, d, x in zip(batch.column("kind").to_pylist(), batch.column("d").to_pylist(), batch.column("data"), strict=True):
@@ -568,7 +568,7 @@ def _tokens(batches, k: int, least: int, enough: int, buckets: int, few: int):
         starts = np.flatnonzero(open_ | leads)
         if not len(starts):
             continue
-        tokens = shingle_hashes(word_hashes(texts[d].as_py()), k)
+        tokens = shingle_codes(texts[d].as_py(), k)
         u, o = np.zeros(len(tokens), np.uint32), np.zeros(len(tokens), np.uint8)
         u[starts] = distinct_counts(tokens, starts, least)
         partner, more = np.full(len(tokens), -1, np.int64), np.zeros(len(tokens), np.uint32)

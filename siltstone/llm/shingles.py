@@ -53,6 +53,46 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
+SPACES = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # keeps the first n bytes of eight
+
+
+def _odd(n: int) -> np.ndarray:
+    return mixed(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+ODD = _odd(64)
+
+
+def word_codes(text: str | bytes | None) -> np.ndarray:
+    """Other hashes of the same words, all at once: of up to 8 bytes (equal lengths: without collisions) and up to 16 by arithmetic, of longer words one by one."""
+    data = b" " + (text.encode() if isinstance(text, str) else text or b"").lower() + b" " * 16
+    space = SPACES[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, size = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the eight bytes from each place on
+    h = mixed((eight[starts] & BYTES[np.minimum(size, 8)]) + size.astype(np.uint64) * M1)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        h[long] = mixed(h[long] * M2 + (eight[starts[long] + 8] & BYTES[np.minimum(size[long] - 8, 8)]))
+        for i in long[size[long] > 16].tolist():
+            h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + size[i]])
+    return h
+
+
+def shingle_codes(text: str | bytes | None, k: int) -> np.ndarray:
+    """Hashes of a text's k-word shingles in order, as shingle_hashes gives others: sums of its words' codes, mixed once."""
+    words = word_codes(text)
+    if not len(words):
+        return words
+    n = min(k, len(words))
+    count = len(words) - n + 1
+    h, odd = np.full(count, n, np.uint64), ODD if n <= len(ODD) else _odd(n)
+    for i in range(n):
+        h += words[i : i + count] * odd[i]
+    return mixed(h)
+
+
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct shingle hashes."""
     return np.unique(shingle_hashes(word_hashes(text), k))

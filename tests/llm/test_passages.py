@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from siltstone.llm import passage_windows as P
-from siltstone.llm.shingles import shingle_hashes, word_hashes
+from siltstone.llm.shingles import shingle_codes, shingle_hashes, word_codes, word_hashes
 
 K, WORDS, LEAST = 5, 50, 46
 
@@ -221,3 +221,17 @@ def test_copies_take_the_prefix_of_the_first(monkeypatch):
     found = [x for b in P._repair(iter([P._rows([(0, P.AROUND, None, x) for x in blobs])]), k, least, 80) for x in b.to_pylist()]
     assert {x["doc_id"] for x in found} == set(range(1, n)) and {x["other_id"] for x in found} == {0}
     assert len(calls) == 1
+
+
+def test_codes_of_words_and_shingles_tell_the_same_words_apart():
+    """Words of all lengths about 8 and 16 bytes, at the ends of a text, in any case, split as bytes are."""
+    r = np.random.default_rng(9)
+    words = [bytes(r.choice(list(b"aB\xc3\x00"), n).astype(np.uint8)) for n in range(1, 40) for _ in range(20)] + [b"a", b"a\x00", b"abcdefgh", b"abcdefgh\x00"]
+    text = b"\t".join(words) + b" \x0b\x0c\r\n" + b" ".join(words)
+    split, codes = text.lower().split(), word_codes(text).tolist()
+    assert len(split) == len(codes) and len(set(split)) == len(set(codes)) == len(set(zip(split, codes, strict=True)))
+    assert len(word_codes(None)) == len(word_codes("")) == len(word_codes(" \n")) == 0 and word_codes("É a")[1] == word_codes("A")[0]
+    for k in (1, 5, 2000):
+        other = shingle_hashes(word_hashes(text), k).tolist()
+        mine = shingle_codes(text, k).tolist()
+        assert len(mine) == len(other) and len(set(mine)) == len(set(other)) == len(set(zip(mine, other, strict=True)))
